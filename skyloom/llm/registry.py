@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyloom.llm import language, mixing, simhash
+from skyloom.llm import decontaminate, language, licenses, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.query,
         "op3_language_id": language.query,
+        "op4_secret_scan": secrets.query,
         "op7_source_mixing": mixing.query,
         "op9_simhash_near_dedup": simhash.query,
+        "op10_license_scan": licenses.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.SQL}
+    return {"op1_decontamination": decontaminate.SQL, "op4_secret_scan": secrets.sql(), "op7_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
