@@ -134,15 +134,36 @@ def spanning_links(values: np.ndarray, same_group: np.ndarray, linked) -> list[t
         if not len(live):
             return out
         cand = live[root[live] != root[live + lag]]
-        if len(cand):
-            hit = cand[linked(cand, cand + lag)]
-            for i, j in zip(hit.tolist(), (hit + lag).tolist(), strict=True):
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((i, j))
-            if len(hit):
-                flat = root[root]
-                while not np.array_equal(flat, root):
-                    root, flat = flat, flat[flat]
+        hit = cand[linked(cand, cand + lag)] if len(cand) else cand
+        for i, j in zip(hit.tolist(), (hit + lag).tolist(), strict=True):
+            a, b = find(i), find(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+        if len(hit):
+            flat = root[root]
+            while not np.array_equal(flat, root):
+                root, flat = flat, flat[flat]
+            # a run whose rows are all connected has nothing more to find
+            first = np.flatnonzero(np.r_[True, same_group[1:] != same_group[:-1]])
+            done = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
+            number = np.cumsum(np.r_[True, same_group[1:] != same_group[:-1]]) - 1
+            live = live[~done[number[live]]]
         lag += 1
+
+
+def by_runs(batches: Iterator, key: str, handle) -> Iterator:
+    """Apply `handle` to batches cut so that rows of equal `key`, which follow one another, stay together."""
+    import pandas as pd
+
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        whole = rows[key].to_numpy() != rows[key].iloc[-1]
+        rest = rows[~whole]
+        if whole.any():
+            yield handle(rows[whole])
+    if rest is not None and len(rest):
+        yield handle(rest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyloom.llm import decontaminate, language, licenses, mixing, secrets, simhash
+from skyloom.llm import decontaminate, language, licenses, lines, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language.query,
         "op4_secret_scan": secrets.query,
         "op7_source_mixing": mixing.query,
+        "op8_line_dedup": lines.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_license_scan": licenses.query,
         "pipeline": corpus_pipeline.run,

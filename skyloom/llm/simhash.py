@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_words, pick, small, spanning_links, stored, table
+from skyloom.llm.common import ascii_words, by_runs, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
@@ -92,27 +92,20 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, chunk: int
     ).select("fp", F.xxhash64("k", "v", "ij.i", "ij.j").alias("g"))
     pivots = pivot_fingerprints()
 
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        fp, g = rows["fp"].to_numpy().view(np.uint64), rows["g"].to_numpy()
+        distance = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.abs(distance[i] - distance[j]).max(axis=1) <= radius
+            ok[ok] = np.bitwise_count(fp[i[ok]] ^ fp[j[ok]]) <= radius
+            return ok
+
+        pairs = np.array(spanning_links(fp, g, linked), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)})
+
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = pd.DataFrame({"fp": np.array([], np.int64), "g": np.array([], np.int64)})
-
-        def found(rows: pd.DataFrame) -> pd.DataFrame:
-            fp, g = rows["fp"].to_numpy().view(np.uint64), rows["g"].to_numpy()
-            distance = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
-
-            def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                ok = np.abs(distance[i] - distance[j]).max(axis=1) <= radius
-                ok[ok] = np.bitwise_count(fp[i[ok]] ^ fp[j[ok]]) <= radius
-                return ok
-
-            pairs = np.array(spanning_links(fp, g, linked), np.int64).reshape(-1, 2)
-            return pd.DataFrame({"a": fp[pairs[:, 0]].view(np.int64), "b": fp[pairs[:, 1]].view(np.int64)})
-
-        for batch in batches:
-            rows = pd.concat([rest, batch], ignore_index=True)
-            whole = rows["g"].to_numpy() != rows["g"].iloc[-1] if len(rows) else np.array([], bool)
-            rest = rows[~whole]
-            yield found(rows[whole])
-        yield found(rest)
+        return by_runs(batches, "g", found)
 
     return dealt.repartition("g").sortWithinPartitions("g", "fp").mapInPandas(links, "a long, b long")
 
