@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import by_runs, pick, small, spanning_links, stored, table
-from skyloom.llm.components import connected_components
+from skyloom.llm.common import pick, small, stored, table
+from skyloom.llm.similarity import linked_classes
 
 THRESHOLD, FREQUENT = 0.8, 1 << 16
 digest64 = xxhash.xxh64_intdigest
@@ -127,71 +127,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(sets, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
 
 
-def candidate_links(shared: DataFrame, threshold: float) -> DataFrame:
-    """Spanning candidates (a, b) of each token's group; `part` is a class's component so far, `no` are partners that failed."""
-
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
-        size, place = rows["shape"].to_numpy() >> 32, rows["shape"].to_numpy() & 0xFFFFFFFF
-        bits, part, no = rows["bits"].to_numpy().view(np.uint64), rows["part"].to_numpy(), rows["no"].to_numpy()
-        barred = np.array([x is not None and len(x) > 0 for x in no], bool)
-
-        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            both = size[i] + size[j]
-            want = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-            # at the first shared token nothing before it is shared, so its place bounds what can follow
-            room = np.minimum(size[i] - place[i], size[j] - place[j])
-            ok = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want)
-            ok &= room + np.minimum(place[i], place[j]) >= want
-            for k in np.flatnonzero(ok & barred[i]):
-                ok[k] = of[j[k]] not in no[i[k]]
-            return ok
-
-        start = np.unique(part, return_inverse=True)[1]
-        pairs = np.array(spanning_links(start, g, lambda i, j: linked(i, j) & (part[i] != part[j])), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]]})
-
-    ordered = shared.repartition("token").sortWithinPartitions("token", "class")
-    return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long").distinct()
-
-
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) for classes that are linked to another one."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast({w: i for i, w in enumerate(frequent_words(docs))})
+    order = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent_words(docs))})
     thin = prefix_rows(docs, order, threshold).groupBy("token", "class").agg(F.min("shape").alias("shape"), F.min("bits").alias("bits"))
-    thin = stored(thin, "prefixes")
-    often = thin.groupBy("token").count().where("count > 1").select("token")
-    shared = stored(thin.join(often, "token", "left_semi"), "shared")
-
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(common >= threshold * (len(p) + len(q) - common) - 1e-9)
-        return pd.Series(out)
-
-    rows = shared.withColumn("part", F.col("class")).withColumn("no", F.lit(None).cast("array<long>"))
-    links, barred = None, None
-    while True:
-        found = stored(candidate_links(rows, threshold), "candidates")
-        wanted = found.select(F.col("a").alias("class")).union(found.select("b")).distinct()
-        sets = stored(sets_of(docs, wanted), "sets")
-        one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-        checked = stored(found.join(one, "a").join(two, "b").select("a", "b", similar("a_tokens", "b_tokens").alias("ok")), "checked")
-        good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
-        links = good if links is None else links.union(good)
-        barred = bad if barred is None else barred.union(bad)
-        parts = stored(connected_components(links), "parts")
-        if bad.isEmpty():
-            return parts
-        # once more, only where a candidate failed: its tokens' groups, with the components so far and the failed pairs
-        again = bad.select(F.col("a").alias("class")).union(bad.select("b")).distinct()
-        tokens = shared.join(again, "class", "left_semi").select("token").distinct()
-        both = barred.union(barred.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("no"))
-        rows = shared.join(tokens, "token", "left_semi").join(parts, F.col("class") == F.col("node"), "left").drop("node").join(both, "class", "left").select("token", "class", "shape", "bits", F.coalesce("component", "class").alias("part"), "no")
+    return linked_classes(stored(thin, "prefixes"), lambda wanted: sets_of(docs, wanted), threshold)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

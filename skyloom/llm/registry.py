@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyloom.llm import decontaminate, language, licenses, lines, mixing, secrets, simhash
+from skyloom.llm import decontaminate, language, licenses, lines, mixing, paragraphs, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.query,
+        "op2_substring_dedup": paragraphs.query,
         "op3_language_id": language.query,
         "op4_secret_scan": secrets.query,
         "op7_source_mixing": mixing.query,
