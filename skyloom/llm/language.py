@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, remainder, table
+from skyloom.llm.common import pick, remainder, small, table
 
 PER_LANGUAGE, LONGEST, LEAST_COUNT = 1500, 5, 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +40,7 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
     order = Window.partitionBy("lang").orderBy("h")
     keyed = docs.where("lang is not null").withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     cut = keyed.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
-    return keyed.join(cut, "lang").where("h <= cut").select("lang", "text")
+    return keyed.join(small(cut), "lang").where("h <= cut").select("lang", "text")
 
 
 def model_tables(counts: list[tuple[str, int, str, int]]) -> tuple[list[str], list[dict[str, np.ndarray]]]:
