@@ -130,8 +130,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) for classes that are linked to another one."""
     order = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent_words(docs))})
-    thin = prefix_rows(docs, order, threshold).groupBy("token", "class").agg(F.min("shape").alias("shape"), F.min("bits").alias("bits"))
-    return linked_classes(stored(thin, "prefixes"), lambda wanted: sets_of(docs, wanted), threshold)
+    return linked_classes(prefix_rows(docs, order, threshold), lambda wanted: sets_of(docs, wanted), threshold)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -146,7 +146,7 @@ def line_bands(docs: DataFrame) -> DataFrame:
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pd.DataFrame({"token": key.view(np.int64), "class": np.repeat(np.array(classes, np.uint64).view(np.int64), BANDS), "shape": np.repeat(np.array(sizes, np.int64) << 32, BANDS), "bits": np.zeros(len(key), np.int64)})
 
-    return docs.select("text").mapInPandas(found, "token long, class long, shape long, bits long").distinct()
+    return docs.select("text").mapInPandas(found, "token long, class long, shape long, bits long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -9,36 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import by_runs, spanning_links, stored
+from skyloom.llm.common import by_runs, small, spanning_links, stored
 from skyloom.llm.components import connected_components
 
 
-def candidate_links(shared: DataFrame, threshold: float) -> DataFrame:
-    """Spanning candidates (a, b) of each token's group; `part` is a class's component so far, `no` are partners that failed."""
+def candidate_links(rows: DataFrame, threshold: float, again: bool = False) -> DataFrame:
+    """Spanning candidates (a, b, token) of each token's group.
+
+    In later rounds (`again`) `part` is a class's component so far and `no` holds the partners that failed.
+    """
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
+        fresh = np.r_[True, (rows["token"].to_numpy()[1:] != rows["token"].to_numpy()[:-1]) | (rows["class"].to_numpy()[1:] != rows["class"].to_numpy()[:-1])]
+        rows = rows[fresh]
         of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
         size, place = rows["shape"].to_numpy() >> 32, rows["shape"].to_numpy() & 0xFFFFFFFF
-        bits, part, no = rows["bits"].to_numpy().view(np.uint64), rows["part"].to_numpy(), rows["no"].to_numpy()
-        barred = np.array([x is not None and len(x) > 0 for x in no], bool)
+        bits = rows["bits"].to_numpy().view(np.uint64)
+        part, no = (rows["part"].to_numpy(), rows["no"].to_numpy()) if again else (of, None)
+        barred = np.array([x is not None and len(x) > 0 for x in no], bool) if again else None
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             both = size[i] + size[j]
             want = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-            # at the first shared token nothing before it is shared, so its place bounds what can follow
-            room = np.minimum(size[i] - place[i], size[j] - place[j])
-            ok = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want)
-            ok &= room + np.minimum(place[i], place[j]) >= want
-            for k in np.flatnonzero(ok & barred[i]):
-                ok[k] = of[j[k]] not in no[i[k]]
+            # what both share stands before the token in both, or is it, or stands after it in both
+            most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
+            ok = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (most >= want)
+            ok &= (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want) & (part[i] != part[j])
+            if again:
+                for k in np.flatnonzero(ok & barred[i]):
+                    ok[k] = of[j[k]] not in no[i[k]]
             return ok
 
-        start = np.unique(part, return_inverse=True)[1]
-        pairs = np.array(spanning_links(start, g, lambda i, j: linked(i, j) & (part[i] != part[j])), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]]})
+        pairs = np.array(spanning_links(of, g, linked), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]], "token": g[pairs[:, 0]]})
 
-    ordered = shared.repartition("token").sortWithinPartitions("token", "class")
-    return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long").distinct()
+    ordered = rows.repartition("token").sortWithinPartitions("token", "class")
+    return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long, token long")
 
 
 def similar_sets(threshold: float):
@@ -59,31 +65,30 @@ def similar_sets(threshold: float):
 def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
-    `keyed` has token, class, shape (size and place of the token) and bits; two classes are compared if they share a
-    token. `sets_of` gives class and tokens for the column `class` of a table. Where a candidate fails, the groups of its
-    tokens are searched again with the components found so far and the failed pairs left out, until none fails.
+    `keyed` has token, class, shape (size and place of the token) and bits, repeats allowed; two classes are compared if
+    they share a token. `sets_of` gives class and tokens for the column `class` of a table. Where a candidate fails, the
+    groups that gave it are searched again with the components found so far and the failed pairs left out, until none
+    fails; `keyed` is computed anew for that rather than kept.
     """
-    often = keyed.groupBy("token").count().where("count > 1").select("token")
-    shared = stored(keyed.join(often, "token", "left_semi"), "shared")
-    rows = shared.withColumn("part", F.col("class")).withColumn("no", F.lit(None).cast("array<long>"))
     similar = similar_sets(threshold)
-    links = barred = None
+    links = barred = parts = None
+    rows = keyed
     while True:
-        found = stored(candidate_links(rows, threshold), "candidates")
-        wanted = found.select(F.col("a").alias("class")).union(found.select("b")).distinct()
+        found = stored(candidate_links(rows, threshold, parts is not None), "candidates")
+        pairs = found.select("a", "b").distinct()
+        wanted = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         sets = stored(sets_of(wanted), "sets")
         one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-        checked = stored(found.join(one, "a").join(two, "b").select("a", "b", similar("a_tokens", "b_tokens").alias("ok")), "checked")
+        checked = stored(pairs.join(one, "a").join(two, "b").select("a", "b", similar("a_tokens", "b_tokens").alias("ok")), "checked")
         good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
         links = good if links is None else links.union(good)
         barred = bad if barred is None else barred.union(bad)
         parts = stored(connected_components(links), "parts")
         if bad.isEmpty():
             return parts
-        again = bad.select(F.col("a").alias("class")).union(bad.select("b")).distinct()
-        tokens = shared.join(again, "class", "left_semi").select("token").distinct()
+        tokens = stored(found.join(bad, ["a", "b"]).select("token").distinct(), "tokens")
         both = barred.union(barred.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("no"))
         rows = (
-            shared.join(tokens, "token", "left_semi").join(parts, F.col("class") == F.col("node"), "left").drop("node").join(both, "class", "left")
+            keyed.join(small(tokens), "token", "left_semi").join(parts, F.col("class") == F.col("node"), "left").drop("node").join(both, "class", "left")
             .select("token", "class", "shape", "bits", F.coalesce("component", "class").alias("part"), "no")
         )
