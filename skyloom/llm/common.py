@@ -72,8 +72,8 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def row_key() -> Column:
-    """Identity of a document row: equal id and equal text are one document, joined null-safely by value."""
-    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")).alias("id"), F.xxhash64("text").alias("h"))
+    """Identity of a document row: equal id and equal text are one document, joined null-safely as one value."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
 
 
 def ascii_words(text: str | None) -> list[bytes]:

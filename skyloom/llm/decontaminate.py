@@ -50,12 +50,16 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> tuple[DataFrame
 
 
 def postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """Stored posting lists (term, doc, pos, context) of the given terms."""
+    """Stored posting lists (term, doc, pos, context) of `terms` (term, first): context is null where `first` is false.
+
+    The context is a plain slice, cut off at the ends of the text: it starts with the word min(pos, window - 1) places
+    before. A lambda here would leave generated code and copy the words of a document for each of its postings.
+    """
     reach = window - 1
     words = docs.select(row_key().alias("doc"), raw_words().alias("words"))
     listed = words.select("doc", "words", F.posexplode("words").alias("pos", "term")).join(small(terms), "term")
-    around = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.get("words", F.col("pos") + k))
-    return stored(listed.select("term", "doc", "pos", around.alias("context")), "postings")
+    around = F.slice("words", F.greatest(F.col("pos") + 1 - reach, F.lit(1)), F.least("pos", F.lit(reach)) + window)
+    return stored(listed.select("term", "doc", "pos", F.when(F.col("first"), around).alias("context")), "postings")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
@@ -65,12 +69,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: i
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
     counts = docs.select(F.explode(raw_words()).alias("term")).join(small(vocabulary), "term", "left_semi").groupBy("term").count()
     first, second = (stored(x, "anchors") for x in anchors(items, stored(counts, "counts"), window))
-    lists = postings(docs, first.select("term").union(second.select("term")).distinct(), window)
+    terms = first.select("term", F.lit(True).alias("first")).union(second.select("term", F.lit(False))).groupBy("term").agg(F.max("first").alias("first"))
+    lists = postings(docs, terms, window)
     found = lists.join(small(first), "term").select("doc", "anchor", "item_id", "pos", "context", "want", "need")
     other = lists.join(small(second), "term").select("doc", "anchor", (F.col("pos") - F.col("apart")).alias("pos"))
     both = found.join(other, ["doc", "anchor", "pos"], "left_semi")
     reach = window - 1
-    equal = F.zip_with("context", "want", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    lead = F.least("pos", F.lit(reach)) - reach
+    equal = F.transform("want", lambda w, i: F.coalesce(w == F.get("context", i + lead), F.lit(False)))
     left = F.array_position(F.reverse(F.slice("equal", 1, reach)), False)
     right = F.array_position(F.slice("equal", reach + 2, reach), False)
     run = both.withColumn("equal", equal).select(
