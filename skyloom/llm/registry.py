@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyloom.llm import decontaminate, language, licenses, lines, mixing, paragraphs, secrets, simhash
+from skyloom.llm import decontaminate, language, licenses, lines, mixing, neighbours, paragraphs, pitman_yor, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": paragraphs.query,
         "op3_language_id": language.query,
         "op4_secret_scan": secrets.query,
+        "op5_nearest_neighbours": neighbours.query,
+        "op6_lm_scoring": pitman_yor.query,
         "op7_source_mixing": mixing.query,
         "op8_line_dedup": lines.query,
         "op9_simhash_near_dedup": simhash.query,
