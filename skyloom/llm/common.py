@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +80,11 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Batches of few documents, so that what is built from their words stays small."""
     for batch in batches:
-        yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
 
 
 def global_rank(df: DataFrame, by: list[Column], name: str, parts: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from skyloom.llm.common import pick, remainder, small, table
 PER_LANGUAGE, LONGEST, LEAST_COUNT = 1500, 5, 2
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 REJECT_BELOW = 0.5
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, small, stored, table
+from skyloom.llm.common import pick, slices, small, stored, table
 from skyloom.llm.similarity import linked_classes
 
 THRESHOLD, FREQUENT = 0.8, 1 << 16
@@ -51,7 +51,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """A row (doc_id, row, line, class) for each line with words; `row` is a hash of the text."""
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, numbers, found = [], [], [], []
             for doc_id, row, text in zip(batch["doc_id"].astype(object), batch["row"], batch["text"], strict=True):
                 for k, tokens in enumerate(token_sets(text)):
@@ -83,13 +83,12 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
 
 
 def prefix_rows(docs: DataFrame, ranks, threshold: float) -> DataFrame:
-    """token, class, size, place and signature for the prefix of each set; a set once a batch. Sets below 4 tokens have no partner but equal ones."""
+    """token, class, size, place and signature for the prefix of each set; a set once a partition. Sets below 4 tokens have no partner but equal ones."""
     least = next(n for n in range(1, 1 << 20) if ceil(threshold * (n + 1) - 1e-9) <= n)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank = ranks.value
-        for batch in batches:
-            seen: set[int] = set()
+        rank, seen = ranks.value, set()
+        for batch in slices(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for text in batch["text"]:
                 for tokens in token_sets(text):
@@ -116,11 +115,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and tokens (sorted 64-bit hashes as binary) of the classes in `wanted`."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        seen: set[int] = set()
+        for batch in slices(batches):
             found: dict[int, bytes] = {}
             for text in batch["text"]:
                 for tokens in token_sets(text):
-                    if tokens and (of := digest64(b" ".join(tokens))) not in found:
+                    if tokens and (of := digest64(b" ".join(tokens))) not in seen:
+                        seen.add(of)
                         found[of] = np.sort(np.array([digest64(t) for t in tokens], np.uint64)).tobytes()
             yield pd.DataFrame({"class": signed(list(found)), "tokens": list(found.values())})
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, small, stored, table
+from skyloom.llm.common import pick, slices, small, stored, table
 from skyloom.llm.similarity import linked_classes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 4
@@ -108,7 +108,7 @@ def units(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, stop, class) of all paragraphs; a line's class is odd, a piece's even."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, spans, classes = [], [], [], []
             for doc_id, row, text in zip(batch["doc_id"].astype(object), batch["row"], batch["text"], strict=True):
                 hashes, long, pieces = paragraphs(text)
@@ -127,11 +127,11 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def line_bands(docs: DataFrame) -> DataFrame:
-    """token (band key), class, shape (number of shingles, as a set without places) and bits for each long line, once a batch."""
+    """token (band key), class, shape (number of shingles, as a set without places) and bits for each long line, once a partition."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: set[int] = set()
+        seen: set[int] = set()
+        for batch in slices(batches):
             keys, classes, sizes = [], [], []
             for text in batch["text"]:
                 hashes, long, _ = paragraphs(text)
@@ -153,13 +153,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and tokens (sorted shingle hashes) of the long lines in `wanted`."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        seen: set[int] = set()
+        for batch in slices(batches):
             sets: dict[int, bytes] = {}
             for text in batch["text"]:
                 hashes, long, _ = paragraphs(text)
                 for start, stop in long:
                     of = int(hashes.of(np.array([start]), np.array([stop]))[0]) | 1
-                    if of not in sets:
+                    if of not in seen:
+                        seen.add(of)
                         sets[of] = shingles_of(hashes, start, stop).tobytes()
             yield pd.DataFrame({"class": np.array(list(sets), np.uint64).view(np.int64), "tokens": list(sets.values())})
 
