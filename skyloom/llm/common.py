@@ -112,11 +112,12 @@ def global_rank(df: DataFrame, by: list[Column], name: str, parts: int | None =
     )
 
 
-def spanning_links(values: np.ndarray, same_group: np.ndarray, linked) -> list[tuple[int, int]]:
+def spanning_links(values: np.ndarray, same_group: np.ndarray, linked, whole: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links inside runs of equal keys, found lag by lag.
 
     `same_group` holds the run number of each row; `linked(i, j)` tells for index arrays which pairs are linked.
-    Only links that join two parts not yet connected are returned: at most one fewer than the rows of a run.
+    Only links that join two parts not yet connected are returned: at most one fewer than the rows of a run. Rows that
+    `whole` marks give all of their pairs instead (for small runs).
     """
     n = len(values)
     root = np.arange(n)
@@ -134,13 +135,15 @@ def spanning_links(values: np.ndarray, same_group: np.ndarray, linked) -> list[t
         live = live[same_group[live] == same_group[live + lag]]
         if not len(live):
             return out
-        cand = live[root[live] != root[live + lag]]
+        cand = live[root[live] != root[live + lag]] if whole is None else live[whole[live] | (root[live] != root[live + lag])]
         hit = cand[linked(cand, cand + lag)] if len(cand) else cand
         for i, j in zip(hit.tolist(), (hit + lag).tolist(), strict=True):
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
                 out.append((i, j))
+            elif whole is not None and whole[i]:
+                out.append((i, j))
         if len(hit):
             flat = root[root]
             while not np.array_equal(flat, root):
@@ -149,7 +152,7 @@ def spanning_links(values: np.ndarray, same_group: np.ndarray, linked) -> list[t
             first = np.flatnonzero(np.r_[True, same_group[1:] != same_group[:-1]])
             done = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
             number = np.cumsum(np.r_[True, same_group[1:] != same_group[:-1]]) - 1
-            live = live[~done[number[live]]]
+            live = live[~done[number[live]]] if whole is None else live[whole[live] | ~done[number[live]]]
         lag += 1
 
 

@@ -71,99 +71,125 @@ def cuts(hashes: Hashes, n: int) -> np.ndarray:
     return np.array([*found, n] if found[-1] != n else found)
 
 
-def paragraphs(text: str | None) -> tuple[Hashes | None, list[tuple[int, int]], list[tuple[int, int]]]:
+def paragraphs(text: str | None) -> tuple[Hashes | None, np.ndarray, np.ndarray]:
     """Rolling hashes, long lines and pieces (start, stop), in words of the text (A-Z lower-cased, between ASCII white space)."""
-    if not text:
-        return None, [], []
-    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    none = np.zeros((0, 2), np.int64)
+    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
     words = [w for line in lines for w in line]
     if not words:
-        return None, [], []
-    ends = np.cumsum([len(x) for x in lines]).tolist()
-    long = [(e - len(x), e) for x, e in zip(lines, ends, strict=True) if len(x) >= LINE_WORDS]
+        return None, none, none
+    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(sizes)
+    long = np.stack([ends - sizes, ends], axis=1)[sizes >= LINE_WORDS]
     hashes = Hashes(words)
     at = cuts(hashes, len(words))
-    keep = np.diff(at) >= PIECE_WORDS
-    return hashes, long, list(zip(at[:-1][keep].tolist(), at[1:][keep].tolist(), strict=True))
+    pieces = np.stack([at[:-1], at[1:]], axis=1)
+    return hashes, long, pieces[np.diff(at) >= PIECE_WORDS]
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of the MinHash signature."""
+def classes_of(hashes: Hashes, spans: np.ndarray, kind: int) -> np.ndarray:
+    """Class of each span: the hash of its words, odd for lines and even for pieces."""
+    return (hashes.of(spans[:, 0], spans[:, 1]) & ~np.uint64(1)) | np.uint64(kind)
+
+
+def shingles_of(hashes: Hashes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of the spans, one after another, and where each span's begin."""
+    counts = np.maximum(1, spans[:, 1] - spans[:, 0] - SHINGLE + 1)
+    first = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(spans[:, 0], counts)
+    return hashes.of(at, np.minimum(at + SHINGLE, np.repeat(spans[:, 1], counts))), first
+
+
+def bands_of(hashes: Hashes, spans: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each span and band of its MinHash signature."""
     seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    shingles, first = shingles_of(hashes, spans)
+    least = np.full((len(spans), BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
+    owner = np.repeat(np.arange(len(spans)), np.diff(np.r_[first, len(shingles)]))
     for k in range(0, len(shingles), SLAB):
-        least = np.minimum(least, mixed(shingles[k : k + SLAB, None] * seeds[None, :]).min(axis=0))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+        own, part = owner[k : k + SLAB], mixed(shingles[k : k + SLAB, None] * seeds[None, :])
+        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        least[own[cut]] = np.minimum(least[own[cut]], np.minimum.reduceat(part, cut, axis=0))
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(spans), 1))
     for r in range(ROWS):
-        keys = mixed(keys * np.uint64(BASE) + least.reshape(BANDS, ROWS)[:, r])
+        keys = mixed(keys * np.uint64(BASE) + least.reshape(-1, BANDS, ROWS)[:, :, r])
     return keys
 
 
-def shingles_of(hashes: Hashes, start: int, stop: int) -> np.ndarray:
-    at = np.arange(start, max(start + 1, stop - SHINGLE + 1))
-    return np.unique(hashes.of(at, np.minimum(at + SHINGLE, stop)))
-
-
 def units(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, stop, class) of all paragraphs; a line's class is odd, a piece's even."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in slices(batches):
-            ids, rows, spans, classes = [], [], [], []
+            ids, rows, spans, classes = [], [], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint64)]
             for doc_id, row, text in zip(batch["doc_id"].astype(object), batch["row"], batch["text"], strict=True):
                 hashes, long, pieces = paragraphs(text)
                 for kind, own in ((1, long), (0, pieces)):
-                    if own:
-                        span = np.array(own, np.int64)
-                        spans.append(span)
-                        classes.append((hashes.of(span[:, 0], span[:, 1]) & ~np.uint64(1)) | np.uint64(kind))
+                    if len(own):
+                        spans.append(own)
+                        classes.append(classes_of(hashes, own, kind))
                         ids += [doc_id] * len(own)
                         rows += [row] * len(own)
-            span = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-            of = np.concatenate(classes) if classes else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "row": np.array(rows, np.int64), "start": span[:, 0].astype(np.int32), "stop": span[:, 1].astype(np.int32), "class": of.view(np.int64)})
+            span = np.concatenate(spans)
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "row": np.array(rows, np.int64), "start": span[:, 0].astype(np.int32), "stop": span[:, 1].astype(np.int32), "class": np.concatenate(classes).view(np.int64)})
 
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(found, "doc_id long, row long, start int, stop int, class long")
 
 
+def new_lines(text: str | None, seen: set[int]) -> tuple[Hashes | None, np.ndarray, np.ndarray]:
+    """Hashes, spans and classes of the long lines whose class is not in `seen` yet; adds them."""
+    hashes, long, _ = paragraphs(text)
+    if not len(long):
+        return hashes, long, np.zeros(0, np.uint64)
+    classes = classes_of(hashes, long, 1)
+    fresh = np.zeros(len(long), bool)
+    for k, of in enumerate(classes.tolist()):
+        if of not in seen:
+            seen.add(of)
+            fresh[k] = True
+    return hashes, long[fresh], classes[fresh]
+
+
 def line_bands(docs: DataFrame) -> DataFrame:
-    """token (band key), class, shape (number of shingles, as a set without places) and bits for each long line, once a partition."""
+    """token (band key) and class for each long line, once a partition; shape and bits say nothing here."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in slices(batches):
-            keys, classes, sizes = [], [], []
+            keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for text in batch["text"]:
-                hashes, long, _ = paragraphs(text)
-                for start, stop in long:
-                    of = int(hashes.of(np.array([start]), np.array([stop]))[0]) | 1
-                    if of not in seen:
-                        seen.add(of)
-                        shingles = shingles_of(hashes, start, stop)
-                        keys.append(bands_of(shingles))
-                        classes.append(of)
-                        sizes.append(len(shingles))
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"token": key.view(np.int64), "class": np.repeat(np.array(classes, np.uint64).view(np.int64), BANDS), "shape": np.repeat(np.array(sizes, np.int64) << 32, BANDS), "bits": np.zeros(len(key), np.int64)})
+                hashes, spans, own = new_lines(text, seen)
+                if len(spans):
+                    keys.append(bands_of(hashes, spans).ravel())
+                    classes.append(np.repeat(own, BANDS))
+            yield pd.DataFrame({"token": np.concatenate(keys).view(np.int64), "class": np.concatenate(classes).view(np.int64), "shape": 0, "bits": 0})
 
     return docs.select("text").mapInPandas(found, "token long, class long, shape long, bits long")
 
 
+#: Classes that workers are told to look for by broadcast; more of them are found by a join.
+TOLD = 2_000_000
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and tokens (sorted shingle hashes) of the long lines in `wanted`."""
+    few = wanted.count() <= TOLD
+    told = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["class"].to_numpy())) if few else None
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in slices(batches):
-            sets: dict[int, bytes] = {}
+            classes, sets = [np.zeros(0, np.uint64)], []
             for text in batch["text"]:
-                hashes, long, _ = paragraphs(text)
-                for start, stop in long:
-                    of = int(hashes.of(np.array([start]), np.array([stop]))[0]) | 1
-                    if of not in seen:
-                        seen.add(of)
-                        sets[of] = shingles_of(hashes, start, stop).tobytes()
-            yield pd.DataFrame({"class": np.array(list(sets), np.uint64).view(np.int64), "tokens": list(sets.values())})
+                hashes, spans, own = new_lines(text, seen)
+                if told is not None and len(spans):
+                    ask = told.value[np.minimum(np.searchsorted(told.value, own.view(np.int64)), len(told.value) - 1)] == own.view(np.int64) if len(told.value) else np.zeros(len(own), bool)
+                    spans, own = spans[ask], own[ask]
+                if len(spans):
+                    shingles, first = shingles_of(hashes, spans)
+                    classes.append(own)
+                    sets += [np.unique(x).tobytes() for x in np.split(shingles, first[1:])]
+            yield pd.DataFrame({"class": np.concatenate(classes).view(np.int64), "tokens": sets})
 
     return docs.select("text").mapInPandas(found, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
 
@@ -171,7 +197,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, stop, cluster, later) of paragraphs that occur more than once, exactly or nearly."""
     found = stored(units(docs), "units")
-    parts = linked_classes(line_bands(docs), lambda wanted: shingle_sets(docs, wanted), THRESHOLD)
+    parts = linked_classes(stored(line_bands(docs), "bands"), lambda wanted: shingle_sets(docs, wanted), THRESHOLD)
     often = found.groupBy("class").count().where("count > 1").select("class", F.lit(True).alias("often"))
     clusters = stored(often.join(parts, F.col("class") == F.col("node"), "full").select(F.coalesce("class", "node").alias("class"), F.coalesce("component", "class").alias("cluster")), "clusters")
     own = stored(found.join(small(clusters), "class"), "repeated")

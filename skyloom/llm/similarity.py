@@ -13,8 +13,12 @@ from skyloom.llm.common import by_runs, small, spanning_links, stored
 from skyloom.llm.components import connected_components
 
 
+#: Groups of at most so many classes give all of their candidates; of larger ones only spanning candidates leave.
+WHOLE = 16
+
+
 def candidate_links(rows: DataFrame, threshold: float, again: bool = False) -> DataFrame:
-    """Spanning candidates (a, b, token) of each token's group.
+    """Candidates (a, b, token) of each token's group; token is null where no other pair of the group was left out.
 
     In later rounds (`again`) `part` is a class's component so far and `no` holds the partners that failed.
     """
@@ -40,8 +44,12 @@ def candidate_links(rows: DataFrame, threshold: float, again: bool = False) -> D
                     ok[k] = of[j[k]] not in no[i[k]]
             return ok
 
-        pairs = np.array(spanning_links(of, g, linked), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]], "token": g[pairs[:, 0]]})
+        whole = np.unique(g, return_inverse=True, return_counts=True)
+        whole = whole[2][whole[1]] <= WHOLE
+        pairs = np.array(spanning_links(of, g, linked, whole), np.int64).reshape(-1, 2)
+        token = pd.array(g[pairs[:, 0]], "Int64")
+        token[whole[pairs[:, 0]]] = pd.NA
+        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]], "token": token})
 
     ordered = rows.repartition("token").sortWithinPartitions("token", "class")
     return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long, token long")
@@ -66,9 +74,9 @@ def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
     `keyed` has token, class, shape (size and place of the token) and bits, repeats allowed; two classes are compared if
-    they share a token. `sets_of` gives class and tokens for the column `class` of a table. Where a candidate fails, the
-    groups that gave it are searched again with the components found so far and the failed pairs left out, until none
-    fails; `keyed` is computed anew for that rather than kept.
+    they share a token. `sets_of` gives class and tokens for the column `class` of a table. Small groups give all their
+    candidates. Where a candidate of a larger group fails, that group is searched again with the components found so far
+    and the failed pairs left out, until none fails; `keyed` is computed anew for that rather than kept.
     """
     similar = similar_sets(threshold)
     links = barred = parts = None
@@ -84,9 +92,9 @@ def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         links = good if links is None else links.union(good)
         barred = bad if barred is None else barred.union(bad)
         parts = stored(connected_components(links), "parts")
-        if bad.isEmpty():
+        tokens = stored(found.where("token is not null").join(bad, ["a", "b"]).select("token").distinct(), "tokens")
+        if tokens.isEmpty():
             return parts
-        tokens = stored(found.join(bad, ["a", "b"]).select("token").distinct(), "tokens")
         both = barred.union(barred.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("no"))
         rows = (
             keyed.join(small(tokens), "token", "left_semi").join(parts, F.col("class") == F.col("node"), "left").drop("node").join(both, "class", "left")
