@@ -2,7 +2,7 @@
 
 Vectors are scaled to unit length, rotated onto `DIMS` random directions and, once for each of `CURVES` shifts and
 rotations, put in the order of a Hilbert curve over the grid of their projections. Spark range-partitions the keys and
-numbers the rows, so a curve is a sequence of blocks of `BLOCK` rows. A query reads the blocks within `width` places of
+numbers the rows, so a curve is a sequence of blocks of equal size. A query reads the blocks within `width` places of
 its own on every curve; each block scores its queries by one matrix product, in double precision on the original
 vectors, and the best of all curves are merged.
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import global_rank, pick, stored, table
 
-K, CURVES, DIMS, BITS, BLOCK = 20, 4, 8, 6, 2048
+K, CURVES, DIMS, BITS = 20, 4, 8, 6
+#: Rows of a block: a quarter of the width, so that a query reads about nine blocks of a curve, between these bounds.
+LEAST_BLOCK, MOST_BLOCK = 2048, 65536
 #: Queries of the calibration, and the share of true neighbours that it aims at.
 SAMPLE, TARGET = 48, 0.97
 
@@ -126,8 +128,8 @@ def scored(block_rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def expand(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """From entries to ids: the best k + 1 entries of a query hold its best k ids other than its own."""
-    top = found.distinct()
+    """From entries to ids: the best k + 1 entries of a query (ties to the smaller id) hold its best k ids other than its own."""
+    top = best(found.distinct().withColumnRenamed("entry", "vec_id"), k + 1).select("query", F.col("vec_id").alias("entry"), "score")
     ids = top.join(members, "entry").select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id != query")
     return best(ids, k)
 
@@ -146,7 +148,7 @@ def calibrated_width(ranked: DataFrame, vectors: DataFrame, queries: DataFrame,
     return int(cut or 0) + 1
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = K, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = K, curves: int = CURVES) -> DataFrame:
     """query_id, rank, vec_id and score of the `k` nearest found for the rows that the Column `is_query` picks."""
     every = stored(entries(embeddings, k), "entries")
     vectors = every.select("entry", "vector")
@@ -154,6 +156,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, curves: int = CURVES, b
     queries = stored(asked_ids.join(every.select("entry", "vector"), "vector"), "queries")
     ranked = stored(global_rank(on_curves(vectors, curves), [F.col("curve"), F.col("key"), F.col("entry")], "curves"), "ranked")
     width = calibrated_width(ranked, vectors, queries, k, curves)
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, width // 4))
     number = F.struct("curve", F.floor(F.col("rank") / block).alias("b"))
     candidates = ranked.join(vectors, "entry").select(number.alias("g"), "entry", "vector")
     around = F.sequence(F.floor(F.greatest(F.col("rank") - width, F.lit(0)) / block), F.floor((F.col("rank") + width) / block))
