@@ -1,0 +1 @@
+"""operators of the time-series and calendar library."""

@@ -1,0 +1 @@
+"""plans of the time-series and calendar library."""

@@ -1,0 +1 @@
+"""sources of the time-series and calendar library."""

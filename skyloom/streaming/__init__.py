@@ -1,0 +1 @@
+"""streaming of the time-series and calendar library."""
