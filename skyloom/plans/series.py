@@ -11,7 +11,10 @@ from skyloom.plans.observations import r6
 from skyloom.plans.registry import query
 from skyloom.sources import surrogate as s
 
-BY_DATE = Window.partitionBy(F.lit(1)).orderBy("date")
+
+def by_date():
+    """Rows in order of date. One partition is right here: the series have been aggregated to days before."""
+    return Window.partitionBy(F.lit(1)).orderBy("date")
 
 
 def rolled(name: str, n: int, kind: str) -> None:
@@ -21,7 +24,7 @@ def rolled(name: str, n: int, kind: str) -> None:
 
     @query(name, f"SELECT date, CASE WHEN count(v) OVER {frame} >= {least} THEN round(avg(v) OVER {frame}, 5) END AS roll FROM daily", "daily")
     def q(spark, d):
-        w = c.centered(BY_DATE, n) if kind == "centered" else c.trailing(BY_DATE, n)
+        w = c.centered(by_date(), n) if kind == "centered" else c.trailing(by_date(), n)
         return s.daily(spark, d).select("date", F.round(c.rolling(F.avg, "v", w, least), 5).alias("roll"))
 
 
@@ -32,7 +35,7 @@ rolled("rolling_trailing_30", 30, "trailing")
 
 @query("rolling_fraction", "SELECT date, round(avg(CASE WHEN v > 140 THEN 1.0 ELSE 0 END) OVER (ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 6) AS share FROM daily", "daily")
 def rolling_fraction(spark, d):
-    return s.daily(spark, d).select("date", c.rounded(F.avg(F.when(F.col("v") > 140, 1.0).otherwise(0.0)).over(c.trailing(BY_DATE, 14))).alias("share"))
+    return s.daily(spark, d).select("date", c.rounded(F.avg(F.when(F.col("v") > 140, 1.0).otherwise(0.0)).over(c.trailing(by_date(), 14))).alias("share"))
 
 
 @query("dopy_features", "SELECT date, py, dopy, CAST(CASE WHEN dopy >= 80 AND dopy < 130 THEN 1 WHEN dopy >= 130 AND dopy < 180 THEN 2 WHEN dopy >= 180 AND dopy < 250 THEN 3 WHEN dopy >= 250 AND dopy < 310 THEN 4 ELSE 5 END AS BIGINT) AS phase FROM daily", "daily")
@@ -99,12 +102,12 @@ GAPPY = "g AS (SELECT date, CASE WHEN dopy % 7 < 2 THEN NULL ELSE v END AS x, ro
 
 
 def gappy(spark, d):
-    return s.daily(spark, d).select("date", F.when(F.col("dopy") % 7 >= 2, F.col("v")).alias("x"), F.row_number().over(BY_DATE).alias("rn"))
+    return s.daily(spark, d).select("date", F.when(F.col("dopy") % 7 >= 2, F.col("v")).alias("x"), F.row_number().over(by_date()).alias("rn"))
 
 
 @query("ffill_bfill", f"WITH {GAPPY} SELECT date, round(coalesce(last_value(x IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS filled FROM g", "daily")
 def ffill_bfill(spark, d):
-    return gappy(spark, d).select("date", F.round(F.coalesce(c.forward_fill("x", BY_DATE), c.back_fill("x", BY_DATE)), 9).alias("filled"))
+    return gappy(spark, d).select("date", F.round(F.coalesce(c.forward_fill("x", by_date()), c.back_fill("x", by_date())), 9).alias("filled"))
 
 
 @query("linear_interpolate", f"""WITH {GAPPY}, b AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN rn END IGNORE NULLS) OVER p AS r0, last_value(x IGNORE NULLS) OVER p AS x0, first_value(CASE WHEN x IS NOT NULL THEN rn END IGNORE NULLS) OVER f AS r1, first_value(x IGNORE NULLS) OVER f AS x1
@@ -112,7 +115,7 @@ def ffill_bfill(spark, d):
 SELECT date, round(CASE WHEN x IS NOT NULL THEN x WHEN x0 IS NULL THEN x1 WHEN x1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (rn - r0) / (r1 - r0) END, 9) AS filled FROM b""", "daily")
 def linear_interpolate(spark, d):
     g = gappy(spark, d).withColumn("k", F.when(F.col("x").isNotNull(), F.col("rn")))
-    b = g.withColumns({"r0": c.forward_fill("k", BY_DATE), "x0": c.forward_fill("x", BY_DATE), "r1": c.back_fill("k", BY_DATE), "x1": c.back_fill("x", BY_DATE)})
+    b = g.withColumns({"r0": c.forward_fill("k", by_date()), "x0": c.forward_fill("x", by_date()), "r1": c.back_fill("k", by_date()), "x1": c.back_fill("x", by_date())})
     line = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("rn") - F.col("r0")) / (F.col("r1") - F.col("r0"))
     return b.select("date", F.round(F.when(F.col("x").isNotNull(), F.col("x")).when(F.col("x0").isNull(), F.col("x1")).when(F.col("x1").isNull(), F.col("x0")).otherwise(line), 9).alias("filled"))
 
