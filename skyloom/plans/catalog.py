@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.plans import observations, series
+from skyloom.plans import calendars, observations, series
 from skyloom.plans.registry import QUERIES, SQL, Query
 
-__all__ = ["observations", "oracle_sql", "queries", "series"]
+__all__ = ["calendars", "observations", "oracle_sql", "queries", "series"]
 
 
 def queries() -> dict[str, Query]:
