@@ -161,7 +161,7 @@ def span_climatology(spans: DataFrame) -> DataFrame:
     both = lambda f, n: F.col(f) + F.col(n) + F.col("share") * F.col(f"i{n}")
     et0 = both("et0", "d_et0")
     moved = (F.col("enso").isin("ELNINO", "LANINA")) | ((F.col("share") > 0) & F.col("iod").isin("pIOD", "nIOD"))
-    r8 = lambda x: c.rounded(x, 8)
+    r8 = lambda x: c.rounded(x, 10)
     return g.select(
         "id", F.bround(F.col("rain2") * F.col("dur"), 0).alias("rain"), r8("rain2").alias("rain_d"), F.col("wet2").cast("long").alias("wet_days"), r8(et0).alias("et0"),
         r8(F.when(moved, F.col("rain2") - et0).otherwise(F.col("balance"))).alias("balance"), r8("soil").alias("soil"), r8(both("rh", "d_rh")).alias("rh"), r8(both("t_max", "d_tx")).alias("t_max"),

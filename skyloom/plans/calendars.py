@@ -13,7 +13,7 @@ from skyloom.sources import surrogate as s
 
 
 def r8(x: str) -> str:
-    return f"round({x}, 8) + 0.0"
+    return f"round({x}, 10) + 0.0"
 
 
 def values(rows) -> str:
