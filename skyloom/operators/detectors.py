@@ -96,7 +96,7 @@ def pettitt(df: DataFrame, x: str) -> DataFrame:
     u = u.withColumn("_u", F.abs(2 * F.col("_rs") - F.col("_t") * (F.col("_n") + 1)))
     best = u.groupBy("py").agg(F.min(F.struct((-F.col("_u")).alias("k"), "date", "dopy", "_n")).alias("b"))
     p = 2 * F.exp(-6 * F.pow("b.k", 2) / (F.pow("b._n", 3) + F.pow("b._n", 2)))
-    return best.select("py", c.rounded(-F.col("b.k")).alias("k"), c.rounded(F.least(p, F.lit(1.0))).alias("p"), F.when(p <= 0.05, F.col("b.dopy")).alias("onset"))
+    return best.select("py", c.rounded(-F.col("b.k"), 9).alias("k"), c.rounded(F.least(p, F.lit(1.0)), 9).alias("p"), F.when(p <= 0.05, F.col("b.dopy")).alias("onset"))
 
 
 def rolling_slope(df: DataFrame, x: str, n: int, least: int) -> DataFrame:
@@ -138,7 +138,7 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slope, intercept, r and t; t is 0 for |r| below 1e-9 and null at |r| = 1."""
     g = df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.regr_count(y, x).alias("n"))
     t = F.when(F.abs("r") < 1e-9, 0.0).when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
-    return g.select(c.rounded("slope").alias("slope"), c.rounded("intercept").alias("intercept"), c.rounded("r").alias("r"), c.rounded(t).alias("t"), "n")
+    return g.select(c.rounded("slope", 9).alias("slope"), c.rounded("intercept", 9).alias("intercept"), c.rounded("r", 9).alias("r"), c.rounded(t, 9).alias("t"), "n")
 
 
 def lag_correlation(df: DataFrame, x: str, y: str, most: int, least: int, order: str = "date") -> DataFrame:

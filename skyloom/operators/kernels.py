@@ -129,7 +129,7 @@ def hidden_states(df: DataFrame, features: list[str], model: dict = TWO_STATES,
         start = model["start"]
         if (~g["own"]).sum() < warm_least:
             g, start = g[g["own"]], np.eye(len(model["start"]))[0]
-        empty = pd.DataFrame({"py": [], "date": [], "state": [], "p": []})
+        empty = pd.DataFrame({"py": np.zeros(0, np.int64), "date": np.zeros(0, object), "state": np.zeros(0, np.int64), "p": np.zeros(0)})
         if g["own"].sum() < 30:
             return empty
         p = causal_filter(np.nan_to_num(g[features].to_numpy(float)), start, model["move"], model["means"], model["covs"])
