@@ -43,37 +43,39 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
     return keyed.join(small(cut), "lang").where("h <= cut").select("lang", "text")
 
 
-def model_tables(counts: list[tuple[str, int, str, int]]) -> tuple[list[str], list[dict[str, np.ndarray]]]:
-    """Languages, and log frequencies by word (table 0) and by n-gram of each order: plain data that can be broadcast."""
-    langs = sorted({c[0] for c in counts})
-    at = {x: i for i, x in enumerate(langs)}
-    totals = np.zeros((LONGEST + 1, len(langs)))
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for lang, order, key, n in counts:
-        row = tables[order].setdefault(key, np.zeros(len(langs)))
-        row[at[lang]] += n
-        totals[order][at[lang]] += n
-    logs = []
-    for order, known in enumerate(tables):
-        low = np.log(totals[order] + 0.5 * (len(known) + 1))
-        logs.append({k: (np.log(v + 0.5) - low).astype(np.float32) for k, v in known.items()})
-    return langs, logs
-
-
-def predictor(langs: list[str], tables: list[dict[str, np.ndarray]]):
+#: Languages, and for words (0) and n-grams of each order the row of every key and its log frequencies by language.
+Model = tuple[list[str], list[tuple[dict[str, int], np.ndarray]]]
+
+
+def model_tables(counts: pd.DataFrame) -> Model:
+    """The model from rows of (lang, kind, key, n): plain data that can be broadcast."""
+    langs = sorted(counts["lang"].unique())
+    tables = []
+    for kind in range(LONGEST + 1):
+        own = counts[counts["kind"] == kind]
+        row, keys = pd.factorize(own["key"])
+        found = np.zeros((len(keys), len(langs)))
+        found[row, np.searchsorted(langs, own["lang"])] = own["n"]
+        logs = np.log(found + 0.5) - np.log(found.sum(axis=0) + 0.5 * (len(keys) + 1))
+        tables.append((dict(zip(keys, range(len(keys)), strict=True)), logs.astype(np.float32)))
+    return langs, tables
+
+
+def predictor(langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
     """A function from text to (language, score); it remembers the scores of unseen words."""
     seen: dict[str, np.ndarray] = {}
 
     def of_word(word: str) -> np.ndarray:
-        have = tables[0].get(word)
-        if have is None:
-            have = seen.get(word)
+        at = tables[0][0].get(word)
+        if at is not None:
+            return tables[0][1][at]
+        have = seen.get(word)
         if have is None:
             have = np.zeros(len(langs), np.float32)
             for n in range(LONGEST, 0, -1):
-                known = [x for x in map(tables[n].get, grams(word, n)) if x is not None]
+                known = [x for x in map(tables[n][0].get, grams(word, n)) if x is not None]
                 if known:
-                    have = np.mean(known, axis=0)
+                    have = tables[n][1][known].mean(axis=0)
                     break
             if len(seen) < REMEMBERED:
                 seen[word] = have
@@ -91,7 +93,7 @@ def predictor(langs: list[str], tables: list[dict[str, np.ndarray]]):
     return predict
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[dict[str, np.ndarray]]]:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Count words and n-grams of the bounded sample in Spark; what occurs once in a language is left to shorter keys."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,11 +109,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], l
 
     sample = training_sample(docs, per_language)
     counts = sample.mapInPandas(counted, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= LEAST_COUNT).collect()
-    return model_tables(sorted((r["lang"], r["kind"], r["key"], r["n"]) for r in rows))
+    return model_tables(counts.where(F.col("n") >= LEAST_COUNT).toArrow().to_pandas())
 
 
-def identify(docs: DataFrame, model: tuple[list[str], list[dict[str, np.ndarray]]]) -> DataFrame:
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -174,7 +174,7 @@ TOLD = 2_000_000
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and tokens (sorted shingle hashes) of the long lines in `wanted`."""
     few = wanted.count() <= TOLD
-    told = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["class"].to_numpy())) if few else None
+    told = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["class"].to_numpy())) if few else None
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
