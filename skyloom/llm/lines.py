@@ -7,8 +7,9 @@ doc_id, then line number) stays while later ones go.
 The join: every class orders its tokens by rarity, and only its first |x| - ceil(t|x|) + 1 tokens (prefix) are joined,
 since two sets over the threshold share one of them. Pairs are cut by length, by position (what can still follow the
 shared token) and by a 64-bit signature whose differing bits bound the differing tokens from below; survivors are
-verified on the whole token sets. A group never emits all of its pairs: only links that join two parts leave it, and
-where one of them fails verification the round is repeated with that pair excluded, so no link is lost.
+verified on the whole token sets. Small groups give their candidate pairs, verified by a join; the classes of a large
+group are verified inside it, and only links that join two parts leave it, so no group emits all pairs and no link is
+lost.
 
 Rarity: counts of words over all documents, summed in Spark; the `FREQUENT` most frequent are broadcast (a bounded
 table), the many rarer words come before them, longest first. Any fixed order gives the same links; the order only
@@ -21,12 +22,13 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,51 +70,70 @@ def line_classes(docs: DataFrame) -> DataFrame:
 def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
     """At most `most` words, rarest of them first. What a batch holds once only is left to the rarer end of the order."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch["text"]:
-                if text:
-                    seen.update(text.encode("utf-8", "surrogatepass").lower().split())
-            kept = [(w, n) for w, n in seen.items() if n > 1]
-            yield pd.DataFrame({"word": [w for w, _ in kept], "n": [n for _, n in kept]})
+            words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0))))
+            seen = pc.value_counts(words)
+            often = seen.filter(pc.greater(seen.field(1), 1))
+            yield pa.RecordBatch.from_arrays([often.field(0).cast(pa.binary()), often.field(1)], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.where("length(word) > 0").orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return rows["word"].to_pylist()[::-1]
 
-    counts = docs.select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r["word"]) for r in reversed(rows)]
+
+#: Tokens whose rank and hashes a worker keeps.
+REMEMBERED = 200_000
 
 
 def prefix_rows(docs: DataFrame, ranks, threshold: float) -> DataFrame:
-    """token, class, size, place and signature for the prefix of each set; a set once a partition. Sets below 4 tokens have no partner but equal ones."""
+    """token, class, shape (size and place) and signature for the prefix of each set; a set once a partition. Sets below 4 tokens have no partner but equal ones."""
     least = next(n for n in range(1, 1 << 20) if ceil(threshold * (n + 1) - 1e-9) <= n)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, seen = ranks.value, set()
+        rank, seen, known = ranks.value, set(), {}
+
+        def info(t: bytes) -> tuple[int, bytes, int, int]:
+            h = digest64(t)
+            have = (rank.get(t, -len(t)), t, h, 1 << (h & 63))
+            if len(known) < REMEMBERED:
+                known[t] = have
+            return have
+
         for batch in slices(batches):
-            out: list[tuple[int, int, int, int, int]] = []
+            hashes, classes, shapes, signs, counts = [], [], [], [], []
             for text in batch["text"]:
                 for tokens in token_sets(text):
                     n = len(tokens)
                     if n < least or (of := digest64(b" ".join(tokens))) in seen:
                         continue
                     seen.add(of)
+                    own = [known.get(t) or info(t) for t in tokens]
                     bits = 0
-                    for t in tokens:
-                        bits ^= 1 << (hash_byte(t) & 63)
-                    tokens.sort(key=lambda t: (rank.get(t, -len(t)), t))
-                    out += [(digest64(t), of, n, i, bits) for i, t in enumerate(tokens[: n - ceil(threshold * n - 1e-9) + 1])]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pd.DataFrame({"token": signed(columns[0]), "class": signed(columns[1]), "shape": (np.array(columns[2], np.int64) << 32) | np.array(columns[3], np.int64), "bits": signed(columns[4])})
+                    for x in own:
+                        bits ^= x[3]
+                    own.sort()
+                    k = n - ceil(threshold * n - 1e-9) + 1
+                    hashes += [x[2] for x in own[:k]]
+                    classes.append(of)
+                    shapes.append(n << 32)
+                    signs.append(bits)
+                    counts.append(k)
+            c = np.array(counts, np.int64)
+            place = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            yield pd.DataFrame({"token": signed(hashes), "class": np.repeat(signed(classes), c), "shape": np.repeat(np.array(shapes, np.int64), c) | place, "bits": np.repeat(signed(signs), c)})
 
     return docs.select("text").mapInPandas(prefixes, "token long, class long, shape long, bits long")
 
 
-def hash_byte(token: bytes) -> int:
-    return xxhash.xxh32_intdigest(token, 7)
+#: Classes that workers are told to look for by broadcast; more of them are found by a join.
+TOLD = 2_000_000
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and tokens (sorted 64-bit hashes as binary) of the classes in `wanted`."""
+    few = wanted.count() <= TOLD
+    told = docs.sparkSession.sparkContext.broadcast(set(wanted.toArrow()["class"].to_pylist())) if few else None
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -120,10 +141,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found: dict[int, bytes] = {}
             for text in batch["text"]:
                 for tokens in token_sets(text):
-                    if tokens and (of := digest64(b" ".join(tokens))) not in seen:
-                        seen.add(of)
-                        found[of] = np.sort(np.array([digest64(t) for t in tokens], np.uint64)).tobytes()
-            yield pd.DataFrame({"class": signed(list(found)), "tokens": list(found.values())})
+                    of = digest64(b" ".join(tokens))
+                    of -= (of >> 63) << 64
+                    if of in seen or not tokens or (told is not None and of not in told.value):
+                        continue
+                    seen.add(of)
+                    found[of] = np.sort(np.array([digest64(t) for t in tokens], np.uint64)).tobytes()
+            yield pd.DataFrame({"class": np.array(list(found), np.int64), "tokens": list(found.values())})
 
     return docs.select("text").mapInPandas(sets, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
 

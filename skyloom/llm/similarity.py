@@ -1,4 +1,9 @@
-"""Exact linking of classes that share join keys: spanning candidates, verification, and further rounds where one fails."""
+"""Exact linking of classes that share join keys.
+
+Two classes meet if they share a key. Keys with few classes give all pairs that pass the cheap filters, and each such
+pair is verified by a join with the classes' token sets. Keys with many classes never emit pairs: their classes are
+gathered with their sets, verified inside the group, and only links that join two parts leave it.
+"""
 
 from __future__ import annotations
 
@@ -9,94 +14,102 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import by_runs, small, spanning_links, stored
+from skyloom.llm.common import by_runs, spanning_links, stored
 from skyloom.llm.components import connected_components
 
+#: Groups of at most so many classes give pairs.
+FEW = 16
+
+
+def jaccard_reached(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted arrays without repeats reach the threshold."""
+    common = len(p) + len(q) - len(np.union1d(p, q))
+    return common >= threshold * (len(p) + len(q) - common) - 1e-9
+
+
+def similar_sets(threshold: float):
+    """Whether two sets (sorted 64-bit hashes as binary) have this Jaccard similarity."""
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard_reached(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return similar
+
+
+def signature(tokens: np.ndarray) -> int:
+    """64 bits, each the parity of the tokens that hash to it: two sets differ in at least as many tokens as bits."""
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (tokens & np.uint64(63)))) if len(tokens) else 0
+
 
-#: Groups of at most so many classes give all of their candidates; of larger ones only spanning candidates leave.
-WHOLE = 16
+def may_be_similar(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Length and signature filters: no pair that reaches the threshold fails them."""
+    both = size[i] + size[j]
+    want = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+    return (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want)
 
 
-def candidate_links(rows: DataFrame, threshold: float, again: bool = False) -> DataFrame:
-    """Candidates (a, b, token) of each token's group; token is null where no other pair of the group was left out.
+def met(keyed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of candidate pairs under keys with few classes; (a, null, token) of the classes under other keys.
 
-    In later rounds (`again`) `part` is a class's component so far and `no` holds the partners that failed.
+    `keyed` has token, class, shape (size << 32 | place of the token in the global order) and bits; shape 0 tells nothing.
     """
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        fresh = np.r_[True, (rows["token"].to_numpy()[1:] != rows["token"].to_numpy()[:-1]) | (rows["class"].to_numpy()[1:] != rows["class"].to_numpy()[:-1])]
-        rows = rows[fresh]
         of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
-        size, place = rows["shape"].to_numpy() >> 32, rows["shape"].to_numpy() & 0xFFFFFFFF
-        bits = rows["bits"].to_numpy().view(np.uint64)
-        part, no = (rows["part"].to_numpy(), rows["no"].to_numpy()) if again else (of, None)
-        barred = np.array([x is not None and len(x) > 0 for x in no], bool) if again else None
+        fresh = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1])]
+        rows, of, g = rows[fresh], of[fresh], g[fresh]
+        _, at, counts = np.unique(g, return_inverse=True, return_counts=True)
+        few = counts[at] <= FEW
+        shape, bits = rows["shape"].to_numpy()[few], rows["bits"].to_numpy().view(np.uint64)[few]
+        size, place = shape >> 32, shape & 0xFFFFFFFF
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            both = size[i] + size[j]
-            want = np.ceil(threshold / (1 + threshold) * both - 1e-9)
             # what both share stands before the token in both, or is it, or stands after it in both
             most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
-            ok = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (most >= want)
-            ok &= (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want) & (part[i] != part[j])
-            if again:
-                for k in np.flatnonzero(ok & barred[i]):
-                    ok[k] = of[j[k]] not in no[i[k]]
-            return ok
+            want = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
+            return (size[i] == 0) | may_be_similar(size, bits, i, j, threshold) & (most >= want)
 
-        whole = np.unique(g, return_inverse=True, return_counts=True)
-        whole = whole[2][whole[1]] <= WHOLE
-        pairs = np.array(spanning_links(of, g, linked, whole), np.int64).reshape(-1, 2)
-        token = pd.array(g[pairs[:, 0]], "Int64")
-        token[whole[pairs[:, 0]]] = pd.NA
-        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]], "token": token})
+        pairs = np.array(spanning_links(of[few], g[few], linked, np.ones(len(shape), bool)), np.int64).reshape(-1, 2)
+        together = pd.DataFrame({"a": of[few][pairs[:, 0]], "b": pd.array(of[few][pairs[:, 1]], "Int64"), "token": g[few][pairs[:, 0]]})
+        crowd = pd.DataFrame({"a": of[~few], "b": pd.array([pd.NA] * int((~few).sum()), "Int64"), "token": g[~few]})
+        return pd.concat([together, crowd])
 
-    ordered = rows.repartition("token").sortWithinPartitions("token", "class")
+    ordered = keyed.repartition("token").sortWithinPartitions("token", "class")
     return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long, token long")
 
 
-def similar_sets(threshold: float):
-    """Whether two sets (sorted 64-bit hashes as binary) have this Jaccard similarity."""
+def links_in_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """Spanning links (a, b) of verified pairs among the classes under each token; rows of (token, class, tokens)."""
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(common >= threshold * (len(p) + len(q) - common) - 1e-9)
-        return pd.Series(out, dtype=bool)
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+        size, bits = np.array([len(x) for x in sets]), np.array([signature(x) for x in sets], np.uint64)
 
-    return similar
+        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = may_be_similar(size, bits, i, j, threshold)
+            for k in np.flatnonzero(ok):
+                ok[k] = jaccard_reached(sets[i[k]], sets[j[k]], threshold)
+            return ok
+
+        pairs = np.array(spanning_links(of, g, linked), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]]})
+
+    ordered = rows.repartition("token").sortWithinPartitions("token", "class")
+    return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long")
 
 
 def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
-    `keyed` has token, class, shape (size and place of the token) and bits, repeats allowed; two classes are compared if
-    they share a token. `sets_of` gives class and tokens for the column `class` of a table. Small groups give all their
-    candidates. Where a candidate of a larger group fails, that group is searched again with the components found so far
-    and the failed pairs left out, until none fails; `keyed` is computed anew for that rather than kept.
+    `sets_of` gives class and tokens for the column `class` of a table.
     """
-    similar = similar_sets(threshold)
-    links = barred = parts = None
-    rows = keyed
-    while True:
-        found = stored(candidate_links(rows, threshold, parts is not None), "candidates")
-        pairs = found.select("a", "b").distinct()
-        wanted = found.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        sets = stored(sets_of(wanted), "sets")
-        one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-        checked = stored(pairs.join(one, "a").join(two, "b").select("a", "b", similar("a_tokens", "b_tokens").alias("ok")), "checked")
-        good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
-        links = good if links is None else links.union(good)
-        barred = bad if barred is None else barred.union(bad)
-        parts = stored(connected_components(links), "parts")
-        tokens = stored(found.where("token is not null").join(bad, ["a", "b"]).select("token").distinct(), "tokens")
-        if tokens.isEmpty():
-            return parts
-        both = barred.union(barred.select("b", "a")).groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("no"))
-        rows = (
-            keyed.join(small(tokens), "token", "left_semi").join(parts, F.col("class") == F.col("node"), "left").drop("node").join(both, "class", "left")
-            .select("token", "class", "shape", "bits", F.coalesce("component", "class").alias("part"), "no")
-        )
+    found = stored(met(keyed, threshold), "met")
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    crowds = found.where("b is null").select(F.col("a").alias("class"), "token")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(crowds.select("class")).distinct()
+    sets = stored(sets_of(wanted), "sets")
+    one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
+    verified = pairs.join(one, "a").join(two, "b").where(similar_sets(threshold)("a_tokens", "b_tokens")).select("a", "b")
+    return stored(connected_components(verified.union(links_in_groups(crowds.join(sets, "class"), threshold))), "parts")
