@@ -6,7 +6,7 @@
 3. Postings (term, document, position, the words around) of the anchor terms are stored in the shared folder.
 4. The lists of rarest terms give alignments of item and document; they are intersected with the offset-adjusted lists
    of the second rarest terms. What is left is compared word by word with the stored context: a run of `window` equal
-   words around the anchor is an exact phrase match, `near` equal words of the window at their places a proximity match.
+   words around the anchor is an exact phrase match. `proximity` finds alignments where only most words of a window agree.
 
 The test set is the small side: it is broadcast after a count, and joined by shuffle where it is larger. No document is
 shuffled; postings exist for anchor terms only, and each alignment costs one row however long the passage is.
@@ -31,22 +31,32 @@ def raw_words():
     return F.split(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), ALNUM_GAP)
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """First anchors (anchor, term, item words around it) and second ones (anchor, term, distance from the first)."""
+def ranked_terms(items: DataFrame, counts: DataFrame, window: int, most: int) -> DataFrame:
+    """The `most` rarest terms (place, term, rank r from 1) of every window (item, start)."""
     placed = items.select("item", "item_id", "n", F.posexplode("words").alias("place", "term")).join(small(counts), "term", "left")
     within = F.sequence(F.greatest(F.lit(0), F.col("place") - window + 1), F.greatest(F.lit(0), F.least("place", F.col("n") - window)))
     spots = placed.select("item", "item_id", "n", "place", "term", F.coalesce("count", F.lit(0)).alias("count"), F.explode(within).alias("start"))
     order = Window.partitionBy("item", "start").orderBy("count", "place")
-    ranked = spots.withColumn("r", F.row_number().over(order)).where("r <= 2")
-    pairs = ranked.groupBy("item", "item_id", "start").agg(
-        F.max(F.when(F.col("r") == 1, F.struct("place", "term"))).alias("one"), F.max(F.when(F.col("r") == 2, F.struct("place", "term"))).alias("two")
-    )
-    made = pairs.select("item", "item_id", F.xxhash64("item", "one.place").alias("anchor"), F.col("one.place").alias("place"), F.col("one.term").alias("term"), F.col("two.term").alias("term2"), (F.col("two.place") - F.col("one.place")).alias("apart"))
+    return spots.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+
+
+def with_words(spots: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Distinct anchors with the words of the item around them."""
     reach = window - 1
     around = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.get("words", F.col("place") + k))
-    first = made.select("item", "item_id", "anchor", "place", "term").distinct().join(items.select("item", "n", "words"), "item").select("item_id", "anchor", "term", F.least("n", F.lit(window)).alias("need"), around.alias("want"))
-    second = made.select("anchor", F.coalesce("term2", "term").alias("term"), F.coalesce("apart", F.lit(0)).alias("apart")).distinct()
-    return first, second
+    once = spots.select("item", "item_id", "place", "term").distinct().join(items.select("item", "n", "words"), "item")
+    return once.select("item", "item_id", "place", F.xxhash64("item", "place").alias("anchor"), "term", F.least("n", F.lit(window)).alias("need"), around.alias("want"))
+
+
+def anchors(items: DataFrame, counts: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """First anchors (anchor, term, item words around it) and second ones (anchor, term, distance from the first)."""
+    ranked = ranked_terms(items, counts, window, 2)
+    pairs = ranked.groupBy("item", "start").agg(
+        F.max(F.when(F.col("r") == 1, F.struct("place", "term"))).alias("one"), F.max(F.when(F.col("r") == 2, F.struct("place", "term"))).alias("two")
+    )
+    apart = F.coalesce(F.col("two.place") - F.col("one.place"), F.lit(0))
+    second = pairs.select(F.xxhash64("item", "one.place").alias("anchor"), F.coalesce("two.term", "one.term").alias("term"), apart.alias("apart")).distinct()
+    return with_words(ranked.where("r = 1"), items, window), second
 
 
 def postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
@@ -62,49 +72,71 @@ def postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
     return stored(listed.select("term", "doc", "pos", F.when(F.col("first"), around).alias("context")), "postings")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """Alignments of test items with documents: doc, item_id, first and last word (places), exact or merely near."""
+def item_table(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    items = stored(items.select("item_id", F.xxhash64("item_id", "words").alias("item"), "words", F.size("words").alias("n")), "items")
+    return stored(items.select("item_id", F.xxhash64("item_id", "words").alias("item"), "words", F.size("words").alias("n")), "items")
+
+
+def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """How often each word of the test set stands in the documents."""
     vocabulary = items.select(F.explode("words").alias("term")).distinct()
-    counts = docs.select(F.explode(raw_words()).alias("term")).join(small(vocabulary), "term", "left_semi").groupBy("term").count()
-    first, second = (stored(x, "anchors") for x in anchors(items, stored(counts, "counts"), window))
+    return stored(docs.select(F.explode(raw_words()).alias("term")).join(small(vocabulary), "term", "left_semi").groupBy("term").count(), "counts")
+
+
+def agreement(window: int):
+    """Which of the words around an anchor are equal in the document and in the item."""
+    lead = F.least("pos", F.lit(window - 1)) - (window - 1)
+    return F.transform("want", lambda w, i: F.coalesce(w == F.get("context", i + lead), F.lit(False)))
+
+
+def run_around(window: int):
+    """Equal words that follow one another before and after the anchor."""
+    reach = window - 1
+    left, right = F.array_position(F.reverse(F.slice("equal", 1, reach)), False), F.array_position(F.slice("equal", reach + 2, reach), False)
+    return F.when(left == 0, reach).otherwise(left - 1).cast("int"), F.when(right == 0, reach).otherwise(right - 1).cast("int")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Exact phrase matches: doc, item_id, first and last word hit (places)."""
+    items = item_table(benchmark)
+    first, second = (stored(x, "anchors") for x in anchors(items, term_counts(docs, items), window))
     terms = first.select("term", F.lit(True).alias("first")).union(second.select("term", F.lit(False))).groupBy("term").agg(F.max("first").alias("first"))
     lists = postings(docs, terms, window)
     found = lists.join(small(first), "term").select("doc", "anchor", "item_id", "pos", "context", "want", "need")
     other = lists.join(small(second), "term").select("doc", "anchor", (F.col("pos") - F.col("apart")).alias("pos"))
-    both = found.join(other, ["doc", "anchor", "pos"], "left_semi")
-    reach = window - 1
-    lead = F.least("pos", F.lit(reach)) - reach
-    equal = F.transform("want", lambda w, i: F.coalesce(w == F.get("context", i + lead), F.lit(False)))
-    left = F.array_position(F.reverse(F.slice("equal", 1, reach)), False)
-    right = F.array_position(F.slice("equal", reach + 2, reach), False)
-    run = both.withColumn("equal", equal).select(
-        "doc", "item_id", "need", "pos", "equal",
-        F.when(left == 0, reach).otherwise(left - 1).cast("int").alias("left"), F.when(right == 0, reach).otherwise(right - 1).cast("int").alias("right"),
-    )
+    both = found.join(other, ["doc", "anchor", "pos"], "left_semi").withColumn("equal", agreement(window))
+    left, right = run_around(window)
+    run = both.select("doc", "item_id", "need", "pos", left.alias("left"), right.alias("right")).where("left + right + 1 >= need")
+    return run.select("doc", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, rarest: int = WINDOW - NEAR + 1) -> DataFrame:
+    """Alignments (doc, item_id, shift) at which `near` words of some window stand at their places, but no whole window does.
+
+    With the window - near + 1 rarest terms of each window as anchors at least one of them is among the words that agree,
+    so every such alignment is met.
+    """
+    items = item_table(benchmark)
+    every = stored(with_words(ranked_terms(items, term_counts(docs, items), window, rarest), items, window), "anchors")
+    lists = postings(docs, every.select("term", F.lit(True).alias("first")).distinct(), window)
+    met = lists.join(small(every), "term").withColumn("equal", agreement(window))
+    left, right = run_around(window)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda s: F.size(F.filter(F.slice("equal", s, F.lit(window)), lambda e: e))))
-    exact = F.col("left") + F.col("right") + 1 >= F.col("need")
-    return run.select(
-        "doc", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"), exact.alias("exact"), (~exact & (best >= F.least("need", F.lit(near)))).alias("near")
-    ).where("exact or near")
+    run = met.select("doc", "item_id", (F.col("pos") - F.col("place")).alias("shift"), best.alias("best"), (left + right + 1 >= F.col("need")).alias("exact"), F.least("need", F.lit(near)).alias("least"))
+    return run.groupBy("doc", "item_id", "shift").agg(F.max("best").alias("best"), F.max("exact").alias("exact"), F.max("least").alias("least")).where("not exact and best >= least").drop("exact", "least")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
-    """For each row of `docs`: its columns, n_words, n_hit, items (sorted ids as strings) and n_near (alignments)."""
-    found = matches(docs, benchmark, window, near)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row of `docs`: its columns, n_words, n_hit and items (sorted ids as strings)."""
+    found = matches(docs, benchmark, window)
     order = Window.partitionBy("doc").orderBy("first", "last")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first"), F.coalesce(before + 1, F.col("first"))) + 1)
-    hits = found.where("exact").select("doc", "first", "last").distinct().withColumn("new", new).groupBy("doc").agg(F.sum("new").alias("n_hit"))
-    items = found.groupBy("doc").agg(
-        F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item_id").cast("string")))).alias("items"), F.count_if("near").alias("n_near")
-    )
+    hits = found.select("doc", "first", "last").distinct().withColumn("new", new).groupBy("doc").agg(F.sum("new").alias("n_hit"))
+    items = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    per = stored(items.join(hits, "doc"), "hits").select(F.col("doc").alias("_doc"), "n_hit", "items")
     keyed = docs.withColumn("_doc", row_key()).withColumn("n_words", F.size(alnum_words(F.col("text"))).cast("long"))
-    per = items.join(hits, "doc", "left").select(F.col("doc").alias("_doc"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "items", "n_near")
-    return keyed.join(small(per), "_doc", "left").select(
-        *docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")
-    )
+    return keyed.join(small(per), "_doc", "left").select(*docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +149,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a window of a test item go."""
-    found = matches(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text")).where("exact").select("doc").distinct()
+    found = matches(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text")).select("doc").distinct()
     return docs.withColumn("_doc", row_key()).join(small(found), F.col("_doc") == F.col("doc"), "left_anti").select(*docs.columns)
 
 

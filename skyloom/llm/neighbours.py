@@ -29,7 +29,7 @@ from skyloom.llm.common import global_rank, pick, stored, table
 
 K, CURVES, DIMS, BITS = 20, 4, 8, 6
 #: Rows of a block: a quarter of the width, so that a query reads about nine blocks of a curve, between these bounds.
-LEAST_BLOCK, MOST_BLOCK = 2048, 65536
+LEAST_BLOCK, MOST_BLOCK = 512, 65536
 #: Queries of the calibration, and the share of true neighbours that it aims at.
 SAMPLE, TARGET = 48, 0.97
 
