@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import pick, slices, small, stored, table
 from skyloom.llm.similarity import linked_classes
 
-THRESHOLD, FREQUENT = 0.8, 1 << 16
+THRESHOLD, FREQUENT = 0.8, 1 << 18
 digest64 = xxhash.xxh64_intdigest
 
 

@@ -18,7 +18,7 @@ from skyloom.llm.common import by_runs, spanning_links, stored
 from skyloom.llm.components import connected_components
 
 #: Groups of at most so many classes give pairs.
-FEW = 16
+FEW = 128
 
 
 def jaccard_reached(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:

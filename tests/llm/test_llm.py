@@ -234,8 +234,9 @@ def test_mix_of_odd_rows(spark, tmp_path):
     d = with_tables(spark, tmp_path, documents=spark.createDataFrame([(i, f"s{i % 3}" if i % 7 else None, "a b c" if i % 5 else None) for i in range(500)], "doc_id long, source string, text string"))
     r = mixing.query(spark, d).toPandas()
     assert (r["taken"] <= 3 * r["size"]).all() and len(r) == 500
-    assert r.groupby("target")["taken"].sum().sub(pd.Series(r["target"].unique(), index=r["target"].unique())).abs().max() < 0.25 * r["size"].sum()
-    assert r["target"].drop_duplicates().sum() == pytest.approx(r["size"].sum())
+    r["source"] = [f"s{i % 3}" if i % 7 else "" for i in r["doc_id"]]
+    by = r.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert by["target"].sum() == pytest.approx(r["size"].sum()) and ((by["taken"] - by["target"]).abs() < 0.35 * by["target"]).all()
     assert mixing.query(spark, with_tables(spark, tmp_path / "none", documents=empty(spark, "doc_id long, source string, text string"))).count() == 0
 
 
