@@ -9,8 +9,6 @@ from skyloom.functions import columns as c
 
 #: Weights of the standard pair of stations: of variables that change quickly, and of soil variables. Fixed values.
 VOLATILE, SOIL = (0.4154, 0.5846), (0.4996, 0.5004)
-#: Target and the two stations (latitude, longitude, altitude in m); decorrelation lengths in km by class. Defaults of the queries.
-TARGET, STATION_1, STATION_2 = (-7.5200, 110.2200, 320.0), (-7.5149, 110.1752, 350.0), (-7.5500, 110.2400, 290.0)
 
 
 def split(df: DataFrame, fields: tuple[str, ...] = ("ws", "wd", "cloud")) -> tuple[DataFrame, DataFrame]:

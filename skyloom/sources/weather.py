@@ -97,12 +97,12 @@ def monthly_matrix(spark: SparkSession, path: str, missing: float = 99.90) -> Da
 
 
 def phase_index(spark: SparkSession, path: str) -> DataFrame:
-    """Daily two-component index: lines of year, month, day, two components, phase and amplitude; other lines are comments."""
+    """Daily two-component index: lines of year, month, day, two components and phase, then the amplitude, or longitude and amplitude; other lines are comments."""
     parts = F.filter(F.split(F.trim("value"), r"[\s,]+"), lambda x: x != "")
     rows = spark.read.text(path).select(parts.alias("p")).where((F.size("p") >= 7) & F.rlike(F.col("p")[0], F.lit(r"^\d{4}$")))
     at = lambda i, t: F.col("p")[i].try_cast(t)
     date = F.make_date(at(0, "int"), at(1, "int"), at(2, "int"))
-    return rows.select(date.alias("date"), at(3, "double").alias("rmm1"), at(4, "double").alias("rmm2"), at(5, "double").cast("int").alias("phase"), at(6, "double").alias("amplitude")).where(F.abs("rmm1") < 1e10)
+    return rows.select(date.alias("date"), at(3, "double").alias("rmm1"), at(4, "double").alias("rmm2"), at(5, "double").cast("int").alias("phase"), F.coalesce(F.when(F.size("p") >= 9, at(7, "double")), at(6, "double")).alias("amplitude")).where(F.abs("rmm1") < 1e10)
 
 
 def as_json(df: DataFrame) -> DataFrame:

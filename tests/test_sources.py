@@ -33,6 +33,10 @@ def test_index_scans(spark, tmp_path):
     assert weather.weekly_index(spark, str(tmp_path / "w.txt")).first()["value"] == 1.0
     (tmp_path / "r.txt").write_text("# comment\n2020 1 2 0.5 -0.5 3 0.7 x\n2020 1 3 1e36 1e36 999 1e36 x\n")
     assert weather.phase_index(spark, str(tmp_path / "r.txt")).count() == 1
+    (tmp_path / "r8.csv").write_text("# comment\n2020,1,2,0.5,-0.5,3,120.5,0.7,0.71\n")
+    assert weather.phase_index(spark, str(tmp_path / "r8.csv")).first()["amplitude"] == 0.7
+    (tmp_path / "w8.txt").write_text("20080728,20080803,0.01\n20080804,20080810,0.03\n")
+    assert weather.weekly_index(spark, str(tmp_path / "w8.txt")).first()["value"] == 0.02
 
 
 def test_keep_first_and_first_available(spark, tmp_path):
