@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import pick, slices, small, stored, table
-from skyloom.llm.similarity import linked_classes
+from skyloom.llm.similarity import linked_classes, packed
 
 THRESHOLD, FREQUENT = 0.8, 1 << 18
 digest64 = xxhash.xxh64_intdigest
@@ -131,7 +131,7 @@ TOLD = 2_000_000
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and tokens (sorted 64-bit hashes as binary) of the classes in `wanted`."""
+    """class and packed tokens of the classes in `wanted`."""
     few = wanted.count() <= TOLD
     told = docs.sparkSession.sparkContext.broadcast(set(wanted.toArrow()["class"].to_pylist())) if few else None
 
@@ -146,7 +146,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     if of in seen or not tokens or (told is not None and of not in told.value):
                         continue
                     seen.add(of)
-                    found[of] = np.sort(np.array([digest64(t) for t in tokens], np.uint64)).tobytes()
+                    found[of] = packed(np.array([digest64(t) for t in tokens], np.uint64))
             yield pd.DataFrame({"class": np.array(list(found), np.int64), "tokens": list(found.values())})
 
     return docs.select("text").mapInPandas(sets, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
@@ -174,7 +174,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def with_removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with the array `removed` of line numbers that go."""
-    gone = removed_lines(docs.select("doc_id", "text"), threshold).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("removed"))
+    gone = stored(removed_lines(docs.select("doc_id", "text"), threshold), "removed").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("removed"))
     keyed = docs.withColumn("_text_row", F.xxhash64("text"))
     return keyed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left").select(*docs.columns, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 

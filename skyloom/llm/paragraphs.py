@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import pick, slices, small, stored, table
-from skyloom.llm.similarity import linked_classes
+from skyloom.llm.similarity import linked_classes, packed
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 4
 LINE_WORDS, RUN_WORDS, PIECE_WORDS, REACH = 20, 20, 5, 4
@@ -172,7 +172,7 @@ TOLD = 2_000_000
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and tokens (sorted shingle hashes) of the long lines in `wanted`."""
+    """class and packed shingles of the long lines in `wanted`."""
     few = wanted.count() <= TOLD
     told = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["class"].to_numpy())) if few else None
 
@@ -188,7 +188,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(spans):
                     shingles, first = shingles_of(hashes, spans)
                     classes.append(own)
-                    sets += [np.unique(x).tobytes() for x in np.split(shingles, first[1:])]
+                    sets += [packed(x) for x in np.split(shingles, first[1:])]
             yield pd.DataFrame({"class": np.concatenate(classes).view(np.int64), "tokens": sets})
 
     return docs.select("text").mapInPandas(found, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])

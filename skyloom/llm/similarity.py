@@ -1,8 +1,9 @@
 """Exact linking of classes that share join keys.
 
 Two classes meet if they share a key. Keys with few classes give all pairs that pass the cheap filters, and each such
-pair is verified by a join with the classes' token sets. Keys with many classes never emit pairs: their classes are
-gathered with their sets, verified inside the group, and only links that join two parts leave it.
+pair is verified by a join with the classes' token sets. Keys with many classes never emit pairs: those of their classes
+that pass the filters with any other are gathered with their sets, verified inside the group, and only links that join
+two parts leave it.
 """
 
 from __future__ import annotations
@@ -14,13 +15,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import by_runs, spanning_links, stored
+from skyloom.llm.common import by_runs, release, spanning_links, stored
 from skyloom.llm.components import connected_components
 
 #: Groups of at most so many classes give pairs.
 FEW = 128
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of 64-bit hashes, sorted, five bytes each: two words of a pair of sets meet in one less than once in 10**8 pairs."""
+    low = np.unique(hashes & np.uint64((1 << 40) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
 def jaccard_reached(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
     """Whether two sorted arrays without repeats reach the threshold."""
     common = len(p) + len(q) - len(np.union1d(p, q))
@@ -28,11 +41,11 @@ def jaccard_reached(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
 
 
 def similar_sets(threshold: float):
-    """Whether two sets (sorted 64-bit hashes as binary) have this Jaccard similarity."""
+    """Whether two packed sets have this Jaccard similarity."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard_reached(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([jaccard_reached(unpacked(x), unpacked(y), threshold) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     return similar
 
@@ -42,6 +55,19 @@ def signature(tokens: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(np.uint64(1) << (tokens & np.uint64(63)))) if len(tokens) else 0
 
 
+def has_partner(groups: np.ndarray, linked) -> np.ndarray:
+    """Which rows pass `linked` with some other row of their run."""
+    flag, live, lag = np.zeros(len(groups), bool), np.arange(len(groups)), 1
+    while len(live):
+        live = live[live + lag < len(groups)]
+        live = live[groups[live] == groups[live + lag]]
+        ask = live[~(flag[live] & flag[live + lag])]
+        hit = ask[linked(ask, ask + lag)]
+        flag[hit] = flag[hit + lag] = True
+        lag += 1
+    return flag
+
+
 def may_be_similar(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Length and signature filters: no pair that reaches the threshold fails them."""
     both = size[i] + size[j]
@@ -61,19 +87,24 @@ def met(keyed: DataFrame, threshold: float) -> DataFrame:
         rows, of, g = rows[fresh], of[fresh], g[fresh]
         _, at, counts = np.unique(g, return_inverse=True, return_counts=True)
         few = counts[at] <= FEW
-        shape, bits = rows["shape"].to_numpy()[few], rows["bits"].to_numpy().view(np.uint64)[few]
-        size, place = shape >> 32, shape & 0xFFFFFFFF
 
-        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            # what both share stands before the token in both, or is it, or stands after it in both
-            most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
-            want = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
-            return (size[i] == 0) | may_be_similar(size, bits, i, j, threshold) & (most >= want)
+        def filters(keep: np.ndarray):
+            shape, bits = rows["shape"].to_numpy()[keep], rows["bits"].to_numpy().view(np.uint64)[keep]
+            size, place = shape >> 32, shape & 0xFFFFFFFF
+
+            def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                # what both share stands before the token in both, or is it, or stands after it in both
+                most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
+                want = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
+                return (size[i] == 0) | may_be_similar(size, bits, i, j, threshold) & (most >= want)
+
+            return linked
 
-        pairs = np.array(spanning_links(of[few], g[few], linked, np.ones(len(shape), bool)), np.int64).reshape(-1, 2)
+        pairs = np.array(spanning_links(of[few], g[few], filters(few), np.ones(int(few.sum()), bool)), np.int64).reshape(-1, 2)
         together = pd.DataFrame({"a": of[few][pairs[:, 0]], "b": pd.array(of[few][pairs[:, 1]], "Int64"), "token": g[few][pairs[:, 0]]})
-        crowd = pd.DataFrame({"a": of[~few], "b": pd.array([pd.NA] * int((~few).sum()), "Int64"), "token": g[~few]})
-        return pd.concat([together, crowd])
+        crowd = np.flatnonzero(~few)
+        crowd = crowd[has_partner(g[crowd], filters(crowd))]
+        return pd.concat([together, pd.DataFrame({"a": of[crowd], "b": pd.array([pd.NA] * len(crowd), "Int64"), "token": g[crowd]})])
 
     ordered = keyed.repartition("token").sortWithinPartitions("token", "class")
     return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long, token long")
@@ -84,7 +115,7 @@ def links_in_groups(rows: DataFrame, threshold: float) -> DataFrame:
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+        sets = [unpacked(x) for x in rows["tokens"]]
         size, bits = np.array([len(x) for x in sets]), np.array([signature(x) for x in sets], np.uint64)
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -106,6 +137,7 @@ def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     `sets_of` gives class and tokens for the column `class` of a table.
     """
     found = stored(met(keyed, threshold), "met")
+    release(keyed.sparkSession)
     pairs = found.where("b is not null").select("a", "b").distinct()
     crowds = found.where("b is null").select(F.col("a").alias("class"), "token")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(crowds.select("class")).distinct()

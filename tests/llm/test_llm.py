@@ -404,6 +404,7 @@ def test_spanning_links_reach_every_pair():
 
 
 def test_similar_sets_threshold(spark):
-    pack = lambda xs: np.array(sorted(xs), np.uint64).tobytes()
+    pack = lambda xs: similarity.packed(np.array(list(xs), np.uint64))
+    assert list(similarity.unpacked(pack([5, 3, 1 << 39]))) == [3, 5, 1 << 39]
     df = spark.createDataFrame([(bytearray(pack(range(10))), bytearray(pack(range(2, 10)))), (bytearray(pack(range(10))), bytearray(pack(range(3, 10))))], "a binary, b binary")
     assert [r[0] for r in df.select(similarity.similar_sets(0.8)("a", "b")).collect()] == [True, False]
