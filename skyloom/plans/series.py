@@ -40,7 +40,7 @@ for _n in (7, 14, 21, 30):
 rolled("rolling_trailing_30", 30, "trailing")
 
 
-@query("rolling_fraction", "SELECT date, round(avg(CASE WHEN v > 140 THEN 1.0 ELSE 0 END) OVER (ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 6) AS share FROM daily", "daily")
+@query("rolling_fraction", "SELECT date, round(avg(CASE WHEN v > 140 THEN 1.0 ELSE 0 END) OVER (ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 9) AS share FROM daily", "daily")
 def rolling_fraction(spark, d):
     return s.daily(spark, d).select("date", r9c(F.avg(F.when(F.col("v") > 140, 1.0).otherwise(0.0)).over(c.trailing(by_date(), 14))).alias("share"))
 
