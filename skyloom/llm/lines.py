@@ -83,7 +83,7 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
 
 
 #: Tokens whose rank and hashes a worker keeps.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 def prefix_rows(docs: DataFrame, ranks, threshold: float) -> DataFrame:
