@@ -28,6 +28,8 @@ from skyloom.llm.common import ascii_words, by_runs, pick, spanning_links, store
 from skyloom.llm.components import connected_components
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
+#: Of the pipeline stage: five words to a shingle. 7 bits apart is the middle of what a similarity of 0.9 gives; 120 keys of 19 bits.
+STAGE_WORDS, STAGE_RADIUS, STAGE_BLOCKS = 5, 7, 10
 #: Shingles whose bits are counted at once.
 SLAB = 1 << 16
 
@@ -127,7 +129,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, radius: int = RADIUS) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, blocks: int = STAGE_BLOCKS) -> DataFrame:
     """Pipeline stage: one document of each group stays, that with the smallest doc_id (then the smallest text hash).
 
     Documents without words (nothing to compare) all stay.
@@ -135,7 +137,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, rad
     keyed = with_fingerprint(docs, words, "_fp")
     prints = stored(keyed.select("doc_id", F.xxhash64("text").alias("_h"), "_fp", F.coalesce(F.length(F.trim("text")), F.lit(0)).alias("_n")).where("_n > 0").drop("_n"), "fingerprints")
     classes = prints.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("first"))
-    parts = connected_components(fingerprint_links(classes.select(F.col("_fp").alias("fp")), radius))
+    parts = connected_components(fingerprint_links(classes.select(F.col("_fp").alias("fp")), radius, blocks=blocks))
     named = parts.join(classes, parts["node"] == classes["_fp"]).select("_fp", "component", "first")
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))
     alone = classes.join(parts, classes["_fp"] == parts["node"], "left_anti").select("first")
