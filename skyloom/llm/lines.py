@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, slices, small, stored, table
+from skyloom.llm.common import pick, release, slices, small, stored, table
 from skyloom.llm.similarity import linked_classes, packed
 
 THRESHOLD, FREQUENT = 0.8, 1 << 18
@@ -155,6 +155,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) for classes that are linked to another one."""
     order = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent_words(docs))})
+    release(docs.sparkSession)
     return linked_classes(prefix_rows(docs, order, threshold), lambda wanted: sets_of(docs, wanted), threshold)
 
 

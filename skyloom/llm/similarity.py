@@ -140,8 +140,9 @@ def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     release(keyed.sparkSession)
     pairs = found.where("b is not null").select("a", "b").distinct()
     crowds = found.where("b is null").select(F.col("a").alias("class"), "token")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(crowds.select("class")).distinct()
+    wanted = stored(found.select(F.explode(F.array("a", "b")).alias("class")).where("class is not null").distinct(), "wanted")
     sets = stored(sets_of(wanted), "sets")
+    release(keyed.sparkSession)
     one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
     verified = pairs.join(one, "a").join(two, "b").where(similar_sets(threshold)("a_tokens", "b_tokens")).select("a", "b")
     return stored(connected_components(verified.union(links_in_groups(crowds.join(sets, "class"), threshold))), "parts")
