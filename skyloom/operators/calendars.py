@@ -260,3 +260,30 @@ def good_days(couples: DataFrame) -> DataFrame:
     pairs = day_pairs(spark).join(F.broadcast(never), ["dina", "pasaran"], "left_anti")
     wanted = F.when(F.col("total") % 3 == 0, 2).when(F.col("total") % 3 == 1, 1).otherwise(0)
     return couples.withColumn("rest", wanted).join(F.broadcast(pairs), "rest").select("id", "dina", "pasaran", F.col("neptu").cast("long").alias("neptu"))
+
+
+# What a month is good for.
+MONTH_RULES = (
+    ("Sura", "larangan"), ("Sapar", "boleh"), ("Mulud", "larangan"), ("Ba'da Mulud", "boleh"), ("Jumadilawal", "boleh"), ("Jumadilakir", "baik"),
+    ("Rejeb", "baik"), ("Ruwah", "baik"), ("Pasa", "larangan"), ("Sawal", "boleh"), ("Sela", "larangan"), ("Besar", "baik"),
+)
+
+
+def good_months(spark: SparkSession, only_good: bool = True) -> DataFrame:
+    """Months that are good, or also those that are allowed."""
+    return spark.createDataFrame(MONTH_RULES, "month string, rule string").where(F.col("rule").isin("baik", *([] if only_good else ["boleh"])))
+
+
+def without(pairs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Pairs of weekday and market day that are not in `excluded`."""
+    return pairs.join(excluded.select("dina", "pasaran"), ["dina", "pasaran"], "left_anti")
+
+
+def windu_progress(dates: DataFrame) -> DataFrame:
+    """Place of `date` in its cycle of eight years: first year, days so far, 35-day count (of 81) and percent."""
+    years = javanese_years(dates.sparkSession).withColumn("w", F.floor((F.col("jyear") - FIRST_YEAR) / 8))
+    cycles = years.groupBy("w").agg(F.min("jyear").alias("windu_year"), F.min("first").alias("begin"), F.sum("length").alias("total"))
+    days = F.datediff("date", F.lit(EPOCH).cast("date"))
+    return dates.withColumn("_d", days).join(F.broadcast(cycles), (F.col("_d") >= F.col("begin")) & (F.col("_d") < F.col("begin") + F.col("total"))).select(
+        *dates.columns, F.col("windu_year").cast("long").alias("windu_year"), (F.col("_d") - F.col("begin")).cast("long").alias("days"), (F.floor((F.col("_d") - F.col("begin")) / 35) % 81 + 1).cast("long").alias("lapan"), c.rounded(100.0 * (F.col("_d") - F.col("begin")) / F.col("total")).alias("percent")
+    )

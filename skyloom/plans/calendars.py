@@ -181,3 +181,19 @@ def blend_classes(spark, d):
     r = F.hypot(w1 * F.cos(t1) + w2 * F.cos(t2), w1 * F.sin(t1) + w2 * F.sin(t2))
     x = a.join(b, "hour").withColumns({"k1": F.floor(F.col("cloud_1") / 20), "k2": F.floor(F.col("cloud_2") / 20)})
     return x.select("hour", c.rounded(blending.circular_sigma(r), 4).alias("sigma"), blending.winner("k1", "k2", w1, w2).cast("long").alias("category"))
+
+
+@query("good_months", f"SELECT month, rule FROM (VALUES {values(cal.MONTH_RULES)}) t(month, rule) WHERE rule IN ('baik', 'boleh')")
+def good_months(spark, d):
+    return cal.good_months(spark, only_good=False)
+
+
+@query("excluded_days", f"WITH w(dina, a) AS (VALUES {values(cal.WEEKDAY_NUMBERS)}), p(pasaran, b) AS (VALUES {values(cal.MARKET_NUMBERS)}), x(dina, pasaran) AS (VALUES ('Senin', 'Legi'), ('Rabu', 'Pon')) SELECT dina, pasaran, CAST(a + b AS BIGINT) AS neptu FROM w, p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.dina = w.dina AND x.pasaran = p.pasaran)")
+def excluded_days(spark, d):
+    gone = spark.createDataFrame([("Senin", "Legi"), ("Rabu", "Pon")], "dina string, pasaran string")
+    return cal.without(cal.day_pairs(spark), gone).select("dina", "pasaran", F.col("neptu").cast("long").alias("neptu"))
+
+
+@query("windu_progress", f"WITH {JY}, w AS (SELECT (jyear - 1555) // 8 AS w, min(jyear) AS windu_year, min(first) AS a, sum(len) AS n FROM jy GROUP BY 1), x AS (SELECT date, CAST(date - DATE '{cal.EPOCH}' AS BIGINT) AS d FROM daily) SELECT date, windu_year, CAST(d - a AS BIGINT) AS days, CAST(((d - a) // 35) % 81 + 1 AS BIGINT) AS lapan, {r6('100.0::DOUBLE * (d - a) / n')} AS percent FROM x JOIN w ON d >= a AND d < a + n", "daily")
+def windu_progress(spark, d):
+    return cal.windu_progress(s.daily(spark, d).select("date"))

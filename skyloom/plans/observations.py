@@ -329,3 +329,28 @@ def session_windows(spark, d):
     o = s.obs(spark, d).withColumn("ts", F.col("time").cast("timestamp"))
     g = o.groupBy("station", F.session_window("ts", "10 minutes").alias("w")).agg(F.min("time").alias("start"), F.count("*").alias("n"), c.rounded(F.max("ws")).alias("peak"))
     return g.select("station", "start", "n", "peak")
+
+
+SLOT_BIN = "CASE WHEN ws < 20 THEN 1 WHEN ws < 40 THEN 2 WHEN ws < 80 THEN 3 ELSE 4 END"
+
+
+@query("rose_slots", f"SELECT hour(time) // 3 AS slot, {sector_sql(8)} AS sector, CAST({SLOT_BIN} AS BIGINT) AS bin, count(*) AS n, {r6('100.0 * count(*) / sum(count(*)) OVER (PARTITION BY hour(time) // 3)')} AS pct, {r6('avg(ws)')} AS mean_ws FROM obs GROUP BY 1, 2, 3", "obs")
+def rose_slots(spark, d):
+    """Roses of the eight three-hour slots of the day."""
+    slotted = s.obs(spark, d).withColumn("slot", F.floor(F.hour("time") / 3))
+    rose = wind.wind_rose(slotted, 8, (0.0, 20.0, 40.0, 80.0), by=("slot",))
+    return rose.select("slot", "sector", "bin", "n", c.rounded("pct").alias("pct"), c.rounded("mean_ws").alias("mean_ws"))
+
+
+@query("slot_summary", f"SELECT hour(time) // 2 AS slot, {dirs()}, {r6('avg(ws)')} AS mean_ws, {r6('sqrt(pow(avg(-ws * sin(radians(wd))), 2) + pow(avg(-ws * cos(radians(wd))), 2)) / avg(ws)')} AS constancy FROM obs GROUP BY 1", "obs")
+def slot_summary(spark, d):
+    """Mean direction, speed and constancy of the twelve two-hour slots."""
+    uv = s.obs(spark, d).withColumns({"u": c.wind_u("wd", "ws"), "v": c.wind_v("wd", "ws")})
+    return uv.groupBy(F.floor(F.hour("time") / 2).alias("slot")).agg(*wind.direction_summary(), c.rounded(F.avg("ws")).alias("mean_ws"), c.rounded(c.constancy("u", "v")).alias("constancy"))
+
+
+@query("cloud_ensemble_json", f"SELECT station, to_json({{'n': count(*), 'mean': round(avg(cloud), 3)}}) AS value FROM obs GROUP BY 1", "obs")
+def cloud_ensemble_json(spark, d):
+    """Nested report rows as JSON text."""
+    g = s.obs(spark, d).groupBy("station").agg(F.count("*").alias("n"), F.round(F.avg("cloud"), 3).alias("mean"))
+    return g.select("station", F.to_json(F.struct("n", "mean")).alias("value"))

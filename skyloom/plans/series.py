@@ -346,3 +346,13 @@ def event_runs(spark, d):
 
     x = s.daily(spark, d).withColumns({"hot": F.col("v") > 145, "k": F.lit(1)})
     return extremes.run_lengths(x, "hot", "date", ["k"]).where("hot").agg(F.count_if(F.col("len") >= 3).alias("events"), F.max("len").alias("longest"))
+
+
+@query("lead_probability", """WITH y AS (SELECT py, count(*) FILTER (v > 150 AND dopy BETWEEN 80 AND 95) AS lead, count(*) FILTER (v > 150 AND dopy BETWEEN 96 AND 180) AS events FROM daily GROUP BY 1)
+SELECT py, lead, events, round(least(0.5 + CASE WHEN lead > 0 THEN 0.15 ELSE 0 END + CASE WHEN events >= 2 THEN 0.10 WHEN events = 1 THEN 0.05 ELSE 0 END, 0.95), 6) AS p FROM y""", "daily")
+def lead_probability(spark, d):
+    """Rule-based probability from events in the lead window and in the season, capped."""
+    high = F.col("v") > 150
+    y = s.daily(spark, d).groupBy("py").agg(F.count_if(high & F.col("dopy").between(80, 95)).alias("lead"), F.count_if(high & F.col("dopy").between(96, 180)).alias("events"))
+    p = 0.5 + F.when(F.col("lead") > 0, 0.15).otherwise(0.0) + F.when(F.col("events") >= 2, 0.10).when(F.col("events") == 1, 0.05).otherwise(0.0)
+    return y.select("py", "lead", "events", F.round(F.least(p, F.lit(0.95)), 6).alias("p"))
