@@ -12,8 +12,8 @@ clusters needs few blocks; data without structure (independent directions) need
 
 Equal vectors are one entry with the `k` + 1 smallest of their ids, which stand for all in ties, however many there are.
 
-Defined results: vectors null, zero or with null or non-finite components take no part; equal ids are one candidate row
-each; a null vec_id takes no part; fewer than k candidates give fewer rows; an empty table gives an empty result.
+Defined results: vectors null, zero or with null or non-finite components take no part; repeated rows are one candidate;
+a null vec_id takes no part; fewer than k candidates give fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def entries(embeddings: DataFrame, k: int) -> DataFrame:
     vector = F.col("embedding").cast("array<double>")
     usable = embeddings.where("vec_id is not null").select("vec_id", vector.alias("vector")).where(
         F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
-    )
+    ).distinct()
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = usable.withColumn("n", nth).where(F.col("n") <= k + 1)
     return few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("entry"), "vector", "ids")
