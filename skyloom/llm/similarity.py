@@ -131,18 +131,38 @@ def links_in_groups(rows: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long")
 
 
+#: Rounds that verify one candidate of each class before all that are left are verified.
+FIRST_ROUNDS = 2
+
+
 def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
-    `sets_of` gives class and tokens for the column `class` of a table.
+    `sets_of` gives class and tokens for the column `class` of a table. Candidates are narrow rows, but verifying one
+    moves two sets. So the first rounds verify one candidate of each class; pairs that are connected by then need no
+    verification, and all others get it in the end.
     """
+    spark = keyed.sparkSession
     found = stored(met(keyed, threshold), "met")
-    release(keyed.sparkSession)
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    release(spark)
     crowds = found.where("b is null").select(F.col("a").alias("class"), "token")
     wanted = stored(found.select(F.explode(F.array("a", "b")).alias("class")).where("class is not null").distinct(), "wanted")
     sets = stored(sets_of(wanted), "sets")
-    release(keyed.sparkSession)
+    release(spark)
     one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    verified = pairs.join(one, "a").join(two, "b").where(similar_sets(threshold)("a_tokens", "b_tokens")).select("a", "b")
-    return stored(connected_components(verified.union(links_in_groups(crowds.join(sets, "class"), threshold))), "parts")
+    similar = similar_sets(threshold)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").where(similar("a_tokens", "b_tokens")).select("a", "b")
+
+    left = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = links_in_groups(crowds.join(sets, "class"), threshold)
+    for _ in range(FIRST_ROUNDS):
+        asked = stored(left.groupBy("b").agg(F.min("a").alias("a")), "asked")
+        links = stored(links.union(verified(asked)), "links")
+        release(spark)
+        parts = connected_components(links)
+        of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
+        apart = left.join(asked, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+        left = stored(apart.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "left")
+    return stored(connected_components(links.union(verified(left))), "parts")
