@@ -134,8 +134,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_
 
     Documents without words (nothing to compare) all stay.
     """
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     keyed = with_fingerprint(docs, words, "_fp")
-    prints = stored(keyed.select("doc_id", F.xxhash64("text").alias("_h"), "_fp", F.coalesce(F.length(F.trim("text")), F.lit(0)).alias("_n")).where("_n > 0").drop("_n"), "fingerprints")
+    prints = stored(keyed.select("doc_id", F.xxhash64("text").alias("_h"), "_fp", worded.alias("_worded")).where("_worded").drop("_worded"), "fingerprints")
     classes = prints.groupBy("_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("first"))
     parts = connected_components(fingerprint_links(classes.select(F.col("_fp").alias("fp")), radius, blocks=blocks))
     named = parts.join(classes, parts["node"] == classes["_fp"]).select("_fp", "component", "first")
@@ -143,7 +144,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_
     alone = classes.join(parts, classes["_fp"] == parts["node"], "left_anti").select("first")
     keep = smallest.select("first").union(alone).select(F.col("first.doc_id").alias("_id"), F.col("first._h").alias("_h"))
     hashed = docs.withColumn("_text_h", F.xxhash64("text"))
-    empty = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
-    kept = hashed.where(~empty).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h"))).select(*docs.columns)
+    kept = hashed.where(worded).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h"))).select(*docs.columns)
     kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(empty))
+    return kept.unionByName(docs.where(~worded))
