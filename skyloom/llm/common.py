@@ -58,9 +58,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """Broadcast `df` if it is counted to be small; a larger one is joined by shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most_rows: int = 100_000, items: Column | None = None) -> DataFrame:
+    """Broadcast `df` if it is counted to be small; a larger one is joined by shuffle.
+
+    `items` tells what a row of no fixed size holds (array entries, characters): at most ten for each allowed row, in all.
+    """
+    held = df.select((F.lit(0) if items is None else items).alias("held")).limit(most_rows + 1)
+    rows, total = held.agg(F.count("*"), F.sum("held")).first()
+    return F.broadcast(df) if rows <= most_rows and (total or 0) <= 10 * most_rows else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -177,7 +177,7 @@ def with_removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with the array `removed` of line numbers that go."""
     gone = stored(removed_lines(docs.select("doc_id", "text"), threshold), "removed").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("removed"))
     keyed = docs.withColumn("_text_row", F.xxhash64("text"))
-    return keyed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left").select(*docs.columns, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return keyed.join(small(gone, items=F.size("removed")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left").select(*docs.columns, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP,
     """`docs` with size, source_size, target and copies for every row."""
     sized = docs.withColumn("size", word_count())
     targets = source_targets(sized.select("source", "size"), weights, cap).withColumnRenamed("source", "_source")
-    joined = sized.join(small(targets), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    joined = sized.join(small(targets, items=F.length("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return joined.withColumn("copies", copies(seed, cap))
 
 

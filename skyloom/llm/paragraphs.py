@@ -232,7 +232,7 @@ def substring_duplicates(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     own = stored(per.withColumn("x", summed("s")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "x.*", "cluster").where("n_shared > 0"), "spans")
     keyed = docs.withColumn("_text_row", F.xxhash64("text"))
     none = F.array().cast("array<struct<start:long,stop:long>>")
-    return keyed.join(small(own), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left").select(
+    return keyed.join(small(own, items=F.size("removed")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left").select(
         *docs.columns, F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", none).alias("removed"), "cluster"
     )
 

@@ -331,6 +331,20 @@ def test_near_duplicates_of_odd_rows(spark, docs_of):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_stage_keeps_one_of_a_group_and_all_without_words(spark):
+    text = sentence(6, 200)
+    near = " ".join(["changed" if k == 100 else w for k, w in enumerate(text.split())])
+    rows = [(1, text), (2, near), (3, text), (3, text), (4, sentence(7, 200)), (5, "\n\t"), (6, " "), (7, None), (8, "\n")]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, DOC), DIR)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 7, 8]
+
+
+def test_broadcast_is_bounded_by_what_rows_hold(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    df = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(20)).alias("held"))
+    assert hinted(common.small(df, 10, F.size("held"))) and not hinted(common.small(df, 5, F.size("held"))) and not hinted(common.small(df, 2))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
