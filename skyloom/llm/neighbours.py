@@ -139,7 +139,7 @@ def calibrated_width(ranked: DataFrame, vectors: DataFrame, queries: DataFrame,
     sample = queries.orderBy(F.xxhash64("query")).limit(SAMPLE)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = vectors.select("entry", "vector", F.pmod(F.xxhash64("entry"), F.lit(parts)).alias("g"))
-    asked = sample.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    asked = sample.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     true = best(scored(dealt, asked, k).where("entry != query").select("query", F.col("entry").alias("vec_id"), "score"), k)
     place = ranked.select("curve", "entry", "rank")
     own = sample.select("query", "entry").join(place, "entry").select("query", "curve", F.col("rank").alias("own"))
