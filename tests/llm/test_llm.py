@@ -339,6 +339,32 @@ def test_stage_keeps_one_of_a_group_and_all_without_words(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 7, 8]
 
 
+def shingles_of(text: str) -> set:
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_stage_links_exactly_the_pairs_of_similar_shingle_sets(spark):
+    """Pairs of texts on both sides of 0.8 against brute force; fingerprints within 7 bits missed most of those near it."""
+    r, rows = random.Random(21), []
+    for k in range(40):
+        base = sentence(2000 + k, 150 + 5 * k).split()
+        other = list(base)
+        for at in r.sample(range(len(base)), max(1, round(len(base) * (0.014 + 0.0006 * k)))):
+            other[at] = f"new{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    rows += [(200 + k, sentence(1, n)) for k, n in enumerate((1, 2, 3, 4, 5, 6))]
+    kept = {x["doc_id"] for x in simhash.stage(spark, spark.createDataFrame(rows, DOC), DIR).collect()}
+    sets, near = {i: shingles_of(t) for i, t in rows}, set()
+    for i in range(0, 80, 2):
+        a, b = sets[i], sets[i + 1]
+        near |= {i + 1} if len(a & b) >= 0.8 * len(a | b) - 1e-9 else set()
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    far = sum((prints[i] ^ prints[i - 1]).bit_count() > 7 for i in near)
+    assert 5 < len(near) < 38 and far > 3
+    assert set(dict(rows)) - kept == near
+
+
 def test_broadcast_is_bounded_by_what_rows_hold(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     df = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(20)).alias("held"))
