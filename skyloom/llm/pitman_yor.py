@@ -1,7 +1,9 @@
 """Operator 6: language-model scoring by a hierarchical Pitman-Yor model.
 
 The model is nested. Every text is a restaurant, whose customers are its words so far and whose dishes come from the
-corpus-wide restaurant that all texts share; a table there orders its dish from a spelling model, a hierarchy of restaurants over the bytes of words: one restaurant for each context of up to `LONGEST` bytes, whose
+restaurant of the two words before, shared by all texts; its parent is the restaurant of the one word before, and the
+parent of that the corpus-wide restaurant of words. A text sends one customer for each word in each context. A table of
+the corpus restaurant orders its dish from a spelling model, a hierarchy of restaurants over the bytes of words: one restaurant for each context of up to `LONGEST` bytes, whose
 parent is the context without its first byte, down to the empty context over a uniform base. Contexts that end alike
 share a parent, and the tables of a restaurant are the customers of its parent.
 
@@ -12,9 +14,10 @@ max(1, n / 16) are seated at one time, with the expected number of new tables ro
 so takes O(log c) steps, by the same rule at every size. Predictive probabilities of the words are averaged over the
 sweeps after `BURN`, and a text's score is the sum of their logarithms.
 
-Spark does the counting (words per split, then per corpus; bytes in context per word), the seating (by key, numpy inside
-the tasks) and the way back: each split of the documents asks for the words it holds and is scored with those. The
-words' own restaurant needs three numbers; the spelling model is broadcast while it has at most `MOST` entries, and is
+Spark does the counting (words and words in context, in a batch first and then on the map side; bytes in context per
+word), the seating (a row for each dish, numpy inside the tasks, so a context with many dishes is split) and the way
+back: each piece of a split asks for the words in context it holds and is scored with those. The words' own restaurant
+needs three numbers; the spelling model is broadcast while it has at most `MOST` entries, and is
 joined by key beyond.
 
 Defined results: a null text is empty and has the one token "end"; a null doc_id counts as the empty text in the split;
@@ -33,10 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_words, pick, remainder, stored, table
+from skyloom.llm.common import ascii_words, pick, remainder, slices, stored, table
 
 LONGEST, BURN, SAMPLES, MOST = 4, 1, 2, 4_000_000
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 100.0
+#: Restaurants of the one and of the two words before a word; the key of a context shorter than that is START.
+CONTEXT_DISCOUNT, CONTEXT_STRENGTH, START = (0.75, 0.8), (20.0, 5.0), 0
+ORDERS = len(CONTEXT_DISCOUNT)
+#: Pieces of a split whose texts are scored together.
+PIECES = 16
 TEXT_DISCOUNT, TEXT_STRENGTH = 0.8, 100.0
 #: By length of the context, 0 to LONGEST.
 DISCOUNT, STRENGTH = (0.5, 0.6, 0.7, 0.75, 0.8), (5.0, 2.0, 1.0, 0.5, 0.5)
@@ -116,6 +124,93 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out", F.spark_partition_id().alias("split")).mapInPandas(counted, "split int, word binary, n long, m long")
 
 
+def hash_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((digest64(w) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+def context_keys(own: np.ndarray) -> np.ndarray:
+    """For each word of a text (hashes) the keys of its contexts of one and of two words, a row for each order."""
+    h, keys = own.view(np.uint64), np.full(len(own), START, np.uint64)
+    out = []
+    for back in range(1, ORDERS + 1):
+        before = np.r_[np.full(min(back, len(h)), START, np.uint64), h[:-back]]
+        keys = (keys ^ (before + np.uint64(back))) * np.uint64(0x9E3779B97F4A7C15)
+        keys = keys ^ (keys >> np.uint64(29))
+        out.append(keys.view(np.int64))
+    return np.stack(out)
+
+
+def context_customers(docs: DataFrame) -> DataFrame:
+    """(ctx, up, w, c): training documents that hold the word w after the longest context `ctx`, of which `up` is the shorter one.
+
+    A text keeps one table for a word in a context. Rows are summed in each batch first, then by Spark on the map side.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in slices(batches, 200):
+            found = []
+            for text in batch["text"]:
+                own = hash_of([*ascii_words(text), b""])
+                rows = np.column_stack([context_keys(own)[::-1].T, own])
+                found.append(np.unique(rows, axis=0))
+            rows, c = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, ORDERS + 1), np.int64), np.zeros(0, np.int64))
+            yield pd.DataFrame({"ctx": rows[:, 0], "up": rows[:, 1], "w": rows[:, 2], "c": c.astype(np.int64)})
+
+    held = docs.where(~F.col("held_out")).select("text")
+    return held.mapInPandas(counted, "ctx long, up long, w long, c long").groupBy("ctx", "up", "w").agg(F.sum("c").alias("c"))
+
+
+def context_tables_of(order: int, sweep: int):
+    """Seating of the dishes of one order of contexts, from context, word, customers, other tables and the parent's probability."""
+
+    @F.pandas_udf("long")
+    def tables(ctx: pd.Series, w: pd.Series, c: pd.Series, others: pd.Series, parent: pd.Series) -> pd.Series:
+        key = (ctx.to_numpy(np.int64).view(np.uint64) * np.uint64(3) ^ w.to_numpy(np.int64).view(np.uint64)) * np.uint64(8) + np.uint64(5 + order)
+        return pd.Series(seated(key, c.to_numpy(), others.to_numpy(), parent.to_numpy(), CONTEXT_DISCOUNT[order], CONTEXT_STRENGTH[order], sweep))
+
+    return tables
+
+
+def reseat_contexts(longest: DataFrame, before: list[DataFrame] | None, sweep: int) -> list[DataFrame]:
+    """One sweep of the word-context restaurants, the longest first: level k has ctx, up, w, c, t of contexts of k + 1 words.
+
+    `before` has the other tables and the parent's probability of each dish from the sweep before; in the first sweep each
+    dish keeps one table. Dishes are seated as rows, so a context with very many of them is split.
+    """
+    levels: list[DataFrame] = [longest] * ORDERS
+    current = longest
+    for k in range(ORDERS - 1, -1, -1):
+        tables = context_tables_of(k, sweep)
+        if before is None:
+            seat = current.withColumn("t", F.lit(1).cast("long"))
+        else:
+            last = before[k].select("ctx", "w", F.greatest(F.col("st") - F.col("t"), F.lit(0)).alias("others"), "parent")
+            seat = current.join(last, ["ctx", "w"]).withColumn("t", tables("ctx", "w", "c", "others", "parent")).select(*current.columns, "t")
+        levels[k] = stored(seat, "contexts")
+        if k:
+            current = levels[k].groupBy(F.col("up").alias("ctx"), "w").agg(F.sum("t").alias("c"))
+    return levels
+
+
+def context_probabilities(levels: list[DataFrame], words: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Levels with sums (st) and parent's probability, and each level's rows (ctx, w, p) and sums (ctx, room); `words` has w and p.
+
+    Sums are map-side aggregates joined back, not windows, so no task holds a context.
+    """
+    done, rooms = [], []
+    for k, level in enumerate(levels):
+        discount, strength = CONTEXT_DISCOUNT[k], CONTEXT_STRENGTH[k]
+        sums = stored(level.groupBy("ctx").agg(F.sum("c").alias("sc"), F.sum("t").alias("st")), "rooms")
+        if k:
+            parent = level.join(done[-1].select(F.col("ctx").alias("up"), "w", F.col("p").alias("parent")), ["up", "w"])
+        else:
+            parent = level.join(words.select("w", F.col("p").alias("parent")), "w")
+        own = (F.col("c") - discount * F.col("t") + (strength + discount * F.col("st")) * F.col("parent")) / (strength + F.col("sc"))
+        done.append(stored(parent.join(sums, "ctx").withColumn("p", own), "predictive"))
+        rooms.append(sums.select("ctx", ((strength + discount * F.col("st")) / (strength + F.col("sc"))).alias("back")))
+    return done, rooms
+
+
 def spelled(spelling: Spelling | None, words: list[bytes]) -> np.ndarray:
     """Probability of each word's spelling."""
     key, owner = spelling_keys(words)
@@ -214,17 +309,45 @@ def reseat_spelling(customers: DataFrame, before: list[DataFrame] | None, sweep:
     return done
 
 
-def word_probabilities(words: DataFrame, sweeps: int = BURN + SAMPLES, burn: int = BURN) -> DataFrame:
-    """(word, n, p) with the corpus restaurant's p averaged over the sweeps after `burn`."""
+def hashed(column: str):
+    """The hash of a column of words."""
+
+    @F.pandas_udf("long")
+    def of(words: pd.Series) -> pd.Series:
+        return pd.Series(hash_of([bytes(w) for w in words]), dtype="int64")
+
+    return of(column)
+
+
+#: Of one kept sweep: words (word, w, n, p), and for each order of contexts the rows (ctx, w, p) and the share (ctx, back) of the parent.
+Sample = tuple[DataFrame, list[DataFrame], list[DataFrame]]
+
+
+def fitted(words: DataFrame, longest: DataFrame | None, sweeps: int, burn: int) -> list[Sample]:
+    """The states of the sweeps after `burn`. The customers m of a word are the tables of its contexts, or as given without contexts."""
     spark = words.sparkSession
-    total, tables = (x or 0 for x in words.agg(F.sum("m"), F.count_if(F.col("m") > 0)).first())
-    state = words.select("word", "n", "m", (F.col("m") > 0).cast("long").alias("t"), F.lit(0.0).alias("p"))
+
+    def from_contexts(state: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        served = levels[0].groupBy("w").agg(F.sum("t").alias("m"))
+        return stored(state.drop("m").withColumn("w", hashed("word")).join(served, "w", "left").select("word", "n", F.coalesce("m", F.lit(0)).alias("m"), *[c for c in ("t", "p") if c in state.columns]), "served")
+
+    contexts = None if longest is None else reseat_contexts(longest, None, 0)
+    start = words if contexts is None else from_contexts(words, contexts)
+    state = stored(start.select("word", "n", "m", (F.col("m") > 0).cast("long").alias("t"), F.lit(0.0).alias("p")), "words")
     shared = model = levels = None
+    kept: list[Sample] = []
     for sweep in range(sweeps + 1):
-        state = stored(reseat_words(state, shared, model, total, tables, sweep, keep=sweep > burn), "words")
+        total, tables = (x or 0 for x in state.agg(F.sum("m"), F.sum("t")).first())
+        now = stored(reseat_words(state, shared, model, total, tables, sweep, keep=True).select("word", hashed("word").alias("w"), "n", "p"), "now")
+        done, rooms = ([], []) if contexts is None else context_probabilities(contexts, now)
+        if sweep > burn:
+            kept.append((now, done, rooms))
         if sweep == sweeps:
             break
-        tables = state.agg(F.sum("t")).first()[0] or 0
+        if contexts is not None:
+            contexts = reseat_contexts(longest, done, sweep)
+            state = from_contexts(state, contexts)
+        state = stored(reseat_words(state, shared, model, total, tables, sweep, keep=False), "words")
         levels = reseat_spelling(stored(spelling_customers(state), "customers"), levels, sweep)
         model = levels[-1]
         if model.count() <= MOST:
@@ -234,7 +357,51 @@ def word_probabilities(words: DataFrame, sweeps: int = BURN + SAMPLES, burn: int
             shared = spark.sparkContext.broadcast((key[order], log[order]))
         else:
             shared = None
-    return state.select("word", "n", (F.col("p") / (sweeps - burn)).alias("p"))
+    return kept
+
+
+def word_probabilities(words: DataFrame, sweeps: int = BURN + SAMPLES, burn: int = BURN) -> DataFrame:
+    """(word, n, p) with the corpus restaurant's p averaged over the sweeps after `burn`, without word contexts."""
+    found = [now.select("word", "n", "p") for now, _, _ in fitted(words, None, sweeps, burn)]
+    every = found[0]
+    for other in found[1:]:
+        every = every.union(other)
+    return every.groupBy("word", "n").agg(F.avg("p").alias("p"))
+
+
+def asked_contexts(docs: DataFrame) -> DataFrame:
+    """(piece, held_out, ctx, up, w): the words in context that a piece of a split's texts holds."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in slices(batches, 200):
+            parts = []
+            for text, held, piece in zip(batch["text"], batch["held_out"], batch["piece"], strict=True):
+                own = hash_of([*ascii_words(text), b""])
+                keys = context_keys(own)
+                parts.append(np.column_stack([np.full(len(own), piece), np.full(len(own), int(held)), *keys[::-1], own]))
+            rows = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, ORDERS + 3), np.int64)
+            yield pd.DataFrame(rows, columns=["piece", "held_out", "ctx", "up", "w"])
+
+    return docs.select("text", "held_out", "piece").mapInPandas(found, "piece long, held_out long, ctx long, up long, w long")
+
+
+def predictive(asked: DataFrame, samples: list[Sample]) -> DataFrame:
+    """(ctx, w, p) of all words in context: averages over the samples; what a context has not served comes from shorter ones."""
+    served = samples[0][1][-1].select("ctx", "w")
+    new = stored(asked.where("held_out = 1").select("ctx", "up", "w").distinct().join(served, ["ctx", "w"], "left_anti"), "new")
+    every = None
+    for now, done, rooms in samples:
+        (one, two), (room_one, room_two) = done, rooms
+        back = (
+            new.join(now.select("w", F.col("p").alias("p0")), "w")
+            .join(one.select(F.col("ctx").alias("up"), "w", F.col("p").alias("p1")), ["up", "w"], "left")
+            .join(room_one.select(F.col("ctx").alias("up"), F.col("back").alias("b1")), "up", "left")
+            .join(room_two.select("ctx", F.col("back").alias("b2")), "ctx", "left")
+        )
+        shorter = F.coalesce("p1", F.coalesce("b1", F.lit(1.0)) * F.col("p0"))
+        rows = two.select("ctx", "w", "p").union(back.select("ctx", "w", (F.coalesce("b2", F.lit(1.0)) * shorter).alias("p")))
+        every = rows if every is None else every.union(rows)
+    return stored(every.groupBy("ctx", "w").agg(F.avg("p").alias("p")), "predictive")
 
 
 def in_document(words: np.ndarray, parent: np.ndarray, discount: float = TEXT_DISCOUNT, strength: float = TEXT_STRENGTH) -> float:
@@ -251,38 +418,30 @@ def in_document(words: np.ndarray, parent: np.ndarray, discount: float = TEXT_DI
 
 def scores(docs: DataFrame, sweeps: int = BURN + SAMPLES, burn: int = BURN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of `docs` (doc_id, text, held_out)."""
-    held = stored(word_counts(docs), "vocabulary")
-    words = stored(held.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
+    words = stored(word_counts(docs).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
-    found = word_probabilities(words, sweeps, burn)
     low = np.log10(total + 0.1 * (distinct + 1))
-
-    @F.pandas_udf("long")
-    def hashed(column: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((digest64(bytes(w)) for w in column), np.uint64, len(column)).view(np.int64))
-
-    asked = held.select("split", hashed("word").alias("h"))
-    known = found.select(hashed("word").alias("h"), "n", "p")
-    answers = asked.distinct().join(known, "h")
+    pieced = docs.withColumn("piece", F.spark_partition_id().cast("long") * PIECES + F.pmod(F.xxhash64("text"), F.lit(PIECES)))
+    asked = stored(asked_contexts(pieced), "asked")
+    known = predictive(asked, fitted(words, stored(context_customers(docs), "customers"), sweeps, burn))
+    told = known.join(words.select(hashed("word").alias("w"), "n"), "w")
+    answers = asked.select("piece", "ctx", "w").distinct().join(told, ["ctx", "w"])
 
     def score(text: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(answer["h"].to_numpy())
-        h, n, p = (answer[c].to_numpy()[order] for c in ("h", "n", "p"))
-        base = np.log10(n + 0.1) - low
+        pair = pd.MultiIndex.from_arrays([answer["ctx"], answer["w"]])
+        n, p = answer["n"].to_numpy(), answer["p"].to_numpy()
         out = []
         for t in text["text"]:
-            tokens = ascii_words(t)
-            tokens.append(b"")
-            own = np.fromiter((digest64(w) for w in tokens), np.uint64, len(tokens)).view(np.int64)
-            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            if (h[at] != own).any():
+            own = hash_of([*ascii_words(t), b""])
+            at = pair.get_indexer(pd.MultiIndex.from_arrays([context_keys(own)[-1], own]))
+            if (at < 0).any():
                 raise ValueError("the splits of the documents have changed between two reads")
-            out.append((len(tokens), int((n[at] > 0).sum()), float(base[at].sum()), in_document(at, p[at])))
+            out.append((len(own), int((n[at] > 0).sum()), float((np.log10(n[at] + 0.1) - low).sum()), in_document(own, p[at])))
         made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         return pd.concat([text[["doc_id", "held_out"]].reset_index(drop=True), made], axis=1)
 
-    texts = docs.select("doc_id", "text", "held_out", F.spark_partition_id().alias("split"))
-    made = texts.groupBy("split").cogroup(answers.groupBy("split")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    texts = pieced.select("doc_id", "text", "held_out", "piece")
+    made = texts.groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -227,6 +227,31 @@ def test_scores_of_odd_texts(spark, docs_of):
     assert len(r) == 10 and r[r["doc_id"] == 2]["n_tokens"].item() == 1 and np.isfinite(r["score"]).all()
 
 
+def test_words_before_count(spark, tmp_path):
+    """Text in the order of the training texts scores better than the same words shuffled."""
+    r = random.Random(4)
+    songs = [sentence(500 + i, 12) for i in range(10)]
+    train = [(i, " ".join(r.choice(songs) for _ in range(5))) for i in range(60)]
+    text = " ".join(songs[:6])
+    mixed = text.split()
+    r.shuffle(mixed)
+    docs = spark.createDataFrame([*train, (1000, text), (1001, " ".join(mixed))], DOC).withColumn("held_out", F.col("doc_id") >= 1000)
+    docs.write.parquet(str(tmp_path / "t.parquet"))
+    got = {x["doc_id"]: x for x in pitman_yor.scores(spark.read.parquet(str(tmp_path / "t.parquet"))).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"]) and got[1000]["score"] > got[1001]["score"] + 30
+
+
+def test_contexts_are_distributions(spark):
+    """In each context the served words and the rest left to the parent sum to one."""
+    texts = [(i, sentence(i % 7, 30), False) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean")
+    words = pitman_yor.word_counts(docs).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    now, done, rooms = pitman_yor.fitted(words, pitman_yor.context_customers(docs), 2, 1)[0]
+    one = done[0].join(now.select("w", F.col("p").alias("p0")), "w").groupBy("ctx").agg(F.sum("p").alias("p"), F.sum("p0").alias("p0")).join(rooms[0], "ctx")
+    low, high = one.agg(F.min(F.col("p") + F.col("back") * (1 - F.col("p0"))), F.max(F.col("p") + F.col("back") * (1 - F.col("p0")))).first()
+    assert low == pytest.approx(1.0) and high == pytest.approx(1.0)
+
+
 # 7
 
 
