@@ -148,8 +148,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a window of a test item go."""
-    found = matches(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text")).select("doc").distinct()
+    """Pipeline stage: documents that hold a window of a test item go, whole or with most of its words at their places."""
+    texts, benchmark = docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = stored(matches(texts, benchmark).select("doc").union(proximity(texts, benchmark).select("doc")).distinct(), "hits")
     return docs.withColumn("_doc", row_key()).join(small(found), F.col("_doc") == F.col("doc"), "left_anti").select(*docs.columns)
 
 

@@ -112,6 +112,14 @@ def test_proximity_matches(spark):
     assert decontaminate.matches(docs, bench).count() == 0
 
 
+def test_stage_rejects_near_passages(spark, tmp_path):
+    item = sentence(31, 50)
+    near = ["changed" if k % 10 == 9 else w for k, w in enumerate(item.split())]
+    d = with_tables(spark, tmp_path, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    docs = spark.createDataFrame([(1, sentence(8, 20) + " " + " ".join(near)), (2, sentence(9, 30)), (3, item)], DOC)
+    assert [r["doc_id"] for r in decontaminate.stage(spark, docs, d).collect()] == [2]
+
+
 # 2
 
 
