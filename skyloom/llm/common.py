@@ -33,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one where it is unset.
+
+    On a cluster a folder of one machine would be seen by that machine alone, so an unset folder is an error there.
+    """
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there:
         return there
-    have = spark.sparkContext.getCheckpointDir()
-    if have:
-        return have
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyloom-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -49,7 +51,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._stored_at = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -170,16 +184,37 @@ def spanning_links(values: np.ndarray, same_group: np.ndarray, linked, whole: np
 
 def by_runs(batches: Iterator, key: str, handle) -> Iterator:
     """Apply `handle` to batches cut so that rows of equal `key`, which follow one another, stay together."""
+    for rows, _ in pieces_of_runs(batches, key):
+        yield handle(rows)
+
+
+def pieces_of_runs(batches: Iterator, key: str, most: int | None = None) -> Iterator:
+    """(rows, whole): batches cut so that rows of equal `key`, which follow one another, stay together.
+
+    A run of more than `most` rows comes in pieces that are not `whole`, none of which is held for the next.
+    """
     import pandas as pd
 
-    rest = None
+    rest, over = None, None
     for batch in batches:
-        rows = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
-        if not len(rows):
+        if not len(batch):
             continue
+        if over is not None:
+            same = batch[key].to_numpy() == over
+            if same.any():
+                yield batch[same], False
+            batch = batch[~same]
+            if not len(batch):
+                continue
+            over = None
+        rows = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
         whole = rows[key].to_numpy() != rows[key].iloc[-1]
         rest = rows[~whole]
         if whole.any():
-            yield handle(rows[whole])
+            yield rows[whole], True
+        if most is not None and len(rest) > most:
+            over = rest[key].iloc[0]
+            yield rest, False
+            rest = None
     if rest is not None and len(rest):
-        yield handle(rest)
+        yield rest, True

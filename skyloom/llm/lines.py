@@ -1,19 +1,19 @@
 """Operator 8: line dedup by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased, between ASCII white space). Lines with equal sets are one class; classes
-are linked at a Jaccard similarity of `threshold` or more, and of each connected group of classes the first line (by
-doc_id, then line number) stays while later ones go.
+A line is the set of its words (A-Z lower-cased, between ASCII white space). Lines with equal sets are one class. A line
+goes if an earlier line (by doc_id, then line number) has a Jaccard similarity of `threshold` or more, verified on the
+whole sets; a line stays if no earlier one does, whatever chains lead to it.
 
 The join: every class orders its tokens by rarity, and only its first |x| - ceil(t|x|) + 1 tokens (prefix) are joined,
-since two sets over the threshold share one of them. Pairs are cut by length, by position (what can still follow the
-shared token) and by a 64-bit signature whose differing bits bound the differing tokens from below; survivors are
-verified on the whole token sets. Small groups give their candidate pairs, verified by a join; the classes of a large
-group are verified inside it, and only links that join two parts leave it, so no group emits all pairs and no link is
-lost.
+since two sets over the threshold share one of them. Pairs are cut by length, by place (what can still follow the shared
+token) and by a 64-bit signature whose differing bits bound the differing tokens from below; see `similarity`.
 
-Rarity: counts of words over all documents, summed in Spark; the `FREQUENT` most frequent are broadcast (a bounded
-table), the many rarer words come before them, longest first. Any fixed order gives the same links; the order only
-decides how few pairs meet.
+Rarity: words are counted over all documents into 2**20 buckets by hash, summed in Spark; a bucket's count, on a scale of
+255 steps, orders its words, and the hash decides between equal ones. Any fixed order gives the same links; the order
+only decides how few pairs meet, and the table keeps its size however many words there are.
+
+Texts are read twice: for the counts, and for a table of lines in which the first line of each class in a task carries
+the class's set. All that follows reads that table.
 
 Defined results: null and empty texts have no lines to remove; lines without words always stay; a null doc_id comes
 last in the order; repeated rows (equal id and text) repeat their lines, of which the first stays; an empty table gives
@@ -23,171 +23,184 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, release, slices, small, stored, table
-from skyloom.llm.similarity import linked_classes, packed
-
-THRESHOLD, FREQUENT = 0.8, 1 << 18
-digest64 = xxhash.xxh64_intdigest
-
+from skyloom.llm.common import discard, pick, release, small, stored, table
+from skyloom.llm.similarity import WIDTH, crowd_counts, packed, prefix_length, prefix_rows, signatures, split_candidates, verified
+from skyloom.llm.words import Reader, mixed, slabs
 
-def signed(values) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
+THRESHOLD = 0.8
+#: Buckets of the word counts, and rows of the table that carries them.
+BUCKETS, PARTS = 1 << 20, 64
+#: Classes of a task whose sets have been given; beyond that some come twice, which the join allows.
+REMEMBERED = 1 << 19
 
 
-def token_sets(text: str | None) -> list[list[bytes]]:
-    """The sorted distinct tokens of each line."""
-    return [sorted(set(line.split())) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
+def rarity(docs: DataFrame) -> np.ndarray:
+    """A byte for each bucket of word hashes: 0 for the rarest words, 255 for the most frequent."""
+    width = BUCKETS // PARTS
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, total = Reader(), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for slab in slabs(batch.column(0), reader, 4 << 20):
+                total += np.bincount((slab.hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        if total.any():
+            small_total = np.minimum(total, (1 << 32) - 1).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([part.tobytes() for part in small_total.reshape(PARTS, width)], pa.binary())], ["part", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                totals[part] = totals.get(part, 0) + np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64)
+        steps = [np.minimum(255, 6 * np.log2(np.maximum(t, 1))).astype(np.uint8).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(steps, pa.binary())], ["part", "steps"])
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, row, line, class) for each line with words; `row` is a hash of the text."""
-
-    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            ids, rows, numbers, found = [], [], [], []
-            for doc_id, row, text in zip(batch["doc_id"].astype(object), batch["row"], batch["text"], strict=True):
-                for k, tokens in enumerate(token_sets(text)):
-                    if tokens:
-                        ids.append(doc_id)
-                        rows.append(row)
-                        numbers.append(k)
-                        found.append(digest64(b" ".join(tokens)))
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "row": np.array(rows, np.int64), "line": np.array(numbers, np.int32), "class": signed(found)})
+    parts = docs.select("text").mapInArrow(counted, "part int, counts binary").repartition("part").mapInArrow(summed, "part int, steps binary")
+    out = np.zeros((PARTS, width), np.uint8)
+    for row in parts.collect():  # PARTS rows of a fixed size
+        out[row["part"]] = np.frombuffer(row["steps"], np.uint8)
+    return out.ravel()
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(classes, "doc_id long, row long, line int, class long")
 
+def line_table(docs: DataFrame, ranks, threshold: float) -> DataFrame:
+    """doc_id, row (hash of the text), line and class of each line with words.
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> list[bytes]:
-    """At most `most` words, rarest of them first. What a batch holds once only is left to the rarer end of the order."""
+    Once a task for each class that may have a partner: size, bits (signature) and tokens (packed, rarest first).
+    """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, steps, seen = Reader(), ranks.value.astype(np.uint64), set()
         for batch in batches:
-            words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(batch.column(0))))
-            seen = pc.value_counts(words)
-            often = seen.filter(pc.greater(seen.field(1), 1))
-            yield pa.RecordBatch.from_arrays([often.field(0).cast(pa.binary()), often.field(1)], ["word", "n"])
-
-    counts = docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where("length(word) > 0").orderBy(F.desc("n"), "word").limit(most).toArrow()
-    return rows["word"].to_pylist()[::-1]
-
-
-#: Tokens whose rank and hashes a worker keeps.
-REMEMBERED = 60_000
-
-
-def prefix_rows(docs: DataFrame, ranks, threshold: float) -> DataFrame:
-    """token, class, shape (size and place) and signature for the prefix of each set; a set once a partition. Sets below 4 tokens have no partner but equal ones."""
-    least = next(n for n in range(1, 1 << 20) if ceil(threshold * (n + 1) - 1e-9) <= n)
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, seen, known = ranks.value, set(), {}
-
-        def info(t: bytes) -> tuple[int, bytes, int, int]:
-            h = digest64(t)
-            have = (rank.get(t, -len(t)), t, h, 1 << (h & 63))
-            if len(known) < REMEMBERED:
-                known[t] = have
-            return have
-
-        for batch in slices(batches):
-            hashes, classes, shapes, signs, counts = [], [], [], [], []
-            for text in batch["text"]:
-                for tokens in token_sets(text):
-                    n = len(tokens)
-                    if n < least or (of := digest64(b" ".join(tokens))) in seen:
-                        continue
-                    seen.add(of)
-                    own = [known.get(t) or info(t) for t in tokens]
-                    bits = 0
-                    for x in own:
-                        bits ^= x[3]
-                    own.sort()
-                    k = n - ceil(threshold * n - 1e-9) + 1
-                    hashes += [x[2] for x in own[:k]]
-                    classes.append(of)
-                    shapes.append(n << 32)
-                    signs.append(bits)
-                    counts.append(k)
-            c = np.array(counts, np.int64)
-            place = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            yield pd.DataFrame({"token": signed(hashes), "class": np.repeat(signed(classes), c), "shape": np.repeat(np.array(shapes, np.int64), c) | place, "bits": np.repeat(signed(signs), c)})
-
-    return docs.select("text").mapInPandas(prefixes, "token long, class long, shape long, bits long")
-
-
-#: Classes that workers are told to look for by broadcast; more of them are found by a join.
-TOLD = 2_000_000
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and packed tokens of the classes in `wanted`."""
-    few = wanted.count() <= TOLD
-    told = docs.sparkSession.sparkContext.broadcast(set(wanted.toArrow()["class"].to_pylist())) if few else None
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in slices(batches):
-            found: dict[int, bytes] = {}
-            for text in batch["text"]:
-                for tokens in token_sets(text):
-                    of = digest64(b" ".join(tokens))
-                    of -= (of >> 63) << 64
-                    if of in seen or not tokens or (told is not None and of not in told.value):
-                        continue
-                    seen.add(of)
-                    found[of] = packed(np.array([digest64(t) for t in tokens], np.uint64))
-            yield pd.DataFrame({"class": np.array(list(found), np.int64), "tokens": list(found.values())})
-
-    return docs.select("text").mapInPandas(sets, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
-
-
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) for classes that are linked to another one."""
-    order = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(frequent_words(docs))})
-    release(docs.sparkSession)
-    return linked_classes(prefix_rows(docs, order, threshold), lambda wanted: sets_of(docs, wanted), threshold)
-
-
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, row, lines): the numbers, sorted, of the lines that go from a document."""
-    lines = stored(line_classes(docs), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "line", "row")
-    classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    parts = similar_classes(docs, threshold)
-    grouped = classes.join(parts, F.col("class") == F.col("node"), "left").select("class", "first", "n", F.coalesce("component", "class").alias("part"), F.col("node").isNotNull().alias("linked"))
-    multiple = stored(grouped.where("linked or n > 1"), "classes")
-    keep = multiple.groupBy("part").agg(F.min("first").alias("keep"))
-    marked = multiple.join(keep, "part").select("class", "keep")
-    later = lines.join(small(marked), "class").where(place != F.col("keep"))
-    return later.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+            for slab in slabs(batch.column("text"), reader):
+                if not len(slab.hashes):
+                    continue
+                at, text, number = slab.lines()
+                # one number for line, rarity and 40 bits of the hash: sorting it orders the tokens of each line
+                parts, sizes, of, spots = [], [], [], []
+                for lo in range(0, int(at[-1]) + 1, 1 << 16):
+                    a, b = np.searchsorted(at, [lo, lo + (1 << 16)])
+                    h = slab.hashes[a:b]
+                    key = (at[a:b] - lo).astype(np.uint64) << np.uint64(48) | steps[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(40) | h >> np.uint64(24)
+                    key.sort()
+                    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+                    line = (key >> np.uint64(48)).astype(np.int64)
+                    token = key & np.uint64((1 << 40) - 1)
+                    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+                    size = np.diff(np.r_[first, len(line)])
+                    if len(first):
+                        of.append(mixed(np.add.reduceat(mixed(token + np.uint64(1)), first) + size.astype(np.uint64)).view(np.int64))
+                        spots.append(line[first] + lo)
+                        parts.append((token, first, size))
+                        sizes.append(size)
+                cls, spot, size = np.concatenate(of), np.concatenate(spots), np.concatenate(sizes)
+                fresh = np.zeros(len(cls), bool)
+                due = np.flatnonzero(prefix_length(size, threshold) > 0)
+                for k, c in zip(due.tolist(), cls[due].tolist(), strict=True):
+                    if c not in seen:
+                        fresh[k] = True
+                        seen.add(c)
+                if len(seen) > REMEMBERED:
+                    seen = set()
+                sets, done = [None] * len(cls), 0
+                bits = np.zeros(len(cls), np.int64)
+                for token, first, own in parts:
+                    bits[done : done + len(first)] = signatures(token, first).view(np.int64)
+                    data, new = packed(token), np.flatnonzero(fresh[done : done + len(first)])
+                    for k, f, n in zip(new.tolist(), first[new].tolist(), own[new].tolist(), strict=True):
+                        sets[done + k] = data[f * WIDTH : (f + n) * WIDTH]
+                    done += len(first)
+                rows = pa.array(slab.rows[0] + text[spot])
+                mask = ~fresh
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(number[spot].astype(np.int32)), pa.array(cls), pa.array(size.astype(np.int32), mask=mask), pa.array(bits, mask=mask), pa.array(sets, pa.binary())],
+                    ["doc_id", "row", "line", "class", "size", "bits", "tokens"],
+                )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(cut, "doc_id long, row long, line int, class long, size int, bits long, tokens binary")
+
+
+def place_of_line() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "line", "row")
+
+
+def sortable(place: str) -> Column:
+    """The place as a string in the same order."""
+    number = lambda c: F.lpad(F.hex(F.coalesce(F.col(f"{place}.{c}").cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.when(F.col(f"{place}.z"), "1").otherwise("0"), number("doc_id"), number("line"), number("row"))
+
+
+def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(class, links, earlier): how many other classes reach the threshold, and whether one of them comes first; none for classes without."""
+    pairs, crowds, wanted = split_candidates(prefix_rows(lines, threshold), threshold, True)
+    own = lines.where("tokens is not null").select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    sets = stored(own, "sets")
+    links = stored(verified(pairs, sets, threshold), "links")
+    discard(pairs)
+    release(lines.sparkSession)
+    ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).union(links.select("b", "a"))
+    places = classes.join(ends.select("class").distinct(), "class", "left_semi").select("class", "first")
+    placed = ends.join(places, "class").join(places.select(F.col("class").alias("other"), F.col("first").alias("other_first")), "other")
+    single = placed.groupBy("class").agg(F.count("*").alias("n"), F.max(F.col("other_first") < F.col("first")).alias("earlier"))
+    in_crowd = sets.join(crowds.select("class").distinct(), "class", "left_semi").join(classes.select("class", sortable("first").alias("first")), "class")
+    both = single.union(crowd_counts(crowds, in_crowd, threshold))
+    out = stored(both.groupBy("class").agg(F.sum("n").alias("links"), F.max("earlier").alias("earlier")), "class_links")
+    discard(sets, links, wanted, crowds)
+    return out
+
+
+def marked_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, row, lines, links, classes) of documents with a line that goes or has a link or an equal one.
+
+    `lines` are the numbers of those that go, sorted; `links` counts the other line sets that their lines reach, `classes` names the sets.
+    """
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(rarity(docs))
+    lines = stored(line_table(docs, ranks, threshold), "lines")
+    ranks.unpersist()
+    classes = stored(lines.groupBy("class").agg(F.min(place_of_line()).alias("first"), F.count("*").alias("n")), "classes")
+    release(spark)
+    links = class_links(lines, classes, threshold)
+    many = stored(classes.join(links, "class", "left").where("n > 1 or links > 0").select("class", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")), "many")
+    goes = F.col("earlier") | (place_of_line() != F.col("first"))
+    own = lines.select("doc_id", "row", "line", "class").join(small(many), "class")
+    per = own.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.when(goes, F.col("line")))).alias("lines"), F.collect_set(F.struct("class", "links")).alias("found"))
+    out = stored(per.select("doc_id", "row", "lines", F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["links"]).alias("links"), F.array_sort(F.transform("found", lambda x: F.lower(F.lpad(F.hex(x["class"]), 16, "0")))).alias("classes")), "marked")
+    discard(lines, classes, links, many)
+    release(spark)
+    return out
 
 
 def with_removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with the array `removed` of line numbers that go."""
-    gone = stored(removed_lines(docs.select("doc_id", "text"), threshold), "removed").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("removed"))
+    """`docs` with `removed` (numbers of the lines that go), `links` and `classes` of its lines."""
+    found = marked_lines(docs.select("doc_id", "text"), threshold)
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"), F.col("links").alias("_links"), F.col("classes").alias("_classes"))
     keyed = docs.withColumn("_text_row", F.xxhash64("text"))
-    return keyed.join(small(gone, items=F.size("removed")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left").select(*docs.columns, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    joined = keyed.join(small(gone, items=F.size("_classes")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
+    return joined.select(
+        *docs.columns, F.coalesce("_lines", F.array().cast("array<int>")).alias("removed"), F.coalesce("_links", F.lit(0)).alias("links"), F.coalesce("_classes", F.array().cast("array<string>")).alias("classes")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return with_removed(docs).select("doc_id", n_lines.alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+    return with_removed(docs).select(
+        "doc_id", n_lines.alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.col("links").alias("n_links"), F.array_join("classes", ",").alias("line_classes")
+    )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: removes later lines from the texts; a document whose every line with words went goes with them."""
+    """Pipeline stage: removes later lines from the texts; a document whose every line with words went goes with them.
+
+    Null texts and texts without words stay as they are, null ids come last in the order, an empty table stays empty.
+    """
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
     kept = with_removed(docs).withColumn("_kept", text)

@@ -21,13 +21,15 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_words, by_runs, pick, slices, small, spanning_links, stored, table
+from skyloom.llm.common import ascii_words, by_runs, discard, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
-from skyloom.llm.similarity import linked_classes, packed, signature
+from skyloom.llm.similarity import linked_classes, packed, prefix_rows, signatures
+from skyloom.llm.words import Reader, Rolling, mixed, slabs
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
 #: Of the pipeline stage: five words to a shingle, and the Jaccard similarity of shingle sets from which documents are near copies.
@@ -138,58 +140,47 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def set_class(tokens: np.ndarray) -> int:
-    """The class of a sorted set of hashes: equal sets are one class."""
-    return signed(xxhash.xxh64_intdigest(tokens.tobytes(), 42))
+def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """doc_id, h (hash of the text), class of the set of shingles (48 bits each), and once a task for each class that may have a partner its set.
 
-
-def with_set_class(docs: DataFrame, words: int, column: str) -> DataFrame:
-    """Add the class of the shingle set of `text` as a long."""
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_class(np.unique(shingle_hashes(t, words))) for t in texts], dtype="int64")
-
-    return docs.withColumn(column, of("text"))
-
-
-def shingle_prefixes(docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """token, class, shape (size and place) and signature for the prefix of each shingle set, in the order of the hashes.
-
-    A set that is too small for a partner other than an equal one gives no row.
+    size, bits (signature) and tokens (packed, in the order of the hashes) are null otherwise. Texts without words have class 0.
     """
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 100):
-            found = []
-            for text in batch["text"]:
-                tokens = np.unique(shingle_hashes(text, words))
-                n = len(tokens)
-                if not n or ceil(threshold * (n + 1) - 1e-9) > n:
-                    continue
-                k = n - ceil(threshold * n - 1e-9) + 1
-                bits = signed(signature(tokens))
-                found.append((tokens[:k].view(np.int64), np.full(k, set_class(tokens)), n << 32 | np.arange(k), np.full(k, bits)))
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-            yield pd.DataFrame(dict(zip(("token", "class", "shape", "bits"), columns, strict=True)))
-
-    return docs.select("text").mapInPandas(prefixes, "token long, class long, shape long, bits long")
-
-
-def shingle_sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """class and packed shingle set of the classes in `wanted`."""
-
-    @F.pandas_udf("binary")
-    def packed_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([packed(shingle_hashes(t, words)) for t in texts])
-
-    texts = docs.join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
-    return texts.select("class", packed_of("text").alias("tokens"))
-
-
-def similar_texts(docs: DataFrame, words: int = STAGE_WORDS, threshold: float = STAGE_THRESHOLD) -> DataFrame:
-    """(node, component) of the shingle-set classes that verified pairs link to another one; `docs` has text and class."""
-    return linked_classes(shingle_prefixes(docs, words, threshold), lambda wanted: shingle_sets(docs, words, wanted), threshold)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, rolling, seen = Reader(), Rolling(), set()
+        for batch in batches:
+            for slab in slabs(batch.column("text"), reader):
+                shingle, text, _ = slab.windows(rolling, words)
+                key = text.astype(np.uint64) << np.uint64(48) | shingle >> np.uint64(16)
+                key.sort()
+                key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+                of, token = (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+                own = np.diff(np.r_[first, len(of)])
+                n = slab.rows[1] - slab.rows[0]
+                cls, size, bits, sets = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+                if len(first):
+                    spot = of[first]
+                    cls[spot] = mixed(np.add.reduceat(mixed(token + np.uint64(1)), first) + own.astype(np.uint64)).view(np.int64)
+                    size[spot], bits[spot] = own, signatures(token, first).view(np.int64)
+                    for k, f, m in zip(spot.tolist(), first.tolist(), own.tolist(), strict=True):
+                        if ceil(threshold * (m + 1) - 1e-9) <= m and cls[k] not in seen:
+                            seen.add(int(cls[k]))
+                            sets[k] = packed(token[f : f + m])
+                mask = np.array([x is None for x in sets], bool)
+                at = slice(*slab.rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("h")[at], pa.array(cls), pa.array(size.astype(np.int32), mask=mask), pa.array(bits, mask=mask), pa.array(sets, pa.binary())], ["doc_id", "h", "class", "size", "bits", "tokens"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(cut, "doc_id long, h long, class long, size int, bits long, tokens binary")
+
+
+def similar_texts(shingled: DataFrame, threshold: float = STAGE_THRESHOLD) -> DataFrame:
+    """(node, component) of the classes of `shingle_table` that verified pairs link to another one."""
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return shingled.where("tokens is not null").select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+
+    return linked_classes(prefix_rows(shingled, threshold), sets_of, threshold)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_WORDS, threshold: float = STAGE_THRESHOLD) -> DataFrame:
@@ -198,16 +189,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_
     Groups are linked by every pair whose shingle sets have a Jaccard similarity of `threshold`. A fingerprint distance
     only estimates it (9.5 bits on average at 0.8, where unlike texts come near too, and no block key is selective), so the
     pairs come from the exact join of `similarity`: prefixes of the sets, filters, and verification on the whole sets.
-    Documents without words (nothing to compare) all stay.
+    Documents without words (nothing to compare, null texts among them) all stay; a null doc_id comes last; repeated rows
+    leave one; an empty table stays empty.
     """
-    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    keyed = with_set_class(docs.where(worded).select("doc_id", "text"), words, "class")
-    own = stored(keyed.select("doc_id", F.xxhash64("text").alias("_h"), "class"), "classes")
-    classes = own.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("first"))
-    parts = similar_texts(keyed.select("text", "class"), words, threshold)
+    shingled = stored(shingle_table(docs.select("doc_id", "text"), words, threshold), "shingled")
+    classes = shingled.where("class <> 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("first"))
+    parts = similar_texts(shingled, threshold)
     grouped = classes.join(parts, classes["class"] == parts["node"], "left").select(F.coalesce("component", "class").alias("part"), "first")
-    keep = grouped.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._h").alias("_h"))
+    keep = stored(grouped.groupBy("part").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")), "keep")
+    discard(shingled, parts)
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     hashed = docs.withColumn("_text_h", F.xxhash64("text"))
     kept = hashed.where(worded).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h"))).select(*docs.columns)
+    # equal rows of equal id and text: one stays; their number is small, so only they are gathered
     kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(~worded))

@@ -1,168 +1,291 @@
-"""Exact linking of classes that share join keys.
-
-Two classes meet if they share a key. Keys with few classes give all pairs that pass the cheap filters, and each such
-pair is verified by a join with the classes' token sets. Keys with many classes never emit pairs: those of their classes
-that pass the filters with any other are gathered with their sets, verified inside the group, and only links that join
-two parts leave it.
+"""Exact set-similarity join of classes that share join keys.
+
+A class is a set of tokens in one fixed order, rarest first. Two classes meet if they share a key (a token of both
+prefixes, or a band). Inside a key the rows are ordered by size, so each looks only at partners within the length filter;
+place and signature filters follow. Groups in which few pairs survive give these pairs, and each is verified by a join with
+the whole sets. A group in which most pairs survive (near copies of one text), or with more than `MOST` rows, never
+gives pairs: its classes are dealt out as pairs of chunks of bounded size, verified inside these by products of their
+token matrices, and only counts of links or links that join two parts leave them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import by_runs, release, spanning_links, stored
+from skyloom.llm.common import discard, pieces_of_runs, release, stored
 from skyloom.llm.components import connected_components
 
-#: Groups of at most so many classes give pairs.
-FEW = 128
+#: Rows of a group that may give pairs; surviving pairs a row from which a group counts as dense; classes of a chunk.
+MOST, DENSE, CHUNK = 2048, 16, 1024
+#: Pairs looked at together.
+BLOCK = 1 << 20
+#: Bytes of a token in a packed set: two words of a pair of sets meet in one less than once in 10**8 pairs.
+WIDTH = 5
+LOW = (1 << 8 * WIDTH) - 1
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of 64-bit hashes, sorted, five bytes each: two words of a pair of sets meet in one less than once in 10**8 pairs."""
-    low = np.unique(hashes & np.uint64((1 << 40) - 1))
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def packed(tokens: np.ndarray) -> bytes:
+    """The low 40 bits of tokens, five bytes each, in their order."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     return wide.view("<u8").ravel()
 
 
-def jaccard_reached(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
-    """Whether two sorted arrays without repeats reach the threshold."""
-    common = len(p) + len(q) - len(np.union1d(p, q))
-    return common >= threshold * (len(p) + len(q) - common) - 1e-9
+def signatures(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits for each set (sets begin at `first`), each the parity of the tokens that hash to it: sets differ in at least as many tokens as bits."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first) if len(first) else np.zeros(0, np.uint64)
 
 
-def similar_sets(threshold: float):
-    """Whether two packed sets have this Jaccard similarity."""
+def shared_at_least(size_a, size_b, threshold: float):
+    """Tokens that two sets of these sizes must share to reach the Jaccard similarity."""
+    return np.ceil(threshold / (1 + threshold) * (size_a + size_b) - 1e-9)
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard_reached(unpacked(x), unpacked(y), threshold) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return similar
+def reached(common, size_a, size_b, threshold: float):
+    return common >= threshold * (size_a + size_b - common) - 1e-9
 
 
-def signature(tokens: np.ndarray) -> int:
-    """64 bits, each the parity of the tokens that hash to it: two sets differ in at least as many tokens as bits."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (tokens & np.uint64(63)))) if len(tokens) else 0
+def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Tokens of the prefix; 0 for sets so small that only an equal one reaches the threshold."""
+    k = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    return np.where(np.ceil(threshold * (size + 1) - 1e-9) > size, 0, k)
 
 
-def has_partner(groups: np.ndarray, linked) -> np.ndarray:
-    """Which rows pass `linked` with some other row of their run."""
-    flag, live, lag = np.zeros(len(groups), bool), np.arange(len(groups)), 1
-    while len(live):
-        live = live[live + lag < len(groups)]
-        live = live[groups[live] == groups[live + lag]]
-        ask = live[~(flag[live] & flag[live + lag])]
-        hit = ask[linked(ask, ask + lag)]
-        flag[hit] = flag[hit + lag] = True
-        lag += 1
-    return flag
+def prefix_rows(table: DataFrame, threshold: float) -> DataFrame:
+    """token, class, shape (size and place) and bits for the prefix of each set of a table of class, size, bits and tokens (null: not asked)."""
 
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+            k = prefix_length(size, threshold)
+            begin = np.cumsum(size) - size
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            token = unpacked(b"".join(batch.column("tokens").to_pylist()))[np.repeat(begin, k) + place].view(np.int64)
+            of, bits = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), k) for c in ("class", "bits"))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(of), pa.array(np.repeat(size, k) << 32 | place), pa.array(bits)], ["token", "class", "shape", "bits"])
 
-def may_be_similar(size: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    """Length and signature filters: no pair that reaches the threshold fails them."""
-    both = size[i] + size[j]
-    want = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-    return (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want)
+    return table.where("tokens is not null").select("class", "size", "bits", "tokens").mapInArrow(prefixes, "token long, class long, shape long, bits long")
 
 
-def met(keyed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of candidate pairs under keys with few classes; (a, null, token) of the classes under other keys.
+def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataFrame:
+    """(a, b, token, at) of pairs (a < b) that survive the filters, and (a, null, token, null) of the classes of crowded groups.
 
-    `keyed` has token, class, shape (size << 32 | place of the token in the global order) and bits; shape 0 tells nothing.
+    `keyed` has token, class, shape (size << 32 | place of the token in the set) and bits (signature); places tell
+    nothing unless `placed`. `at` is the token's place in a.
     """
 
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
-        fresh = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1])]
-        rows, of, g = rows[fresh], of[fresh], g[fresh]
-        _, at, counts = np.unique(g, return_inverse=True, return_counts=True)
-        few = counts[at] <= FEW
-
-        def filters(keep: np.ndarray):
-            shape, bits = rows["shape"].to_numpy()[keep], rows["bits"].to_numpy().view(np.uint64)[keep]
-            size, place = shape >> 32, shape & 0xFFFFFFFF
+    def crowd(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"a": rows["class"].to_numpy(), "b": pd.array([pd.NA] * len(rows), "Int64"), "token": rows["token"].to_numpy(), "at": pd.array([pd.NA] * len(rows), "Int32")})
 
-            def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        of, g, shape, bits = (rows[c].to_numpy() for c in ("class", "token", "shape", "bits"))
+        fresh = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]) | (shape[1:] != shape[:-1])]
+        of, g, shape, bits = of[fresh], g[fresh], shape[fresh], bits[fresh].view(np.uint64)
+        begin = np.r_[True, g[1:] != g[:-1]]
+        run = np.cumsum(begin) - 1
+        rows_of_run = np.bincount(run)
+        size, place = shape >> 32, shape & 0xFFFFFFFF
+        order = run << 32 | size
+        stop = np.searchsorted(order, run << 32 | np.floor(size / threshold + 1e-9).astype(np.int64), "right")
+        partners = np.where(rows_of_run[run] > MOST, 0, stop - np.arange(len(of)) - 1)
+        ends, hits, survivors, at = np.cumsum(partners), [], np.zeros(len(rows_of_run), np.int64), 0
+        while at < len(of):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+            n = partners[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            both = size[i] + size[j]
+            want = shared_at_least(size[i], size[j], threshold)
+            ok = np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want
+            i, j, want = i[ok], j[ok], want[ok]
+            if placed:
                 # what both share stands before the token in both, or is it, or stands after it in both
-                most = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
-                want = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
-                return (size[i] == 0) | may_be_similar(size, bits, i, j, threshold) & (most >= want)
-
-            return linked
-
-        pairs = np.array(spanning_links(of[few], g[few], filters(few), np.ones(int(few.sum()), bool)), np.int64).reshape(-1, 2)
-        together = pd.DataFrame({"a": of[few][pairs[:, 0]], "b": pd.array(of[few][pairs[:, 1]], "Int64"), "token": g[few][pairs[:, 0]]})
-        crowd = np.flatnonzero(~few)
-        crowd = crowd[has_partner(g[crowd], filters(crowd))]
-        return pd.concat([together, pd.DataFrame({"a": of[crowd], "b": pd.array([pd.NA] * len(crowd), "Int64"), "token": g[crowd]})])
-
-    ordered = keyed.repartition("token").sortWithinPartitions("token", "class")
-    return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long, token long")
-
+                ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= want
+                i, j = i[ok], j[ok]
+            survivors += np.bincount(run[i], minlength=len(survivors))
+            keep = survivors[run[i]] <= DENSE * rows_of_run[run[i]]
+            hits.append((i[keep], j[keep]))
+            at = to
+        i, j = (np.concatenate(x) if hits else np.zeros(0, np.int64) for x in (list(zip(*hits, strict=True)) or [[], []]))
+        crowded = (survivors > DENSE * rows_of_run) | (rows_of_run > MOST)
+        keep = ~crowded[run[i]]
+        i, j = i[keep], j[keep]
+        i, j = np.where(of[i] < of[j], i, j), np.where(of[i] < of[j], j, i)
+        pairs = pd.DataFrame({"a": of[i], "b": pd.array(of[j], "Int64"), "token": g[i], "at": pd.array(place[i].astype(np.int32), "Int32")})
+        if not crowded.any():
+            return pairs
+        return pd.concat([pairs, crowd(pd.DataFrame({"class": of, "token": g})[crowded[run]])])
+
+    def handle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, whole in pieces_of_runs(batches, "token", MOST):
+            # a piece of a run that is too long to be held: its classes are dealt out whatever their partners
+            yield found(rows) if whole else crowd(rows)
+
+    ordered = keyed.repartition("token").sortWithinPartitions("token", "shape", "class")
+    return ordered.mapInPandas(handle, "a long, b long, token long, at int")
+
+
+def overlaps(flat_a: np.ndarray, sizes_a: np.ndarray, flat_b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sets one after another: how many tokens they share, and the place in a of the first (or the size of a)."""
+    pair_a, pair_b = (np.repeat(np.arange(len(z), dtype=np.uint64), z) << np.uint64(8 * WIDTH) for z in (sizes_a, sizes_b))
+    own = pair_a | flat_a
+    every = np.concatenate([own, pair_b | flat_b])
+    every.sort()
+    common = every[:-1][every[1:] == every[:-1]]
+    count = np.bincount((common >> np.uint64(8 * WIDTH)).astype(np.int64), minlength=len(sizes_a))
+    at = np.searchsorted(common, own)
+    is_common = np.zeros(len(own), bool)
+    is_common[at < len(common)] = common[at[at < len(common)]] == own[at < len(common)]
+    begin = np.cumsum(sizes_a) - sizes_a
+    place = np.arange(len(own)) - np.repeat(begin, sizes_a)
+    first = np.minimum.reduceat(np.where(is_common, place, np.repeat(sizes_a, sizes_a)), begin) if len(begin) else begin
+    return count, first
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, token, at) that reach the threshold and share no token before `at` (null: not asked)."""
+    one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
 
-def links_in_groups(rows: DataFrame, threshold: float) -> DataFrame:
-    """Spanning links (a, b) of verified pairs among the classes under each token; rows of (token, class, tokens)."""
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series, at: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), bool)
+        for k in range(0, len(a), 512):
+            x, y = a.iloc[k : k + 512].tolist(), b.iloc[k : k + 512].tolist()
+            sizes_a, sizes_b = (np.array([len(s) // WIDTH for s in z], np.int64) for z in (x, y))
+            common, first = overlaps(unpacked(b"".join(x)), sizes_a, unpacked(b"".join(y)), sizes_b)
+            due = at.iloc[k : k + 512].fillna(-1).to_numpy(np.int64)
+            out[k : k + 512] = reached(common, sizes_a, sizes_b, threshold) & ((due < 0) | (first == due))
+        return pd.Series(out)
+
+    return pairs.join(one, "a").join(two, "b").where(similar("a_tokens", "b_tokens", "at")).select("a", "b")
+
+
+def link_matrix(left: list[np.ndarray], right: list[np.ndarray], token: int, threshold: float, counted: bool) -> np.ndarray:
+    """Which sets of `left` and `right` are linked; if `counted`, only pairs whose first common token is `token`."""
+    sizes_l, sizes_r = (np.array([len(s) for s in z], np.float32) for z in (left, right))
+    flat = np.concatenate([*left, *right])
+    vocabulary, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(left) + len(right)), np.r_[sizes_l, sizes_r].astype(np.int64))
+    shared = often[column] > 1
+    number = np.cumsum(often > 1) - 1
+    row_s, column_s = row[shared], number[column[shared]]
+    before = None
+    if counted:
+        place = np.flatnonzero(flat == np.uint64(token))
+        limit = np.full(len(left) + len(right), -1)
+        limit[row[place]] = place
+        before = (np.arange(len(flat)) < limit[row])[shared]
+
+    def products(row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, CHUNK):
+            part = (column >= at) & (column < at + CHUNK)
+            x = np.zeros((len(left) + len(right), CHUNK), np.float32)
+            x[row[part], column[part] - at] = 1
+            total += x[: len(left)] @ x[len(left) :].T
+        return total
+
+    linked = reached(products(row_s, column_s), sizes_l[:, None], sizes_r[None, :], threshold)
+    if before is not None:
+        linked &= products(row_s[before], column_s[before]) == 0
+    return linked
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a square link matrix, breadth first."""
+    left, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root] = False
+        front = [root]
+        while front:
+            x = front.pop()
+            new = np.flatnonzero(linked[x] & left)
+            left[new] = False
+            out += [(x, y) for y in new.tolist()]
+            front += new.tolist()
+    return out
+
+
+def crowd_chunks(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of crowded groups (class, token) with their sets, dealt out as pairs of chunks: token, g, own, i, j, class, tokens and the rest of `sets`."""
+    chunks = crowds.groupBy("token").count().select("token", F.ceil(F.col("count") / CHUNK).cast("int").alias("c"))
+    own = F.pmod(F.xxhash64("class", "token"), F.col("c")).cast("int")
+    dealt = crowds.join(chunks, "token").withColumn("own", own)
+    pair = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
+    spread = dealt.select("class", "token", "own", F.explode(pair).alias("ij")).select("class", "token", "own", "ij.i", "ij.j", F.xxhash64("token", "ij.i", "ij.j").alias("g"))
+    return spread.join(sets, "class")
+
+
+def crowd_counts(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(class, n, earlier): links of each class whose first common token is the group's, and whether one has a smaller `first`."""
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("first")
+        tokens = [unpacked(x) for x in rows["tokens"]]
+        j, own, of = int(rows["j"].iloc[0]), rows["own"].to_numpy(), rows["class"].to_numpy()
+        same = int(rows["i"].iloc[0]) == j
+        left = np.flatnonzero(own != j) if not same else np.arange(len(rows))
+        right = np.flatnonzero(own == j)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"class": [], "n": [], "earlier": []})
+        linked = link_matrix([tokens[k] for k in left], [tokens[k] for k in right], int(rows["token"].iloc[0]), threshold, True)
+        if same:
+            np.fill_diagonal(linked, False)
+        before = left[:, None] < right[None, :]
+        parts = [(right, linked.sum(axis=0), (linked & before).any(axis=0))]
+        if not same:
+            parts.append((left, linked.sum(axis=1), (linked & ~before).any(axis=1)))
+        out = pd.DataFrame({"class": np.concatenate([of[p[0]] for p in parts]), "n": np.concatenate([p[1] for p in parts]).astype(np.int64), "earlier": np.concatenate([p[2] for p in parts])})
+        return out[out["n"] > 0]
+
+    return crowd_chunks(crowds, sets.select("class", "tokens", "first")).groupBy("g").applyInPandas(counted, "class long, n long, earlier boolean")
+
+
+def crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join two parts, among the classes of crowded groups."""
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        of, g = rows["class"].to_numpy(), rows["token"].to_numpy()
-        sets = [unpacked(x) for x in rows["tokens"]]
-        size, bits = np.array([len(x) for x in sets]), np.array([signature(x) for x in sets], np.uint64)
+        tokens, of = [unpacked(x) for x in rows["tokens"]], rows["class"].to_numpy()
+        links = spanning(link_matrix(tokens, tokens, 0, threshold, False))
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": of[ends[:, 0]], "b": of[ends[:, 1]]})
 
-        def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            ok = may_be_similar(size, bits, i, j, threshold)
-            for k in np.flatnonzero(ok):
-                ok[k] = jaccard_reached(sets[i[k]], sets[j[k]], threshold)
-            return ok
+    return crowd_chunks(crowds, sets.select("class", "tokens")).groupBy("g").applyInPandas(found, "a long, b long")
 
-        pairs = np.array(spanning_links(of, g, linked), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": of[pairs[:, 0]], "b": of[pairs[:, 1]]})
 
-    ordered = rows.repartition("token").sortWithinPartitions("token", "class")
-    return ordered.mapInPandas(lambda batches: by_runs(batches, "token", found), "a long, b long")
+def split_candidates(keyed: DataFrame, threshold: float, placed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored pairs (a, b, token, at), each once with its earliest token; crowds (class, token); and all classes of both."""
+    found = stored(candidates(keyed, threshold, placed), "candidates")
+    release(keyed.sparkSession)
+    pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.min("at").alias("at")), "pairs")
+    crowds = stored(found.where("b is null").select(F.col("a").alias("class"), "token").distinct(), "crowds")
+    discard(found)
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).union(crowds.select("class")).distinct(), "wanted")
+    return pairs, crowds, wanted
 
 
-#: Rounds that verify one candidate of each class before all that are left are verified.
-FIRST_ROUNDS = 2
-
-
-def linked_classes(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def linked_classes(keyed: DataFrame, sets_of, threshold: float, placed: bool = True) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
-    `sets_of` gives class and tokens for the column `class` of a table. Candidates are narrow rows, but verifying one
-    moves two sets. So the first rounds verify one candidate of each class; pairs that are connected by then need no
-    verification, and all others get it in the end.
+    `sets_of` gives class and tokens for the column `class` of a table.
     """
-    spark = keyed.sparkSession
-    found = stored(met(keyed, threshold), "met")
-    release(spark)
-    crowds = found.where("b is null").select(F.col("a").alias("class"), "token")
-    wanted = stored(found.select(F.explode(F.array("a", "b")).alias("class")).where("class is not null").distinct(), "wanted")
+    pairs, crowds, wanted = split_candidates(keyed, threshold, placed)
     sets = stored(sets_of(wanted), "sets")
-    release(spark)
-    one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    similar = similar_sets(threshold)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(one, "a").join(two, "b").where(similar("a_tokens", "b_tokens")).select("a", "b")
-
-    left = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = links_in_groups(crowds.join(sets, "class"), threshold)
-    for _ in range(FIRST_ROUNDS):
-        asked = stored(left.groupBy("b").agg(F.min("a").alias("a")), "asked")
-        links = stored(links.union(verified(asked)), "links")
-        release(spark)
-        parts = connected_components(links)
-        of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
-        apart = left.join(asked, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
-        left = stored(apart.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "left")
-    return stored(connected_components(links.union(verified(left))), "parts")
+    asked = pairs.withColumn("at", F.lit(None).cast("int"))
+    links = stored(verified(asked, sets, threshold).union(crowd_links(crowds, sets, threshold)), "links")
+    release(keyed.sparkSession)
+    parts = stored(connected_components(links), "parts")
+    discard(sets, wanted, crowds, links)
+    return parts

@@ -278,23 +278,27 @@ def test_mix_of_odd_rows(spark, tmp_path):
 # 8
 
 
-def brute_lines(texts: dict[int, str | None], threshold: float = 0.8):
-    rows = [(i, k, frozenset(s)) for i, t in sorted(texts.items()) for k, s in enumerate(lines.token_sets(t)) if s]
-    n = len(rows)
-    part = list(range(n))
+def line_sets(text: str | None) -> list[frozenset]:
+    return [frozenset(line.split()) for line in text.encode().lower().split(b"\n")] if text else []
 
-    def find(x):
-        while part[x] != x:
-            x = part[x]
-        return x
 
-    for a in range(n):
-        for b in range(a):
-            both = len(rows[a][2] & rows[b][2])
-            if both >= threshold * (len(rows[a][2]) + len(rows[b][2]) - both) - 1e-9:
-                x, y = find(a), find(b)
-                part[max(x, y)] = min(x, y)
-    return {i: sorted(k for j, (d, k, _) in enumerate(rows) if d == i and find(j) != j) for i in texts}
+def brute_lines(texts: dict[int, str | None], threshold: float = 0.8) -> tuple[dict, dict]:
+    """By document: the lines with an earlier line of the same or a similar set, and the number of other sets that their sets reach."""
+    rows = [(i, k, s) for i, t in sorted(texts.items()) for k, s in enumerate(line_sets(t)) if s]
+    first: dict[frozenset, int] = {}
+    for at, (_, _, s) in enumerate(rows):
+        first.setdefault(s, at)
+    sets = list(first)
+    near = {s: [x for x in sets if x != s and len(s & x) >= threshold * len(s | x) - 1e-9] for s in sets}
+    goes = [first[s] < at or any(first[x] < first[s] for x in near[s]) for at, (_, _, s) in enumerate(rows)]
+    removed = {i: sorted(k for (d, k, _), g in zip(rows, goes, strict=True) if d == i and g) for i in texts}
+    return removed, {i: sum(len(near[s]) for s in set(line_sets(t)) if s) for i, t in texts.items()}
+
+
+def check_lines(spark, texts: dict[int, str | None]):
+    got = lines.with_removed(spark.createDataFrame(list(texts.items()), DOC)).collect()
+    removed, links = brute_lines(texts)
+    assert {x["doc_id"]: x["removed"] for x in got} == removed and {x["doc_id"]: x["links"] for x in got} == links
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -308,8 +312,31 @@ def test_line_dedup_equals_brute_force(spark):
         return " ".join(w)
 
     texts = {i: "\n".join([variant(r.choice(base)) for _ in range(4)] + [sentence(900 + i, 10), ""]) for i in range(25)} | {100: None, 101: "", 102: "one\none\nOne  one"}
-    got = {x["doc_id"]: x["removed"] for x in lines.with_removed(spark.createDataFrame(list(texts.items()), DOC)).collect()}
-    assert got == brute_lines(texts)
+    check_lines(spark, texts)
+
+
+def test_a_crowd_of_near_copies_keeps_all_links(spark):
+    """Near copies of one line, all different, are verified in chunks; chains and unlike lines of the same rare word too."""
+    r = random.Random(17)
+    base = sentence(8, 40).split()
+    near = [" ".join(f"n{k}" if at == r.randrange(40) else w for at, w in enumerate(base)) for k in range(90)]
+    chain = [" ".join(f"c{j}" for j in range(k, k + 20)) for k in range(0, 80, 2)]
+    apart = [" ".join(["zzzrare", *sentence(4000 + k, 18).split()]) for k in range(80)]
+    every = near + chain + apart
+    r.shuffle(every)
+    texts = {i: "\n".join(every[5 * i : 5 * i + 5]) for i in range(len(every) // 5)}
+    check_lines(spark, texts)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(similarity, "CHUNK", 16)
+        m.setattr(similarity, "MOST", 20)
+        check_lines(spark, texts)
+
+
+def test_lines_of_the_query(spark, tmp_path):
+    rows = [(1, "a b c\nx y z w v\n"), (2, "v w z y x\nnew one here"), (3, None), (None, "a b c"), (4, "a b c"), (4, "a b c"), (5, "")]
+    d = with_tables(spark, tmp_path, documents=spark.createDataFrame(rows, DOC))
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["removed_lines"], r["n_links"]) for r in lines.query(spark, d).collect()), key=str)
+    assert got == sorted([(1, 3, 0, "", 0), (2, 2, 1, "0", 0), (3, 0, 0, "", 0), (None, 1, 1, "0", 0), (4, 1, 1, "0", 0), (4, 1, 1, "0", 0), (5, 1, 0, "", 0)], key=str)
 
 
 def test_failed_candidates_hide_no_link(spark):
@@ -317,8 +344,7 @@ def test_failed_candidates_hide_no_link(spark):
     r = random.Random(11)
     core = [f"c{i}" for i in range(16)]
     texts = {i: " ".join(["rareandlongtoken", *core[: 13 + i % 3], *[f"u{r.randrange(12)}" for _ in range(4)]]) for i in range(60)}
-    got = {x["doc_id"]: x["removed"] for x in lines.with_removed(spark.createDataFrame(list(texts.items()), DOC)).collect()}
-    assert got == brute_lines(texts)
+    check_lines(spark, texts)
 
 
 # 9
@@ -476,8 +502,32 @@ def test_spanning_links_reach_every_pair():
                     assert part[i] == part[j]
 
 
-def test_similar_sets_threshold(spark):
-    pack = lambda xs: similarity.packed(np.array(list(xs), np.uint64))
-    assert list(similarity.unpacked(pack([5, 3, 1 << 39]))) == [3, 5, 1 << 39]
-    df = spark.createDataFrame([(bytearray(pack(range(10))), bytearray(pack(range(2, 10)))), (bytearray(pack(range(10))), bytearray(pack(range(3, 10))))], "a binary, b binary")
-    assert [r[0] for r in df.select(similarity.similar_sets(0.8)("a", "b")).collect()] == [True, False]
+def test_overlaps_of_pairs():
+    pack = lambda xs: similarity.packed(np.array(xs, np.uint64))
+    assert list(similarity.unpacked(pack([5, 3, 1 << 39]))) == [5, 3, 1 << 39]
+    a, b = [[4, 9, 1], [7], [3, 2]], [[1, 9], [8], [2, 3, 5]]
+    flat = lambda z: np.concatenate([np.array(x, np.uint64) for x in z])
+    common, first = similarity.overlaps(flat(a), np.array([3, 1, 2]), flat(b), np.array([2, 1, 3]))
+    assert list(common) == [2, 0, 2] and list(first) == [1, 1, 0]
+
+
+def test_words_of_slabs():
+    import pyarrow as pa
+
+    from skyloom.llm import words
+
+    reader, rolling = words.Reader(), words.Rolling()
+    texts = ["Hello  wOrld\nab\n\ncd", "", None, "x", "\u00e9\u00c0 ZZ\n", " lead\n\n", "a" * 300_000 + " b c", "b c"]
+    known: dict[bytes, int] = {}
+    for most in (1, 10, 1 << 20):
+        for slab in words.slabs(pa.array(texts), reader, most):
+            own = [t or "" for t in texts[slab.rows[0] : slab.rows[1]]]
+            want = [(i, w, n) for i, t in enumerate(own) for n, line in enumerate(t.split("\n")) for w in line.encode().split()]
+            at, text, number = slab.lines()
+            assert [(int(slab.text[k]), bytes(slab.raw[a:b]), int(number[at[k]])) for k, (a, b) in enumerate(zip(slab.starts, slab.stops, strict=True))] == want
+            assert [int(text[x]) for x in at] == [i for i, _, _ in want]
+            for (_, w, _), h in zip(want, slab.hashes.tolist(), strict=True):
+                assert known.setdefault(w.lower(), h) == h
+            _, of, start = slab.windows(rolling, 3)
+            assert [(int(i), int(s - slab.bounds[i])) for i, s in zip(of, start, strict=True)] == [(i, s) for i, t in enumerate(own) if t.split() for s in range(max(1, len(t.split()) - 2))]
+    assert len(set(known.values())) == len(known)
