@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import discard, pick, release, small, stored, table
-from skyloom.llm.similarity import WIDTH, crowd_counts, packed, prefix_length, prefix_rows, signatures, split_candidates, verified
+from skyloom.llm.similarity import WIDTH, crowd_counts, packed, prefix_length, prefix_rows, signatures, split_candidates, verified, with_signatures
 from skyloom.llm.words import Reader, mixed, slabs
 
 THRESHOLD = 0.8
@@ -140,7 +140,7 @@ def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHO
     """(class, links, earlier): how many other classes reach the threshold, and whether one of them comes first; none for classes without."""
     pairs, crowds, wanted = split_candidates(prefix_rows(lines, threshold), threshold, True)
     own = lines.where("tokens is not null").select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = stored(own, "sets")
+    sets = stored(with_signatures(own), "sets")
     links = stored(verified(pairs, sets, threshold), "links")
     discard(pairs)
     release(lines.sparkSession)

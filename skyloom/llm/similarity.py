@@ -152,9 +152,38 @@ def overlaps(flat_a: np.ndarray, sizes_a: np.ndarray, flat_b: np.ndarray, sizes_
     return count, first
 
 
+#: Signatures of the second filter, 64 bits each.
+WIDE = 4
+
+
+def with_signatures(sets: DataFrame) -> DataFrame:
+    """`sets` (class, tokens) with WIDE * 64 bits of signature, for sets too large for 64 bits to tell apart."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("tokens").to_pylist()
+            size = np.array([len(x) // WIDTH for x in data], np.int64)
+            token = unpacked(b"".join(data))
+            word, first = (token >> np.uint64(6)) % np.uint64(WIDE), np.cumsum(size) - size
+            bit = np.uint64(1) << (token & np.uint64(63))
+            wide = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), first).view(np.int64) if len(first) else np.zeros(0, np.int64) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("tokens"), pa.array(size.astype(np.int32)), *map(pa.array, wide)], ["class", "tokens", "n", *[f"s{k}" for k in range(WIDE)]])
+
+    return sets.select("class", "tokens").mapInArrow(signed, "class long, tokens binary, n int" + "".join(f", s{k} long" for k in range(WIDE)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs (a, b, token, at) that reach the threshold and share no token before `at` (null: not asked)."""
-    one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
+    """(a, b) of the pairs (a, b, at) that reach the threshold and share no token before `at` (null: not asked).
+
+    `sets` is stored with signatures. Pairs meet the wide signatures first, so whole sets move for those only that may well be linked.
+    """
+    bits = ["n", *[f"s{k}" for k in range(WIDE)]]
+    one, two = (sets.select(F.col("class").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in bits]) for c in "ab")
+    met = pairs.select("a", "b", "at").join(one, "a").join(two, "b")
+    apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(WIDE)), F.lit(0))
+    both = F.col("a_n") + F.col("b_n")
+    may = stored(met.where(apart <= both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)).select("a", "b", "at"), "may")
+    first, second = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series, at: pd.Series) -> pd.Series:
@@ -162,12 +191,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for k in range(0, len(a), 512):
             x, y = a.iloc[k : k + 512].tolist(), b.iloc[k : k + 512].tolist()
             sizes_a, sizes_b = (np.array([len(s) // WIDTH for s in z], np.int64) for z in (x, y))
-            common, first = overlaps(unpacked(b"".join(x)), sizes_a, unpacked(b"".join(y)), sizes_b)
+            common, place = overlaps(unpacked(b"".join(x)), sizes_a, unpacked(b"".join(y)), sizes_b)
             due = at.iloc[k : k + 512].fillna(-1).to_numpy(np.int64)
-            out[k : k + 512] = reached(common, sizes_a, sizes_b, threshold) & ((due < 0) | (first == due))
+            out[k : k + 512] = reached(common, sizes_a, sizes_b, threshold) & ((due < 0) | (place == due))
         return pd.Series(out)
 
-    return pairs.join(one, "a").join(two, "b").where(similar("a_tokens", "b_tokens", "at")).select("a", "b")
+    return may.join(first, "a").join(second, "b").where(similar("a_tokens", "b_tokens", "at")).select("a", "b")
 
 
 def link_matrix(left: list[np.ndarray], right: list[np.ndarray], token: int, threshold: float, counted: bool) -> np.ndarray:
@@ -282,7 +311,7 @@ def linked_classes(keyed: DataFrame, sets_of, threshold: float, placed: bool = T
     `sets_of` gives class and tokens for the column `class` of a table.
     """
     pairs, crowds, wanted = split_candidates(keyed, threshold, placed)
-    sets = stored(sets_of(wanted), "sets")
+    sets = stored(with_signatures(sets_of(wanted)), "sets")
     asked = pairs.withColumn("at", F.lit(None).cast("int"))
     links = stored(verified(asked, sets, threshold).union(crowd_links(crowds, sets, threshold)), "links")
     release(keyed.sparkSession)
