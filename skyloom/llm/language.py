@@ -21,26 +21,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, remainder, small, table
+from skyloom.llm.common import pick, remainder, small, stored, table
 
 PER_LANGUAGE, LONGEST, LEAST_COUNT = 1500, 5, 2
+#: Letters and numerals that are no decimal digits, such as fractions; `words_of` takes these numerals out.
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker keeps.
 REMEMBERED = 100_000
 REJECT_BELOW = 0.5
 
 
+def words_of(text: str | None) -> Counter:
+    """Words of a text, lower-cased, with their counts: runs of characters of the letter categories."""
+    found = Counter(WORD.findall(text.lower())) if text else Counter()
+    for word in [w for w in found if not w.isalpha()]:
+        n = found.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            found[part] += n
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"<{word}>"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)] if n > 1 else list(word)
 
 
 def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """text and lang of at most `per_language` documents a language (more only where hashes tie)."""
+    """text and lang of at most `per_language` documents a language, those with the smallest hashes; of rows with equal hashes all or none."""
     order = Window.partitionBy("lang").orderBy("h")
-    keyed = docs.where("lang is not null").withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    cut = keyed.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("cut"))
-    return keyed.join(small(cut), "lang").where("h <= cut").select("lang", "text")
+    keyed = docs.where("lang is not null").withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    first = keyed.select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language + 1)
+    cut = first.groupBy("lang").agg(F.max(F.when(F.col("r") <= per_language, F.col("h"))).alias("cut"), F.max(F.when(F.col("r") > per_language, F.col("h"))).alias("over"))
+    return keyed.join(small(stored(cut, "cuts")), "lang").where((F.col("h") <= F.col("cut")) & (F.col("over").isNull() | (F.col("h") < F.col("over")))).select("lang", "text")
 
 
 #: Languages, and for words (0) and n-grams of each order the row of every key and its log frequencies by language.
@@ -82,7 +94,7 @@ def predictor(langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]])
         return have
 
     def predict(text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall(text.lower())) if text else None
+        words = words_of(text)
         if not words or not langs:
             return "und", 0.0
         mean = np.array(list(words.values()), np.float64) @ np.array([of_word(w) for w in words], np.float64) / words.total()
@@ -100,7 +112,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for batch in batches:
             found: Counter = Counter()
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                for word, n in Counter(WORD.findall(text.lower()) if text else []).items():
+                for word, n in words_of(text).items():
                     found[lang, 0, word] += n
                     for order in range(1, LONGEST + 1):
                         for g in grams(word, order):
@@ -132,6 +144,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejects documents without letters and those that no known language clearly fits."""
+    """Pipeline stage: rejects documents without letters (null texts among them) and those that no known language clearly fits.
+
+    Null ids, null languages and repeated rows are judged by their text alone; an empty table stays empty.
+    """
     model = fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
     return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*docs.columns)
