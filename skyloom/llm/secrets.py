@@ -1,8 +1,12 @@
 """Operator 4: secret scans over an incremental blob ledger (built-in functions only).
 
-A text is addressed by its SHA-256. The ledger holds a row for every (blob, rule version) that has been scanned, with
-its findings, none included. A run scans only the pairs that the ledger lacks, each distinct text once however many
-documents or versions hold it, and joins the ledger's findings back to every document (path) of the blob.
+A text is addressed by its SHA-256. The ledger is a Parquet table with a row for every blob and the rule versions that one
+run has scanned it by, with the findings, none included. A run (`scan_into`) scans only the pairs of blob and rule version
+that the ledger lacks, each distinct text once however many documents or versions hold it, appends them, and joins the
+ledger's findings back to every document (path) of the blob. A finding names its rule version: those of versions that are
+no longer current are left out, so a changed rule replaces its old findings.
+
+Only texts that pass a rule's cheap test are shuffled (to take each blob once); the others move as their hash alone.
 
 A rule's matches are leftmost and non-overlapping; those whose captured group is too short are dropped afterwards, so a
 failed match still consumes its text. Places come from lengths: the pieces between matches and the matches alternate.
@@ -13,10 +17,14 @@ repeated rows get equal rows; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, small, stored, table
+from skyloom.llm.common import discard, pick, shared_dir, small, stored, table
 
 #: kind, version, pattern, group whose length counts, least length, cheap test that a text must pass. In the order of kinds.
 RULES = (
@@ -30,13 +38,19 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 ORDER = {r[0]: i for i, r in enumerate(RULES)}
-FINDING = "array<struct<start:long,rank:int,stop:long,kind:string>>"
+FINDING = "array<struct<start:long,rank:int,stop:long,kind:string,rule:string>>"
+LEDGER = f"blob binary, rules array<string>, findings {FINDING}"
 
 
 def rule_key(rule: tuple) -> str:
     return f"{rule[0]}@{rule[1]}"
 
 
+def passes(rule: tuple) -> Column:
+    """The cheap test of a rule on the column text."""
+    return F.rlike("text", F.lit(rule[5])) if any(c in rule[5] for c in "[(?") else F.contains("text", F.lit(rule[5]))
+
+
 def scan(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """Findings (blob, todo, kind, start, stop) of distinct texts (blob, text, todo), by the rules whose key is in `todo`.
 
@@ -44,8 +58,8 @@ def scan(blobs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """
 
     def measured(rule: tuple):
-        kind, _, pattern, group, least, test = rule
-        due = F.array_contains("todo", rule_key(rule)) & (F.rlike("text", F.lit(test)) if any(c in test for c in "[(?") else F.contains("text", F.lit(test)))
+        kind, _, pattern, group, least, _ = rule
+        due = F.array_contains("todo", rule_key(rule)) & passes(rule)
         lengths = F.arrays_zip(
             F.transform(F.split("text", pattern, -1), F.length).alias("gap"),
             F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.length).alias("len"),
@@ -70,34 +84,46 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple = RU
     `findings` are sorted by start, then by the order of the rules. Append the rows to the ledger's table.
     """
     keys = F.array(*[F.lit(rule_key(r)) for r in rules])
-    text = F.coalesce("text", F.lit(""))
-    blobs = docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    worth = reduce(or_, [passes(r) for r in rules], F.lit(False))
+    blobs = text.select(F.unhex(F.sha2("text", 256)).alias("blob"), F.when(worth, F.col("text")).alias("text")).groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
     if ledger is None:
         due = blobs.withColumn("todo", keys)
     else:
         done = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         due = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    rank = F.element_at(F.create_map(*[F.lit(x) for kind in ORDER.items() for x in kind]), F.col("kind"))
-    return scan(due, rules).groupBy("blob").agg(
-        F.first("todo").alias("rules"), F.sort_array(F.filter(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "stop", "kind"))), lambda x: x.isNotNull())).alias("findings")
-    )
+    rank, rule = (F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("kind")) for table in (ORDER, {r[0]: rule_key(r) for r in rules}))
+    one = F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "stop", "kind", rule.alias("rule")))
+    return scan(due, rules).groupBy("blob").agg(F.first("todo").alias("rules"), F.sort_array(F.filter(F.collect_list(one), lambda x: x.isNotNull())).cast(FINDING).alias("findings"))
 
 
-def findings_by_path(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """`docs` with the ledger's findings of their blob, under whatever rules have been run on it."""
-    hits = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
+def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """`docs` with the ledger's findings of their blob by the current versions of the rules, each once."""
+    current = F.filter(F.array_distinct(F.flatten(F.collect_list("findings"))), lambda x: x["rule"].isin(*[rule_key(r) for r in rules]))
+    hits = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(current).alias("_findings"))
     keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = keyed.join(small(hits.withColumnRenamed("blob", "_blob")), "_blob", "left")
-    return joined.select(*docs.columns, F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+    joined = keyed.join(small(stored(hits.withColumnRenamed("blob", "_blob"), "hits"), items=F.size("_findings")), "_blob", "left")
+    return joined.select(*docs.columns, F.coalesce("_findings", F.array().cast(FINDING)).alias("findings"))
+
+
+def scan_into(docs: DataFrame, path: str, rules: tuple = RULES) -> DataFrame:
+    """`docs` with their findings; what the ledger at `path` (made if it is not there) lacks is scanned and appended first."""
+    spark = docs.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    new = stored(scan_new(docs, spark.read.schema(LEDGER).parquet(path), rules), "scanned")
+    new.write.mode("append").parquet(path)
+    discard(new)
+    return findings_by_path(docs, spark.read.schema(LEDGER).parquet(path), rules)
 
 
 def written(findings) -> F.Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """The documents' spans. `ledger` is the path of a ledger that runs share; without one the run makes its own, in the shared folder."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = findings_by_path(docs, stored(scan_new(docs), "ledger"))
+    found = scan_into(docs, ledger or f"{shared_dir(spark).rstrip('/')}/skyloom/ledger-{uuid.uuid4().hex}")
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("findings", lambda x: x["kind"].isin(*BASE))
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("findings")).alias("spans"))
