@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -67,8 +68,6 @@ def test_same_rows_as_duckdb(spark, name):
 
 
 def brute_hits(text: str | None, items: list[tuple[object, str]], window: int = 10):
-    import re
-
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, ids = words(text), set(), set()
     for item, t in items:
@@ -156,6 +155,65 @@ def test_language_of_odd_texts(spark, docs_of):
     assert {r["lang_pred"] for r in language.identify(docs_of, none).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    assert language.words_of("\u00bd \u00b2 12 \u2460 3") == {} and language.words_of("x\u00b2 m\u00b3 X") == {"x": 2, "m": 1}
+    train = spark.createDataFrame([(i, "de", "der hund und die katze", ) for i in range(3)], "doc_id long, lang string, text string")
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "12 \u2460 3"), (3, "hund")], DOC)
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.fit(train)).collect()} == {1: "und", 2: "und", 3: "de"}
+
+
+def test_training_sample_keeps_its_bound(spark):
+    docs = spark.createDataFrame([(None, "en", "same text")] * 30 + [(i, "en", f"text {i}") for i in range(30)] + [(i, "de", f"text {i}") for i in range(3)], "doc_id long, lang string, text string")
+    n = {r["lang"]: r["count"] for r in language.training_sample(docs, 10).groupBy("lang").count().collect()}
+    assert 0 < n.get("en", 1) <= 10 and n["de"] == 3
+
+
+def brute_language(rows: list[tuple], per_language: int) -> dict:
+    """Word-first backing off with plain loops, over the same training rows."""
+    import math
+
+    counts: dict = {}
+    for _, lang, text in rows:
+        for w in re.findall(r"[a-z]+", text.lower()):
+            for kind, keys in [(0, [w])] + [(n, [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)) for n in range(1, 6)]:
+                for k in keys:
+                    counts.setdefault(kind, {}).setdefault(k, {}).setdefault(lang, 0)
+                    counts[kind][k][lang] += 1
+    langs = sorted({r[1] for r in rows})
+    known = {kind: {k: c for k, c in ((k, {x: n for x, n in c.items() if n >= 2}) for k, c in table.items()) if c} for kind, table in counts.items()}
+    total = {kind: {x: sum(c.get(x, 0) for c in table.values()) for x in langs} for kind, table in known.items()}
+
+    def log(kind, key):
+        return [math.log(known[kind][key].get(x, 0) + 0.5) - math.log(total[kind][x] + 0.5 * (len(known[kind]) + 1)) for x in langs]
+
+    def score(w):
+        if w in known[0]:
+            return log(0, w)
+        for n in range(5, 0, -1):
+            own = [log(n, g) for g in ([f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)) if g in known[n]]
+            if own:
+                return [sum(c) / len(own) for c in zip(*own, strict=True)]
+        return [0.0] * len(langs)
+
+    out = {}
+    for i, _, text in rows:
+        words = re.findall(r"[a-z]+", text.lower())
+        mean = [sum(c) / len(words) for c in zip(*map(score, words), strict=True)]
+        odds = [math.exp(2 * (m - max(mean))) for m in mean]
+        out[i] = (langs[odds.index(max(odds))], max(odds) / sum(odds))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    r = random.Random(9)
+    stems = {"aa": ["kala", "talo", "vesi", "puu"], "bb": ["haus", "wasser", "baum", "kala"]}
+    rows = [(i, lang, " ".join(r.choice(stems[lang]) + r.choice(["", "n", "st", "ssa"]) for _ in range(5))) for i in range(40) for lang in [r.choice(["aa", "bb"])]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.identify(docs, language.fit(docs)).collect()}
+    want = brute_language(rows, 100)
+    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-4) for i in want)
+
+
 # 4
 
 
@@ -168,11 +226,30 @@ def test_ledger_scans_only_what_is_new(spark, docs_of):
     grown = docs_of.union(spark.createDataFrame([(70, "token: zzzzzz9 AKIA" + "A" * 16)], DOC))
     new = common.stored(secrets.scan_new(grown, first.unionByName(more), secrets.RULES[:2]), "t")
     assert new.count() == 1 and [f["kind"] for f in new.first()["findings"]] == ["assign", "access"]
-    paths = secrets.findings_by_path(grown, first.unionByName(new))
+    paths = secrets.findings_by_path(grown, first.unionByName(new), secrets.RULES[:2])
     spans = {r["doc_id"]: [(f["start"], f["stop"]) for f in r["findings"]] for r in paths.collect()}
     assert spans[7] == [(2, 22)] and spans[70][0] == (0, 14)
 
 
+def test_runs_share_a_ledger_and_new_rule_versions_replace_old(spark, tmp_path):
+    path, text = str(tmp_path / "ledger"), "AKIA" + "A" * 16
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "nothing"), (4, None)], DOC)
+    rows = lambda: spark.read.parquet(path).select("blob", F.explode("rules").alias("rule")).collect()
+    spans = lambda df: {r["doc_id"]: [(f["kind"], f["start"], f["stop"]) for f in r["findings"]] for r in df.collect()}
+    old = secrets.RULES[:2]
+    assert spans(secrets.scan_into(docs, path, old)) == {1: [("access", 0, 20)], 2: [("access", 0, 20)], 3: [], 4: []}
+    assert len(rows()) == 3 * 2
+    grown = docs.union(spark.createDataFrame([(5, "x " + text)], DOC))
+    assert spans(secrets.scan_into(grown, path, old))[5] == [("access", 2, 22)]
+    assert len(rows()) == 4 * 2
+    stricter = (old[0], ("access", 2, *old[1][2:4], 21, old[1][5]))
+    assert spans(secrets.scan_into(grown, path, stricter)) == {i: [] for i in range(1, 6)}
+    assert len(rows()) == 4 * 3
+    same = (old[0], ("access", 3, *old[1][2:]))
+    assert spans(secrets.scan_into(grown, path, same))[1] == [("access", 0, 20)]
+    assert spans(secrets.scan_into(grown, path, old))[1] == [("access", 0, 20)] and len(rows()) == 4 * 4
+
+
 def test_failed_match_consumes_its_text(spark, tmp_path):
     d = with_tables(spark, tmp_path, documents=spark.createDataFrame([(1, "secret: token: abcdefg"), (2, "token=token=abcdefgh"), (3, "x" + "a" * 24 + " AKIA" + "B" * 15)], DOC))
     got = {r["doc_id"]: r for r in secrets.query(spark, d).collect()}
@@ -444,10 +521,24 @@ def test_license_phrases_and_templates(spark):
     rows = [(1, "MIT License. mit-license"), (2, "cc by\ncc, by"), (3, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation"), (4, None), (5, "emit license"), (6, "x Apache  LICENSE")]
     got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(rows, DOC)).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base"]) == (2, 0, 2, ["mit"])
-    assert got[2]["n_base"] == 2 and got[3]["labels"] == ["mit-notice"] and 0.8 <= got[3]["score"] <= 1 and got[4]["n_words"] == 0
+    assert got[2]["n_base"] == 2 and got[3]["labels"] == ["mit"] and 0.8 <= got[3]["score"] <= 1 and got[4]["n_words"] == 0
     assert got[5]["labels"] == [] and got[5]["first_word"] is None and got[5]["score"] == 0.0 and got[6]["first_word"] == 1
 
 
+def test_deciding_words_of_licenses(spark):
+    texts = [
+        ("licensed under CC BY 4.0", "cc-by,cc-by-4.0"), ("CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("cc-by-nc-sa 4.0", "cc-by,cc-by-nc-sa-4.0"), ("CC BY-NC 3.0", "cc-by"),
+        ("GNU General Public License version 2", "gpl,gpl-2.0"), ("the GNU General Public License, Version 3", "gpl,gpl-3.0"), ("GNU Lesser General Public License version 3", "lgpl-3.0"),
+        ("Apache License, Version 1.0", "apache"), ("Apache License, Version 2.0", "apache,apache-2.0"),
+        ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files", "mit"),
+        ("Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the following\nconditions are met", "bsd"),
+        (" ".join(["licensed", sentence(1, 40), "under", sentence(2, 40), "cc", sentence(3, 40), "by", sentence(4, 40), "nc 4 0"]), ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], DOC)
+    got = {r["doc_id"]: ",".join(r["labels"]) for r in licenses.licenses(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
 # all of them
 
 
