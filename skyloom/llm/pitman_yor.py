@@ -1,55 +1,61 @@
 """Operator 6: language-model scoring by a hierarchical Pitman-Yor model.
 
-The model is nested. Every text is a restaurant, whose customers are its words so far and whose dishes come from the
-restaurant of the two words before, shared by all texts; its parent is the restaurant of the one word before, and the
-parent of that the corpus-wide restaurant of words. A text sends one customer for each word in each context. A table of
-the corpus restaurant orders its dish from a spelling model, a hierarchy of restaurants over the bytes of words: one restaurant for each context of up to `LONGEST` bytes, whose
-parent is the context without its first byte, down to the empty context over a uniform base. Contexts that end alike
-share a parent, and the tables of a restaurant are the customers of its parent.
+Every word is the context of the next: a context is a restaurant whose customers are the words that follow it in the
+training texts, all of them. The restaurants of all contexts share one parent, the corpus-wide restaurant of words, whose
+customers are their tables. Its own tables order from a spelling model, a hierarchy of restaurants over the bytes of
+words: one for each context of up to `LONGEST` bytes, whose parent is the context without its first byte, down to the empty
+context over a uniform base. The end of a text is a word, and is the context of the first word of a text.
 
 Seating is sampled by Gibbs sweeps of the Chinese-restaurant rule: a sweep takes all customers of a dish away and seats
 them again one after another, given the other tables of the restaurant and the parent's predictive probability; the
-tables that result are counted into the parent, level by level. When a dish has n customers seated, the next
-max(1, n / 16) are seated at one time, with the expected number of new tables rounded at random; a dish with c customers
-so takes O(log c) steps, by the same rule at every size. Predictive probabilities of the words are averaged over the
-sweeps after `BURN`, and a text's score is the sum of their logarithms.
-
-Spark does the counting (words and words in context, in a batch first and then on the map side; bytes in context per
-word), the seating (a row for each dish, numpy inside the tasks, so a context with many dishes is split) and the way
-back: each piece of a split asks for the words in context it holds and is scored with those. The words' own restaurant
-needs three numbers; the spelling model is broadcast while it has at most `MOST` entries, and is
+tables that result are counted into the parent, level by level. Up to `SINGLY` customers of a dish are drawn one by one,
+those beyond in blocks of a thirty-second of the seated, by the binomial law of the block.
+Predictive probabilities are averaged over the sweeps after `BURN`; a text's score is the sum of their logarithms. (For a pair
+of words that is not kept, see below, the averages of the context's and of the word's part are multiplied.)
+
+How it runs. The documents are cut into pieces of `ROWS` rows by their place in their files, which no later read can change.
+Each piece sends its distinct words, and its distinct pairs of words with their counts, to parts by hash, packed in a few
+bytes each; parts sum them. A pair that stands once has one customer and one table, whatever is drawn, so what its
+context and its word get by it follows from their counts, and only pairs that stand twice or more, or once and in a held-out
+text too, are kept, with the pieces that hold them. They are seated as rows, joined with their words, so a context or word however frequent is split. In the end
+parts send words and pairs with their probabilities to the pieces that hold them, where texts are scored. What is kept and
+moved grows with the documents, in proportion. The spelling model is broadcast while it has at most `MOST` entries, and
 joined by key beyond.
 
+Words of a pair are known by 40 bits of their hash: two words share them in less than one of 10**11 pairs of words, and then share
+their contexts; the counts of words, and the base score, rest on 64 bits.
+
 Defined results: a null text is empty and has the one token "end"; a null doc_id counts as the empty text in the split;
 repeated rows are scored alike; without training documents probabilities come from the uniform base; an empty table
-gives an empty result; extra columns are ignored. `docs` must be a table scan, whose splits are stable.
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_words, pick, remainder, slices, stored, table
+from skyloom.llm.common import discard, pick, pieces_of_runs, release, remainder, stored, table
+from skyloom.llm.similarity import packed, unpacked
+from skyloom.llm.words import BASE, Reader, Slab, mixed, slabs
 
 LONGEST, BURN, SAMPLES, MOST = 4, 1, 2, 4_000_000
+#: Rows of a piece, pairs of a part, customers drawn one by one, words of a flush of a part's answers.
+ROWS, PART, SINGLY, FLUSH = 4096, 1_500_000, 64, 1_000_000
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 100.0
-#: Restaurants of the one and of the two words before a word; the key of a context shorter than that is START.
-CONTEXT_DISCOUNT, CONTEXT_STRENGTH, START = (0.75, 0.8), (20.0, 5.0), 0
-ORDERS = len(CONTEXT_DISCOUNT)
-#: Pieces of a split whose texts are scored together.
-PIECES = 16
-TEXT_DISCOUNT, TEXT_STRENGTH = 0.8, 100.0
+CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 5.0
 #: By length of the context, 0 to LONGEST.
 DISCOUNT, STRENGTH = (0.5, 0.6, 0.7, 0.75, 0.8), (5.0, 2.0, 1.0, 0.5, 0.5)
 #: Symbols: 256 bytes, the end of a word, and the padding before it.
 SYMBOLS, END, PAD = 258, 256, 257
+#: Hash of the end of a text.
+STOP = 0x5BD1E995C6A4A793
 digest64 = xxhash.xxh64_intdigest
 
 
@@ -61,16 +67,45 @@ def uniform(key: np.ndarray, sweep: int, step: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).astype(np.float64) / 2.0**64
 
 
-def seated(key: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, sweep: int) -> np.ndarray:
+def binomial(n: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """The binomial number at which the distribution function reaches `draw`; of means above 20 its normal form."""
+    out, mean = np.zeros(len(n), np.int64), n * p
+    live = np.flatnonzero(mean <= 20)
+    term = (1 - p[live]) ** n[live]
+    below, k = term.copy(), 0
+    while len(live):
+        up = (draw[live] > below) & (k < n[live])
+        live, term, below = live[up], term[up], below[up]
+        out[live] += 1
+        k += 1
+        term = term * (n[live] - k + 1) / k * p[live] / np.maximum(1 - p[live], 1e-12)
+        below = below + term
+        if k > 200:
+            break
+    many = np.flatnonzero(mean > 20)
+    if len(many):
+        # logistic form of the normal quantile: off by less than 0.02
+        z = np.log(np.clip(draw[many], 1e-9, 1 - 1e-9) / (1 - np.clip(draw[many], 1e-9, 1 - 1e-9))) / 1.702
+        out[many] = np.clip(np.floor(mean[many] + z * np.sqrt(mean[many] * (1 - p[many])) + 0.5), 0, n[many])
+    return out
+
+
+def seated(key: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength, sweep: int) -> np.ndarray:
     """Tables of each dish: its customers take their seats anew, `others` are the tables of other dishes in the restaurant."""
     tables = (customers > 0).astype(np.int64)
     live = np.flatnonzero(customers > 1)
     n, step = np.ones(len(live), np.int64), 0
     while len(live):
         t = tables[live]
-        more = np.minimum(customers[live] - n, np.maximum(1, n // 16))
+        more = np.minimum(customers[live] - n, np.where(n < SINGLY, 1, n // 32))
         new = (strength + discount * (others[live] + t)) * parent[live]
-        tables[live] = t + np.floor(more * new / (new + n - discount * t) + uniform(key[live], sweep, step)).astype(np.int64)
+        share = new / (new + n - discount * t)
+        draw = uniform(key[live], sweep, step)
+        got = (draw < share).astype(np.int64)
+        far = more > 1
+        if far.any():
+            got[far] = binomial(more[far], share[far], draw[far])
+        tables[live] = t + got
         n = n + more
         step += 1
         left = n < customers[live]
@@ -99,118 +134,6 @@ def spelling_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 Spelling = tuple[np.ndarray, np.ndarray]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(split, word, n, m): words of each split, with their tokens and tables in training documents (perhaps 0).
-
-    A document is a restaurant of its own over the corpus, in which a word keeps one table.
-    """
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens: Counter = Counter()
-            tables: Counter = Counter()
-            for text, held in zip(batch["text"], batch["held_out"], strict=True):
-                own = Counter(ascii_words(text))
-                own[b""] += 1
-                if held:
-                    for w in own:
-                        tokens.setdefault(w, 0)
-                else:
-                    tokens.update(own)
-                    tables.update(own.keys())
-            words = list(tokens)
-            yield pd.DataFrame({"split": batch["split"].iloc[0] if len(batch) else 0, "word": words, "n": np.array(list(tokens.values()), np.int64), "m": np.array([tables[w] for w in words], np.int64)})
-
-    return docs.select("text", "held_out", F.spark_partition_id().alias("split")).mapInPandas(counted, "split int, word binary, n long, m long")
-
-
-def hash_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((digest64(w) for w in words), np.uint64, len(words)).view(np.int64)
-
-
-def context_keys(own: np.ndarray) -> np.ndarray:
-    """For each word of a text (hashes) the keys of its contexts of one and of two words, a row for each order."""
-    h, keys = own.view(np.uint64), np.full(len(own), START, np.uint64)
-    out = []
-    for back in range(1, ORDERS + 1):
-        before = np.r_[np.full(min(back, len(h)), START, np.uint64), h[:-back]]
-        keys = (keys ^ (before + np.uint64(back))) * np.uint64(0x9E3779B97F4A7C15)
-        keys = keys ^ (keys >> np.uint64(29))
-        out.append(keys.view(np.int64))
-    return np.stack(out)
-
-
-def context_customers(docs: DataFrame) -> DataFrame:
-    """(ctx, up, w, c): training documents that hold the word w after the longest context `ctx`, of which `up` is the shorter one.
-
-    A text keeps one table for a word in a context. Rows are summed in each batch first, then by Spark on the map side.
-    """
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 200):
-            found = []
-            for text in batch["text"]:
-                own = hash_of([*ascii_words(text), b""])
-                rows = np.column_stack([context_keys(own)[::-1].T, own])
-                found.append(np.unique(rows, axis=0))
-            rows, c = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, ORDERS + 1), np.int64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"ctx": rows[:, 0], "up": rows[:, 1], "w": rows[:, 2], "c": c.astype(np.int64)})
-
-    held = docs.where(~F.col("held_out")).select("text")
-    return held.mapInPandas(counted, "ctx long, up long, w long, c long").groupBy("ctx", "up", "w").agg(F.sum("c").alias("c"))
-
-
-def context_tables_of(order: int, sweep: int):
-    """Seating of the dishes of one order of contexts, from context, word, customers, other tables and the parent's probability."""
-
-    @F.pandas_udf("long")
-    def tables(ctx: pd.Series, w: pd.Series, c: pd.Series, others: pd.Series, parent: pd.Series) -> pd.Series:
-        key = (ctx.to_numpy(np.int64).view(np.uint64) * np.uint64(3) ^ w.to_numpy(np.int64).view(np.uint64)) * np.uint64(8) + np.uint64(5 + order)
-        return pd.Series(seated(key, c.to_numpy(), others.to_numpy(), parent.to_numpy(), CONTEXT_DISCOUNT[order], CONTEXT_STRENGTH[order], sweep))
-
-    return tables
-
-
-def reseat_contexts(longest: DataFrame, before: list[DataFrame] | None, sweep: int) -> list[DataFrame]:
-    """One sweep of the word-context restaurants, the longest first: level k has ctx, up, w, c, t of contexts of k + 1 words.
-
-    `before` has the other tables and the parent's probability of each dish from the sweep before; in the first sweep each
-    dish keeps one table. Dishes are seated as rows, so a context with very many of them is split.
-    """
-    levels: list[DataFrame] = [longest] * ORDERS
-    current = longest
-    for k in range(ORDERS - 1, -1, -1):
-        tables = context_tables_of(k, sweep)
-        if before is None:
-            seat = current.withColumn("t", F.lit(1).cast("long"))
-        else:
-            last = before[k].select("ctx", "w", F.greatest(F.col("st") - F.col("t"), F.lit(0)).alias("others"), "parent")
-            seat = current.join(last, ["ctx", "w"]).withColumn("t", tables("ctx", "w", "c", "others", "parent")).select(*current.columns, "t")
-        levels[k] = stored(seat, "contexts")
-        if k:
-            current = levels[k].groupBy(F.col("up").alias("ctx"), "w").agg(F.sum("t").alias("c"))
-    return levels
-
-
-def context_probabilities(levels: list[DataFrame], words: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Levels with sums (st) and parent's probability, and each level's rows (ctx, w, p) and sums (ctx, room); `words` has w and p.
-
-    Sums are map-side aggregates joined back, not windows, so no task holds a context.
-    """
-    done, rooms = [], []
-    for k, level in enumerate(levels):
-        discount, strength = CONTEXT_DISCOUNT[k], CONTEXT_STRENGTH[k]
-        sums = stored(level.groupBy("ctx").agg(F.sum("c").alias("sc"), F.sum("t").alias("st")), "rooms")
-        if k:
-            parent = level.join(done[-1].select(F.col("ctx").alias("up"), "w", F.col("p").alias("parent")), ["up", "w"])
-        else:
-            parent = level.join(words.select("w", F.col("p").alias("parent")), "w")
-        own = (F.col("c") - discount * F.col("t") + (strength + discount * F.col("st")) * F.col("parent")) / (strength + F.col("sc"))
-        done.append(stored(parent.join(sums, "ctx").withColumn("p", own), "predictive"))
-        rooms.append(sums.select("ctx", ((strength + discount * F.col("st")) / (strength + F.col("sc"))).alias("back")))
-    return done, rooms
-
-
 def spelled(spelling: Spelling | None, words: list[bytes]) -> np.ndarray:
     """Probability of each word's spelling."""
     key, owner = spelling_keys(words)
@@ -239,20 +162,17 @@ def with_spelling(words: DataFrame, shared, model: DataFrame | None) -> DataFram
     return words.select(*columns, of("word").alias("spell"))
 
 
-def reseat_words(words: DataFrame, shared, model: DataFrame | None, total: int, tables: int, sweep: int, keep: bool) -> DataFrame:
-    """One sweep of the word restaurant: `p` gathers predictive probabilities of the state before it if `keep`."""
+def reseat_words(words: DataFrame, shared, model: DataFrame | None, total: int, tables: int, sweep: int) -> DataFrame:
+    """`words` (word, w, n, m, room, t) with `p`, the predictive probability of this state, and `t` seated anew."""
     discount, strength = WORD_DISCOUNT, WORD_STRENGTH
 
-    def sweep_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = np.exp(batch["spell"].to_numpy())
-            m, t, p = (batch[c].to_numpy() for c in ("m", "t", "p"))
-            if keep:
-                p = p + (m - discount * t + (strength + discount * tables) * base) / (strength + total)
-            key = np.fromiter((digest64(bytes(w)) for w in batch["word"]), np.uint64, len(batch))
-            yield pd.DataFrame({"word": batch["word"], "n": batch["n"], "m": m, "t": seated(key, m, np.maximum(tables - t, 0), base, discount, strength, sweep), "p": p})
+    @F.pandas_udf("p double, t long")
+    def sweep_of(w: pd.Series, m: pd.Series, t: pd.Series, spell: pd.Series) -> pd.DataFrame:
+        base, m, t = np.exp(spell.to_numpy()), m.to_numpy(), t.to_numpy()
+        p = (m - discount * t + (strength + discount * tables) * base) / (strength + total)
+        return pd.DataFrame({"p": p, "t": seated(w.to_numpy(np.int64).view(np.uint64), m, np.maximum(tables - t, 0), base, discount, strength, sweep)})
 
-    return with_spelling(words, shared, model).mapInPandas(sweep_of, "word binary, n long, m long, t long, p double")
+    return with_spelling(words, shared, model).withColumn("x", sweep_of("w", "m", "t", "spell")).select("word", "w", "n", "m", "room", "x.p", "x.t")
 
 
 def spelling_customers(words: DataFrame) -> DataFrame:
@@ -309,142 +229,342 @@ def reseat_spelling(customers: DataFrame, before: list[DataFrame] | None, sweep:
     return done
 
 
-def hashed(column: str):
-    """The hash of a column of words."""
+def spelling_model(words: DataFrame, before: list[DataFrame] | None, sweep: int):
+    """Levels of the spelling restaurants seated anew from the words' tables, and the model as a broadcast if it is small."""
+    levels = reseat_spelling(stored(spelling_customers(words), "customers"), before, sweep)
+    model = levels[-1]
+    if model.count() > MOST:
+        return levels, None
+    rows = model.select("key", F.log("p").alias("l")).toArrow()
+    key, log = rows["key"].to_numpy(), rows["l"].to_numpy()
+    order = np.argsort(key)
+    return levels, words.sparkSession.sparkContext.broadcast((key[order], log[order]))
+
+
+def with_piece(scan: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of a Parquet scan with `piece`: `ROWS` rows that follow one another in a file. Pieces that share a number are one."""
+    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / ROWS))
+    return scan.select(*columns, F.shiftrightunsigned(place, 33).cast("int").alias("piece"))
+
+
+def with_ends(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a slab with the end of each text, and the hash of the word before each."""
+    after = slab.bounds[1:]
+    words = np.insert(slab.hashes, after, np.uint64(STOP))
+    return words, np.r_[np.uint64(STOP), words[:-1]]
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(24)
+
+
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A number for a pair of words by their 40 bits."""
+    return mixed(mixed(before * np.uint64(BASE) + np.uint64(1)) + word)
+
+
+def piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of one piece after another; a piece that a batch cuts is gathered first."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        pieces = batch.column("piece").to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, pieces[1:] != pieces[:-1]]) if len(pieces) else []
+        for a, b in zip(cut, np.r_[cut[1:], len(pieces)] if len(pieces) else [], strict=True):
+            if last is not None and pieces[a] != last:
+                yield last, pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                rest = []
+            last = int(pieces[a])
+            rest.append(batch.slice(int(a), int(b - a)))
+    if rest:
+        yield last, pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def summed_runs(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column from one buffer and the places where its values begin and end."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def word_table(docs: DataFrame, parts: int) -> DataFrame:
+    """(w, word, n, pieces): every word of `docs` (text, held_out, piece), its tokens in training documents and the pieces that hold it."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for piece, batch in piece_batches(batches):
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            found, counts, sizes, spelling = [], [], [], []
+            for slab in slabs(batch.column("text"), reader, 4 << 20):
+                training = ~held[slab.rows[0] : slab.rows[1]].astype(bool)
+                w, first, at = np.unique(slab.hashes, return_index=True, return_inverse=True)
+                n = np.bincount(at, training[slab.text], len(w)).astype(np.int64)
+                size = slab.stops[first] - slab.starts[first]
+                raw = reader.lower[slab.raw[np.repeat(slab.starts[first], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]]
+                found += [w, np.array([STOP], np.uint64)]
+                counts += [n, np.array([training.sum()])]
+                sizes += [size, np.array([0])]
+                spelling.append(raw)
+            w, n, size = np.concatenate(found), np.concatenate(counts), np.concatenate(sizes)
+            raw, begin = np.concatenate(spelling), np.cumsum(size) - size
+            part = (w % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((w, part))
+            cut = summed_runs(part[order])
+            columns = []
+            for own in np.split(order, cut[1:]):
+                letters = raw[np.repeat(begin[own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])]
+                columns.append((int(part[own[0]]), piece, w[own].tobytes(), n[own].tobytes(), size[own].astype("<u4").tobytes(), letters.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["part", "piece", "w", "n", "size", "letters"])
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in pieces_of_runs(batches, "part"):
+            w = np.frombuffer(b"".join(rows["w"]), np.uint64)
+            n, size = np.frombuffer(b"".join(rows["n"]), np.int64), np.frombuffer(b"".join(rows["size"]), "<u4").astype(np.int64)
+            letters = np.frombuffer(b"".join(rows["letters"]), np.uint8)
+            piece = np.repeat(rows["piece"].to_numpy(np.int32), [len(x) // 8 for x in rows["w"]])
+            begin = np.cumsum(size) - size
+            order = np.lexsort((piece, w))
+            cut = summed_runs(w[order])
+            one = order[cut]
+            text = letters[np.repeat(begin[one], size[one]) + np.arange(size[one].sum()) - np.repeat(np.cumsum(size[one]) - size[one], size[one])]
+            yield pd.DataFrame({
+                "w": w[one].view(np.int64), "word": binaries(text, np.r_[0, np.cumsum(size[one])]).to_pylist(), "n": np.add.reduceat(n[order], cut),
+                "pieces": binaries(piece[order].astype("<i4").view(np.uint8), np.r_[cut, len(order)] * 4).to_pylist(),
+            })
+
+    blobs = docs.select("text", "held_out", "piece").mapInArrow(sent, "part int, piece int, w binary, n binary, size binary, letters binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(merged, "w long, word binary, n long, pieces binary")
+
+
+def pair_table(docs: DataFrame, parts: int) -> DataFrame:
+    """(u, w, c, pieces): pairs of words that stand `c` times in training documents, and the pieces that hold them.
+
+    Pairs that only one text holds, once, are left out: their text knows as much.
+    """
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for piece, batch in piece_batches(batches):
+            held, us, ws, train = batch.column("held_out").to_numpy(zero_copy_only=False), [], [], []
+            for slab in slabs(batch.column("text"), reader):
+                word, before = with_ends(slab)
+                us.append(short(before))
+                ws.append(short(word))
+                train.append(np.repeat(~held[slab.rows[0] : slab.rows[1]].astype(bool), np.diff(slab.bounds) + 1))
+            u, w, train = np.concatenate(us), np.concatenate(ws), np.concatenate(train)
+            key = pair_key(u, w)
+            order = np.argsort(key)
+            cut = summed_runs(key[order])
+            c = np.add.reduceat(train[order].astype(np.int64), cut)
+            one = order[cut]
+            # a count is one byte; a greater one takes several entries
+            entries = np.maximum(1, -(-c // 255))
+            # held-out texts ask too: where training texts of the piece hold the pair as well, by an entry of its own that counts 0
+            entries += (c > 0) & (np.diff(np.r_[cut, len(order)]) > c)
+            step = np.arange(entries.sum()) - np.repeat(np.cumsum(entries) - entries, entries)
+            share = np.clip(np.repeat(c, entries) - 255 * step, 0, 255).astype(np.uint8)
+            one = np.repeat(one, entries)
+            part = (key[one] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cut = summed_runs(part[order])
+            rows = [(int(part[own[0]]), piece, packed(u[one[own]]), packed(w[one[own]]), share[own].tobytes()) for own in np.split(order, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "piece", "u", "w", "c"])
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, _ in pieces_of_runs(batches, "part"):
+            u, w, c = unpacked(b"".join(rows["u"])), unpacked(b"".join(rows["w"])), np.frombuffer(b"".join(rows["c"]), np.uint8)
+            piece = np.repeat(rows["piece"].to_numpy(np.int32), [len(x) for x in rows["c"]])
+            key = pair_key(u, w)
+            order = np.argsort(key)
+            cut = summed_runs(key[order])
+            total = np.add.reduceat(c[order].astype(np.int64), cut)
+            size = np.diff(np.r_[cut, len(order)])
+            kept = (total > 1) | (total == 1) & (size > 1)
+            often, row = np.flatnonzero(kept), order[np.repeat(kept, size)]
+            one = order[cut[often]]
+            yield pd.DataFrame({
+                "u": u[one].view(np.int64), "w": w[one].view(np.int64), "c": total[often],
+                "pieces": binaries(piece[row].astype("<i4").view(np.uint8), np.r_[0, np.cumsum(size[often])] * 4).to_pylist(),
+            })
 
-    @F.pandas_udf("long")
-    def of(words: pd.Series) -> pd.Series:
-        return pd.Series(hash_of([bytes(w) for w in words]), dtype="int64")
+    blobs = docs.select("text", "held_out", "piece").mapInArrow(sent, "part int, piece int, u binary, w binary, c binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(merged, "u long, w long, c long, pieces binary")
 
-    return of(column)
 
+def seat_pairs(pairs: DataFrame, words: DataFrame, sweep: int, again: bool) -> DataFrame:
+    """`pairs` (u, w, c, t, p) with the probability of this state added to p after BURN, and t seated anew if `again`.
 
-#: Of one kept sweep: words (word, w, n, p), and for each order of contexts the rows (ctx, w, p) and the share (ctx, back) of the parent.
-Sample = tuple[DataFrame, list[DataFrame], list[DataFrame]]
+    `words` has id, n, room (tables of the context) and p (of the corpus), one row for each id.
+    """
+    first = words.select(F.col("id").alias("w"), F.col("p").alias("parent"))
+    second = words.select(F.col("id").alias("u"), F.col("n").alias("served"), "room")
+    every = pairs.join(first, "w").join(second, "u")
+    own = (F.col("c") - CONTEXT_DISCOUNT * F.col("t") + (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("room")) * F.col("parent")) / (CONTEXT_STRENGTH + F.col("served"))
+
+    @F.pandas_udf("long")
+    def tables(u: pd.Series, w: pd.Series, c: pd.Series, others: pd.Series, parent: pd.Series) -> pd.Series:
+        key = pair_key(u.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64))
+        return pd.Series(seated(key, c.to_numpy(), others.to_numpy(), parent.to_numpy(), CONTEXT_DISCOUNT, CONTEXT_STRENGTH, sweep))
+
+    seat = tables("u", "w", "c", F.greatest(F.col("room") - F.col("t"), F.lit(0)), "parent") if again else F.col("t")
+    return every.select("u", "w", "c", seat.alias("t"), (F.col("p") + own if sweep >= BURN else F.col("p")).alias("p"))
 
 
-def fitted(words: DataFrame, longest: DataFrame | None, sweeps: int, burn: int) -> list[Sample]:
-    """The states of the sweeps after `burn`. The customers m of a word are the tables of its contexts, or as given without contexts."""
-    spark = words.sparkSession
+def by_id(words: DataFrame) -> DataFrame:
+    return words.withColumn("id", F.shiftrightunsigned("w", 24))
 
-    def from_contexts(state: DataFrame, levels: list[DataFrame]) -> DataFrame:
-        served = levels[0].groupBy("w").agg(F.sum("t").alias("m"))
-        return stored(state.drop("m").withColumn("w", hashed("word")).join(served, "w", "left").select("word", "n", F.coalesce("m", F.lit(0)).alias("m"), *[c for c in ("t", "p") if c in state.columns]), "served")
 
-    contexts = None if longest is None else reseat_contexts(longest, None, 0)
-    start = words if contexts is None else from_contexts(words, contexts)
-    state = stored(start.select("word", "n", "m", (F.col("m") > 0).cast("long").alias("t"), F.lit(0.0).alias("p")), "words")
-    shared = model = levels = None
-    kept: list[Sample] = []
+def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPLES - 1) -> tuple[DataFrame, DataFrame | None]:
+    """Words (w, n, p, back) and pairs (u, w, p): averages over the states after BURN sweeps.
+
+    `words` has word, w and n (and m, its customers, where there are no pairs), `pairs` u, w and c. `back` is the share that the
+    context of a word leaves to the corpus.
+    """
+    state = levels = shared = model = held = None
+    kept: list[DataFrame] = []
+    if pairs is not None:
+        held = pairs.select("u", "w", "c", F.least("c", F.lit(1)).cast("long").alias("t"), F.lit(0.0).alias("p"))
+    tables = words.select("word", "w", (F.col("n" if pairs is not None else "m") > 0).cast("long").alias("t"))
     for sweep in range(sweeps + 1):
-        total, tables = (x or 0 for x in state.agg(F.sum("m"), F.sum("t")).first())
-        now = stored(reseat_words(state, shared, model, total, tables, sweep, keep=True).select("word", hashed("word").alias("w"), "n", "p"), "now")
-        done, rooms = ([], []) if contexts is None else context_probabilities(contexts, now)
-        if sweep > burn:
-            kept.append((now, done, rooms))
-        if sweep == sweeps:
-            break
-        if contexts is not None:
-            contexts = reseat_contexts(longest, done, sweep)
-            state = from_contexts(state, contexts)
-        state = stored(reseat_words(state, shared, model, total, tables, sweep, keep=False), "words")
-        levels = reseat_spelling(stored(spelling_customers(state), "customers"), levels, sweep)
-        model = levels[-1]
-        if model.count() <= MOST:
-            rows = model.select("key", F.log("p").alias("l")).toArrow()
-            key, log = rows["key"].to_numpy(), rows["l"].to_numpy()
-            order = np.argsort(key)
-            shared = spark.sparkContext.broadcast((key[order], log[order]))
+        again = sweep < sweeps
+        if held is None:
+            now = words.select("word", "w", "n", "m", F.lit(0).alias("room")).join(tables.select("w", "t"), "w")
         else:
-            shared = None
-    return kept
+            ends = [held.groupBy(F.col(c).alias("id")).agg(F.sum(F.col("c") - F.col("t")).alias(f"less_{c}")) for c in "uw"]
+            less = [F.coalesce(f"less_{c}", F.lit(0)) for c in "uw"]
+            joined = by_id(words).join(tables.select("w", "t"), "w").join(ends[0], "id", "left").join(ends[1], "id", "left")
+            now = joined.select("word", "w", "n", F.greatest(F.col("n") - less[1], F.lit(0)).alias("m"), F.greatest(F.col("n") - less[0], F.lit(0)).alias("room"), "t")
+        now = stored(now.select("word", "w", "n", "m", "room", F.least("t", "m").alias("t")), "state")
+        total, seats = (x or 0 for x in now.agg(F.sum("m"), F.sum("t")).first())
+        done = stored(reseat_words(now, shared, model, total, seats, sweep), "words")
+        if sweep >= BURN:
+            kept.append(done.select("w", "n", "p", "room"))
+        if held is not None:
+            ids = by_id(done).groupBy("id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("room").alias("room"))
+            last, held = held, stored(seat_pairs(held, ids, sweep, again), "pairs")
+            discard(last)
+        release(words.sparkSession)
+        if again:
+            tables = done.select("word", "w", "t")
+            if shared is not None:
+                shared.unpersist()
+            levels, shared = spelling_model(tables, levels, sweep)
+            model = levels[-1]
+        discard(now, *([state] if state is not None and sweep <= BURN else []))
+        state = done
+    every = kept[0]
+    for other in kept[1:]:
+        every = every.union(other)
+    back = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("room")) / (CONTEXT_STRENGTH + F.col("n"))
+    averaged = every.groupBy("w", "n").agg(F.avg("p").alias("p"), F.avg(back).alias("back"))
+    return stored(averaged, "averages"), None if held is None else held.select("u", "w", (F.col("p") / len(kept)).alias("p"))
 
 
-def word_probabilities(words: DataFrame, sweeps: int = BURN + SAMPLES, burn: int = BURN) -> DataFrame:
-    """(word, n, p) with the corpus restaurant's p averaged over the sweeps after `burn`, without word contexts."""
-    found = [now.select("word", "n", "p") for now, _, _ in fitted(words, None, sweeps, burn)]
-    every = found[0]
-    for other in found[1:]:
-        every = every.union(other)
-    return every.groupBy("word", "n").agg(F.avg("p").alias("p"))
-
-
-def asked_contexts(docs: DataFrame) -> DataFrame:
-    """(piece, held_out, ctx, up, w): the words in context that a piece of a split's texts holds."""
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 200):
-            parts = []
-            for text, held, piece in zip(batch["text"], batch["held_out"], batch["piece"], strict=True):
-                own = hash_of([*ascii_words(text), b""])
-                keys = context_keys(own)
-                parts.append(np.column_stack([np.full(len(own), piece), np.full(len(own), int(held)), *keys[::-1], own]))
-            rows = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, ORDERS + 3), np.int64)
-            yield pd.DataFrame(rows, columns=["piece", "held_out", "ctx", "up", "w"])
-
-    return docs.select("text", "held_out", "piece").mapInPandas(found, "piece long, held_out long, ctx long, up long, w long")
-
-
-def predictive(asked: DataFrame, samples: list[Sample]) -> DataFrame:
-    """(ctx, w, p) of all words in context: averages over the samples; what a context has not served comes from shorter ones."""
-    served = samples[0][1][-1].select("ctx", "w")
-    new = stored(asked.where("held_out = 1").select("ctx", "up", "w").distinct().join(served, ["ctx", "w"], "left_anti"), "new")
-    every = None
-    for now, done, rooms in samples:
-        (one, two), (room_one, room_two) = done, rooms
-        back = (
-            new.join(now.select("w", F.col("p").alias("p0")), "w")
-            .join(one.select(F.col("ctx").alias("up"), "w", F.col("p").alias("p1")), ["up", "w"], "left")
-            .join(room_one.select(F.col("ctx").alias("up"), F.col("back").alias("b1")), "up", "left")
-            .join(room_two.select("ctx", F.col("back").alias("b2")), "ctx", "left")
-        )
-        shorter = F.coalesce("p1", F.coalesce("b1", F.lit(1.0)) * F.col("p0"))
-        rows = two.select("ctx", "w", "p").union(back.select("ctx", "w", (F.coalesce("b2", F.lit(1.0)) * shorter).alias("p")))
-        every = rows if every is None else every.union(rows)
-    return stored(every.groupBy("ctx", "w").agg(F.avg("p").alias("p")), "predictive")
-
-
-def in_document(words: np.ndarray, parent: np.ndarray, discount: float = TEXT_DISCOUNT, strength: float = TEXT_STRENGTH) -> float:
-    """log10 probability of a text, word after word: its own restaurant, with one table a word, over the corpus."""
-    order = np.argsort(words, kind="stable")
-    fresh = np.r_[True, words[order][1:] != words[order][:-1]]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(words)), 0))
-    seen = np.empty(len(words), np.int64)
-    seen[order] = np.arange(len(words)) - first
-    tables = np.cumsum(seen == 0) - (seen == 0)
-    own = np.where(seen > 0, seen - discount, 0.0)
-    return float(np.log10((own + (strength + discount * tables) * parent) / (strength + np.arange(len(words)))).sum())
-
-
-def scores(docs: DataFrame, sweeps: int = BURN + SAMPLES, burn: int = BURN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of `docs` (doc_id, text, held_out)."""
-    words = stored(word_counts(docs).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
+def word_probabilities(words: DataFrame) -> DataFrame:
+    """(w, n, p, back) of the corpus restaurant alone, from words (word, w, n, m)."""
+    return fitted(words, None)[0]
+
+
+def answers(rows: DataFrame, kind: int, columns: list[tuple[str, str]]) -> DataFrame:
+    """(piece, kind, data): `columns` (name, numpy type) of `rows`, sent to each of the row's `pieces`, column after column."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+            values = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in tables]).astype(t) for c, t in columns}
+            lists = [x for b in tables for x in b.column("pieces").to_pylist()]
+            piece = np.frombuffer(b"".join(lists), "<i4")
+            row = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists])
+            order = np.lexsort((row, piece))
+            order = order[np.r_[True, (piece[order][1:] != piece[order][:-1]) | (row[order][1:] != row[order][:-1])]] if len(order) else order
+            out = [(int(piece[own[0]]), kind, b"".join(values[c][row[own]].tobytes() for c, _ in columns)) for own in np.split(order, summed_runs(piece[order])[1:]) if len(own)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["piece", "kind", "data"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= FLUSH:
+                yield flush(held)
+                held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return rows.select(*[c for c, _ in columns], "pieces").mapInArrow(sent, "piece int, kind int, data binary")
+
+
+#: What a piece is told of its words and of its pairs.
+WORD_FIELDS = [("w", "<i8"), ("n", "<i8"), ("p", "<f4"), ("back", "<f4")]
+PAIR_FIELDS = [("u", "<i8"), ("w", "<i8"), ("p", "<f4")]
+
+
+def told(data: list[bytes], fields: list[tuple[str, str]]) -> list[np.ndarray]:
+    """The columns that `answers` packed."""
+    width, out = sum(np.dtype(t).itemsize for _, t in fields), [[] for _ in fields]
+    for blob in data:
+        n, at = len(blob) // width, 0
+        for k, (_, t) in enumerate(fields):
+            out[k].append(np.frombuffer(blob, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, (_, t) in zip(out, fields, strict=True)]
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of `docs` (doc_id, text, held_out, piece)."""
+    spark = docs.sparkSession
+    words = stored(word_table(docs, max(1, docs.count() // ROWS)), "counts")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
+    release(spark)
+    pairs = stored(pair_table(docs, max(1, total // PART)), "pairs")
+    release(spark)
+    every, seated_pairs = fitted(words, pairs)
     low = np.log10(total + 0.1 * (distinct + 1))
-    pieced = docs.withColumn("piece", F.spark_partition_id().cast("long") * PIECES + F.pmod(F.xxhash64("text"), F.lit(PIECES)))
-    asked = stored(asked_contexts(pieced), "asked")
-    known = predictive(asked, fitted(words, stored(context_customers(docs), "customers"), sweeps, burn))
-    told = known.join(words.select(hashed("word").alias("w"), "n"), "w")
-    answers = asked.select("piece", "ctx", "w").distinct().join(told, ["ctx", "w"])
-
-    def score(text: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        pair = pd.MultiIndex.from_arrays([answer["ctx"], answer["w"]])
-        n, p = answer["n"].to_numpy(), answer["p"].to_numpy()
+    of_words = answers(every.join(words.select("w", "pieces"), "w"), 0, WORD_FIELDS)
+    of_pairs = answers(seated_pairs.join(pairs.select("u", "w", "pieces"), ["u", "w"]), 1, PAIR_FIELDS)
+    replies = stored(of_words.union(of_pairs), "answers")
+    discard(words, pairs)
+    release(spark)
+
+    def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
+        reader, kind, data = Reader(), answer["kind"].to_pylist(), answer["data"].to_pylist()
+        w, n, p, back = told([x for x, k in zip(data, kind, strict=True) if k == 0], WORD_FIELDS)
+        order = np.argsort(w.view(np.uint64))
+        w, n, p, back = w.view(np.uint64)[order], n[order], p[order].astype(np.float64), back[order].astype(np.float64)
+        a, b, q = told([x for x, k in zip(data, kind, strict=True) if k == 1], PAIR_FIELDS)
+        key = pair_key(a.view(np.uint64), b.view(np.uint64))
+        order = np.argsort(key)
+        key, q = key[order], q[order].astype(np.float64)
+        held = texts["held_out"].to_numpy().astype(bool)
         out = []
-        for t in text["text"]:
-            own = hash_of([*ascii_words(t), b""])
-            at = pair.get_indexer(pd.MultiIndex.from_arrays([context_keys(own)[-1], own]))
-            if (at < 0).any():
-                raise ValueError("the splits of the documents have changed between two reads")
-            out.append((len(own), int((n[at] > 0).sum()), float((np.log10(n[at] + 0.1) - low).sum()), in_document(own, p[at])))
-        made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-        return pd.concat([text[["doc_id", "held_out"]].reset_index(drop=True), made], axis=1)
-
-    texts = pieced.select("doc_id", "text", "held_out", "piece")
-    made = texts.groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        for slab in slabs(pa.concat_arrays(texts["text"].chunks) if len(texts) else pa.array([], pa.string()), reader):
+            word, before = with_ends(slab)
+            of, prior = np.searchsorted(w, word), np.searchsorted(w, before)
+            text = np.repeat(np.arange(len(slab.ends)), np.diff(slab.bounds) + 1)
+            once = np.where(held[slab.rows[0] : slab.rows[1]][text], 0.0, 1.0 - CONTEXT_DISCOUNT)
+            probability = once / (CONTEXT_STRENGTH + n[prior]) + back[prior] * p[of]
+            if len(key):
+                k = pair_key(short(before), short(word))
+                at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                probability = np.where(key[at] == k, q[at], probability)
+            rows = len(slab.ends)
+            out.append([np.bincount(text, minlength=rows), np.bincount(text, n[of] > 0, rows), np.bincount(text, np.log10(n[of] + 0.1) - low, rows), np.bincount(text, np.log10(probability), rows)])
+        made = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+        return pa.table([texts["doc_id"], texts["held_out"], pa.array(made[0].astype(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(made[2]), pa.array(made[3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    texts = docs.select("doc_id", "text", "held_out", "piece")
+    made = texts.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
+def score_documents(docs: DataFrame) -> DataFrame:
+    """`scores` of any table with doc_id, text and held_out: it is stored first, since pieces are places in files."""
+    return scores(with_piece(stored(docs.select("doc_id", "text", "held_out"), "texts"), "doc_id", "text", "held_out"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), 10) == 0)
-    return scores(docs)
+    scan = table(spark, sf_dir, "documents")
+    names = [f"_c{i}" for i in range(len(scan.columns))]
+    doc_id, text = (F.col(names[scan.columns.index(c)]).alias(c) for c in ("doc_id", "text"))
+    docs = with_piece(scan.select("*", "_metadata").toDF(*names, "_metadata"), doc_id, text)
+    return scores(docs.withColumn("held_out", remainder(F.col("doc_id"), 10) == 0))

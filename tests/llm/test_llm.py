@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -295,7 +296,7 @@ def test_model_counts_and_beats_the_base(spark):
 
 def test_spelling_is_a_distribution(spark):
     """Over all words of one letter of a tiny alphabet and longer ones the probabilities stay below one in sum."""
-    words = spark.createDataFrame([(bytes([97 + i % 3] * (1 + i % 4)), 5 + i, 2 + i % 3) for i in range(12)], "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    words = spark.createDataFrame([(bytes([97 + i % 3] * (1 + i % 4)), i, 5 + i, 2 + i % 3) for i in range(12)], "word binary, w long, n long, m long")
     p = pitman_yor.word_probabilities(words)
     assert 0.5 < p.agg(F.sum("p")).first()[0] <= 1.0
 
@@ -307,12 +308,49 @@ def test_seating_bounds_and_repeats():
     assert (a <= c).all() and (a[1:] >= 1).all() and a[0] == 0 and np.array_equal(a, pitman_yor.seated(key, c, np.full(1000, 50), np.full(1000, 0.01), 0.7, 10.0, 1))
 
 
+def test_seating_follows_the_restaurant():
+    """The mean number of tables over many dishes against customers drawn one by one."""
+    r, n, c = np.random.default_rng(3), 4000, 300
+    want = np.ones(n)
+    for k in range(1, c):
+        new = (5.0 + 0.8 * (20 + want)) * 0.02
+        want += r.random(n) < new / (new + k - 0.8 * want)
+    got = pitman_yor.seated(np.arange(n, dtype=np.uint64), np.full(n, c), np.full(n, 20), np.full(n, 0.02), 0.8, 5.0, 0)
+    assert abs(got.mean() - want.mean()) < 5 * want.std() / n**0.5 + 0.01 * want.mean() and 0.8 < got.std() / want.std() < 1.2
+
+
+def test_pairs_equal_brute_force(spark):
+    texts = [(i, sentence(i % 5, 30) + " " + sentence(700 + i, 10), i % 4 == 0) for i in range(40)] + [(50, None, False), (51, "w1 " * 600, False), (52, "", True)]
+    docs = pitman_yor.with_piece(common.stored(spark.createDataFrame(texts, "doc_id long, text string, held_out boolean"), "t"), "text", "held_out")
+    train, asked = Counter(), Counter()
+    for _, t, held in texts:
+        w = ["", *(t or "").split(), ""]
+        for pair in zip(w, w[1:], strict=False):
+            train[pair] += not held
+            asked[pair] += 1
+    want = sorted(train[p] for p in train if train[p] > 1 or train[p] == 1 and asked[p] > 1)
+    assert sorted(r["c"] for r in pitman_yor.pair_table(docs, 3).collect()) == want
+    words = {bytes(r["word"]).decode(): r["n"] for r in pitman_yor.word_table(docs, 3).collect()}
+    assert words == {w: sum(c for (_, x), c in train.items() if x == w) for w in {w for p in train for w in p}}
+
+
+def test_base_score_equals_brute_force(spark):
+    texts = [(i, t, i % 3 == 0) for i, t in enumerate(["A b b", "b c", None, "c  c\nD", "", "zz b", "a A a"])]
+    got = {r["doc_id"]: r for r in pitman_yor.score_documents(spark.createDataFrame(texts, "doc_id long, text string, held_out boolean")).collect()}
+    tokens = {i: [*(t or "").lower().split(), None] for i, t, _ in texts}
+    counts = Counter(w for i, _, held in texts if not held for w in tokens[i])
+    n, v = sum(counts.values()), len(counts)
+    for i, own in tokens.items():
+        want = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        assert got[i]["base_score"] == pytest.approx(want) and got[i]["n_tokens"] == len(own) and got[i]["n_known"] == sum(counts[w] > 0 for w in own) and got[i]["train_tokens"] == n
+
+
 def test_scores_of_odd_texts(spark, docs_of):
-    r = pitman_yor.scores(docs_of.withColumn("held_out", F.coalesce(F.col("doc_id") == 1, F.lit(False)))).toPandas()
+    r = pitman_yor.score_documents(docs_of.withColumn("held_out", F.coalesce(F.col("doc_id") == 1, F.lit(False)))).toPandas()
     assert len(r) == 10 and r[r["doc_id"] == 2]["n_tokens"].item() == 1 and np.isfinite(r["score"]).all()
 
 
-def test_words_before_count(spark, tmp_path):
+def test_words_before_count(spark):
     """Text in the order of the training texts scores better than the same words shuffled."""
     r = random.Random(4)
     songs = [sentence(500 + i, 12) for i in range(10)]
@@ -321,18 +359,19 @@ def test_words_before_count(spark, tmp_path):
     mixed = text.split()
     r.shuffle(mixed)
     docs = spark.createDataFrame([*train, (1000, text), (1001, " ".join(mixed))], DOC).withColumn("held_out", F.col("doc_id") >= 1000)
-    docs.write.parquet(str(tmp_path / "t.parquet"))
-    got = {x["doc_id"]: x for x in pitman_yor.scores(spark.read.parquet(str(tmp_path / "t.parquet"))).collect()}
+    got = {x["doc_id"]: x for x in pitman_yor.score_documents(docs).collect()}
     assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"]) and got[1000]["score"] > got[1001]["score"] + 30
 
 
 def test_contexts_are_distributions(spark):
     """In each context the served words and the rest left to the parent sum to one."""
     texts = [(i, sentence(i % 7, 30), False) for i in range(20)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean")
-    words = pitman_yor.word_counts(docs).groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    now, done, rooms = pitman_yor.fitted(words, pitman_yor.context_customers(docs), 2, 1)[0]
-    one = done[0].join(now.select("w", F.col("p").alias("p0")), "w").groupBy("ctx").agg(F.sum("p").alias("p"), F.sum("p0").alias("p0")).join(rooms[0], "ctx")
+    docs = pitman_yor.with_piece(common.stored(spark.createDataFrame(texts, "doc_id long, text string, held_out boolean"), "t"), "text", "held_out")
+    words, pairs = common.stored(pitman_yor.word_table(docs, 2), "w"), common.stored(pitman_yor.pair_table(docs, 2), "p")
+    assert pairs.agg(F.min("c")).first()[0] > 1
+    every, held = pitman_yor.fitted(words, pairs, sweeps=1)
+    w = pitman_yor.by_id(every)
+    one = held.join(w.select(F.col("id").alias("w"), F.col("p").alias("p0")), "w").groupBy("u").agg(F.sum("p").alias("p"), F.sum("p0").alias("p0")).join(w.select(F.col("id").alias("u"), "back"), "u")
     low, high = one.agg(F.min(F.col("p") + F.col("back") * (1 - F.col("p0"))), F.max(F.col("p") + F.col("back") * (1 - F.col("p0")))).first()
     assert low == pytest.approx(1.0) and high == pytest.approx(1.0)
 
