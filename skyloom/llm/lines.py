@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import discard, pick, release, small, stored, table
-from skyloom.llm.similarity import WIDTH, crowd_counts, packed, prefix_length, prefix_rows, signatures, split_candidates, verified, with_signatures
+from skyloom.llm.similarity import WIDTH, crowd_counts, packed, prefix_length, prefix_rows, sets_among, signatures, split_candidates, verified, with_signatures
 from skyloom.llm.words import Reader, mixed, slabs
 
 THRESHOLD = 0.8
@@ -138,12 +138,12 @@ def sortable(place: str) -> Column:
 
 def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(class, links, earlier): how many other classes reach the threshold, and whether one of them comes first; none for classes without."""
-    pairs, crowds, wanted = split_candidates(prefix_rows(lines, threshold), threshold, True)
-    own = lines.where("tokens is not null").select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = stored(with_signatures(own), "sets")
+    spark = lines.sparkSession
+    pairs, crowds, wanted = split_candidates(spark, lambda turn, rounds: prefix_rows(lines, threshold, turn, rounds), threshold)
+    sets = stored(with_signatures(sets_among(lines, wanted)), "sets")
+    release(spark)
     links = stored(verified(pairs, sets, threshold), "links")
-    discard(pairs)
-    release(lines.sparkSession)
+    release(spark)
     ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).union(links.select("b", "a"))
     places = classes.join(ends.select("class").distinct(), "class", "left_semi").select("class", "first")
     placed = ends.join(places, "class").join(places.select(F.col("class").alias("other"), F.col("first").alias("other_first")), "other")
@@ -151,7 +151,7 @@ def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHO
     in_crowd = sets.join(crowds.select("class").distinct(), "class", "left_semi").join(classes.select("class", sortable("first").alias("first")), "class")
     both = single.union(crowd_counts(crowds, in_crowd, threshold))
     out = stored(both.groupBy("class").agg(F.sum("n").alias("links"), F.max("earlier").alias("earlier")), "class_links")
-    discard(sets, links, wanted, crowds)
+    discard(sets, links, wanted)
     return out
 
 

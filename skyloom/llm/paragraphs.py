@@ -188,7 +188,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(spans):
                     shingles, first = shingles_of(hashes, spans)
                     classes.append(own)
-                    sets += [packed(x) for x in np.split(shingles, first[1:])]
+                    sets += [packed(np.unique(x & np.uint64((1 << 40) - 1))) for x in np.split(shingles, first[1:])]
             yield pd.DataFrame({"class": np.concatenate(classes).view(np.int64), "tokens": sets})
 
     return docs.select("text").mapInPandas(found, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
@@ -196,8 +196,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, stop, cluster, later) of paragraphs that occur more than once, exactly or nearly."""
-    found = stored(units(docs), "units")
-    parts = linked_classes(stored(line_bands(docs), "bands"), lambda wanted: shingle_sets(docs, wanted), THRESHOLD)
+    found, bands = stored(units(docs), "units"), stored(line_bands(docs), "bands")
+    parts = linked_classes(docs.sparkSession, lambda turn, rounds: bands.where(F.pmod("token", F.lit(rounds)) == turn), lambda wanted: shingle_sets(docs, wanted), THRESHOLD, False)
     often = found.groupBy("class").count().where("count > 1").select("class", F.lit(True).alias("often"))
     clusters = stored(often.join(parts, F.col("class") == F.col("node"), "full").select(F.coalesce("class", "node").alias("class"), F.coalesce("component", "class").alias("cluster")), "clusters")
     own = stored(found.join(small(clusters), "class"), "repeated")

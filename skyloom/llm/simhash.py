@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import ascii_words, by_runs, discard, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
-from skyloom.llm.similarity import linked_classes, packed, prefix_rows, signatures
+from skyloom.llm.similarity import linked_classes, packed, prefix_rows, sets_among, signatures
 from skyloom.llm.words import Reader, Rolling, mixed, slabs
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
@@ -177,10 +177,8 @@ def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 def similar_texts(shingled: DataFrame, threshold: float = STAGE_THRESHOLD) -> DataFrame:
     """(node, component) of the classes of `shingle_table` that verified pairs link to another one."""
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return shingled.where("tokens is not null").select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-
-    return linked_classes(prefix_rows(shingled, threshold), sets_of, threshold)
+    keyed = lambda turn, rounds: prefix_rows(shingled, threshold, turn, rounds)
+    return linked_classes(shingled.sparkSession, keyed, lambda wanted: sets_among(shingled, wanted), threshold)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_WORDS, threshold: float = STAGE_THRESHOLD) -> DataFrame:

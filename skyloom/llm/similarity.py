@@ -10,15 +10,16 @@ token matrices, and only counts of links or links that join two parts leave them
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import discard, pieces_of_runs, release, stored
+from skyloom.llm.common import discard, pieces_of_runs, release, small, stored
 from skyloom.llm.components import connected_components
 
 #: Rows of a group that may give pairs; surviving pairs a row from which a group counts as dense; classes of a chunk.
@@ -61,8 +62,15 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(np.ceil(threshold * (size + 1) - 1e-9) > size, 0, k)
 
 
-def prefix_rows(table: DataFrame, threshold: float) -> DataFrame:
-    """token, class, shape (size and place) and bits for the prefix of each set of a table of class, size, bits and tokens (null: not asked)."""
+#: Rounds of the join, by the tokens' remainders: a round shuffles that share of the prefixes.
+ROUNDS = 4
+
+
+def prefix_rows(table: DataFrame, threshold: float, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """token, class, shape (size and place) and bits for the prefix of each set of a table of class, size, bits and tokens (null: not asked).
+
+    Only tokens whose remainder by `rounds` is `turn`.
+    """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,8 +79,10 @@ def prefix_rows(table: DataFrame, threshold: float) -> DataFrame:
             begin = np.cumsum(size) - size
             place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             token = unpacked(b"".join(batch.column("tokens").to_pylist()))[np.repeat(begin, k) + place].view(np.int64)
-            of, bits = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), k) for c in ("class", "bits"))
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(of), pa.array(np.repeat(size, k) << 32 | place), pa.array(bits)], ["token", "class", "shape", "bits"])
+            at = np.flatnonzero(token % rounds == turn)
+            row = np.repeat(np.arange(len(k)), k)[at]
+            of, bits = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("class", "bits"))
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(of), pa.array(size[row] << 32 | place[at]), pa.array(bits)], ["token", "class", "shape", "bits"])
 
     return table.where("tokens is not null").select("class", "size", "bits", "tokens").mapInArrow(prefixes, "token long, class long, shape long, bits long")
 
@@ -294,27 +304,45 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return crowd_chunks(crowds, sets.select("class", "tokens")).groupBy("g").applyInPandas(found, "a long, b long")
 
 
-def split_candidates(keyed: DataFrame, threshold: float, placed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored pairs (a, b, token, at), each once with its earliest token; crowds (class, token); and all classes of both."""
-    found = stored(candidates(keyed, threshold, placed), "candidates")
-    release(keyed.sparkSession)
-    pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.min("at").alias("at")), "pairs")
-    crowds = stored(found.where("b is null").select(F.col("a").alias("class"), "token").distinct(), "crowds")
-    discard(found)
+def split_candidates(spark: SparkSession, keyed: Callable[[int, int], DataFrame], threshold: float, placed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored pairs (a, b, at), each once with its earliest place; crowds (class, token); and all classes of both.
+
+    `keyed(turn, rounds)` gives the rows of `candidates` for one round's share of the keys; rounds keep the shuffles small.
+    """
+
+    def summed(found: DataFrame) -> DataFrame:
+        return found.groupBy("a", "b", "crowd").agg(F.min("at").alias("at"))
+
+    parts = []
+    for turn in range(ROUNDS):
+        found = candidates(keyed(turn, ROUNDS), threshold, placed).withColumn("crowd", F.when(F.col("b").isNull(), F.col("token")))
+        parts.append(stored(summed(found), "candidates"))
+        del found
+        release(spark)
+    every = stored(summed(reduce(DataFrame.union, [p.select("a", "b", "crowd", "at") for p in parts])), "pairs")
+    discard(*parts)
+    release(spark)
+    pairs = every.where("b is not null").select("a", "b", "at")
+    crowds = every.where("b is null").select(F.col("a").alias("class"), F.col("crowd").alias("token"))
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).union(crowds.select("class")).distinct(), "wanted")
     return pairs, crowds, wanted
 
 
-def linked_classes(keyed: DataFrame, sets_of, threshold: float, placed: bool = True) -> DataFrame:
+def sets_among(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class and tokens of the classes in `wanted`, once each."""
+    return table.where("tokens is not null").select("class", "tokens").join(small(wanted, 2_000_000), "class", "left_semi").dropDuplicates(["class"])
+
+
+def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, placed: bool = True) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
     `sets_of` gives class and tokens for the column `class` of a table.
     """
-    pairs, crowds, wanted = split_candidates(keyed, threshold, placed)
+    pairs, crowds, wanted = split_candidates(spark, keyed, threshold, placed)
     sets = stored(with_signatures(sets_of(wanted)), "sets")
     asked = pairs.withColumn("at", F.lit(None).cast("int"))
     links = stored(verified(asked, sets, threshold).union(crowd_links(crowds, sets, threshold)), "links")
-    release(keyed.sparkSession)
+    release(spark)
     parts = stored(connected_components(links), "parts")
-    discard(sets, wanted, crowds, links)
+    discard(sets, wanted, links)
     return parts
