@@ -45,11 +45,15 @@ def crossing(df: DataFrame, x: str, threshold: Column, low: int, high: int, sust
 
 
 def persistent(df: DataFrame, x: str, threshold: Column, low: int, high: int, sustain: int, least: int, up: bool = True, eps: float = 0.0) -> DataFrame:
-    """First row from which `least` of the next `sustain` rows stay on the right side; no crossing is asked for, the first row of a year never counts."""
+    """First row at the threshold from which `least` of the next `sustain` rows stay within `eps` of it or beyond.
+
+    No crossing is asked for; the first row of a year never counts.
+    """
+    now = F.col(x) >= threshold if up else F.col(x) <= threshold
     right = F.col(x) >= threshold - eps if up else F.col(x) <= threshold + eps
     frame = in_year().rowsBetween(0, sustain - 1)
     marked = df.withColumns({"_ok": F.when(F.col(x).isNotNull(), right.cast("int")), "_rn": F.row_number().over(in_year())})
-    hit = (F.col("_ok") == 1) & (F.col("_rn") > 1) & F.col("dopy").between(low, high)
+    hit = now & (F.col("_rn") > 1) & F.col("dopy").between(low, high)
     marked = marked.withColumn("_hit", hit & (F.count("_ok").over(frame) >= least - 2) & (F.sum("_ok").over(frame) >= least))
     return first_day(marked, F.col("_hit"))
 

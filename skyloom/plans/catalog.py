@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.plans import calendars, kernels, observations, series
+from skyloom.plans import calendars, kernels, monsoon, observations, series
 from skyloom.plans.registry import QUERIES, SQL, Query
 
-__all__ = ["calendars", "kernels", "observations", "oracle_sql", "queries", "series"]
+__all__ = ["calendars", "kernels", "monsoon", "observations", "oracle_sql", "queries", "series"]
 
 
 def queries() -> dict[str, Query]:

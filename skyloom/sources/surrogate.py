@@ -49,6 +49,22 @@ def daily2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg((F.avg("l_extendedprice") / 1000).alias("w"))
 
 
+#: Fields of `climate`: a mean, the swing over the seasonal year (largest on day 190) and the weights of two daily deviations.
+FIELDS = {
+    "u_comp": (0.10, 0.75, 0.15, 0.05), "u_mean": (0.15, 0.75, 0.12, 0.04), "u_std": (0.42, -0.16, 0.02, 0.01), "frac_west": (0.52, 0.46, 0.03, 0.02), "cloud": (72.0, 24.0, 1.0, 2.0),
+    "cl_night": (75.0, 24.0, 2.0, 1.0), "tcwv": (44.0, 8.0, 1.0, 0.5), "sw_rad": (220.0, -60.0, 5.0, -8.0), "rh": (80.0, 10.0, 2.0, 1.0), "vpd": (1.0, -0.5, 0.05, 0.04), "dtr": (8.0, -2.0, 0.3, 0.2),
+    "sm_7_28": (0.30, 0.08, 0.01, 0.005), "sm_28_100": (0.32, 0.06, 0.005, 0.01), "pressure": (1010.0, -2.0, 0.3, 0.2), "dew_pt": (22.0, 1.5, 0.2, 0.1), "precip": (6.0, 5.0, 0.5, 0.8), "du": (0.0, 1.2, 0.2, 0.1),
+}
+
+
+def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily fields of one place: a seasonal swing and the deviations of `daily` and `daily2` from their means, null where the latter lacks a day."""
+    x = daily(spark, sf_dir).join(daily2(spark, sf_dir), "date", "left")
+    swing = F.cos(2 * 3.141592653589793 * (F.col("dopy") - 190) / 365)
+    a, b = (F.col("v") - 150) / 15, (F.col("w") - 38) / 5
+    return x.select("date", "py", "dopy", *[(m + s * swing + p * a + q * b).alias(n) for n, (m, s, p, q) in FIELDS.items()])
+
+
 PY = "(year(date) - CASE WHEN date < make_date(year(date), 6, 22) THEN 1 ELSE 0 END)"
 CTE = {
     "obs": """obs AS (SELECT event_id, ts AS time, value AS ws, CAST((event_id * 37) % 360 AS DOUBLE) AS wd, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS cloud,
@@ -60,7 +76,9 @@ CTE = {
   SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1000 AS v, count(*) AS n FROM orders GROUP BY ALL))""",
     "daily2": "daily2 AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) / 1000 AS w FROM lineitem GROUP BY ALL)",
 }
-NEEDS = {"hourly": ("obs",), "series": ("obs",)}
+_SWING = "cos(2 * 3.141592653589793 * (dopy - 190) / 365)"
+CTE["climate"] = "climate AS (SELECT daily.date, py, dopy, " + ", ".join(f"{m}::DOUBLE + {a} * {_SWING} + {p} * ((v - 150) / 15) + {q} * ((w - 38) / 5) AS {n}" for n, (m, a, p, q) in FIELDS.items()) + " FROM daily LEFT JOIN daily2 USING (date))"
+NEEDS = {"hourly": ("obs",), "series": ("obs",), "climate": ("daily", "daily2")}
 
 
 def with_views(sql: str, *names: str) -> str:
