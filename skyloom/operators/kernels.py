@@ -7,10 +7,11 @@ thousand daily rows, which the aggregation before guarantees. Each function take
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,37 +59,47 @@ def breaks(df: DataFrame, x: str, low: int = 60, high: int = 330, after: int = 1
     return rows.groupBy("py").applyInPandas(one, "onset double, n_breaks long, py long").where("py >= 0")
 
 
-def bisquare_centre(values: np.ndarray, weights: np.ndarray, c: float = 4.685, rounds: int = 10) -> float | None:
-    """Weighted mean of two or three values; of more, the Tukey biweight around the weighted median."""
-    ok = np.isfinite(values) & (weights > 0)
-    v, w = values[ok], weights[ok]
-    if len(v) < 2:
-        return None
-    w = w / w.sum()
-    if len(v) < 4:
-        return float(w @ v)
-    order = np.argsort(v, kind="stable")
-    centre = float(v[order][min(int(np.searchsorted(np.cumsum(w[order]), 0.5)), len(v) - 1)])
-    for _ in range(rounds):
-        spread = float(np.median(np.abs(v - centre)))
-        if spread < 0.5:
-            break
-        e = w * np.clip(1 - ((v - centre) / (c * spread)) ** 2, 0, None) ** 2
-        if e.sum() < 1e-10:
-            break
-        moved, centre = centre, float(e @ v / e.sum())
-        if abs(centre - moved) < 0.1:
-            break
-    return centre
+# Fixed values of the ensemble: tuning constant, rounds, least spread and least movement (days).
+BISQUARE, ROUNDS, LEAST_SPREAD, LEAST_MOVE = 4.685, 10, 0.5, 0.1
 
 
-def biweight(df: DataFrame, value: str = "onset", weight: str = "weight") -> DataFrame:
-    """Robust ensemble of the estimates of each year."""
+def _middle(values: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(values)
+    return (F.element_at(values, F.floor((n + 1) / 2).cast("int")) + F.element_at(values, F.floor(n / 2).cast("int") + 1)) / 2
+
+
+def _next_centre(rows: Column, centre: Column) -> Column:
+    """One reweighting around `centre` of rows (v, w); null where the spread or all weights are too small to go on."""
+    spread = _middle(F.array_sort(F.transform(rows, lambda r: F.abs(r["v"] - centre))))
+    bell = lambda r: r["w"] * F.pow(F.greatest(1 - F.pow((r["v"] - centre) / (BISQUARE * spread), 2), F.lit(0.0)), 2)
+    mass = F.aggregate(rows, F.lit(0.0), lambda t, r: t + bell(r))
+    return F.when((spread >= LEAST_SPREAD) & (mass >= 1e-10), F.aggregate(rows, F.lit(0.0), lambda t, r: t + bell(r) * r["v"]) / mass)
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"py": [int(g["py"].iloc[0])], "ensemble": [bisquare_centre(g["v"].to_numpy(float), g["w"].to_numpy(float))], "n": [int(g["v"].notna().sum())]})
 
-    return df.select("py", F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).groupBy("py").applyInPandas(one, "py long, ensemble double, n long")
+def biweight(df: DataFrame, value: str = "onset", weight: str = "weight") -> DataFrame:
+    """(py, ensemble, n): the weighted mean of two or three estimates of a year; of more, Tukey's biweight around their weighted median.
+
+    The estimates of a year are one short array (one for each method), and the rounds fold over it, so no row leaves the JVM.
+    """
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    known = F.when(v.isNotNull() & (w > 0), F.struct(v.alias("v"), w.alias("w")))
+    rows = df.groupBy("py").agg(F.array_sort(F.collect_list(known)).alias("rows"), F.count(v).alias("n"))
+    total = F.aggregate("rows", F.lit(0.0), lambda t, r: t + r["w"])
+    rows = rows.withColumn("rows", F.transform("rows", lambda r: F.struct(r["v"].alias("v"), (r["w"] / total).alias("w")))).withColumn("k", F.size("rows"))
+    mean = F.aggregate("rows", F.lit(0.0), lambda t, r: t + r["w"] * r["v"])
+    start = F.aggregate(
+        "rows", F.struct(F.lit(0.0).alias("below"), F.lit(None).cast("double").alias("at")),
+        lambda t, r: F.struct((t["below"] + r["w"]).alias("below"), F.coalesce(t["at"], F.when(t["below"] + r["w"] >= 0.5, r["v"])).alias("at")),
+    )["at"]
+    seeded = rows.withColumn("seed", F.coalesce(start, F.element_at(F.col("rows"), F.greatest(F.col("k"), F.lit(1)))["v"]))
+
+    def turn(state: Column, _: Column) -> Column:
+        new = F.when(~state["done"], _next_centre(F.col("rows"), state["centre"]))
+        return F.struct(F.coalesce(new, state["centre"]).alias("centre"), (state["done"] | new.isNull() | (F.abs(new - state["centre"]) < LEAST_MOVE)).alias("done"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.col("seed").alias("centre"), F.lit(False).alias("done")), turn)["centre"]
+    return seeded.select("py", F.when(F.col("k") >= 4, folded).when(F.col("k") >= 2, mean).alias("ensemble"), F.col("n"))
 
 
 def log_normal(z: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -139,31 +150,59 @@ def hidden_states(df: DataFrame, features: list[str], model: dict = TWO_STATES,
     return both.groupBy("slice").applyInPandas(one, "py long, date date, state long, p double")
 
 
-def local_trend(y: np.ndarray, q_level: float = 0.8, q_trend: float = 0.02, r_first: float = 400.0, omega: float = 5.0, alpha: float = 0.3, floor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Level and trend by a square-root Kalman filter whose noise follows the last innovation (ARCH of order one)."""
-    step, root_q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag(np.sqrt([q_level, q_trend]))
-    x, s = np.array([float(y[0]), 0.0]), np.eye(2) * math.sqrt(r_first)
-    levels, trends = np.empty(len(y)), np.empty(len(y))
-    for t, seen in enumerate(y):
-        x = step @ x
-        s = np.linalg.qr(np.vstack([s.T @ step.T, root_q]))[1].T
-        gap = float(seen) - x[0]
-        noise = max(floor, omega + alpha * gap * gap)
-        f = s[0]
-        size = math.sqrt(float(f @ f) + noise)
-        sf = s @ f
-        x = x + sf * gap / size**2
-        s = np.tril(s - np.outer(sf, f) / (size * (size + math.sqrt(noise))))
-        levels[t], trends[t] = x
-    return levels, trends
-
-
-def smoothed(df: DataFrame, x: str, burn_in: int = 60, key: str = "station", **params: float) -> DataFrame:
+@dataclass(frozen=True)
+class TrendNoise:
+    """Variances of level and trend, of the first state, and the ARCH law of the noise: omega + alpha * gap**2, at least `floor`. Fixed values."""
+
+    level: float = 0.8
+    trend: float = 0.02
+    first: float = 400.0
+    omega: float = 5.0
+    alpha: float = 0.3
+    floor: float = 1.0
+
+
+#: Level, trend and the lower root of their covariance (top, side, corner).
+TrendState = tuple[float, float, float, float, float]
+
+
+def first_trend(value: float, noise: TrendNoise) -> TrendState:
+    return value, 0.0, math.sqrt(noise.first), 0.0, math.sqrt(noise.first)
+
+
+def next_trend(state: TrendState, seen: float, noise: TrendNoise) -> TrendState:
+    """One step of the square-root filter of a local linear trend of which the level is seen.
+
+    Only the level is measured, so with the predicted root [[top, 0], [side, corner]] the gain is along (top, side), and the
+    update shrinks just these two by sqrt(r / (top**2 + r)); the corner stays.
+    """
+    level, trend, top, side, corner = state
+    lead = top + side
+    top_now = math.sqrt(lead * lead + corner * corner + noise.level)
+    side_now = (lead * side + corner * corner) / top_now
+    corner_now = math.sqrt(max(side * side + corner * corner + noise.trend - side_now * side_now, 0.0))
+    gap = seen - (level + trend)
+    r = max(noise.floor, noise.omega + noise.alpha * gap * gap)
+    pull = gap * top_now / (top_now * top_now + r)
+    shrink = math.sqrt(r / (top_now * top_now + r))
+    return level + trend + top_now * pull, trend + side_now * pull, top_now * shrink, side_now * shrink, corner_now
+
+
+def local_trend(y: np.ndarray, noise: TrendNoise = TrendNoise()) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
+    """Level and trend after each value."""
+    path, state = np.empty((len(y), 2)), first_trend(float(y[0]), noise) if len(y) else None
+    for t, seen in enumerate(y.tolist()):
+        state = next_trend(state, seen, noise)
+        path[t] = state[:2]
+    return path[:, 0], path[:, 1]
+
+
+def smoothed(df: DataFrame, x: str, burn_in: int = 60, key: str = "station", noise: TrendNoise = TrendNoise()) -> DataFrame:  # noqa: B008
     """Level and trend for each row of each `key`, null in the first `burn_in` rows."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")
-        level, trend = local_trend(filled(g["x"].to_numpy(float)), **params)
+        level, trend = local_trend(filled(g["x"].to_numpy(float)), noise)
         level[:burn_in], trend[:burn_in] = np.nan, np.nan
         return pd.DataFrame({key: g[key], "date": g["date"], "level": level, "trend": trend})
 

@@ -13,7 +13,7 @@ from skyloom.sources import surrogate as s
 
 @query("pelt")
 def pelt(spark, d):
-    return k.breaks(index(spark, d), "roll", scale=0.5)
+    return k.breaks(index(spark, d), "roll")
 
 
 @query("biweight")
@@ -55,11 +55,15 @@ def welch_psd(spark, d):
     return k.density(s.hourly(spark, d), "ws")
 
 
+#: Days of the nowcast's forecast.
+AHEAD = 14
+
+
 @query("nowcast")
 def nowcast(spark, d):
-    """Latest state of the year by the causal filter, the filtered level and trend, and the forecast, as one row."""
+    """Latest state of the year by the causal filter, with the filtered level and trend and the level `ahead` days on by that trend, as one row."""
     x = index(spark, d)
     last = lambda df, *cols: df.agg(F.max(F.struct("date", *cols)).alias("m")).select("m.*")
     state = last(k.hidden_states(x, ["idx"]), "state", "p")
     level = last(k.smoothed(s.daily(spark, d).withColumn("station", F.lit(0)), "v"), "level", "trend").drop("date")
-    return state.crossJoin(level).select("date", "state", c.rounded("p").alias("p"), c.rounded("level").alias("level"), c.rounded("trend").alias("trend"))
+    return state.crossJoin(level).select("date", "state", c.rounded("p").alias("p"), c.rounded("level").alias("level"), c.rounded("trend").alias("trend"), c.rounded(F.col("level") + AHEAD * F.col("trend")).alias("forecast"))

@@ -151,14 +151,68 @@ def musim_quadrants(spark, d):
     return wind.time_features(s.obs(spark, d)).groupBy(wind.musim_of("mangsa").alias("musim")).agg(F.count("*").alias("n"), share(202, 292).alias("west_pct"), share(90, 180).alias("southeast_pct"))
 
 
-REGIME = "CASE WHEN hour(time) BETWEEN 6 AND 9 THEN 'morning' WHEN hour(time) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour(time) IN (22, 23, 0, 1, 2, 3, 4) THEN 'night' ELSE 'other' END"
+#: Months of the four wind regimes: fixed values.
+REGIMES = {"MB": (1, 2, 3), "PML1": (4, 5), "MT": (6, 7, 8, 9), "PML2": (10, 11, 12)}
+REGIME = "CASE " + " ".join(f"WHEN month(time) IN {m} THEN '{k}'" for k, m in REGIMES.items()) + " END"
 
 
-@query("regime_stats", f"SELECT {REGIME} AS regime, {dirs()}, {r6('avg(ws)')} AS mean, {r6('avg(cloud)')} AS cloud FROM obs GROUP BY 1", "obs")
+def regime_of(month):
+    out = F.lit(None).cast("string")
+    for k, m in REGIMES.items():
+        out = F.when(month.isin(*m), k).otherwise(out)
+    return out
+
+
+VECTOR = f"{r6('avg(-ws * sin(radians(wd)))')} AS u, {r6('avg(-ws * cos(radians(wd)))')} AS v, {r6('sqrt(pow(avg(-ws * sin(radians(wd))), 2) + pow(avg(-ws * cos(radians(wd))), 2)) / nullif(avg(ws), 0)')} AS constancy"
+
+
+def vector_summary():
+    u, v = F.avg(c.wind_u("wd", "ws")), F.avg(c.wind_v("wd", "ws"))
+    return [c.rounded(u).alias("u"), c.rounded(v).alias("v"), c.rounded(F.sqrt(u * u + v * v) / F.nullif(F.avg("ws"), F.lit(0.0))).alias("constancy")]
+
+
+@query("regime_stats", f"""WITH x AS (SELECT *, {REGIME} AS regime, {sector_sql(8)} AS sector FROM years), h AS (SELECT regime, max(m) - min(m) AS swing FROM (SELECT regime, hour(time) AS hour, avg(ws) AS m FROM x GROUP BY ALL) GROUP BY 1),
+n AS (SELECT regime, sector, count(*) AS n FROM x WHERE ws >= 2 GROUP BY ALL), d AS (SELECT regime, arg_min(sector, (-n, sector)) AS dominant FROM n GROUP BY 1)
+SELECT regime, count(*) AS n, {r6('avg(ws)')} AS speed, {VECTOR}, {r6('100 * avg(CASE WHEN ws < 2 THEN 1.0 ELSE 0 END)')} AS calm_pct, any_value(dominant) AS dominant, {r6('any_value(swing)')} AS diurnal_swing FROM x JOIN h USING (regime) LEFT JOIN d USING (regime) GROUP BY 1""", "years")
 def regime_stats(spark, d):
-    h = F.hour("time")
-    regime = F.when(h.between(6, 9), "morning").when(h.between(12, 16), "afternoon").when(h.isin(22, 23, 0, 1, 2, 3, 4), "night").otherwise("other")
-    return s.obs(spark, d).groupBy(regime.alias("regime")).agg(*wind.direction_summary(), c.rounded(F.avg("ws")).alias("mean"), c.rounded(F.avg("cloud")).alias("cloud"))
+    """Four month regimes: vector mean, constancy, calms, dominant sector of the rose and the swing of the hourly means, from one pre-aggregate."""
+    x = s.years(spark, d).withColumns({"regime": regime_of(F.month("time")), "sector": c.sector("wd", 8)})
+    every = x.groupBy("regime").agg(F.count("*").alias("n"), c.rounded(F.avg("ws")).alias("speed"), *vector_summary(), c.rounded(100 * F.avg(F.when(F.col("ws") < 2, 1.0).otherwise(0.0))).alias("calm_pct"))
+    swing = x.groupBy("regime", F.hour("time")).agg(F.avg("ws").alias("m")).groupBy("regime").agg(c.rounded(F.max("m") - F.min("m")).alias("diurnal_swing"))
+    rose = x.where("ws >= 2").groupBy("regime", "sector").count().groupBy("regime").agg(F.min(F.struct((-F.col("count")).alias("k"), "sector"))["sector"].alias("dominant"))
+    return every.join(F.broadcast(swing), "regime").join(F.broadcast(rose), "regime", "left")
+
+
+@query("regime_rose", f"WITH x AS (SELECT {REGIME} AS regime, {sector_sql(8)} AS sector, CAST({BIN} AS BIGINT) AS bin FROM years) SELECT regime, sector, bin, count(*) AS n, {r6('100.0 * count(*) / sum(count(*)) OVER (PARTITION BY regime)')} AS pct FROM x GROUP BY regime, sector, bin", "years")
+def regime_rose(spark, d):
+    rose = wind.wind_rose(s.years(spark, d).withColumn("regime", regime_of(F.month("time"))), 8, by=("regime",))
+    return rose.select("regime", "sector", "bin", "n", c.rounded("pct").alias("pct"))
+
+
+MONTHLY = f"""m AS (SELECT month(time) AS month, count(*) AS n, avg(ws) AS speed, {VECTOR} FROM years GROUP BY 1)"""
+
+
+@query("annual_cycle", f"""WITH {MONTHLY},
+h AS (SELECT count(*) AS k, sum(speed * cos(2 * pi() * month / 12)) AS sc, sum(speed * sin(2 * pi() * month / 12)) AS ss, avg(speed) AS mean FROM m),
+o AS (SELECT arg_min(month, month % 12) FILTER (month IN (12, 1, 2, 3) AND constancy > 0.5) AS wet_onset, min(month) FILTER (month IN (6, 7, 8, 9) AND constancy > 0.5) AS dry_onset, coalesce(string_agg(month::VARCHAR, ',' ORDER BY month) FILTER (constancy < 0.3), '') AS turning FROM m)
+SELECT CAST(h.k AS BIGINT) AS months, CASE WHEN h.k = 12 THEN {r6('2 * sqrt(sc * sc + ss * ss) / 12')} END AS amplitude, CASE WHEN h.k = 12 THEN {r6('((degrees(atan2(ss, sc)) + 360) % 360) / 30')} END AS phase_month, {r6('mean')} AS mean_speed, wet_onset, dry_onset, turning FROM h, o""", "years")
+def annual_cycle(spark, d):
+    """Twelve-month harmonic of the monthly speed, first months of constant wind in either season, and the months without.
+
+    Twelve equally spaced months make the least-squares harmonic a pair of sums.
+    """
+    m = s.years(spark, d).groupBy(F.month("time").cast("long").alias("month")).agg(F.avg("ws").alias("speed"), *vector_summary())
+    angle, steady = 2 * F.pi() * F.col("month") / 12, F.col("constancy") > 0.5
+    first = lambda months: F.min(F.when(F.col("month").isin(*months) & steady, F.struct((F.col("month") % 12).alias("k"), "month")))["month"]
+    h = m.agg(
+        F.count("*").alias("months"), F.sum(F.col("speed") * F.cos(angle)).alias("sc"), F.sum(F.col("speed") * F.sin(angle)).alias("ss"), F.avg("speed").alias("mean"),
+        first((12, 1, 2, 3)).alias("wet_onset"), first((6, 7, 8, 9)).alias("dry_onset"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("constancy") < 0.3, F.col("month")))), ",").alias("turning"),
+    )
+    full = F.col("months") == 12
+    return h.select(
+        "months", F.when(full, c.rounded(2 * F.sqrt(F.col("sc") * F.col("sc") + F.col("ss") * F.col("ss")) / 12)).alias("amplitude"),
+        F.when(full, c.rounded(F.pmod(F.degrees(F.atan2("ss", "sc")), F.lit(360.0)) / 30)).alias("phase_month"), c.rounded("mean").alias("mean_speed"), "wet_onset", "dry_onset", "turning",
+    )
 
 
 @query("sector_cloud", f"SELECT {sector_sql(8)} AS sector, count(*) AS n, {r6('avg(cloud)')} AS cloud, {r6('avg(precip)')} AS precip, {r6('100.0 * avg(CASE WHEN precip > 0.5 THEN 1.0 ELSE 0 END)')} AS wet_pct FROM obs GROUP BY 1", "obs")
@@ -166,11 +220,11 @@ def sector_cloud(spark, d):
     return s.obs(spark, d).groupBy(c.sector("wd", 8).alias("sector")).agg(F.count("*").alias("n"), c.rounded(F.avg("cloud")).alias("cloud"), c.rounded(F.avg("precip")).alias("precip"), c.rounded(100.0 * F.avg(F.when(F.col("precip") > 0.5, 1.0).otherwise(0.0))).alias("wet_pct"))
 
 
-@query("intensity_composite", f"""SELECT CASE WHEN precip < 0.1 THEN 'dry' WHEN precip < 0.5 THEN 'light' WHEN precip < 1.0 THEN 'moderate' ELSE 'heavy' END AS intensity, count(*) AS n, {r6('avg(ws)')} AS ws, {r6('avg(cloud)')} AS cloud,
+@query("intensity_composite", f"""SELECT CASE WHEN precip < 0.05 THEN 'dry' WHEN precip < 1 THEN 'light' WHEN precip < 5 THEN 'moderate' ELSE 'heavy' END AS intensity, count(*) AS n, {r6('avg(ws)')} AS ws, {r6('avg(cloud)')} AS cloud,
   {r6(MEAN_DIR.format('wd'))} AS mean_dir FROM obs GROUP BY 1""", "obs")
 def intensity_composite(spark, d):
     p = F.col("precip")
-    level = F.when(p < 0.1, "dry").when(p < 0.5, "light").when(p < 1.0, "moderate").otherwise("heavy")
+    level = F.when(p < 0.05, "dry").when(p < 1, "light").when(p < 5, "moderate").otherwise("heavy")
     return s.obs(spark, d).groupBy(level.alias("intensity")).agg(F.count("*").alias("n"), c.rounded(F.avg("ws")).alias("ws"), c.rounded(F.avg("cloud")).alias("cloud"), c.rounded(c.circular_mean("wd")).alias("mean_dir"))
 
 
@@ -180,25 +234,46 @@ def speed_components(spark, d):
     return o.select("event_id", c.rounded("u").alias("u"), c.rounded("v").alias("v"), c.rounded(F.round(c.direction_of("u", "v"), 6) % 360).alias("back"), c.sector("wd", 8).alias("sector"))
 
 
-@query("shear_profile", f"""WITH x AS (SELECT hour(time) AS hour, ln(greatest(gust / ws, 1e-6)) / ln(10) AS alpha FROM obs WHERE ws > 0.5 AND gust > 0.5)
-SELECT hour, count(*) AS n, {r6('avg(alpha)')} AS mean, {r6('median(alpha)')} AS median, {r6("avg(CASE WHEN alpha < 0.05 THEN 1.0 ELSE 0 END)")} AS unstable, {r6("avg(CASE WHEN alpha >= 0.05 AND alpha < 0.15 THEN 1.0 ELSE 0 END)")} AS neutral, {r6("avg(CASE WHEN alpha >= 0.15 THEN 1.0 ELSE 0 END)")} AS stable FROM x GROUP BY 1""", "obs")
-def shear_profile(spark, d):
-    """Hellmann exponent of two levels ten times apart, with stability classes, by hour."""
-    x = s.obs(spark, d).where("ws > 0.5 and gust > 0.5").select(F.hour("time").cast("long").alias("hour"), (F.log(F.greatest(F.col("gust") / F.col("ws"), F.lit(1e-6))) / F.log(F.lit(10.0))).alias("alpha"))
-    a = F.col("alpha")
-    share = lambda k: c.rounded(F.avg(F.when(k, 1.0).otherwise(0.0)))
-    return x.groupBy("hour").agg(F.count("*").alias("n"), c.rounded(F.avg(a)).alias("mean"), c.rounded(F.percentile(a, 0.5)).alias("median"), share(a < 0.05).alias("unstable"), share((a >= 0.05) & (a < 0.15)).alias("neutral"), share(a >= 0.15).alias("stable"))
+#: Upper limits of the exponent in the stability classes: fixed values.
+STABILITY = (("very_unstable", 0.05), ("unstable", 0.12), ("neutral", 0.20), ("stable", 0.35), ("very_stable", None))
+_LOW = [None, *[x for _, x in STABILITY[:-1]]]
+_SHARES = ", ".join(r6("100 * avg(CASE WHEN " + " AND ".join(filter(None, [f"alpha >= {lo}" if lo else "", f"alpha < {hi}" if hi else ""])) + " THEN 1.0 ELSE 0 END)") + f" AS {n}" for (n, hi), lo in zip(STABILITY, _LOW, strict=True))
+ALPHA = "x AS (SELECT hour(time) AS hour, month(time) AS month, ln(greatest(gust / ws, 1e-6)) / ln(10) AS alpha FROM obs WHERE ws > 0.5 AND gust > 0.5)"
+PART = "CASE WHEN hour BETWEEN 9 AND 17 THEN 'day' WHEN hour >= 21 OR hour <= 6 THEN 'night' ELSE 'between' END"
+
 
+def exponents(spark, d):
+    """Hellmann exponent of two levels ten times apart."""
+    return s.obs(spark, d).where("ws > 0.5 and gust > 0.5").select(F.hour("time").cast("long").alias("hour"), F.month("time").cast("long").alias("month"), (F.log(F.greatest(F.col("gust") / F.col("ws"), F.lit(1e-6))) / F.log(F.lit(10.0))).alias("alpha"))
 
-@query("transition_analysis", f"""WITH x AS (SELECT time, hour(time) AS hour, (wd - lag(wd) OVER (ORDER BY time, event_id) + 540) % 360 - 180 AS turn FROM (SELECT *, first(wd) OVER () AS z FROM (SELECT hour AS time, 0 AS event_id, wd, station FROM hourly WHERE station = 0)))
-SELECT hour, count(turn) AS n, {r6('avg(CASE WHEN turn > 45 THEN 1.0 ELSE 0 END)')} AS veer, {r6('avg(CASE WHEN turn < -45 THEN 1.0 ELSE 0 END)')} AS back, {r6('avg(CASE WHEN abs(turn) > 90 THEN 1.0 ELSE 0 END)')} AS rapid FROM x WHERE turn IS NOT NULL GROUP BY 1""", "hourly")
+
+def stability():
+    a, out = F.col("alpha"), []
+    for (name, high), low in zip(STABILITY, _LOW, strict=True):
+        inside = F.lit(True) if low is None else a >= low
+        out.append(c.rounded(100 * F.avg(F.when(inside & (a < high if high else F.lit(True)), 1.0).otherwise(0.0))).alias(name))
+    return out
+
+
+def _shear(name: str, key: str, sql: str, column):
+    @query(name, f"WITH {ALPHA} SELECT {sql} AS {key}, count(*) AS n, {r6('avg(alpha)')} AS mean, {r6('median(alpha)')} AS median, {_SHARES} FROM x GROUP BY 1", "obs")
+    def q(spark, d):
+        return exponents(spark, d).groupBy(column().alias(key)).agg(F.count("*").alias("n"), c.rounded(F.avg("alpha")).alias("mean"), c.rounded(F.percentile("alpha", 0.5)).alias("median"), *stability())
+
+
+_shear("shear_profile", "hour", "hour", lambda: F.col("hour"))
+_shear("shear_by_month", "month", "month", lambda: F.col("month"))
+_shear("shear_day_night", "part", PART, lambda: F.when(F.col("hour").between(9, 17), "day").when((F.col("hour") >= 21) | (F.col("hour") <= 6), "night").otherwise("between"))
+
+
+@query("transition_analysis", f"""WITH x AS (SELECT station, hour(hour) AS hour, (wd - lag(wd) OVER (PARTITION BY station ORDER BY hour) + 540) % 360 - 180 AS turn FROM hourly)
+SELECT station, hour, count(turn) AS n, {r6('avg(abs(turn))')} AS mean_turn, {r6('avg(CASE WHEN turn > 45 THEN 1.0 ELSE 0 END)')} AS veer, {r6('avg(CASE WHEN turn < -45 THEN 1.0 ELSE 0 END)')} AS back, {r6('avg(CASE WHEN abs(turn) > 90 THEN 1.0 ELSE 0 END)')} AS rapid FROM x WHERE turn IS NOT NULL GROUP BY 1, 2""", "hourly")
 def transition_analysis(spark, d):
-    """Turns of the hourly direction; the window runs over hours of one station, not over raw rows."""
-    h = s.hourly(spark, d).where("station = 0")
-    x = h.withColumn("turn", c.circular_difference("wd", F.lag("wd").over(Window.partitionBy("station").orderBy("hour")))).where("turn is not null")
+    """Turns of the hourly direction of every station; the windows run over hours, not over raw rows."""
+    x = s.hourly(spark, d).withColumn("turn", c.circular_difference("wd", F.lag("wd").over(Window.partitionBy("station").orderBy("hour")))).where("turn is not null")
     share = lambda k: c.rounded(F.avg(F.when(k, 1.0).otherwise(0.0)))
     t = F.col("turn")
-    return x.groupBy(F.hour("hour").cast("long").alias("hour")).agg(F.count("turn").alias("n"), share(t > 45).alias("veer"), share(t < -45).alias("back"), share(F.abs(t) > 90).alias("rapid"))
+    return x.groupBy("station", F.hour("hour").cast("long").alias("hour")).agg(F.count("turn").alias("n"), c.rounded(F.avg(F.abs(t))).alias("mean_turn"), share(t > 45).alias("veer"), share(t < -45).alias("back"), share(F.abs(t) > 90).alias("rapid"))
 
 
 @query("sector_run_lengths", f"""WITH x AS (SELECT station, hour, {sector_sql(8)} AS sector, row_number() OVER (PARTITION BY station ORDER BY hour) AS rn FROM hourly),
@@ -302,16 +377,22 @@ def cut_qcut_classes(spark, d):
     return o.crossJoin(F.broadcast(edges)).groupBy(cut.alias("cut"), quarter.alias("quarter")).agg(F.count("*").alias("n"), c.rounded(F.avg("ws")).alias("mean"))
 
 
-@query("sea_breeze_days", f"""WITH x AS (SELECT CAST(time AS DATE) AS date, {MEAN_DIR.format('CASE WHEN hour(time) BETWEEN 10 AND 17 THEN wd END')} AS day_dir, {MEAN_DIR.format('CASE WHEN hour(time) >= 22 OR hour(time) <= 5 THEN wd END')} AS night_dir,
-  avg(ws) AS ws FROM obs GROUP BY 1), y AS (SELECT *, abs((day_dir - night_dir + 540) % 360 - 180) AS turn FROM x)
-SELECT date, {r6('day_dir')} AS day_dir, {r6('night_dir')} AS night_dir, {r6('turn')} AS turn, CASE WHEN turn IS NULL THEN 'unknown' WHEN turn >= 120 THEN 'strong' WHEN turn >= 60 THEN 'weak' ELSE 'none' END AS kind FROM y""", "obs")
+BREEZE = """CAST(time AS DATE) AS date, avg(CASE WHEN hour(time) BETWEEN 10 AND 17 THEN ws END) AS day_speed, avg(CASE WHEN hour(time) >= 22 OR hour(time) <= 5 THEN ws END) AS night_speed, avg(CASE WHEN hour(time) BETWEEN 10 AND 17 THEN 10 * (100 - cloud) END) AS radiation"""
+
+
+@query("sea_breeze_days", f"""WITH x AS (SELECT {MEAN_DIR.format('CASE WHEN hour(time) BETWEEN 10 AND 17 THEN wd END')} AS day_dir, {MEAN_DIR.format('CASE WHEN hour(time) >= 22 OR hour(time) <= 5 THEN wd END')} AS night_dir, {BREEZE} FROM obs GROUP BY date)
+SELECT date, {r6('day_dir')} AS day_dir, {r6('night_dir')} AS night_dir, coalesce((day_dir >= 315 OR day_dir <= 90) AND night_dir >= 135 AND night_dir <= 270 AND coalesce(day_speed, 0) > coalesce(night_speed, 0) AND coalesce(radiation, 0) > 150, false) AS breeze FROM x""", "obs")
 def sea_breeze_days(spark, d):
+    """Days with wind from the sea by day, from the land by night, stronger by day and in the sun (here what clouds leave of 1000)."""
     h = F.hour("time")
-    x = s.obs(spark, d).withColumns({"_day": F.when(h.between(10, 17), F.col("wd")), "_night": F.when((h >= 22) | (h <= 5), F.col("wd"))})
-    y = x.groupBy(F.to_date("time").alias("date")).agg(c.circular_mean("_day").alias("day_dir"), c.circular_mean("_night").alias("night_dir"))
-    turn = F.abs(c.circular_difference("day_dir", "night_dir"))
-    kind = F.when(turn.isNull(), "unknown").when(turn >= 120, "strong").when(turn >= 60, "weak").otherwise("none")
-    return y.select("date", c.rounded("day_dir").alias("day_dir"), c.rounded("night_dir").alias("night_dir"), c.rounded(turn).alias("turn"), kind.alias("kind"))
+    day, night = h.between(10, 17), (h >= 22) | (h <= 5)
+    x = s.obs(spark, d).withColumns({"_day": F.when(day, F.col("wd")), "_night": F.when(night, F.col("wd"))})
+    y = x.groupBy(F.to_date("time").alias("date")).agg(
+        c.circular_mean("_day").alias("day_dir"), c.circular_mean("_night").alias("night_dir"), F.coalesce(F.avg(F.when(day, F.col("ws"))), F.lit(0.0)).alias("a"), F.coalesce(F.avg(F.when(night, F.col("ws"))), F.lit(0.0)).alias("b"),
+        F.coalesce(F.avg(F.when(day, 10 * (100 - F.col("cloud")))), F.lit(0.0)).alias("sun"),
+    )
+    breeze = ((F.col("day_dir") >= 315) | (F.col("day_dir") <= 90)) & F.col("night_dir").between(135, 270) & (F.col("a") > F.col("b")) & (F.col("sun") > 150)
+    return y.select("date", c.rounded("day_dir").alias("day_dir"), c.rounded("night_dir").alias("night_dir"), F.coalesce(breeze, F.lit(False)).alias("breeze"))
 
 
 @query("hourly_grid", f"""WITH r AS (SELECT min(hour) AS a, max(hour) AS b FROM series), g AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM r) SELECT g.hour, {r6('ws')} AS ws, ws IS NULL AS gap FROM g LEFT JOIN series USING (hour)""", "series")

@@ -242,11 +242,11 @@ def linear_trend(spark, d):
     return det.linear_trend(y, "py", "y").withColumn("intercept", F.round("intercept", 4))
 
 
-@query("outlier_screen", f"WITH y AS (SELECT py, avg(v) AS y FROM daily GROUP BY 1), z AS (SELECT *, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS z FROM y) SELECT py, round(y, 9) AS y, round(z, 9) AS z, abs(z) < 1.5 AS inlier, round(avg(CASE WHEN abs(z) < 1.5 THEN y END) OVER (), 9) AS robust FROM z", "daily")
+@query("outlier_screen", f"WITH y AS (SELECT py, avg(v) AS y FROM daily GROUP BY 1), z AS (SELECT *, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS z FROM y) SELECT py, round(y, 9) AS y, round(z, 9) AS z, abs(z) < 2 AS inlier, round(avg(CASE WHEN abs(z) < 2 THEN y END) OVER (), 9) AS robust FROM z", "daily")
 def outlier_screen(spark, d):
     w = Window.partitionBy(F.lit(1))
     z = s.daily(spark, d).groupBy("py").agg(F.avg("v").alias("y")).withColumn("z", c.zscore("y", w))
-    inlier = F.abs("z") < 1.5
+    inlier = F.abs("z") < 2
     return z.select("py", F.round("y", 9).alias("y"), F.round("z", 9).alias("z"), inlier.alias("inlier"), F.round(F.avg(F.when(inlier, F.col("y"))).over(w), 9).alias("robust"))
 
 
@@ -308,11 +308,11 @@ def anomaly_flags(spark, d):
     return y.withColumns({"fa": off("a"), "fd": off("d")}).select("py", F.concat_ws(" ", F.when(F.col("fa"), "level"), F.when(F.col("fd"), "duration")).alias("flags"))
 
 
-@query("union_keep_first", "WITH u AS (SELECT date, v, 0 AS src FROM daily WHERE dopy < 200 UNION ALL SELECT date, w, 1 FROM daily2 WHERE date >= DATE '1996-01-01') SELECT date, round(v, 8) AS v, CAST(src AS BIGINT) AS src FROM u QUALIFY row_number() OVER (PARTITION BY date ORDER BY src) = 1", "daily", "daily2")
+@query("union_keep_first", "WITH u AS (SELECT date, v, 0 AS src FROM daily UNION ALL SELECT date, w, 1 FROM daily2) SELECT date, round(v, 8) AS v, CAST(src AS BIGINT) AS src FROM u QUALIFY row_number() OVER (PARTITION BY date ORDER BY src) = 1", "daily", "daily2")
 def union_keep_first(spark, d):
     """Append sources and keep the first of each date: one aggregate, no sort."""
-    a = s.daily(spark, d).where("dopy < 200").select("date", "v", F.lit(0).alias("src"))
-    b = s.daily2(spark, d).where("date >= date'1996-01-01'").select("date", F.col("w").alias("v"), F.lit(1).alias("src"))
+    a = s.daily(spark, d).select("date", "v", F.lit(0).alias("src"))
+    b = s.daily2(spark, d).select("date", F.col("w").alias("v"), F.lit(1).alias("src"))
     first = a.unionByName(b).groupBy("date").agg(F.min(F.struct("src", "v")).alias("x"))
     return first.select("date", F.round("x.v", 8).alias("v"), F.col("x.src").cast("long").alias("src"))
 

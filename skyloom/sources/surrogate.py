@@ -65,6 +65,13 @@ def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("date", "py", "dopy", *[(m + s * swing + p * a + q * b).alias(n) for n, (m, s, p, q) in FIELDS.items()])
 
 
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples over all years from orders: time, ws and wd, whose direction follows the month."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").alias("time"), (F.col("o_totalprice") / 10000).alias("ws"), F.pmod(200 + 70 * F.sin(2 * F.pi() * F.month("o_orderdate") / 12) + (F.col("o_orderkey") * 37) % 80, F.lit(360.0)).alias("wd")
+    )
+
+
 PY = "(year(date) - CASE WHEN date < make_date(year(date), 6, 22) THEN 1 ELSE 0 END)"
 CTE = {
     "obs": """obs AS (SELECT event_id, ts AS time, value AS ws, CAST((event_id * 37) % 360 AS DOUBLE) AS wd, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS cloud,
@@ -76,6 +83,7 @@ CTE = {
   SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1000 AS v, count(*) AS n FROM orders GROUP BY ALL))""",
     "daily2": "daily2 AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) / 1000 AS w FROM lineitem GROUP BY ALL)",
 }
+CTE["years"] = "years AS (SELECT o_orderdate AS time, o_totalprice / 10000 AS ws, (200 + 70 * sin(2 * pi() * month(o_orderdate) / 12) + (o_orderkey * 37) % 80 + 360) % 360 AS wd FROM orders)"
 _SWING = "cos(2 * 3.141592653589793 * (dopy - 190) / 365)"
 CTE["climate"] = "climate AS (SELECT daily.date, py, dopy, " + ", ".join(f"{m}::DOUBLE + {a} * {_SWING} + {p} * ((v - 150) / 15) + {q} * ((w - 38) / 5) AS {n}" for n, (m, a, p, q) in FIELDS.items()) + " FROM daily LEFT JOIN daily2 USING (date))"
 NEEDS = {"hourly": ("obs",), "series": ("obs",), "climate": ("daily", "daily2")}

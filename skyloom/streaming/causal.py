@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skyloom.functions import columns as c
+from skyloom.operators.kernels import TrendNoise, first_trend, next_trend
 
 
 def hourly_stream(stream: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -27,36 +27,22 @@ def sessions_stream(stream: DataFrame, gap: str = "10 minutes", late: str = "2 h
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "station").agg(F.count("*").alias("n"), F.max("ws").alias("peak")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "station", "n", "peak")
 
 
-def filtered_stream(stream: DataFrame, q_level: float = 0.8, q_trend: float = 0.02, r_first: float = 400.0, omega: float = 5.0, alpha: float = 0.3, floor: float = 1.0, keep: int = 30) -> DataFrame:
+def filtered_stream(stream: DataFrame, noise: TrendNoise = TrendNoise(), keep: int = 30) -> DataFrame:  # noqa: B008
     """Level, trend and trailing mean of `keep` rows for each row of a stream (station, ts, ws), in order within a batch.
 
-    The state of a station is the filter's two numbers and root covariance and a ring of the last values: bounded.
+    The state of a station is the filter's five numbers and a ring of the last values: bounded. The step is that of the batch filter.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x0, x1, s00, s10, s11, n, ring = state.get if state.exists else (0.0, 0.0, r_first**0.5, 0.0, r_first**0.5, 0, [])
-        ring = list(ring)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        move, root = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag(np.sqrt([q_level, q_trend]))
-        x, s = np.array([x0, x1]), np.array([[s00, 0.0], [s10, s11]])
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        trend, ring = (tuple(state.get[:5]), list(state.get[5])) if state.exists else (None, [])
         out = []
-        for ts, seen in zip(rows["ts"], rows["ws"], strict=True):
-            if n == 0:
-                x = np.array([float(seen), 0.0])
-            x = move @ x
-            s = np.linalg.qr(np.vstack([s.T @ move.T, root]))[1].T
-            gap = float(seen) - x[0]
-            noise = max(floor, omega + alpha * gap * gap)
-            size = float(np.sqrt(s[0] @ s[0] + noise))
-            sf = s @ s[0]
-            x = x + sf * gap / size**2
-            s = np.tril(s - np.outer(sf, s[0]) / (size * (size + noise**0.5)))
-            n += 1
-            ring = [*ring, float(seen)][-keep:]
-            out.append((key[0], ts, x[0], x[1], sum(ring) / len(ring)))
-        state.update((float(x[0]), float(x[1]), float(s[0, 0]), float(s[1, 0]), float(s[1, 1]), n, ring))
+        for row in pd.concat(list(batches)).sort_values("ts").itertuples(index=False):
+            trend = next_trend(trend or first_trend(float(row.ws), noise), float(row.ws), noise)
+            ring = [*ring, float(row.ws)][-keep:]
+            out.append((key[0], row.ts, trend[0], trend[1], sum(ring) / len(ring)))
+        state.update((*trend, ring))
         yield pd.DataFrame(out, columns=["station", "ts", "level", "trend", "trailing"])
 
     return stream.groupBy("station").applyInPandasWithState(
-        step, "station long, ts timestamp, level double, trend double, trailing double", "x0 double, x1 double, s00 double, s10 double, s11 double, n long, ring array<double>", "append", GroupStateTimeout.NoTimeout
+        advance, "station long, ts timestamp, level double, trend double, trailing double", "level double, trend double, top double, side double, corner double, ring array<double>", "append", GroupStateTimeout.NoTimeout
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import detectors as det
 from skyloom.operators import kernels as k
+from skyloom.operators import monsoon as m
 
 
 def frame(spark, years: dict[int, list[float | None]]):
@@ -131,11 +132,142 @@ def test_causal_filter_prefers_the_right_state():
     assert p[30].argmax() == 0 and p[-1].argmax() == 1 and np.allclose(p.sum(axis=1), 1)
 
 
-def test_bisquare_ignores_an_outlier():
-    v, w = np.array([100.0, 102, 101, 99, 180]), np.ones(5)
-    assert abs(k.bisquare_centre(v, w) - 100.5) < 1.0
-    assert k.bisquare_centre(np.array([1.0, 3.0]), np.array([1.0, 3.0])) == pytest.approx(2.5)
-    assert k.bisquare_centre(np.array([1.0]), np.array([1.0])) is None
+def brute_biweight(rows: list[tuple[float, float]]) -> float | None:
+    """Tukey's biweight by the textbook loop."""
+    rows = sorted((v, w) for v, w in rows if v is not None and w > 0)
+    total = sum(w for _, w in rows)
+    if len(rows) < 2:
+        return None
+    if len(rows) < 4:
+        return sum(v * w for v, w in rows) / total
+    run, centre = 0.0, None
+    for v, w in rows:
+        run += w / total
+        if run >= 0.5 and centre is None:
+            centre = v
+    for _ in range(10):
+        mad = float(np.median([abs(v - centre) for v, _ in rows]))
+        if mad < 0.5:
+            return centre
+        u = [(v - centre) / (4.685 * mad) for v, _ in rows]
+        e = [w / total * (1 - x * x) ** 2 if abs(x) < 1 else 0.0 for x, (_, w) in zip(u, rows, strict=True)]
+        if sum(e) < 1e-10:
+            return centre
+        new = sum(x * v for x, (v, _) in zip(e, rows, strict=True)) / sum(e)
+        centre, moved = new, abs(new - centre)
+        if moved < 0.1:
+            return centre
+    return centre
+
+
+def test_biweight_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    groups = {1: [(100.0, 1.0), (101.0, 1.0), (100.5, 1.0), (400.0, 1.0)], 2: [(1.0, 1.0), (3.0, 3.0)], 3: [(1.0, 1.0)], 4: [(None, 1.0), (5.0, 0.0)], 5: [(7.0, 1.0)] * 6}
+    groups |= {10 + i: [(float(v), float(w)) for v, w in zip(r.normal(120, 25, 8), r.uniform(0.5, 2, 8), strict=True)] for i in range(20)}
+    got = {x["py"]: x["ensemble"] for x in k.biweight(spark.createDataFrame([(g, v, w) for g, rows in groups.items() for v, w in rows], "py long, onset double, weight double")).collect()}
+    assert set(got) == set(groups)
+    for g, rows in groups.items():
+        want = brute_biweight(rows)
+        assert (got[g] is None) == (want is None) and (want is None or abs(got[g] - want) < 1e-9), g
+
+
+def test_trend_filter_equals_the_covariance_form():
+    r, q = np.random.default_rng(1), k.TrendNoise()
+    y = np.cumsum(r.normal(0.3, 2.0, 300))
+    x, p, move = np.array([y[0], 0.0]), np.eye(2) * q.first, np.array([[1.0, 1.0], [0.0, 1.0]])
+    level, trend = k.local_trend(y)
+    for t in range(300):
+        x, p = move @ x, move @ p @ move.T + np.diag([q.level, q.trend])
+        gap = y[t] - x[0]
+        noise = max(q.floor, q.omega + q.alpha * gap**2)
+        gain = p[:, 0] / (p[0, 0] + noise)
+        x, p = x + gain * gap, p - np.outer(gain, p[0])
+        assert abs(level[t] - x[0]) < 1e-8 and abs(trend[t] - x[1]) < 1e-8
+
+
+def daily_rows(spark, n=400, seed=3):
+    r, start = np.random.default_rng(seed), datetime.date(2001, 6, 22)
+    return spark.createDataFrame([(2001, start + datetime.timedelta(days=i), i % 365, 0, float(r.normal(np.sin(i / 30), 0.3)), float(r.normal())) for i in range(n)], "py long, date date, dopy long, station long, x double, y double")
+
+
+def test_hidden_states_equal_a_plain_forward_pass(spark):
+    df = daily_rows(spark, 300)
+    got = {r["date"]: (r["state"], r["p"]) for r in k.hidden_states(df, ["x"]).collect()}
+    model = k.TWO_STATES
+    p = [1.0, 0.0]
+    for i, row in enumerate(sorted(df.collect(), key=lambda r: r["date"])):
+        if i:
+            p = [sum(p[a] * model["move"][a][b] for a in (0, 1)) for b in (0, 1)]
+        var = 0.8 + 1e-6
+        p = [p[s] * math.exp(-((row["x"] - model["means"][s][0]) ** 2) / (2 * var)) for s in (0, 1)]
+        p = [v / sum(p) for v in p]
+        assert got[row["date"]][0] == int(p[1] > p[0]) and abs(got[row["date"]][1] - max(p)) < 1e-9
+
+
+def test_forecast_and_interaction_equal_least_squares(spark):
+    df = daily_rows(spark, 200)
+    rows = sorted(df.collect(), key=lambda r: r["date"])
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+    terms = np.array([[*(x[t - i] for i in range(5)), *(y[t - i] for i in range(5)), 1.0] for t in range(4, 200)])
+    beta = np.linalg.lstsq(terms[:-6], y[10:], rcond=None)[0]
+    got = k.lagged_forecast(df, "x", "y").first()
+    assert got["n"] == 190 and abs(got["forecast"] - terms[-1] @ beta) < 1e-8
+    target = 1.5 * x - 0.5 * y + 2 * x * y + 3
+    fit = k.interaction_fit(spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, target, strict=True)], "a double, b double, z double"), "a", "b", "z").first()
+    assert np.allclose([fit["beta_a"], fit["beta_b"], fit["beta_ab"], fit["constant"], fit["r2"]], [1.5, -0.5, 2.0, 3.0, 1.0], atol=1e-7)
+
+
+def test_spectrum_and_density_equal_plain_sums(spark):
+    n = 240
+    v = [math.sin(2 * math.pi * t / 24) + 0.5 * math.sin(2 * math.pi * t / 12) for t in range(n)]
+    df = spark.createDataFrame([(0, t, v[t]) for t in range(n)], "station long, hour long, x double")
+    peaks = {round(r["period"], 6): r["amplitude"] for r in k.spectrum(df, "x", top=3).collect()}
+    for period in (24, 12):
+        want = abs(sum(v[t] * complex(math.cos(2 * math.pi * t / period), -math.sin(2 * math.pi * t / period)) for t in range(n)))
+        assert abs(peaks[float(period)] - want) < 1e-6
+    assert abs(min(k.density(df, "x").collect(), key=lambda r: r["rank"])["period"] - 60 / 2.5) < 4
+
+
+def brute_persistent(x, days, level, lo, hi, sustain, least, up, eps):
+    for i in range(1, len(x)):
+        if not lo <= days[i] <= hi or x[i] is None or not (x[i] >= level if up else x[i] <= level):
+            continue
+        ahead = [v for v in x[i : i + sustain] if v is not None]
+        if len(ahead) >= least - 2 and sum((v >= level - eps) if up else (v <= level + eps) for v in ahead) >= least:
+            return days[i]
+    return None
+
+
+def centred(x, n):
+    out = []
+    for i in range(len(x)):
+        own = [v for v in x[max(0, i - (n - 1 - (n - 1) // 2)) : i + (n - 1) // 2 + 1] if v is not None]
+        out.append(sum(own) / len(own) if len(own) >= n // 2 else None)
+    return out
+
+
+def test_season_detectors_equal_plain_loops(spark):
+    r, rows = np.random.default_rng(8), []
+    for py in (2000, 2001, 2002):
+        for i in range(365):
+            swing = math.cos(2 * math.pi * (i - 190) / 365)
+            value = lambda m, s, e: None if r.random() < 0.03 else float(m + s * swing + r.normal() * e)
+            rows.append((py, datetime.date(py, 6, 22) + datetime.timedelta(days=i), i, value(0.1, 0.8, 0.3), value(70, 25, 6), value(44, 8, 2), value(220, -60, 15)))
+    df = spark.createDataFrame(rows, "py long, date date, dopy long, u_comp double, cloud double, tcwv double, sw_rad double")
+    two, three = m.SEASON_DETECTORS[0], m.SEASON_DETECTORS[2]
+    got = {d.name: {x["py"]: x["onset"] for x in m.detected(df, d).collect()} for d in (two, three)}
+    for py in (2000, 2001, 2002):
+        own = [x for x in rows if x[0] == py]
+        days = [x[2] for x in own]
+        u, cloud, vapour, sun = (centred([x[k] for x in own], n) for k, n in ((3, 7), (4, 7), (5, 7), (6, 21)))
+        joint = [None if None in z else float(z[0] > -0.30 and z[1] > 76.0 and z[2] > 45.0) for z in zip(u, cloud, vapour, strict=True)]
+        share = []
+        for i in range(365):
+            back = [v for v in joint[max(0, i - 13) : i + 1] if v is not None]
+            share.append(sum(back) / len(back) if len(back) >= 9 else None)
+        assert got["B2_on"][py] == brute_persistent(share, days, 0.65, 100, 195, 10, 7, True, 0.025)
+        dry = [v for v, d in zip(sun, days, strict=True) if 50 <= d <= 130 and v is not None]
+        assert got["B3_on"][py] == brute_persistent(sun, days, float(np.percentile(dry, 15)), 100, 195, 14, 9, False, 0.025)
 
 
 def test_welch_finds_a_sine():

@@ -42,4 +42,5 @@ def test_same_rows(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_kernels_run(spark, name):
-    assert catalog.queries()[name](spark, DIR).columns
+    """Run to the end; their values are held against plain loops in test_detectors."""
+    assert len(catalog.queries()[name](spark, DIR).toPandas()) > 0

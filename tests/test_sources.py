@@ -46,6 +46,13 @@ def test_keep_first_and_first_available(spark, tmp_path):
     assert weather.first_available(spark, [str(tmp_path / "none"), str(tmp_path / "there")], lambda s, p: s.read.parquet(p)).count() == 1
 
 
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("latitude,longitude\n-7.5,110.2\n\ntime,ws (km/h),cloud (%)\n2024-01-01T00:00,1.0,50\n2024-01-01T01:00,2.0\n")
+    (tmp_path / "b.csv").write_text("time,cloud (%),ws (km/h),rh (%)\n2024-01-02T00:00,60,3.0,80\n")
+    rows = {str(r["time"]): (r["ws"], r["cloud"], r["rh"]) for r in weather.station_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert rows == {"2024-01-01 00:00:00": (1.0, 50.0, None), "2024-01-01 01:00:00": (2.0, None, None), "2024-01-02 00:00:00": (3.0, 60.0, 80.0)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<double>")
     assert weather.as_json(df).first()[0] == '{"id":1,"v":[1.0,2.0]}'
