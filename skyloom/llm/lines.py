@@ -6,7 +6,7 @@ whole sets; a line stays if no earlier one does, whatever chains lead to it.
 
 The join: every class orders its tokens by rarity, and only its first |x| - ceil(t|x|) + 1 tokens (prefix) are joined,
 since two sets over the threshold share one of them. Pairs are cut by length, by place (what can still follow the shared
-token) and by a 64-bit signature whose differing bits bound the differing tokens from below; see `similarity`.
+token) and by a 256-bit signature whose differing bits bound the differing tokens from below; see `similarity`.
 
 Rarity: words are counted over all documents into 2**20 buckets by hash, summed in Spark; a bucket's count, on a scale of
 255 steps, orders its words, and the hash decides between equal ones. Any fixed order gives the same links; the order
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import discard, pick, release, small, stored, table
-from skyloom.llm.similarity import WIDTH, crowd_counts, packed, prefix_length, prefix_rows, sets_among, signatures, split_candidates, verified, with_signatures
+from skyloom.llm.similarity import BITS, WIDE, WIDTH, crowd_counts, packed, prefix_length, prefix_rows, sets_among, signatures, split_candidates, verified
 from skyloom.llm.words import Reader, mixed, slabs
 
 THRESHOLD = 0.8
@@ -72,7 +72,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 def line_table(docs: DataFrame, ranks, threshold: float) -> DataFrame:
     """doc_id, row (hash of the text), line and class of each line with words.
 
-    Once a task for each class that may have a partner: size, bits (signature) and tokens (packed, rarest first).
+    Once a task for each class that may have a partner: size, signature and tokens (packed, rarest first).
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +109,9 @@ def line_table(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 if len(seen) > REMEMBERED:
                     seen = set()
                 sets, done = [None] * len(cls), 0
-                bits = np.zeros(len(cls), np.int64)
+                bits = np.zeros((WIDE, len(cls)), np.int64)
                 for token, first, own in parts:
-                    bits[done : done + len(first)] = signatures(token, first).view(np.int64)
+                    bits[:, done : done + len(first)] = signatures(token, first)
                     data, new = packed(token), np.flatnonzero(fresh[done : done + len(first)])
                     for k, f, n in zip(new.tolist(), first[new].tolist(), own[new].tolist(), strict=True):
                         sets[done + k] = data[f * WIDTH : (f + n) * WIDTH]
@@ -119,11 +119,11 @@ def line_table(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                 rows = pa.array(slab.rows[0] + text[spot])
                 mask = ~fresh
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(number[spot].astype(np.int32)), pa.array(cls), pa.array(size.astype(np.int32), mask=mask), pa.array(bits, mask=mask), pa.array(sets, pa.binary())],
-                    ["doc_id", "row", "line", "class", "size", "bits", "tokens"],
+                    [batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(number[spot].astype(np.int32)), pa.array(cls), pa.array(size.astype(np.int32), mask=mask), *[pa.array(b, mask=mask) for b in bits], pa.array(sets, pa.binary())],
+                    ["doc_id", "row", "line", "class", "size", *BITS, "tokens"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(cut, "doc_id long, row long, line int, class long, size int, bits long, tokens binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(cut, "doc_id long, row long, line int, class long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
 
 
 def place_of_line() -> Column:
@@ -140,7 +140,7 @@ def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHO
     """(class, links, earlier): how many other classes reach the threshold, and whether one of them comes first; none for classes without."""
     spark = lines.sparkSession
     pairs, crowds, wanted = split_candidates(spark, lambda turn, rounds: prefix_rows(lines, threshold, turn, rounds), threshold)
-    sets = stored(with_signatures(sets_among(lines, wanted)), "sets")
+    sets = stored(sets_among(lines, wanted), "sets")
     release(spark)
     links = stored(verified(pairs, sets, threshold), "links")
     release(spark)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import pick, slices, small, stored, table
-from skyloom.llm.similarity import linked_classes, packed
+from skyloom.llm.similarity import BITS, KEYED, linked_classes, packed
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 4
 LINE_WORDS, RUN_WORDS, PIECE_WORDS, REACH = 20, 20, 5, 4
@@ -162,9 +162,9 @@ def line_bands(docs: DataFrame) -> DataFrame:
                 if len(spans):
                     keys.append(bands_of(hashes, spans).ravel())
                     classes.append(np.repeat(own, BANDS))
-            yield pd.DataFrame({"token": np.concatenate(keys).view(np.int64), "class": np.concatenate(classes).view(np.int64), "shape": 0, "bits": 0})
+            yield pd.DataFrame({"token": np.concatenate(keys).view(np.int64), "class": np.concatenate(classes).view(np.int64), "shape": 0, **dict.fromkeys(BITS, 0)})
 
-    return docs.select("text").mapInPandas(found, "token long, class long, shape long, bits long")
+    return docs.select("text").mapInPandas(found, KEYED)
 
 
 #: Classes that workers are told to look for by broadcast; more of them are found by a join.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import ascii_words, by_runs, discard, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
-from skyloom.llm.similarity import linked_classes, packed, prefix_rows, sets_among, signatures
+from skyloom.llm.similarity import BITS, WIDE, linked_classes, packed, prefix_rows, sets_among, signatures
 from skyloom.llm.words import Reader, Rolling, mixed, slabs
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
@@ -143,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """doc_id, h (hash of the text), class of the set of shingles (48 bits each), and once a task for each class that may have a partner its set.
 
-    size, bits (signature) and tokens (packed, in the order of the hashes) are null otherwise. Texts without words have class 0.
+    size, signature and tokens (packed, in the order of the hashes) are null otherwise. Texts without words have class 0.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,20 +158,20 @@ def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
                 own = np.diff(np.r_[first, len(of)])
                 n = slab.rows[1] - slab.rows[0]
-                cls, size, bits, sets = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+                cls, size, bits, sets = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((WIDE, n), np.int64), [None] * n
                 if len(first):
                     spot = of[first]
                     cls[spot] = mixed(np.add.reduceat(mixed(token + np.uint64(1)), first) + own.astype(np.uint64)).view(np.int64)
-                    size[spot], bits[spot] = own, signatures(token, first).view(np.int64)
+                    size[spot], bits[:, spot] = own, signatures(token, first)
                     for k, f, m in zip(spot.tolist(), first.tolist(), own.tolist(), strict=True):
                         if ceil(threshold * (m + 1) - 1e-9) <= m and cls[k] not in seen:
                             seen.add(int(cls[k]))
                             sets[k] = packed(token[f : f + m])
                 mask = np.array([x is None for x in sets], bool)
                 at = slice(*slab.rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("h")[at], pa.array(cls), pa.array(size.astype(np.int32), mask=mask), pa.array(bits, mask=mask), pa.array(sets, pa.binary())], ["doc_id", "h", "class", "size", "bits", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("h")[at], pa.array(cls), pa.array(size.astype(np.int32), mask=mask), *[pa.array(b, mask=mask) for b in bits], pa.array(sets, pa.binary())], ["doc_id", "h", "class", "size", *BITS, "tokens"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(cut, "doc_id long, h long, class long, size int, bits long, tokens binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(cut, "doc_id long, h long, class long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
 
 
 def similar_texts(shingled: DataFrame, threshold: float = STAGE_THRESHOLD) -> DataFrame:

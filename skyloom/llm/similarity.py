@@ -42,9 +42,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def signatures(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 bits for each set (sets begin at `first`), each the parity of the tokens that hash to it: sets differ in at least as many tokens as bits."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), first) if len(first) else np.zeros(0, np.uint64)
+#: Words of a signature, 64 bits each, and their columns.
+WIDE = 4
+BITS = tuple(f"b{k}" for k in range(WIDE))
+
+
+def signatures(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """WIDE * 64 bits for each set (sets begin at `first`), each the parity of the tokens that hash to it: sets differ in at least as many tokens as bits."""
+    if not len(first):
+        return [np.zeros(0, np.int64)] * WIDE
+    word, bit = (tokens >> np.uint64(6)) & np.uint64(WIDE - 1), np.uint64(1) << (tokens & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), first).view(np.int64) for k in range(WIDE)]
 
 
 def shared_at_least(size_a, size_b, threshold: float):
@@ -66,8 +74,12 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 ROUNDS = 4
 
 
+#: Columns of the rows that `candidates` takes.
+KEYED = "token long, class long, shape long" + "".join(f", {b} long" for b in BITS)
+
+
 def prefix_rows(table: DataFrame, threshold: float, turn: int = 0, rounds: int = 1) -> DataFrame:
-    """token, class, shape (size and place) and bits for the prefix of each set of a table of class, size, bits and tokens (null: not asked).
+    """token, class, shape (size and place) and signature for the prefix of each set of a table of class, size, signature and tokens (null: not asked).
 
     Only tokens whose remainder by `rounds` is `turn`.
     """
@@ -81,16 +93,16 @@ def prefix_rows(table: DataFrame, threshold: float, turn: int = 0, rounds: int =
             token = unpacked(b"".join(batch.column("tokens").to_pylist()))[np.repeat(begin, k) + place].view(np.int64)
             at = np.flatnonzero(token % rounds == turn)
             row = np.repeat(np.arange(len(k)), k)[at]
-            of, bits = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("class", "bits"))
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(of), pa.array(size[row] << 32 | place[at]), pa.array(bits)], ["token", "class", "shape", "bits"])
+            of, *bits = (pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("class", *BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), of, pa.array(size[row] << 32 | place[at]), *bits], ["token", "class", "shape", *BITS])
 
-    return table.where("tokens is not null").select("class", "size", "bits", "tokens").mapInArrow(prefixes, "token long, class long, shape long, bits long")
+    return table.where("tokens is not null").select("class", "size", *BITS, "tokens").mapInArrow(prefixes, KEYED)
 
 
 def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataFrame:
     """(a, b, token, at) of pairs (a < b) that survive the filters, and (a, null, token, null) of the classes of crowded groups.
 
-    `keyed` has token, class, shape (size << 32 | place of the token in the set) and bits (signature); places tell
+    `keyed` has token, class, shape (size << 32 | place of the token in the set) and a signature (zeros tell nothing); places tell
     nothing unless `placed`. `at` is the token's place in a.
     """
 
@@ -98,9 +110,9 @@ def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataF
         return pd.DataFrame({"a": rows["class"].to_numpy(), "b": pd.array([pd.NA] * len(rows), "Int64"), "token": rows["token"].to_numpy(), "at": pd.array([pd.NA] * len(rows), "Int32")})
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        of, g, shape, bits = (rows[c].to_numpy() for c in ("class", "token", "shape", "bits"))
+        of, g, shape = (rows[c].to_numpy() for c in ("class", "token", "shape"))
         fresh = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]) | (shape[1:] != shape[:-1])]
-        of, g, shape, bits = of[fresh], g[fresh], shape[fresh], bits[fresh].view(np.uint64)
+        of, g, shape, bits = of[fresh], g[fresh], shape[fresh], [rows[b].to_numpy()[fresh].view(np.uint64) for b in BITS]
         begin = np.r_[True, g[1:] != g[:-1]]
         run = np.cumsum(begin) - 1
         rows_of_run = np.bincount(run)
@@ -116,8 +128,11 @@ def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataF
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             both = size[i] + size[j]
             want = shared_at_least(size[i], size[j], threshold)
-            ok = np.bitwise_count(bits[i] ^ bits[j]) <= both - 2 * want
-            i, j, want = i[ok], j[ok], want[ok]
+            room = (both - 2 * want).astype(np.int64)
+            for word in bits:
+                room = room - np.bitwise_count(word[i] ^ word[j])
+                ok = room >= 0
+                i, j, want, room = i[ok], j[ok], want[ok], room[ok]
             if placed:
                 # what both share stands before the token in both, or is it, or stands after it in both
                 ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= want
@@ -162,38 +177,9 @@ def overlaps(flat_a: np.ndarray, sizes_a: np.ndarray, flat_b: np.ndarray, sizes_
     return count, first
 
 
-#: Signatures of the second filter, 64 bits each.
-WIDE = 4
-
-
-def with_signatures(sets: DataFrame) -> DataFrame:
-    """`sets` (class, tokens) with WIDE * 64 bits of signature, for sets too large for 64 bits to tell apart."""
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column("tokens").to_pylist()
-            size = np.array([len(x) // WIDTH for x in data], np.int64)
-            token = unpacked(b"".join(data))
-            word, first = (token >> np.uint64(6)) % np.uint64(WIDE), np.cumsum(size) - size
-            bit = np.uint64(1) << (token & np.uint64(63))
-            wide = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), first).view(np.int64) if len(first) else np.zeros(0, np.int64) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("tokens"), pa.array(size.astype(np.int32)), *map(pa.array, wide)], ["class", "tokens", "n", *[f"s{k}" for k in range(WIDE)]])
-
-    return sets.select("class", "tokens").mapInArrow(signed, "class long, tokens binary, n int" + "".join(f", s{k} long" for k in range(WIDE)))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs (a, b, at) that reach the threshold and share no token before `at` (null: not asked).
-
-    `sets` is stored with signatures. Pairs meet the wide signatures first, so whole sets move for those only that may well be linked.
-    """
-    bits = ["n", *[f"s{k}" for k in range(WIDE)]]
-    one, two = (sets.select(F.col("class").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in bits]) for c in "ab")
-    met = pairs.select("a", "b", "at").join(one, "a").join(two, "b")
-    apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(WIDE)), F.lit(0))
-    both = F.col("a_n") + F.col("b_n")
-    may = stored(met.where(apart <= both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)).select("a", "b", "at"), "may")
-    first, second = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
+    """(a, b) of the pairs (a, b, at) that reach the threshold and share no token before `at` (null: not asked)."""
+    one, two = (sets.select(F.col("class").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series, at: pd.Series) -> pd.Series:
@@ -206,7 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             out[k : k + 512] = reached(common, sizes_a, sizes_b, threshold) & ((due < 0) | (place == due))
         return pd.Series(out)
 
-    return may.join(first, "a").join(second, "b").where(similar("a_tokens", "b_tokens", "at")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(similar("a_tokens", "b_tokens", "at")).select("a", "b")
 
 
 def link_matrix(left: list[np.ndarray], right: list[np.ndarray], token: int, threshold: float, counted: bool) -> np.ndarray:
@@ -339,7 +325,7 @@ def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame],
     `sets_of` gives class and tokens for the column `class` of a table.
     """
     pairs, crowds, wanted = split_candidates(spark, keyed, threshold, placed)
-    sets = stored(with_signatures(sets_of(wanted)), "sets")
+    sets = stored(sets_of(wanted), "sets")
     asked = pairs.withColumn("at", F.lit(None).cast("int"))
     links = stored(verified(asked, sets, threshold).union(crowd_links(crowds, sets, threshold)), "links")
     release(spark)
