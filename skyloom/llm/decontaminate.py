@@ -1,12 +1,12 @@
 """Operator 1: benchmark decontamination with a distributed positional inverted index (built-in functions only).
 
 1. The words of the test set are counted over all training documents (combined on the map side).
-2. For each window of `window` consecutive test words the two rarest terms are its anchors. Windows that share their
+2. For each window of `window` consecutive test words the rarest terms are its anchors (two for phrases, three for proximity). Windows that share their
    rarest term share one anchor, so an item of 50 words has a handful of anchors instead of 41 windows.
 3. Postings (term, document, position, the words around) of the anchor terms are stored in the shared folder.
 4. The lists of rarest terms give alignments of item and document; they are intersected with the offset-adjusted lists
    of the second rarest terms. What is left is compared word by word with the stored context: a run of `window` equal
-   words around the anchor is an exact phrase match. `proximity` finds alignments where only most words of a window agree.
+   words around the anchor is an exact phrase match. Alignments at which only `near` words of a window agree are proximity matches.
 
 The test set is the small side: it is broadcast after a count, and joined by shuffle where it is larger. No document is
 shuffled; postings exist for anchor terms only, and each alignment costs one row however long the passage is.
@@ -18,10 +18,12 @@ count once; documents that are equal in id and text give equal rows; a null doc_
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ALNUM_GAP, alnum_words, ascii_lower, pick, row_key, small, stored, table
+from skyloom.llm.common import ALNUM_GAP, alnum_words, ascii_lower, discard, pick, row_key, small, stored, table
 
 WINDOW, NEAR = 10, 8
 
@@ -48,10 +50,9 @@ def with_words(spots: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return once.select("item", "item_id", "place", F.xxhash64("item", "place").alias("anchor"), "term", F.least("n", F.lit(window)).alias("need"), around.alias("want"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+def anchors(items: DataFrame, ranked: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """First anchors (anchor, term, item words around it) and second ones (anchor, term, distance from the first)."""
-    ranked = ranked_terms(items, counts, window, 2)
-    pairs = ranked.groupBy("item", "start").agg(
+    pairs = ranked.where("r <= 2").groupBy("item", "start").agg(
         F.max(F.when(F.col("r") == 1, F.struct("place", "term"))).alias("one"), F.max(F.when(F.col("r") == 2, F.struct("place", "term"))).alias("two")
     )
     apart = F.coalesce(F.col("two.place") - F.col("one.place"), F.lit(0))
@@ -60,7 +61,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int) -> tuple[DataFrame
 
 
 def postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """Stored posting lists (term, doc, pos, context) of `terms` (term, first): context is null where `first` is false.
+    """Stored posting lists (term, doc, pos, context) of `terms`.
 
     The context is a plain slice, cut off at the ends of the text: it starts with the word min(pos, window - 1) places
     before. A lambda here would leave generated code and copy the words of a document for each of its postings.
@@ -69,7 +70,7 @@ def postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
     words = docs.select(row_key().alias("doc"), raw_words().alias("words"))
     listed = words.select("doc", "words", F.posexplode("words").alias("pos", "term")).join(small(terms), "term")
     around = F.slice("words", F.greatest(F.col("pos") + 1 - reach, F.lit(1)), F.least("pos", F.lit(reach)) + window)
-    return stored(listed.select("term", "doc", "pos", F.when(F.col("first"), around).alias("context")), "postings")
+    return stored(listed.select("term", "doc", "pos", around.alias("context")), "postings")
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
@@ -96,61 +97,94 @@ def run_around(window: int):
     return F.when(left == 0, reach).otherwise(left - 1).cast("int"), F.when(right == 0, reach).otherwise(right - 1).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Exact phrase matches: doc, item_id, first and last word hit (places)."""
+@dataclass(frozen=True)
+class Index:
+    """The positional index of a corpus for a test set: items, the ranked terms of their windows, and the stored posting lists."""
+
+    items: DataFrame
+    ranked: DataFrame
+    lists: DataFrame
+    window: int
+    near: int
+
+    def discard(self) -> None:
+        discard(self.items, self.ranked, self.lists)
+
+
+def build(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> Index:
+    """Postings of the window - near + 1 rarest terms of every window: of words that agree at `near` places one is among them."""
     items = item_table(benchmark)
-    first, second = (stored(x, "anchors") for x in anchors(items, term_counts(docs, items), window))
-    terms = first.select("term", F.lit(True).alias("first")).union(second.select("term", F.lit(False))).groupBy("term").agg(F.max("first").alias("first"))
-    lists = postings(docs, terms, window)
-    found = lists.join(small(first), "term").select("doc", "anchor", "item_id", "pos", "context", "want", "need")
-    other = lists.join(small(second), "term").select("doc", "anchor", (F.col("pos") - F.col("apart")).alias("pos"))
-    both = found.join(other, ["doc", "anchor", "pos"], "left_semi").withColumn("equal", agreement(window))
-    left, right = run_around(window)
+    ranked = stored(ranked_terms(items, term_counts(docs, items), window, max(2, window - near + 1)), "ranked")
+    return Index(items, ranked, postings(docs, ranked.select("term").distinct(), window), window, near)
+
+
+def exact_matches(index: Index) -> DataFrame:
+    """Exact phrase matches: doc, item_id, first and last word hit (places)."""
+    first, second = (stored(x, "anchors") for x in anchors(index.items, index.ranked, index.window))
+    found = index.lists.join(small(first), "term").select("doc", "anchor", "item_id", "pos", "context", "want", "need")
+    other = index.lists.join(small(second), "term").select("doc", "anchor", (F.col("pos") - F.col("apart")).alias("pos"))
+    both = found.join(other, ["doc", "anchor", "pos"], "left_semi").withColumn("equal", agreement(index.window))
+    left, right = run_around(index.window)
     run = both.select("doc", "item_id", "need", "pos", left.alias("left"), right.alias("right")).where("left + right + 1 >= need")
     return run.select("doc", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR, rarest: int = WINDOW - NEAR + 1) -> DataFrame:
-    """Alignments (doc, item_id, shift) at which `near` words of some window stand at their places, but no whole window does.
-
-    With the window - near + 1 rarest terms of each window as anchors at least one of them is among the words that agree,
-    so every such alignment is met.
-    """
-    items = item_table(benchmark)
-    every = stored(with_words(ranked_terms(items, term_counts(docs, items), window, rarest), items, window), "anchors")
-    lists = postings(docs, every.select("term", F.lit(True).alias("first")).distinct(), window)
-    met = lists.join(small(every), "term").withColumn("equal", agreement(window))
+def near_matches(index: Index) -> DataFrame:
+    """Alignments (doc, item_id, shift, best) at which `near` words of some window stand at their places, but no whole window does."""
+    window, near = index.window, index.near
+    every = stored(with_words(index.ranked, index.items, window), "anchors")
+    met = index.lists.join(small(every), "term").withColumn("equal", agreement(window))
     left, right = run_around(window)
+    # few words around most anchors agree at all; only the others are looked at window by window
+    agreed = F.size(F.filter("equal", lambda e: e))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda s: F.size(F.filter(F.slice("equal", s, F.lit(window)), lambda e: e))))
-    run = met.select("doc", "item_id", (F.col("pos") - F.col("place")).alias("shift"), best.alias("best"), (left + right + 1 >= F.col("need")).alias("exact"), F.least("need", F.lit(near)).alias("least"))
+    likely = met.where(agreed >= F.least("need", F.lit(near)))
+    run = likely.select("doc", "item_id", (F.col("pos") - F.col("place")).alias("shift"), best.alias("best"), (left + right + 1 >= F.col("need")).alias("exact"), F.least("need", F.lit(near)).alias("least"))
     return run.groupBy("doc", "item_id", "shift").agg(F.max("best").alias("best"), F.max("exact").alias("exact"), F.max("least").alias("least")).where("not exact and best >= least").drop("exact", "least")
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    return exact_matches(build(docs, benchmark, window, window - 1))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
+    return near_matches(build(docs, benchmark, window, near))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each row of `docs`: its columns, n_words, n_hit and items (sorted ids as strings)."""
-    found = matches(docs, benchmark, window)
+    """For each row of `docs`: its columns, n_words, n_hit, items and near_items (sorted ids as strings), the latter of proximity matches."""
+    index = build(docs, benchmark, window)
+    found = stored(exact_matches(index), "matches")
+    near = near_matches(index).groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("near_items"))
     order = Window.partitionBy("doc").orderBy("first", "last")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first"), F.coalesce(before + 1, F.col("first"))) + 1)
     hits = found.select("doc", "first", "last").distinct().withColumn("new", new).groupBy("doc").agg(F.sum("new").alias("n_hit"))
     items = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    per = stored(items.join(hits, "doc"), "hits").select(F.col("doc").alias("_doc"), "n_hit", "items")
+    per = stored(items.join(hits, "doc").join(near, "doc", "full"), "hits").select(F.col("doc").alias("_doc"), "n_hit", "items", "near_items")
+    index.discard()
+    none = F.array().cast("array<string>")
     keyed = docs.withColumn("_doc", row_key()).withColumn("n_words", F.size(alnum_words(F.col("text"))).cast("long"))
-    return keyed.join(small(per), "_doc", "left").select(*docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return keyed.join(small(per), "_doc", "left").select(*docs.columns, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = contamination(docs, pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a window of a test item go, whole or with most of its words at their places."""
-    texts, benchmark = docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    found = stored(matches(texts, benchmark).select("doc").union(proximity(texts, benchmark).select("doc")).distinct(), "hits")
+    """Pipeline stage: documents that hold a window of a test item go, whole or with most of its words at their places.
+
+    Null and empty texts stay; null ids and repeated rows are judged by their text; an empty table stays empty.
+    """
+    index = build(docs.select("doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    found = stored(exact_matches(index).select("doc").union(near_matches(index).select("doc")).distinct(), "hits")
+    index.discard()
     return docs.withColumn("_doc", row_key()).join(small(found), F.col("_doc") == F.col("doc"), "left_anti").select(*docs.columns)
 
 
@@ -173,8 +207,22 @@ WITH w AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(generate_series(s, s + n - 1)) AS g(p) GROUP BY doc_id
 ), it AS (
   SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM hit GROUP BY doc_id
+), d3 AS (
+  -- where 8 of 10 words stand at their places, three of them follow one another
+  SELECT doc_id, s, list_slice(words, s, s + 2) AS g FROM w, unnest(generate_series(1, len(words) - 2)) AS t(s)
+), b3 AS (
+  SELECT item_id, words, s, list_slice(words, s, s + 2) AS g FROM (SELECT DISTINCT * FROM b), unnest(generate_series(1, len(words) - 2)) AS t(s)
+), al AS (
+  SELECT DISTINCT doc_id, item_id, b3.words AS own, d3.s - b3.s AS shift FROM d3 JOIN b3 USING (g)
+), eq AS (
+  SELECT al.doc_id, item_id, len(own) AS n, list_transform(generate_series(1, len(own)), lambda k: CASE WHEN shift + k >= 1 AND w.words[shift + k] = own[k] THEN 1 ELSE 0 END) AS same FROM al JOIN w USING (doc_id)
+), wi AS (
+  SELECT doc_id, item_id, least(n, 10) AS need, list_max(list_transform(generate_series(1, greatest(1, n - 9)), lambda s: list_sum(list_slice(same, s, s + least(n, 10) - 1)))) AS best FROM eq
+), ni AS (
+  SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS near FROM wi WHERE best < need AND best >= least(need, 8) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(len(near), 0) AS BIGINT) AS n_near, coalesce(array_to_string(near, ','), '') AS near_items
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ni USING (doc_id)
 """
