@@ -1,14 +1,19 @@
 """Operator 2: substring dedup by paragraph MinHash banding.
 
-Paragraphs are of two kinds. Lines of at least `LINE_WORDS` words are paragraphs by themselves: those whose five-word
+Paragraphs are of two kinds. Lines of at least `RUN_WORDS` words are paragraphs by themselves: those whose five-word
 shingles reach a Jaccard similarity of 0.8 are found by MinHash banding (8 bands of 4 rows: a pair at 0.8 collides with
 probability 0.985, at 0.9 with 0.9999), verified exactly, and clustered by components. Passages that stand anywhere
 inside other text do not begin where a line begins, so texts are also cut at content-defined places (the local minima of
 a hash of three words): a passage is cut alike wherever it stands. These pieces are paragraphs too short for bands, and
 are matched whole. Of each cluster the first paragraph (by doc_id, then place) stays, and runs of at least `RUN_WORDS`
-consecutive words that later paragraphs cover are removed; shorter repeats, such as a common phrase, stay.
+consecutive words that later paragraphs cover are removed; shorter repeats, such as common lines and phrases, stay.
 
-Counts, bands and clusters cover all documents. No group leaves a task as pairs: bands give spanning links only.
+A passage loses what stands before its first and after its last cut, some nine words on each side, so one of 50 words that
+repeats word for word is covered by 32 or more almost always. A passage that repeats with changed words is found as a line; inside
+a longer line only its unchanged stretches are, where they are long enough.
+
+Texts are read once: a stored table has a row for each paragraph, and once a task for each line its bands and its shingles.
+Counts, bands and clusters cover all documents. No group leaves a task as pairs but in small or sparse groups.
 
 Defined results: null and empty texts have no words and nothing is removed; a null doc_id comes last in the order;
 repeated rows repeat their paragraphs; an empty table gives an empty result; extra columns are ignored.
@@ -20,190 +25,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, slices, small, stored, table
-from skyloom.llm.similarity import BITS, KEYED, linked_classes, packed
+from skyloom.llm.common import discard, pick, release, small, stored, table
+from skyloom.llm.similarity import BITS, WIDE, WIDTH, linked_classes, packed, sets_among, signatures
+from skyloom.llm.words import BASE, Reader, Rolling, Slab, mixed, slabs
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 4
-LINE_WORDS, RUN_WORDS, PIECE_WORDS, REACH = 20, 20, 5, 4
-#: Odd multiplier of the rolling hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-#: Shingles whose MinHash is taken at once.
-SLAB = 4096
-digest64 = xxhash.xxh64_intdigest
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-class Hashes:
-    """Rolling hashes of the words of a text: any stretch of words by two lookups."""
-
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        own = np.fromiter((digest64(w) for w in words), np.uint64, n)
-        up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        self.down = np.cumprod(down, dtype=np.uint64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * np.cumprod(up, dtype=np.uint64)[:n], dtype=np.uint64)])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
-
-
-def cuts(hashes: Hashes, n: int) -> np.ndarray:
-    """Starts of the content-defined pieces of n words, and n."""
-    places = np.arange(max(0, n - 2))
-    found = [0]
-    if len(places) > 2 * REACH:
-        threes = hashes.of(places, places + 3)
+RUN_WORDS, PIECE_WORDS, REACH = 32, 5, 4
+#: Shingles whose MinHash is taken at once, and lines of a task that have been given.
+SLAB, REMEMBERED = 4096, 1 << 19
+
+
+def pieces_of(slab: Slab, rolling: Rolling, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops (words of the slab) of the content-defined pieces of all its texts."""
+    n = len(slab.hashes)
+    edges = np.unique(slab.bounds)
+    if n > 2 * REACH + 3:
+        place = np.arange(n - 2)
+        threes = rolling.of(sums, place, place + 3)
+        first, last = slab.bounds[slab.text[:-2]], slab.bounds[slab.text[:-2] + 1] - 3
+        threes[place > last] = np.iinfo(np.uint64).max
         least = np.lib.stride_tricks.sliding_window_view(threes, 2 * REACH + 1).min(axis=1)
-        for i in (np.flatnonzero(threes[REACH:-REACH] == least) + REACH).tolist():
-            if i - found[-1] >= PIECE_WORDS or found[-1] == 0:
-                found.append(i)
-    return np.array([*found, n] if found[-1] != n else found)
-
-
-def paragraphs(text: str | None) -> tuple[Hashes | None, np.ndarray, np.ndarray]:
-    """Rolling hashes, long lines and pieces (start, stop), in words of the text (A-Z lower-cased, between ASCII white space)."""
-    none = np.zeros((0, 2), np.int64)
-    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
-    words = [w for line in lines for w in line]
-    if not words:
-        return None, none, none
-    sizes = np.array([len(x) for x in lines])
-    ends = np.cumsum(sizes)
-    long = np.stack([ends - sizes, ends], axis=1)[sizes >= LINE_WORDS]
-    hashes = Hashes(words)
-    at = cuts(hashes, len(words))
-    pieces = np.stack([at[:-1], at[1:]], axis=1)
-    return hashes, long, pieces[np.diff(at) >= PIECE_WORDS]
-
-
-def classes_of(hashes: Hashes, spans: np.ndarray, kind: int) -> np.ndarray:
-    """Class of each span: the hash of its words, odd for lines and even for pieces."""
-    return (hashes.of(spans[:, 0], spans[:, 1]) & ~np.uint64(1)) | np.uint64(kind)
-
-
-def shingles_of(hashes: Hashes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of the spans, one after another, and where each span's begin."""
-    counts = np.maximum(1, spans[:, 1] - spans[:, 0] - SHINGLE + 1)
-    first = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(spans[:, 0], counts)
-    return hashes.of(at, np.minimum(at + SHINGLE, np.repeat(spans[:, 1], counts))), first
-
-
-def bands_of(hashes: Hashes, spans: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each span and band of its MinHash signature."""
+        centre = np.flatnonzero(threes[REACH : len(threes) - REACH] == least) + REACH
+        centre = centre[(centre - REACH >= first[centre]) & (centre + REACH <= last[centre])]
+        # equal hashes close together are one cut
+        centre = centre[np.r_[True, np.diff(centre) >= PIECE_WORDS]] if len(centre) else centre
+        edges = np.unique(np.concatenate([edges, centre]))
+    start, stop = edges[:-1], edges[1:]
+    keep = stop - start >= PIECE_WORDS
+    return start[keep], stop[keep]
+
+
+def lines_of(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the long lines."""
+    at, _, _ = slab.lines()
+    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    stop = np.r_[start[1:], len(at)]
+    keep = stop - start >= RUN_WORDS
+    return start[keep], stop[keep]
+
+
+def shingles_of(rolling: Rolling, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of spans of at least SHINGLE words, one after another, and the span that each belongs to."""
+    counts = stop - start - SHINGLE + 1
+    owner = np.repeat(np.arange(len(start)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + start[owner]
+    return rolling.of(sums, at, at + SHINGLE), owner
+
+
+def bands_of(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key for each of n spans and each band of its MinHash signature."""
     seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-    shingles, first = shingles_of(hashes, spans)
-    least = np.full((len(spans), BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
-    owner = np.repeat(np.arange(len(spans)), np.diff(np.r_[first, len(shingles)]))
+    least = np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), SLAB):
         own, part = owner[k : k + SLAB], mixed(shingles[k : k + SLAB, None] * seeds[None, :])
         cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         least[own[cut]] = np.minimum(least[own[cut]], np.minimum.reduceat(part, cut, axis=0))
-    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(spans), 1))
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
     for r in range(ROWS):
         keys = mixed(keys * np.uint64(BASE) + least.reshape(-1, BANDS, ROWS)[:, :, r])
     return keys
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, stop, class) of all paragraphs; a line's class is odd, a piece's even."""
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            ids, rows, spans, classes = [], [], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint64)]
-            for doc_id, row, text in zip(batch["doc_id"].astype(object), batch["row"], batch["text"], strict=True):
-                hashes, long, pieces = paragraphs(text)
-                for kind, own in ((1, long), (0, pieces)):
-                    if len(own):
-                        spans.append(own)
-                        classes.append(classes_of(hashes, own, kind))
-                        ids += [doc_id] * len(own)
-                        rows += [row] * len(own)
-            span = np.concatenate(spans)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "row": np.array(rows, np.int64), "start": span[:, 0].astype(np.int32), "stop": span[:, 1].astype(np.int32), "class": np.concatenate(classes).view(np.int64)})
-
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInPandas(found, "doc_id long, row long, start int, stop int, class long")
-
-
-def new_lines(text: str | None, seen: set[int]) -> tuple[Hashes | None, np.ndarray, np.ndarray]:
-    """Hashes, spans and classes of the long lines whose class is not in `seen` yet; adds them."""
-    hashes, long, _ = paragraphs(text)
-    if not len(long):
-        return hashes, long, np.zeros(0, np.uint64)
-    classes = classes_of(hashes, long, 1)
-    fresh = np.zeros(len(long), bool)
-    for k, of in enumerate(classes.tolist()):
-        if of not in seen:
-            seen.add(of)
-            fresh[k] = True
-    return hashes, long[fresh], classes[fresh]
-
-
-def line_bands(docs: DataFrame) -> DataFrame:
-    """token (band key) and class for each long line, once a partition; shape and bits say nothing here."""
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in slices(batches):
-            keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for text in batch["text"]:
-                hashes, spans, own = new_lines(text, seen)
-                if len(spans):
-                    keys.append(bands_of(hashes, spans).ravel())
-                    classes.append(np.repeat(own, BANDS))
-            yield pd.DataFrame({"token": np.concatenate(keys).view(np.int64), "class": np.concatenate(classes).view(np.int64), "shape": 0, **dict.fromkeys(BITS, 0)})
-
-    return docs.select("text").mapInPandas(found, KEYED)
-
-
-#: Classes that workers are told to look for by broadcast; more of them are found by a join.
-TOLD = 2_000_000
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and packed shingles of the long lines in `wanted`."""
-    few = wanted.count() <= TOLD
-    told = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["class"].to_numpy())) if few else None
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in slices(batches):
-            classes, sets = [np.zeros(0, np.uint64)], []
-            for text in batch["text"]:
-                hashes, spans, own = new_lines(text, seen)
-                if told is not None and len(spans):
-                    ask = told.value[np.minimum(np.searchsorted(told.value, own.view(np.int64)), len(told.value) - 1)] == own.view(np.int64) if len(told.value) else np.zeros(len(own), bool)
-                    spans, own = spans[ask], own[ask]
-                if len(spans):
-                    shingles, first = shingles_of(hashes, spans)
-                    classes.append(own)
-                    sets += [packed(np.unique(x & np.uint64((1 << 40) - 1))) for x in np.split(shingles, first[1:])]
-            yield pd.DataFrame({"class": np.concatenate(classes).view(np.int64), "tokens": sets})
-
-    return docs.select("text").mapInPandas(found, "class long, tokens binary").join(small(wanted), "class", "left_semi").dropDuplicates(["class"])
+PARAGRAPHS = "doc_id long, row long, start int, stop int, class long, bands array<long>, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary"
+
+
+def paragraph_table(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), start, stop and class of all paragraphs; a line's class is odd, a piece's even.
+
+    Once a task for each line: bands, size, signature and tokens (packed) of its shingles.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, rolling, seen = Reader(), Rolling(), set()
+        for batch in batches:
+            for slab in slabs(batch.column("text"), reader):
+                if not len(slab.hashes):
+                    continue
+                sums = rolling.sums(slab.hashes)
+                spans = [lines_of(slab), pieces_of(slab, rolling, sums)]
+                start, stop = (np.concatenate([x[k] for x in spans]) for k in (0, 1))
+                lines = len(spans[0][0])
+                of = rolling.of(sums, start, stop) & ~np.uint64(1)
+                of[:lines] |= np.uint64(1)
+                of = of.view(np.int64)
+                fresh = []
+                for k, c in enumerate(of[:lines].tolist()):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh.append(k)
+                if len(seen) > REMEMBERED:
+                    seen = set()
+                n, new = len(of), np.array(fresh, np.int64)
+                shingles, owner = shingles_of(rolling, sums, start[new], stop[new])
+                keys = bands_of(shingles, owner, len(new)).view(np.int64)
+                # sets: sorted by span, then hash; a slab has fewer than 2**24 lines
+                key = owner.astype(np.uint64) << np.uint64(8 * WIDTH) | shingles & np.uint64((1 << 8 * WIDTH) - 1)
+                key.sort()
+                key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+                whose, token = (key >> np.uint64(8 * WIDTH)).astype(np.int64), key & np.uint64((1 << 8 * WIDTH) - 1)
+                first = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]]) if len(key) else np.zeros(0, np.int64)
+                size, bits, sets, bands = np.zeros(n, np.int32), np.zeros((WIDE, n), np.int64), [None] * n, [None] * n
+                own = np.diff(np.r_[first, len(key)])
+                size[new], bits[:, new] = own, signatures(token, first)
+                data = packed(token)
+                for k, f, m, b in zip(fresh, first.tolist(), own.tolist(), keys, strict=True):
+                    sets[k], bands[k] = data[f * WIDTH : (f + m) * WIDTH], b
+                mask = np.ones(n, bool)
+                mask[new] = False
+                text = slab.text[start]
+                rows = pa.array(slab.rows[0] + text)
+                begin = slab.bounds[text]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array((start - begin).astype(np.int32)), pa.array((stop - begin).astype(np.int32)), pa.array(of), pa.array(bands, pa.list_(pa.int64())),
+                     pa.array(size, mask=mask), *[pa.array(x, mask=mask) for x in bits], pa.array(sets, pa.binary())],
+                    ["doc_id", "row", "start", "stop", "class", "bands", "size", *BITS, "tokens"],
+                )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(cut, PARAGRAPHS)
+
+
+def similar_lines(found: DataFrame) -> DataFrame:
+    """(node, component) of the lines that verified pairs link to another one; they meet under their bands."""
+    banded = found.where("bands is not null").select("class", (F.col("size").cast("long") * F.lit(1 << 32)).alias("shape"), *BITS, F.explode("bands").alias("token")).select("token", "class", "shape", *BITS)
+
+    def keyed(turn: int, rounds: int) -> DataFrame:
+        return banded.where(F.pmod("token", F.lit(rounds)) == turn)
+
+    return linked_classes(found.sparkSession, keyed, lambda wanted: sets_among(found, wanted), THRESHOLD, False)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, row, start, stop, cluster, later) of paragraphs that occur more than once, exactly or nearly."""
-    found, bands = stored(units(docs), "units"), stored(line_bands(docs), "bands")
-    parts = linked_classes(docs.sparkSession, lambda turn, rounds: bands.where(F.pmod("token", F.lit(rounds)) == turn), lambda wanted: shingle_sets(docs, wanted), THRESHOLD, False)
-    often = found.groupBy("class").count().where("count > 1").select("class", F.lit(True).alias("often"))
+    found = stored(paragraph_table(docs), "paragraphs")
+    parts = similar_lines(found)
+    release(docs.sparkSession)
+    often = found.groupBy("class").count().where("count > 1").select("class")
     clusters = stored(often.join(parts, F.col("class") == F.col("node"), "full").select(F.coalesce("class", "node").alias("class"), F.coalesce("component", "class").alias("cluster")), "clusters")
-    own = stored(found.join(small(clusters), "class"), "repeated")
+    own = stored(found.select("doc_id", "row", "start", "stop", "class").join(small(clusters, 2_000_000), "class"), "repeated")
+    discard(found, parts, clusters)
+    release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start", "row")
-    first = own.groupBy("cluster").agg(F.min(place).alias("first"))
-    return own.join(small(first), "cluster").select("doc_id", "row", "start", "stop", "cluster", (place != F.col("first")).alias("later"))
+    first = stored(own.groupBy("cluster").agg(F.min(place).alias("first")), "first")
+    return own.join(small(first, 500_000), "cluster").select("doc_id", "row", "start", "stop", "cluster", (place != F.col("first")).alias("later"))
 
 
 def runs(spans: list, later: bool, least: int) -> list[tuple[int, int]]:

@@ -128,7 +128,43 @@ def test_repeated_passage_is_found_anywhere(spark):
     docs = spark.createDataFrame([(i, sentence(200 + i, 90) + (" " + passage if i in (3, 8) else "") + " " + sentence(300 + i, 70)) for i in range(12)], DOC)
     got = {r["doc_id"]: r for r in paragraphs.substring_duplicates(docs).collect()}
     assert {i for i, r in got.items() if r["n_removed"]} == {8} and {i for i, r in got.items() if r["n_shared"]} == {3, 8}
-    assert got[8]["n_removed"] >= 35 and all(90 <= s["start"] and s["stop"] <= 150 for s in got[8]["removed"])
+    assert got[8]["n_removed"] >= 32 and all(90 <= s["start"] and s["stop"] <= 150 for s in got[8]["removed"])
+
+
+def test_repeats_equal_brute_force(spark):
+    """Against all pairs of texts: runs of 60 shared words are found, documents without a shared run of 32 words are left alone."""
+    r = random.Random(31)
+    passages = [sentence(900 + k, n) for k, n in enumerate((60, 75, 31, 24))]
+    texts = []
+    for i in range(40):
+        parts = [sentence(5000 + 10 * i + k, r.randrange(10, 50)) for k in range(3)]
+        if i % 3 == 0:
+            parts.insert(r.randrange(4), passages[r.randrange(4)])
+        texts.append((" " if i % 2 else "\n").join(parts))
+    words = [t.split() for t in texts]
+    grams = [{tuple(w[i : i + 32]) for i in range(len(w) - 31)} for w in words]
+    long = [{tuple(w[i : i + 60]) for i in range(len(w) - 59)} for w in words]
+    got = {x["doc_id"]: x for x in paragraphs.substring_duplicates(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    for i in range(40):
+        some, much = (any(j != i and z[i] & z[j] for j in range(40)) for z in (grams, long))
+        assert not got[i]["n_shared"] or some, i
+        assert got[i]["n_shared"] >= 32 or not much, i
+
+
+def test_near_lines_equal_brute_force(spark):
+    """All pairs of long lines at a Jaccard similarity of 0.9 or more come into one cluster, none below 0.8 by itself."""
+    r, rows = random.Random(12), []
+    for k in range(30):
+        w = sentence(7000 + k, 60).split()
+        other = list(w)
+        for at in r.sample(range(60), r.choice((1, 1, 6))):
+            other[at] = "new"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    got = {x["doc_id"]: x["cluster"] for x in paragraphs.substring_duplicates(spark.createDataFrame(rows, DOC)).collect() if x["n_shared"] >= 60}
+    for k in range(0, 60, 2):
+        a, b = shingles_of(rows[k][1]), shingles_of(rows[k + 1][1])
+        near = len(a & b) / len(a | b)
+        assert (near < 0.9 or got[k] == got[k + 1]) and (near >= 0.8 or k not in got), (k, near)
 
 
 def test_near_lines_are_found_by_bands(spark):
