@@ -319,16 +319,40 @@ def sets_among(table: DataFrame, wanted: DataFrame) -> DataFrame:
     return table.where("tokens is not null").select("class", "tokens").join(small(wanted, 2_000_000), "class", "left_semi").dropDuplicates(["class"])
 
 
+#: Rounds that verify one candidate of each class, and of crowds one token of each class, before all that are left are verified.
+FIRST_ROUNDS = 2
+
+
 def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, placed: bool = True) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
-    `sets_of` gives class and tokens for the column `class` of a table.
+    `sets_of` gives class and tokens for the column `class` of a table. Candidates are narrow, but verifying one moves two
+    sets, so the first rounds verify one candidate of each class; what is connected by then needs no verification, and
+    all else gets it in the end.
     """
     pairs, crowds, wanted = split_candidates(spark, keyed, threshold, placed)
     sets = stored(sets_of(wanted), "sets")
-    asked = pairs.withColumn("at", F.lit(None).cast("int"))
-    links = stored(verified(asked, sets, threshold).union(crowd_links(crowds, sets, threshold)), "links")
     release(spark)
-    parts = stored(connected_components(links), "parts")
+    left, crowd = pairs.select("a", "b"), crowds
+    links = parts = None
+    for turn in range(FIRST_ROUNDS + 1):
+        last = turn == FIRST_ROUNDS
+        asked = left if last else stored(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "asked")
+        some = crowd if last else crowd.groupBy("class").agg(F.min("token").alias("token"))
+        new = verified(asked.withColumn("at", F.lit(None).cast("int")), sets, threshold).union(crowd_links(some, sets, threshold))
+        links = stored(new if links is None else links.union(new), "links")
+        release(spark)
+        before, parts = parts, stored(connected_components(links), "parts")
+        discard(*([before] if before is not None else []))
+        if last:
+            break
+        of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
+        apart = left.join(asked, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+        left = stored(apart.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "left")
+        # a crowd is done when all its classes are of one part
+        whose = crowd.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("part", F.coalesce("component", "class"))
+        open_ = whose.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+        crowd = stored(crowd.join(open_, "token", "left_semi").select("class", "token"), "crowd")
+        release(spark)
     discard(sets, wanted, links)
     return parts
