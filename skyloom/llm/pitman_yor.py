@@ -226,12 +226,16 @@ def reseat_spelling(customers: DataFrame, before: list[DataFrame] | None, sweep:
         else:
             rows = levels[0].withColumn("parent", F.lit(1.0 / (SYMBOLS - 1)))
         done.append(stored(rows.withColumn("p", own), "spelling"))
+    discard(*levels)
     return done
 
 
 def spelling_model(words: DataFrame, before: list[DataFrame] | None, sweep: int):
     """Levels of the spelling restaurants seated anew from the words' tables, and the model as a broadcast if it is small."""
-    levels = reseat_spelling(stored(spelling_customers(words), "customers"), before, sweep)
+    customers = stored(spelling_customers(words), "customers")
+    levels = reseat_spelling(customers, before, sweep)
+    discard(customers, *(before or []))
+    release(words.sparkSession)
     model = levels[-1]
     if model.count() > MOST:
         return levels, None
@@ -417,13 +421,14 @@ def by_id(words: DataFrame) -> DataFrame:
 
 
 def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPLES - 1) -> tuple[DataFrame, DataFrame | None]:
-    """Words (w, n, p, back) and pairs (u, w, p): averages over the states after BURN sweeps.
+    """Stored words (w, n, p, back) and pairs (u, w, p): averages over the states after BURN sweeps.
 
     `words` has word, w and n (and m, its customers, where there are no pairs), `pairs` u, w and c. `back` is the share that the
     context of a word leaves to the corpus.
     """
     state = levels = shared = model = held = None
     kept: list[DataFrame] = []
+    done_tables: list[DataFrame] = []
     if pairs is not None:
         held = pairs.select("u", "w", "c", F.least("c", F.lit(1)).cast("long").alias("t"), F.lit(0.0).alias("p"))
     tables = words.select("word", "w", (F.col("n" if pairs is not None else "m") > 0).cast("long").alias("t"))
@@ -441,9 +446,11 @@ def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPL
         done = stored(reseat_words(now, shared, model, total, seats, sweep), "words")
         if sweep >= BURN:
             kept.append(done.select("w", "n", "p", "room"))
+            done_tables.append(done)
         if held is not None:
             ids = by_id(done).groupBy("id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("room").alias("room"))
-            last, held = held, stored(seat_pairs(held, ids, sweep, again), "pairs")
+            seat = seat_pairs(held, ids, sweep, again)
+            last, held = held, stored(seat if again else seat.select("u", "w", (F.col("p") / len(kept)).alias("p")), "pairs")
             discard(last)
         release(words.sparkSession)
         if again:
@@ -458,8 +465,10 @@ def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPL
     for other in kept[1:]:
         every = every.union(other)
     back = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("room")) / (CONTEXT_STRENGTH + F.col("n"))
-    averaged = every.groupBy("w", "n").agg(F.avg("p").alias("p"), F.avg(back).alias("back"))
-    return stored(averaged, "averages"), None if held is None else held.select("u", "w", (F.col("p") / len(kept)).alias("p"))
+    averaged = stored(every.groupBy("w", "n").agg(F.avg("p").alias("p"), F.avg(back).alias("back")), "averages")
+    discard(*done_tables, *(levels or []))
+    release(words.sparkSession)
+    return averaged, held
 
 
 def word_probabilities(words: DataFrame) -> DataFrame:
@@ -518,13 +527,15 @@ def scores(docs: DataFrame) -> DataFrame:
     release(spark)
     pairs = stored(pair_table(docs, max(1, total // PART)), "pairs")
     release(spark)
-    every, seated_pairs = fitted(words, pairs)
+    every, held = fitted(words, pairs)
     low = np.log10(total + 0.1 * (distinct + 1))
-    of_words = answers(every.join(words.select("w", "pieces"), "w"), 0, WORD_FIELDS)
-    of_pairs = answers(seated_pairs.join(pairs.select("u", "w", "pieces"), ["u", "w"]), 1, PAIR_FIELDS)
-    replies = stored(of_words.union(of_pairs), "answers")
-    discard(words, pairs)
+    of_words = stored(answers(every.join(words.select("w", "pieces"), "w"), 0, WORD_FIELDS), "answers")
+    discard(words, every)
     release(spark)
+    of_pairs = stored(answers(held.join(pairs.select("u", "w", "pieces"), ["u", "w"]), 1, PAIR_FIELDS), "answers")
+    discard(pairs, held)
+    release(spark)
+    replies = of_words.union(of_pairs)
 
     def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
         reader, kind, data = Reader(), answer["kind"].to_pylist(), answer["data"].to_pylist()
