@@ -16,6 +16,7 @@ table gives an empty result; extra columns are ignored by the query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil
 
@@ -84,6 +85,15 @@ def pivot_fingerprints(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(n)], np.uint64)
 
 
+def with_pivot_table(fingerprints: DataFrame, n: int = PIVOTS) -> DataFrame:
+    """`fp` with its table of distances to the pivots, eight of one byte in each of the columns t0, t1, ..."""
+    pivots = [signed(int(p)) for p in pivot_fingerprints(n)]
+    packs = [pivots[k : k + 8] for k in range(0, n, 8)]
+    distance = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long")
+    packed_columns = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(distance(p), 8 * i) for i, p in enumerate(pack)]) for pack in packs]
+    return fingerprints.select("fp", *[c.alias(f"t{k}") for k, c in enumerate(packed_columns)])
+
+
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
     """A mask for each choice of blocks that must agree when at most `radius` of them can hold a differing bit."""
     edges = np.linspace(0, 64, blocks + 1).astype(int)
@@ -92,22 +102,26 @@ def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
 
 
 def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
-    """Spanning links (a, b) of all pairs of the distinct longs `fp` within `radius` bits of each other."""
+    """Spanning links (a, b) of all pairs of the distinct longs `fp` within `radius` bits of each other.
+
+    The pivot tables are computed once, stored with the fingerprints, and travel with them to every group.
+    """
     masks = block_masks(blocks or radius + 2, radius)
-    keyed = fingerprints.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(masks)])).alias("key")
-    ).select("fp", "key.k", "key.v")
+    tables = stored(with_pivot_table(fingerprints), "pivots")
+    columns = tables.columns
+    keyed = tables.select(
+        *columns, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for k, m in enumerate(masks)])).alias("key")
+    ).select(*columns, "key.k", "key.v")
     counts = keyed.groupBy("k", "v").count().where("count > 1").select("k", "v", F.ceil(F.col("count") / chunk).cast("int").alias("c"))
     met = keyed.join(counts, ["k", "v"])
     own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     dealt = met.withColumn("own", own).select(
-        "fp", "k", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))).alias("ij")
-    ).select("fp", F.xxhash64("k", "v", "ij.i", "ij.j").alias("g"))
-    pivots = pivot_fingerprints()
+        *columns, "k", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))).alias("ij")
+    ).select(*columns, F.xxhash64("k", "v", "ij.i", "ij.j").alias("g"))
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         fp, g = rows["fp"].to_numpy().view(np.uint64), rows["g"].to_numpy()
-        distance = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+        distance = np.ascontiguousarray(rows[columns[1:]].to_numpy(np.int64)).view(np.int8)
 
         def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             ok = np.abs(distance[i] - distance[j]).max(axis=1) <= radius
