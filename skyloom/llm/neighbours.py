@@ -30,6 +30,8 @@ from skyloom.llm.common import global_rank, pick, stored, table
 K, CURVES, DIMS, BITS = 20, 4, 8, 6
 #: Rows of a block: a quarter of the width, so that a query reads about nine blocks of a curve, between these bounds.
 LEAST_BLOCK, MOST_BLOCK = 512, 65536
+#: Queries of a block that are scored in one group.
+MOST_QUERIES = 4096
 #: Queries of the calibration, and the share of true neighbours that it aims at.
 SAMPLE, TARGET = 48, 0.97
 
@@ -124,7 +126,12 @@ def scored(block_rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"query": part["query"].to_numpy()[i], "entry": group["entry"].to_numpy()[j], "score": s[i, j]}))
         return pd.concat(out)
 
-    return block_rows.groupBy("g").cogroup(queries.groupBy("g")).applyInPandas(score, "query long, entry long, score double")
+    # however many queries ask for a block, a group holds at most about MOST_QUERIES of them; the block is sent to each
+    chunks = queries.groupBy("g").agg(F.ceil(F.count("*") / MOST_QUERIES).cast("int").alias("c"))
+    asked = queries.join(chunks, "g").select("g", F.pmod(F.xxhash64("query"), "c").cast("int").alias("h"), "query", "vector")
+    copies = chunks.select(F.col("g").alias("block"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("h"))
+    rows = block_rows.join(copies, block_rows["g"] == copies["block"]).select("g", "h", "entry", "vector")
+    return rows.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInPandas(score, "query long, entry long, score double")
 
 
 def expand(found: DataFrame, members: DataFrame, k: int) -> DataFrame:

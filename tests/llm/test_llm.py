@@ -310,6 +310,25 @@ def test_recall_and_ties(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_recall_through_the_curves(spark, clusters, monkeypatch):
+    """5,000 vectors in 24 dimensions, without structure or in clusters, in blocks of 128: recall in all and by query."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(5000, 24))
+    if clusters:
+        x = r.normal(size=(clusters, 24))[r.integers(0, clusters, 5000)] + 0.25 * x
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "LEAST_BLOCK", 128)
+    monkeypatch.setattr(neighbours, "MOST_QUERIES", 50)
+    got = neighbours.nearest(emb, F.col("vec_id") % 20 == 0).toPandas()
+    found = []
+    for q in range(0, 5000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found.append(len(set(np.lexsort((np.arange(5000), -s))[:20].tolist()) & set(got[got["query_id"] == q]["vec_id"])) / 20)
+    assert np.mean(found) >= 0.9 and np.mean(np.array(found) >= 0.8) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [0.5, 0.5]), (None, [1.0, 1.0])]
     emb = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
