@@ -137,10 +137,14 @@ def sortable(place: str) -> Column:
 
 
 def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(class, links, earlier): how many other classes reach the threshold, and whether one of them comes first; none for classes without."""
+    """(class, links, earlier): how many other classes reach the threshold, and whether one of them comes first; none for classes without.
+
+    `lines` is deleted when the sets that are asked for have been taken from it.
+    """
     spark = lines.sparkSession
     pairs, crowds, wanted = split_candidates(spark, lambda turn, rounds: prefix_rows(lines, threshold, turn, rounds), threshold)
     sets = stored(sets_among(lines, wanted), "sets")
+    discard(lines)
     release(spark)
     links = stored(verified(pairs, sets, threshold), "links")
     release(spark)
@@ -162,14 +166,15 @@ def marked_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(rarity(docs))
-    lines = stored(line_table(docs, ranks, threshold), "lines")
+    with_sets = stored(line_table(docs, ranks, threshold), "sets")
     ranks.unpersist()
+    lines = stored(with_sets.select("doc_id", "row", "line", "class"), "lines")
     classes = stored(lines.groupBy("class").agg(F.min(place_of_line()).alias("first"), F.count("*").alias("n")), "classes")
     release(spark)
-    links = class_links(lines, classes, threshold)
+    links = class_links(with_sets, classes, threshold)
     many = stored(classes.join(links, "class", "left").where("n > 1 or links > 0").select("class", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")), "many")
     goes = F.col("earlier") | (place_of_line() != F.col("first"))
-    own = lines.select("doc_id", "row", "line", "class").join(small(many), "class")
+    own = lines.join(small(many, 500_000), "class")
     per = own.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.when(goes, F.col("line")))).alias("lines"), F.collect_set(F.struct("class", "links")).alias("found"))
     out = stored(per.select("doc_id", "row", "lines", F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["links"]).alias("links"), F.array_sort(F.transform("found", lambda x: F.lower(F.lpad(F.hex(x["class"]), 16, "0")))).alias("classes")), "marked")
     discard(lines, classes, links, many)
