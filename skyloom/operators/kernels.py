@@ -191,7 +191,7 @@ def next_trend(state: TrendState, seen: float, noise: TrendNoise) -> TrendState:
 def local_trend(y: np.ndarray, noise: TrendNoise = TrendNoise()) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
     """Level and trend after each value."""
     path, state = np.empty((len(y), 2)), first_trend(float(y[0]), noise) if len(y) else None
-    for t, seen in enumerate(y.tolist()):
+    for t, seen in enumerate(np.asarray(y, float).tolist()):
         state = next_trend(state, seen, noise)
         path[t] = state[:2]
     return path[:, 0], path[:, 1]
