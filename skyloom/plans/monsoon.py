@@ -8,6 +8,7 @@ from skyloom.functions import columns as c
 from skyloom.operators import detectors as det
 from skyloom.operators import kernels
 from skyloom.operators import monsoon as m
+from skyloom.plans.kernels import biweight_sql
 from skyloom.plans.registry import query
 from skyloom.sources import surrogate as s
 
@@ -166,7 +167,7 @@ def method_ensemble(spark, d):
     return det.replicated_median(weighted(m.reversal_table(s.climate(spark, d))))
 
 
-@query("robust_ensemble")
+@query("robust_ensemble", f"WITH RECURSIVE {REVERSAL}, long AS ({LONG}), lw AS (SELECT *, {_WEIGHT} AS weight FROM long), {biweight_sql('lw', 'onset', 'weight')} SELECT py, round(ensemble, 6) + 0.0 AS ensemble, n FROM done", "climate")
 def robust_ensemble(spark, d):
     """The biweight of the methods' days, by year."""
     return kernels.biweight(weighted(m.reversal_table(s.climate(spark, d)))).select("py", c.rounded("ensemble").alias("ensemble"), "n")

@@ -98,4 +98,6 @@ def with_views(sql: str, *names: str) -> str:
                 wanted.append(x)
     body = sql.strip()
     head = ", ".join(CTE[n] for n in wanted)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
