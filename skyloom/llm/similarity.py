@@ -195,6 +195,46 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(similar("a_tokens", "b_tokens", "at")).select("a", "b")
 
 
+#: Tokens from which 256 bits tell little, and words (64 bits) of the signature that such sets get.
+LARGE, LARGE_WORDS = 200, 64
+
+
+def with_large_signatures(sets: DataFrame) -> DataFrame:
+    """`sets` (class, tokens) with n and, for large sets, `wide`: 4,096 bits of signature."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, wide = [], []
+            for data in batch.column("tokens").to_pylist():
+                sizes.append(len(data) // WIDTH)
+                if sizes[-1] <= LARGE:
+                    wide.append(None)
+                    continue
+                token, own = unpacked(data), np.zeros(LARGE_WORDS, np.uint64)
+                np.bitwise_xor.at(own, ((token >> np.uint64(6)) % np.uint64(LARGE_WORDS)).astype(np.int64), np.uint64(1) << (token & np.uint64(63)))
+                wide.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("tokens"), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary())], ["class", "tokens", "n", "wide"])
+
+    return sets.select("class", "tokens").mapInArrow(signed, "class long, tokens binary, n int, wide binary")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that the signatures of large sets do not rule out: these move instead of the sets."""
+    one, two = (sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab")
+
+    @F.pandas_udf("boolean")
+    def may(n_a: pd.Series, n_b: pd.Series, wide_a: pd.Series, wide_b: pd.Series) -> pd.Series:
+        out = np.ones(len(n_a), bool)
+        both = np.flatnonzero(wide_a.notna().to_numpy() & wide_b.notna().to_numpy())
+        if len(both):
+            x, y = (np.frombuffer(b"".join(z.iloc[both]), np.uint64).reshape(-1, LARGE_WORDS) for z in (wide_a, wide_b))
+            size_a, size_b = (z.to_numpy(np.int64)[both] for z in (n_a, n_b))
+            out[both] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= size_a + size_b - 2 * shared_at_least(size_a, size_b, threshold)
+        return pd.Series(out)
+
+    return pairs.join(one, "a").join(two, "b").where(may("n_a", "n_b", "wide_a", "wide_b")).select("a", "b")
+
+
 def link_matrix(left: list[np.ndarray], right: list[np.ndarray], token: int, threshold: float, counted: bool) -> np.ndarray:
     """Which sets of `left` and `right` are linked; if `counted`, only pairs whose first common token is `token`."""
     sizes_l, sizes_r = (np.array([len(s) for s in z], np.float32) for z in (left, right))
@@ -331,9 +371,10 @@ def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame],
     all else gets it in the end.
     """
     pairs, crowds, wanted = split_candidates(spark, keyed, threshold, placed)
-    sets = stored(sets_of(wanted), "sets")
+    sets = stored(with_large_signatures(sets_of(wanted)), "sets")
+    release(spark)
+    left, crowd = stored(likely(pairs.select("a", "b"), sets, threshold), "likely"), crowds
     release(spark)
-    left, crowd = pairs.select("a", "b"), crowds
     links = parts = None
     for turn in range(FIRST_ROUNDS + 1):
         last = turn == FIRST_ROUNDS
