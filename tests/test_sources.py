@@ -73,10 +73,25 @@ def run(df, name, mode="append"):
 
 
 def test_hourly_stream_equals_batch(spark, tmp_path):
+    """Every hour that the watermark has closed has the rows that a batch counts; the last hours are still open."""
     s, rows = stream_of(spark, tmp_path)
     run(causal.hourly_stream(s), "hourly_s")
-    got = spark.sql("select * from hourly_s")
-    assert got.count() > 0 and got.agg(F.sum("n")).first()[0] <= len(rows) and got.where("abs(wd - 90) > 1e-6").count() == 0
+    got = {(r["station"], r["hour"]): (r["n"], r["ws"], r["peak"]) for r in spark.sql("select * from hourly_s").collect()}
+    want: dict = {}
+    for ts, station, ws, _ in rows:
+        want.setdefault((station, ts.replace(minute=0)), []).append(ws)
+    last = max(ts for ts, *_ in rows)
+    assert set(got) == {k for k in want if k[1] + datetime.timedelta(hours=1) <= last - datetime.timedelta(hours=2)}
+    assert all(v[0] == len(want[k]) and abs(v[1] - sum(want[k]) / len(want[k])) < 1e-9 and v[2] == max(want[k]) for k, v in got.items())
+
+
+def test_sessions_stream(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    minutes = [0, 5, 9, 30, 31, 60, 600]
+    spark.createDataFrame([(t + datetime.timedelta(minutes=x), 1, float(x)) for x in minutes], "ts timestamp, station long, ws double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    run(causal.sessions_stream(spark.readStream.schema("ts timestamp, station long, ws double").parquet(str(tmp_path / "in"))), "sessions_s")
+    got = sorted((r["start"], r["n"], r["peak"]) for r in spark.sql("select * from sessions_s").collect())
+    assert got == [(t, 3, 9.0), (t + datetime.timedelta(minutes=30), 2, 31.0), (t + datetime.timedelta(minutes=60), 1, 60.0)]
 
 
 def test_filtered_stream_equals_batch(spark, tmp_path):
