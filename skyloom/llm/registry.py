@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyloom.llm import decontaminate, language, licenses, lines, mixing, neighbours, paragraphs, pitman_yor, secrets, simhash
+from skyloom.llm import decontaminate, kmeans, language, licenses, lines, mixing, neighbours, ngram_join, paragraphs, periods, pitman_yor, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lines.query,
         "op9_simhash_near_dedup": simhash.query,
         "op10_license_scan": licenses.query,
+        "op11_ngram_jaccard": ngram_join.query,
+        "op12_annulus_clustering": kmeans.query,
+        "op13_periodic_runs": periods.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.SQL, "op4_secret_scan": secrets.sql(), "op7_source_mixing": mixing.SQL, "op10_license_scan": licenses.sql()}
+    return {
+        "op1_decontamination": decontaminate.SQL,
+        "op4_secret_scan": secrets.sql(),
+        "op7_source_mixing": mixing.SQL,
+        "op10_license_scan": licenses.sql(),
+        "op11_ngram_jaccard": ngram_join.SQL,
+        "op12_annulus_clustering": kmeans.sql(),
+    }
