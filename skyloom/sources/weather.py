@@ -20,19 +20,20 @@ def station_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of station files as `time` and doubles; whatever comes before a file's header line, which begins with `time,`, is skipped.
 
     Cells that are not numbers become null; units in parentheses are stripped from the names. Each file is read by its own
-    header (one small row a file), so files may order their columns alike or not; columns that a file lacks, and cells that a
+    header, so files may order their columns alike or not; columns that a file lacks, and cells that a
     line lacks, are null. Data lines are those that begin with a date, wherever they stand. Files without header give no rows.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     heads = lines.where(F.col("value").startswith(HEADER)).groupBy("file").agg(F.min("value").alias("head"))
-    by_file = {r["file"]: [strip_unit(x) for x in r["head"].split(",")] for r in heads.collect()}
-    if not by_file:
+    # the driver needs the names that occur, so it gets each distinct header once; which file has which stays in Spark
+    layouts = [[strip_unit(x) for x in r["head"].split(",")] for r in heads.select("head").distinct().orderBy("head").collect()]
+    if not layouts:
         raise ValueError(f"{path} has no line that begins with {HEADER!r}")
-    names = list(dict.fromkeys(n for own in by_file.values() for n in own[1:]))
-    places = spark.createDataFrame([(f, [own.index(n) if n in own else -1 for n in names]) for f, own in by_file.items()], "file string, places array<int>")
-    data = lines.where(F.rlike("value", F.lit(r"^\d{4}-\d{2}-\d{2}"))).join(F.broadcast(places), "file").withColumn("cells", F.split("value", ","))
-    cell = lambda i: F.get("cells", F.element_at("places", i + 1))
-    numbers = [c.no_nan(F.trim(cell(i)).try_cast("double")).alias(n) for i, n in enumerate(names)]
+    names = list(dict.fromkeys(n for own in layouts for n in own[1:]))
+    stripped = F.transform(F.split("head", ","), lambda x: F.regexp_replace(F.trim(x), r"\s*\(.*?\)\s*$", ""))
+    data = lines.where(F.rlike("value", F.lit(r"^\d{4}-\d{2}-\d{2}"))).join(heads.select("file", stripped.alias("own")), "file").withColumn("cells", F.split("value", ","))
+    cell = lambda n: F.get("cells", (F.array_position("own", n) - 1).cast("int"))
+    numbers = [c.no_nan(F.trim(cell(n)).try_cast("double")).alias(n) for n in names]
     return data.select(F.replace(F.get("cells", F.lit(0)), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz").alias("time"), *numbers)
 
 
