@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyloom.functions import columns as c
+from skyloom.operators.quantiles import percentiles, percentiles_long
 
 
 def along(time: str, keys: list[str] | None = None) -> WindowSpec:
@@ -35,15 +36,13 @@ def transitions(df: DataFrame, value: str, time: str, keys: list[str], n: int) -
 
 
 def percentile_table(df: DataFrame, fields: tuple[str, ...], qs: tuple[float, ...]) -> DataFrame:
-    """Exact percentiles (linear interpolation) of several fields in one pass."""
-    one = df.agg(*[F.percentile(f, list(qs)).alias(f) for f in fields])
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(q).alias("q"), F.col(f)[i].alias("x")) for f in fields for i, q in enumerate(qs)])
-    return one.select(F.explode(rows).alias("r")).select("r.field", "r.q", c.rounded("r.x").alias("x"))
+    """Exact percentiles (linear interpolation) of several fields in two passes."""
+    return percentiles_long(df, [], fields, list(qs), 1).select("field", "q", c.rounded("value").alias("x"))
 
 
 def clusters(df: DataFrame, field: str, time: str, quantile: float, gap_hours: float) -> DataFrame:
     """Events: rows at or above the quantile, joined while the gap is at most `gap_hours`. The extremes are few; the window sees only them."""
-    limit = df.agg(F.percentile(field, quantile).alias("_thr"))
+    limit = percentiles(df, [], {"_thr": (field, quantile)}, 1)
     extreme = df.join(F.broadcast(limit), F.col(field) >= F.col("_thr"))
     apart = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(along(time)).cast("timestamp"))) / 3.6e9
     marked = extreme.withColumn("_apart", apart).withColumn("event", F.sum(F.when(F.col("_apart") <= gap_hours, 0).otherwise(1)).over(along(time).rowsBetween(Window.unboundedPreceding, 0)))

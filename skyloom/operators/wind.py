@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import columns as c
+from skyloom.operators.quantiles import with_percentiles
 
 SPEED_EDGES = (0.0, 20.0, 40.0, 60.0, 80.0, 120.0, 200.0)
 #: First seasonal day of each mangsa in the present normal, half-open, the last one wrapping; and the four seasons. Fixed values.
@@ -57,28 +58,35 @@ def direction_summary() -> list[Column]:
     return [F.count("wd").alias("n"), c.rounded(c.circular_mean("wd")).alias("mean_dir"), c.rounded(c.resultant_length("wd")).alias("r"), c.rounded(c.circular_std("wd")).alias("sd_dir")]
 
 
-def speed_percentiles(x: str, *ps: float) -> list[Column]:
-    """Exact percentiles by linear interpolation."""
-    return [c.rounded(F.percentile(x, p)).alias(f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}") for p in ps]
+def percentile_names(x: str, *ps: float) -> dict[str, tuple[str, float]]:
+    return {f"p{str(p * 100).rstrip('0').rstrip('.').replace('.', '_')}": (x, p) for p in ps}
+
+
+def with_speed_percentiles(rows: DataFrame, summary: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], groups: int) -> DataFrame:
+    """`summary` with exact percentiles by linear interpolation, rounded."""
+    out = with_percentiles(rows, summary, keys, wanted, groups)
+    return out.withColumns({n: c.rounded(n) for n in wanted})
 
 
 def monthly_stats(df: DataFrame) -> DataFrame:
-    return df.groupBy(F.month("time").cast("long").alias("month")).agg(
-        *direction_summary(), c.rounded(F.avg("ws")).alias("mean"), *speed_percentiles("ws", 0.1, 0.5, 0.9), c.rounded(F.max("ws")).alias("max"), c.rounded(F.max("gust")).alias("max_gust")
-    )
+    rows = df.withColumn("month", F.month("time").cast("long"))
+    stats = rows.groupBy("month").agg(*direction_summary(), c.rounded(F.avg("ws")).alias("mean"), c.rounded(F.max("ws")).alias("max"), c.rounded(F.max("gust")).alias("max_gust"))
+    return with_speed_percentiles(rows, stats, ["month"], percentile_names("ws", 0.1, 0.5, 0.9), 13)
 
 
 def mangsa_profile(df: DataFrame) -> DataFrame:
     """All twelve mangsa, with nulls where none of the rows falls."""
     spark = df.sparkSession
-    own = time_features(df).groupBy("mangsa").agg(*direction_summary(), c.rounded(F.avg("ws")).alias("mean"), *speed_percentiles("ws", 0.5, 0.9))
+    rows = time_features(df)
+    own = rows.groupBy("mangsa").agg(*direction_summary(), c.rounded(F.avg("ws")).alias("mean"))
+    own = with_speed_percentiles(rows, own, ["mangsa"], percentile_names("ws", 0.5, 0.9), 13)
     keys = spark.range(1, 13).select(F.col("id").alias("mangsa"))
     return keys.join(own, "mangsa", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def gust_stats(df: DataFrame) -> DataFrame:
     valid = df.where((F.col("ws") >= 1) & F.col("gust").isNotNull()).withColumn("gf", F.col("gust") / F.col("ws"))
-    return valid.agg(F.count("*").alias("n"), c.rounded(F.avg("gf")).alias("mean"), *speed_percentiles("gf", 0.5, 0.9, 0.99))
+    return with_speed_percentiles(valid, valid.agg(F.count("*").alias("n"), c.rounded(F.avg("gf")).alias("mean")), [], percentile_names("gf", 0.5, 0.9, 0.99), 1)
 
 
 def exceedance(df: DataFrame, fields: tuple[str, ...], thresholds: tuple[float, ...]) -> DataFrame:

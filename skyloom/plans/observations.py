@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import columns as c
-from skyloom.operators import blending, extremes, wind
+from skyloom.operators import blending, extremes, quantiles, wind
 from skyloom.plans.registry import query
 from skyloom.sources import surrogate as s
 
@@ -91,12 +91,13 @@ U, V = "(-ws * sin(radians(wd)))", "(-ws * cos(radians(wd)))"
   {r6('max(ws)')} AS max, {r6('avg(gust)')} AS mean_gust, {r6(f'avg({U})')} AS u, {r6(f'avg({V})')} AS v, {r6(f'(degrees(atan2(-avg({U}), -avg({V}))) + 360) % 360')} AS vector_dir,
   {r6(f'sqrt(pow(avg({U}), 2) + pow(avg({V}), 2)) / avg(ws)')} AS constancy FROM obs GROUP BY 1""", "obs")
 def diurnal_cycle(spark, d):
-    uv = s.obs(spark, d).withColumns({"u": c.wind_u("wd", "ws"), "v": c.wind_v("wd", "ws")})
-    return uv.groupBy(F.hour("time").cast("long").alias("hour")).agg(
-        F.count("*").alias("n"), c.rounded(F.avg("ws")).alias("mean"), c.rounded(F.stddev_samp("ws")).alias("sd"), c.rounded(F.percentile("ws", 0.5)).alias("median"), *wind.speed_percentiles("ws", 0.25, 0.75),
+    uv = s.obs(spark, d).withColumns({"u": c.wind_u("wd", "ws"), "v": c.wind_v("wd", "ws"), "hour": F.hour("time").cast("long")})
+    stats = uv.groupBy("hour").agg(
+        F.count("*").alias("n"), c.rounded(F.avg("ws")).alias("mean"), c.rounded(F.stddev_samp("ws")).alias("sd"),
         c.rounded(F.max("ws")).alias("max"), c.rounded(F.avg("gust")).alias("mean_gust"), c.rounded(F.avg("u")).alias("u"), c.rounded(F.avg("v")).alias("v"),
         c.rounded(c.direction_of(F.avg("u"), F.avg("v"))).alias("vector_dir"), c.rounded(c.constancy("u", "v")).alias("constancy"),
     )
+    return wind.with_speed_percentiles(uv, stats, ["hour"], {"median": ("ws", 0.5), "p25": ("ws", 0.25), "p75": ("ws", 0.75)}, 25)
 
 
 @query("harmonic_amplitude", f"""WITH h AS (SELECT hour(time) AS h, avg(ws) AS v FROM obs GROUP BY 1), x AS (SELECT 2 * avg(v * cos(2 * pi() * h / 12)) AS a, 2 * avg(v * sin(2 * pi() * h / 12)) AS b FROM h)
@@ -258,7 +259,9 @@ def stability():
 def _shear(name: str, key: str, sql: str, column):
     @query(name, f"WITH {ALPHA} SELECT {sql} AS {key}, count(*) AS n, {r6('avg(alpha)')} AS mean, {r6('median(alpha)')} AS median, {_SHARES} FROM x GROUP BY 1", "obs")
     def q(spark, d):
-        return exponents(spark, d).groupBy(column().alias(key)).agg(F.count("*").alias("n"), c.rounded(F.avg("alpha")).alias("mean"), c.rounded(F.percentile("alpha", 0.5)).alias("median"), *stability())
+        rows = exponents(spark, d).withColumn(key, column())
+        stats = rows.groupBy(key).agg(F.count("*").alias("n"), c.rounded(F.avg("alpha")).alias("mean"), *stability())
+        return wind.with_speed_percentiles(rows, stats, [key], {"median": ("alpha", 0.5)}, 32)
 
 
 _shear("shear_profile", "hour", "hour", lambda: F.col("hour"))
@@ -370,7 +373,7 @@ SELECT cut, CAST(quarter AS BIGINT) AS quarter, count(*) AS n, {r6('avg(ws)')} A
 def cut_qcut_classes(spark, d):
     """Right-closed classes, and classes by quantile edges (ties stay together, unlike ntile)."""
     o = s.obs(spark, d)
-    edges = o.agg(*[F.percentile("ws", q).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
+    edges = quantiles.percentiles(o, [], {f"q{i}": ("ws", q) for i, q in enumerate((0.25, 0.5, 0.75))}, 1)
     w = F.col("ws")
     cut = F.when(w <= 0, None).when(w <= 25, "(0, 25]").when(w <= 50, "(25, 50]").when(w <= 100, "(50, 100]").otherwise(">100")
     quarter = F.when(w <= F.col("q0"), 1).when(w <= F.col("q1"), 2).when(w <= F.col("q2"), 3).otherwise(4).cast("long")
