@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.plans import calendars, kernels, monsoon, observations, series, stations
+from skyloom.plans import calendars, kernels, monsoon, observations, seasons, series, stations
 from skyloom.plans.registry import QUERIES, SQL, Query
 
-__all__ = ["calendars", "kernels", "monsoon", "observations", "oracle_sql", "queries", "series", "stations"]
+__all__ = ["calendars", "kernels", "monsoon", "observations", "oracle_sql", "queries", "seasons", "series", "stations"]
 
 
 def queries() -> dict[str, Query]:

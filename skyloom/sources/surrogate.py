@@ -65,6 +65,15 @@ def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("date", "py", "dopy", *[(m + s * swing + p * a + q * b).alias(n) for n, (m, s, p, q) in FIELDS.items()])
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily fields of several places (regions of the customers): the swing of `climate` and the deviation of the place's own orders."""
+    region = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").cast("long").alias("place"))
+    x = table(spark, sf_dir, "orders").join(region, "o_custkey").groupBy("place", F.to_date("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 1000).alias("v"))
+    x = x.withColumn("dopy", c.season_day_mod("date"))
+    swing = F.cos(2 * 3.141592653589793 * (F.col("dopy") - 190) / 365)
+    return x.select("place", "date", "dopy", *[(m + s * swing + p * (F.col("v") - 150) / 15).alias(n) for n, (m, s, p, _) in FIELDS.items()])
+
+
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples over all years from orders: time, ws and wd, whose direction follows the month."""
     return table(spark, sf_dir, "orders").select(
