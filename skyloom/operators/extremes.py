@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import columns as c
 from skyloom.operators.quantiles import percentiles, percentiles_long
+from skyloom.operators.spacing import spaced
 
 
 def along(time: str, keys: list[str] | None = None) -> WindowSpec:
@@ -56,15 +57,13 @@ def onset_candidates(df: DataFrame, field: str, time: str, dry: int = 6, wet: fl
     return marked.where((F.col(field) > wet) & (F.col("_n") == dry) & (F.col("_before") < dry_below)).drop("_before", "_n")
 
 
-def spaced(events: DataFrame, time: str, least_rows: int, number: str = "rn") -> DataFrame:
-    """Greedy spacing: an event is taken if at least `least_rows` rows after the last one taken.
-
-    The fold runs over the events of an aggregated series (array and `aggregate`), not over raw rows.
-    """
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(number)), F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, F.greatest(F.size(a), F.lit(1))) >= least_rows), F.concat(a, F.array(x))).otherwise(a)
-    )
-    return events.join(events.agg(taken.alias("_t")).select(F.explode("_t").alias(number)), number, "left_semi")
+def onsets(df: DataFrame, field: str, time: str, keys: list[str], dry: int = 6, wet: float = 0.5, dry_below: float = 0.1, apart: int = 12) -> DataFrame:
+    """Onset candidates of each place, thinned to those that a scan accepts: at least `apart` rows after the last one, and not in the last `apart` rows."""
+    w = along(time, keys)
+    frame = w.rowsBetween(-dry, -1)
+    rows = df.withColumns({"rn": F.row_number().over(w), "_rest": F.count(F.lit(1)).over(w.rowsBetween(1, apart)), "_before": F.max(field).over(frame), "_n": F.count(field).over(frame)})
+    found = rows.where((F.col(field) > wet) & (F.col("_n") == dry) & (F.col("_before") < dry_below) & (F.col("_rest") == apart))
+    return spaced(found.drop("_before", "_n", "_rest"), apart, tuple(keys))
 
 
 def superposed_epoch(df: DataFrame, events: DataFrame, time: str, fields: tuple[str, ...], reach: int) -> DataFrame:

@@ -71,7 +71,13 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "orders").join(region, "o_custkey").groupBy("place", F.to_date("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 1000).alias("v"))
     x = x.withColumn("dopy", c.season_day_mod("date"))
     swing = F.cos(2 * 3.141592653589793 * (F.col("dopy") - 190) / 365)
-    return x.select("place", "date", "dopy", *[(m + s * swing + p * (F.col("v") - 150) / 15).alias(n) for n, (m, s, p, _) in FIELDS.items()])
+    return x.select("place", "date", "dopy", *[(m + s * swing + p * ((F.col("v") - 150) / 15)).alias(n) for n, (m, s, p, _) in FIELDS.items()])
+
+
+def phase_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, phase (1 to 8, six days each) and amplitude of a phase index from lineitem."""
+    x = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.abs(F.avg("l_extendedprice") / 1000 - 38).alias("amplitude"))
+    return x.select("date", (F.floor(F.unix_date("date") / 6) % 8 + 1).cast("int").alias("phase"), "amplitude")
 
 
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +101,10 @@ CTE = {
 CTE["years"] = "years AS (SELECT o_orderdate AS time, o_totalprice / 10000 AS ws, (200 + 70 * sin(2 * pi() * month(o_orderdate) / 12) + (o_orderkey * 37) % 80 + 360) % 360 AS wd FROM orders)"
 _SWING = "cos(2 * 3.141592653589793 * (dopy - 190) / 365)"
 CTE["climate"] = "climate AS (SELECT daily.date, py, dopy, " + ", ".join(f"{m}::DOUBLE + {a} * {_SWING} + {p} * ((v - 150) / 15) + {q} * ((w - 38) / 5) AS {n}" for n, (m, a, p, q) in FIELDS.items()) + " FROM daily LEFT JOIN daily2 USING (date))"
+_OWN = ", ".join(f"{m}::DOUBLE + {a} * {_SWING} + {p} * ((v - 150) / 15) AS {n}" for n, (m, a, p, _) in FIELDS.items())
+CTE["places"] = f"""places AS (SELECT place, date, dopy, {_OWN} FROM (SELECT *, CAST(date - make_date(CAST({PY} AS INT), 6, 22) AS BIGINT) % 365 AS dopy FROM (
+  SELECT CAST(n_regionkey AS BIGINT) AS place, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1000 AS v FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)))"""
+CTE["phase_days"] = "phase_days AS (SELECT date, 1 + (date - DATE '1970-01-01') // 6 % 8 AS phase, amplitude FROM (SELECT CAST(l_shipdate AS DATE) AS date, abs(avg(l_extendedprice) / 1000 - 38) AS amplitude FROM lineitem GROUP BY ALL))"
 NEEDS = {"hourly": ("obs",), "series": ("obs",), "climate": ("daily", "daily2")}
 
 
