@@ -90,9 +90,3 @@ def circular_sigma(r: str | Column) -> Column:
 def winner(x: str, y: str, w1: float, w2: float) -> Column:
     """Categories do not mix: the heavier station wins."""
     return F.coalesce(F.col(x), F.col(y)) if w1 >= w2 else F.coalesce(F.col(y), F.col(x))
-
-
-def variogram_power(gamma: Column, distance: Column, n: Column, default: float = 2.0) -> Column:
-    """Power of the distance weights from one pair: half the log-log slope, kept to [0.5, 3]; the default below 48 values."""
-    slope = F.log(gamma) / F.log(distance)
-    return F.when((n < 48) | (gamma <= 0) | (distance <= 0) | (distance == 1), default).otherwise(F.least(F.greatest(slope / 2, F.lit(0.5)), F.lit(3.0)))

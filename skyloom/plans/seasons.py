@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import columns as c
+from skyloom.functions import significance, tables
 from skyloom.operators import climate, extremes, hidden, vector_phase
+from skyloom.operators.calendars import SCENARIOS
 from skyloom.operators.detectors import lanczos_kernel
+from skyloom.plans.calendars import CALIB
 from skyloom.plans.registry import query
 from skyloom.sources import surrogate as s
 
@@ -103,3 +106,40 @@ def spaced_onsets(spark, d):
     """Rain onsets of each station after dry hours, at least twelve rows apart."""
     found = extremes.onsets(s.hourly(spark, d), "precip", "hour", ["station"], dry=3, wet=2.0, dry_below=2.0)
     return found.select("station", "hour", F.col("rn").cast("long").alias("rn"), F.round("precip", 9).alias("precip"))
+
+
+def _p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t by Simpson's rule over the angle: another way than the plan's."""
+    return f"""(SELECT exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * 2 * sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(atan(abs({t}) / sqrt({df})) + (pi() / 2 - atan(abs({t}) / sqrt({df}))) * i / 2000), 0), {df} - 1))
+  * (pi() / 2 - atan(abs({t}) / sqrt({df}))) / 8000 / 3 FROM generate_series(0, 8000) q(i))"""
+
+
+@query("significance", f"""WITH g AS (SELECT py % 2 AS k, avg(v) AS m, var_samp(v) AS s, count(*) AS n FROM daily GROUP BY 1), w AS (SELECT (a.m - b.m) / sqrt(a.s / a.n + b.s / b.n) AS t, pow(a.s / a.n + b.s / b.n, 2) / (pow(a.s / a.n, 2) / (a.n - 1) + pow(b.s / b.n, 2) / (b.n - 1)) AS df FROM g a, g b WHERE a.k = 0 AND b.k = 1),
+c AS (SELECT corr(v, w) AS r, count(*) - 2 AS df FROM daily JOIN daily2 USING (date)), y AS (SELECT corr(y, py) AS r, count(*) - 2 AS df FROM (SELECT py, avg(v) AS y FROM daily GROUP BY 1)),
+a AS (SELECT 'welch' AS test, t, df::DOUBLE AS df FROM w UNION ALL SELECT 'correlation', r * sqrt(df / (1 - r * r)), df::DOUBLE FROM c UNION ALL SELECT 'trend', r * sqrt(df / (1 - r * r)), df::DOUBLE FROM y)
+SELECT test, round(t, 8) AS t, round(df, 6) AS df, round({_p_sql('t', 'df')}, 6) AS p FROM a""", "daily", "daily2")
+def significance_of_differences(spark, d):
+    """t, degrees of freedom and p of two groups of years, of the correlation of two series, and of the trend over years."""
+    x = s.daily(spark, d)
+    g = x.agg(*[f(F.when(F.col("py") % 2 == k, F.col("v"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("m", F.avg), ("s", F.var_samp), ("n", F.count))])
+    a, b = F.col("s0") / F.col("n0"), F.col("s1") / F.col("n1")
+    welch = g.select(F.lit("welch").alias("test"), ((F.col("m0") - F.col("m1")) / F.sqrt(a + b)).alias("t"), (F.pow(a + b, 2) / (F.pow(a, 2) / (F.col("n0") - 1) + F.pow(b, 2) / (F.col("n1") - 1))).alias("df"))
+
+    def related(rows, p, q, name):
+        r = rows.agg(F.corr(p, q).alias("r"), (F.count("*") - 2).cast("double").alias("df"))
+        return r.select(F.lit(name).alias("test"), (F.col("r") * F.sqrt(F.col("df") / (1 - F.col("r") * F.col("r")))).alias("t"), "df")
+
+    pairs = related(x.join(s.daily2(spark, d), "date"), "v", "w", "correlation")
+    trend = related(x.groupBy("py").agg(F.avg("v").alias("y")), "y", "py", "trend")
+    every = welch.unionByName(pairs).unionByName(trend)
+    return every.select("test", F.round("t", 8).alias("t"), F.round("df", 6).alias("df"), F.round(significance.t_p_value(F.col("t"), F.col("df")), 6).alias("p"))
+
+
+@query("calendar_lateral", f"WITH {CALIB} SELECT scenario, py, CAST(mangsa AS BIGINT) AS mangsa, start, nxt - 1 AS stop, CAST(nxt - start AS BIGINT) AS days FROM calib", "daily")
+def calendar_lateral(spark, d):
+    """The calibrated calendar of every year of the table and every scenario, by the table function under a LATERAL join."""
+    tables.register(spark)
+    years = s.daily(spark, d).select("py").distinct()
+    keys = spark.createDataFrame([(key,) for key, *_ in SCENARIOS], "scenario string")
+    out = spark.sql("SELECT c.* FROM {y} y CROSS JOIN {k} k, LATERAL calendar(y.py, k.scenario) c", y=years, k=keys)
+    return out.select("scenario", "py", F.col("mangsa").cast("long").alias("mangsa"), "start", "stop", "days")
