@@ -110,7 +110,7 @@ def spaced_onsets(spark, d):
 
 def _p_sql(t: str, df: str) -> str:
     """Two-sided p of Student's t by Simpson's rule over the angle: another way than the plan's."""
-    return f"""(SELECT exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * 2 * sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(atan(abs({t}) / sqrt({df})) + (pi() / 2 - atan(abs({t}) / sqrt({df}))) * i / 2000), 0), {df} - 1))
+    return f"""(SELECT exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * 2 * sum(CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(atan(abs({t}) / sqrt({df})) + (pi() / 2 - atan(abs({t}) / sqrt({df}))) * i / 8000), 0), {df} - 1))
   * (pi() / 2 - atan(abs({t}) / sqrt({df}))) / 8000 / 3 FROM generate_series(0, 8000) q(i))"""
 
 
