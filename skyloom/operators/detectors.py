@@ -66,17 +66,34 @@ def cusum(df: DataFrame, x: str, slack: float = 0.5, limit: float = 3.0, start:
     return first_day(up, (F.col("_s") > 1e-9) & (F.col("cusum") > limit * F.col("_s")))
 
 
-def cusum_prewhitened(df: DataFrame, x: str, calm: int = 100, slack: float = 0.5, limit: float = 5.0, bound: float = 0.95) -> DataFrame:
-    """CUSUM of AR(1) residuals; mean and sample deviation from the days up to `calm`; gives the last zero before the alarm."""
-    lagged = df.where(F.col(x).isNotNull()).withColumn("_p", F.lag(x).over(in_year()))
-    phi = F.least(F.greatest(F.coalesce(F.corr(x, "_p").over(year()), F.lit(0.0)), F.lit(-bound)), F.lit(bound))
-    e = lagged.withColumn("_phi", phi).withColumn("_e", F.col(x) - F.col("_phi") * F.col("_p")).where("_e is not null")
-    quiet = F.when(F.col("dopy") <= calm, F.col("_e"))
-    z = e.withColumns({"_m": F.avg(quiet).over(year()), "_s": F.stddev_samp(quiet).over(year())})
+def cusum_prewhitened(df: DataFrame, x: str, low: int = 60, high: int = 200, calm: int = 100, slack: float = 0.5, limit: float = 5.0, bound: float = 0.95, rows: int = 90, known: int = 80, quiet: int = 15) -> DataFrame:
+    """CUSUM of AR(1) residuals within the search window: (py, last_zero, alarm), the day of the last zero before the alarm and the alarm's date.
+
+    Gaps are interpolated by position. The coefficient is that of deviations from the window's mean on the ones before; mean and
+    sample deviation of the residuals come from the days up to `calm`. Years of fewer than `rows` rows, `known` values or
+    `quiet` calm residuals, or without spread, have none; without a zero before the alarm its first residual counts.
+    """
+    order = in_year()
+    inside = df.where(F.col("dopy").between(low, high)).withColumns({"_i": F.row_number().over(order).cast("long"), "_rows": F.count("*").over(year()), "_known": F.count(x).over(year())})
+    back, on = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col(x).isNotNull(), F.struct(F.col("_i").alias("n"), F.col(x).alias("v")))
+    a, b = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(on)
+    between = F.when(a["n"] == b["n"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["n"]) / (b["n"] - a["n"]))
+    filled = inside.where((F.col("_rows") >= rows) & (F.col("_known") >= known)).withColumn("_u", F.coalesce(between, a["v"], b["v"]))
+    r = filled.withColumn("_r", F.col("_u") - F.avg("_u").over(year())).withColumn("_p", F.lag("_r").over(order))
+    square = F.sum(F.when(F.col("_p").isNotNull(), F.col("_p") * F.col("_p"))).over(year()) + 1e-9
+    phi = F.least(F.greatest(F.sum(F.col("_p") * F.col("_r")).over(year()) / square, F.lit(-bound)), F.lit(bound))
+    e = r.withColumn("_phi", phi).withColumn("_e", F.col("_r") - F.col("_phi") * F.col("_p")).where("_e is not null")
+    base = F.when(F.col("dopy") <= calm, F.col("_e"))
+    z = e.withColumns({"_m": F.avg(base).over(year()), "_s": F.stddev_samp(base).over(year()), "_k": F.count(base).over(year())}).where((F.col("_k") >= quiet) & (F.col("_s") >= 1e-6))
     s = z.withColumn("_sum", F.sum(F.col("_e") - F.col("_m") - slack * F.col("_s")).over(prefix()))
     up = s.withColumn("_c", F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(prefix())))
-    alarm = up.withColumn("_alarm", F.min(F.when((F.col("_s") > 1e-9) & (F.col("_c") > limit * F.col("_s")), F.col("date"))).over(year()))
-    return alarm.groupBy("py").agg(F.max(F.when((F.col("date") < F.col("_alarm")) & (F.col("_c") <= 1e-12), F.struct("date", "dopy"))).alias("_b"), F.max("_alarm").alias("alarm")).select("py", F.col("_b.dopy").alias("last_zero"), "alarm")
+    alarm = up.withColumn("_alarm", F.min(F.when(F.col("_c") > limit * F.col("_s"), F.col("date"))).over(year()))
+    found = alarm.groupBy("py").agg(
+        F.max(F.when((F.col("date") < F.col("_alarm")) & (F.col("_c") < 1e-9), F.struct("date", "dopy"))).alias("_z"), F.min(F.struct("date", "dopy")).alias("_f"), F.max("_alarm").alias("alarm")
+    )
+    last = F.when(F.col("alarm").isNotNull(), F.coalesce(F.col("_z.dopy"), F.col("_f.dopy")))
+    return df.select("py").distinct().join(found.select("py", last.alias("last_zero"), "alarm"), "py", "left")
 
 
 def shiryaev_roberts(df: DataFrame, x: str, calm: int = 100, share: float = 0.5, cap: float = 300.0) -> DataFrame:

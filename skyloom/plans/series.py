@@ -201,12 +201,14 @@ def cusum(spark, d):
     return det.cusum(s.daily(spark, d), "v", slack=0.25, start=90)
 
 
-@query("cusum_ar1", """WITH l AS (SELECT *, lag(v) OVER (PARTITION BY py ORDER BY date) AS p FROM daily), f AS (SELECT *, least(greatest(coalesce(corr(v, p) OVER (PARTITION BY py), 0), -0.95), 0.95) AS phi FROM l), e AS (SELECT *, v - phi * p AS e FROM f WHERE p IS NOT NULL),
-z AS (SELECT *, avg(CASE WHEN dopy <= 100 THEN e END) OVER (PARTITION BY py) AS m, stddev_samp(CASE WHEN dopy <= 100 THEN e END) OVER (PARTITION BY py) AS sd FROM e), y AS (SELECT *, sum(e - m - 0.25 * sd) OVER (PARTITION BY py ORDER BY date ROWS UNBOUNDED PRECEDING) AS cs FROM z),
-x AS (SELECT *, cs - least(0, min(cs) OVER (PARTITION BY py ORDER BY date ROWS UNBOUNDED PRECEDING)) AS up FROM y), a AS (SELECT *, min(CASE WHEN sd > 1e-9 AND up > 5 * sd THEN date END) OVER (PARTITION BY py) AS alarm FROM x)
-SELECT py, arg_max(dopy, date) FILTER (date < alarm AND up <= 1e-12) AS last_zero, max(alarm) AS alarm FROM a GROUP BY 1""", "daily")
+@query("cusum_ar1", """WITH i AS (SELECT py, date, dopy, u_comp AS x, row_number() OVER (PARTITION BY py ORDER BY date) AS i, count(*) OVER (PARTITION BY py) AS k FROM climate WHERE dopy BETWEEN 60 AND 200), f AS (SELECT *, x - avg(x) OVER (PARTITION BY py) AS r FROM i WHERE k >= 90),
+l AS (SELECT *, lag(r) OVER (PARTITION BY py ORDER BY date) AS p FROM f), g AS (SELECT *, least(greatest(sum(p * r) OVER (PARTITION BY py) / (sum(p * p) OVER (PARTITION BY py) + 1e-9), -0.95), 0.95) AS phi FROM l), e AS (SELECT *, r - phi * p AS e FROM g WHERE p IS NOT NULL),
+z AS (SELECT *, avg(CASE WHEN dopy <= 100 THEN e END) OVER w AS m, stddev_samp(CASE WHEN dopy <= 100 THEN e END) OVER w AS sd, count(CASE WHEN dopy <= 100 THEN e END) OVER w AS q FROM e WINDOW w AS (PARTITION BY py)),
+y AS (SELECT *, sum(e - m - 0.5 * sd) OVER (PARTITION BY py ORDER BY date ROWS UNBOUNDED PRECEDING) AS cs FROM z WHERE q >= 15 AND sd >= 1e-6), x AS (SELECT *, cs - least(0, min(cs) OVER (PARTITION BY py ORDER BY date ROWS UNBOUNDED PRECEDING)) AS up FROM y),
+a AS (SELECT *, min(CASE WHEN up > 5 * sd THEN date END) OVER (PARTITION BY py) AS alarm FROM x), o AS (SELECT py, coalesce(arg_max(dopy, date) FILTER (date < alarm AND up < 1e-9), arg_min(dopy, date)) AS lz, max(alarm) AS alarm FROM a GROUP BY 1)
+SELECT d.py, CASE WHEN alarm IS NOT NULL THEN lz END AS last_zero, alarm FROM (SELECT DISTINCT py FROM climate) d LEFT JOIN o USING (py)""", "climate")
 def cusum_ar1(spark, d):
-    return det.cusum_prewhitened(s.daily(spark, d), "v", slack=0.25)
+    return det.cusum_prewhitened(s.climate(spark, d), "u_comp")
 
 
 @query("shiryaev_roberts", """WITH z AS (SELECT *, avg(CASE WHEN dopy <= 100 THEN v END) OVER p AS m, stddev_pop(CASE WHEN dopy <= 100 THEN v END) OVER p AS sd, count(*) OVER p AS k FROM daily WINDOW p AS (PARTITION BY py)), l AS (SELECT *, (v - m) / sd - 0.5 AS l FROM z WHERE sd > 1e-9),

@@ -306,3 +306,44 @@ def test_lanczos_kernel_is_a_low_pass():
     w = np.array(det.lanczos_kernel(241, 1 / 90))
     assert len(w) == 241 and w.sum() == pytest.approx(1) and np.allclose(w, w[::-1])
     assert abs((w * np.cos(2 * np.pi * np.arange(-120, 121) / 10)).sum()) < 0.01
+
+
+def test_cusum_of_residuals_equals_the_loop(spark):
+    """Window, least rows, interpolation, regression on deviations, calm days, and the last zero, step by step."""
+    import datetime
+    import random
+
+    r, rows = random.Random(12), []
+    for py in range(2000, 2012):
+        anchor = datetime.date(py, 6, 22)
+        shift, gaps = (py - 1999) * 0.1, 0.55 if py == 2003 else 0.05
+        level = 0.0
+        for n in range(365):
+            level = 0.6 * level + r.gauss(0, 0.2)
+            if py == 2004 and 90 <= n <= 150:
+                continue
+            rows.append((py, anchor + datetime.timedelta(days=n), n, None if r.random() < gaps else level + (shift if n > 120 else 0.0) if py != 2005 else 1.0))
+    expected = {}
+    for py in range(2000, 2012):
+        own = [(n, x) for p, _, n, x in rows if p == py and 60 <= n <= 200]
+        expected[py] = None
+        known = [i for i, (_, x) in enumerate(own) if x is not None]
+        if len(own) < 90 or len(known) < 80:
+            continue
+        u = np.interp(np.arange(len(own)), known, [own[i][1] for i in known])
+        d = u - u.mean()
+        phi = max(-0.95, min(0.95, float((d[:-1] * d[1:]).sum() / ((d[:-1] ** 2).sum() + 1e-9))))
+        e, days = d[1:] - phi * d[:-1], [n for n, _ in own[1:]]
+        calm = [v for v, n in zip(e, days, strict=True) if n <= 100]
+        if len(calm) < 15 or np.std(calm, ddof=1) < 1e-6:
+            continue
+        m, sd, total, zero = float(np.mean(calm)), float(np.std(calm, ddof=1)), 0.0, 0
+        for i, v in enumerate(e):
+            total = max(0.0, total + v - m - 0.5 * sd)
+            zero = i if total < 1e-9 else zero
+            if total > 5 * sd:
+                expected[py] = days[zero]
+                break
+    got = {x["py"]: x["last_zero"] for x in det.cusum_prewhitened(spark.createDataFrame(rows, "py int, date date, dopy int, x double"), "x").collect()}
+    assert got == expected
+    assert sum(v is not None for v in expected.values()) >= 3 and expected[2003] is None and expected[2004] is None and expected[2005] is None
