@@ -38,12 +38,13 @@ class Percentile:
 
 @dataclass(frozen=True)
 class Rule:
-    """`field`, rolled over `n` centred days, lies above (or below) `limit`."""
+    """`field`, rolled over `n` centred days, lies above (or below) `limit`; a crossing must hold for `hold` rows, so many of them known."""
 
     field: str
     n: int
     above: bool
     limit: float | Percentile
+    hold: tuple[int, int] = (10, 7)
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,8 @@ class Detector:
     combine: str = "all"
     trail: tuple[int, int] | None = None
     level: float = 0.0
+    #: Further fields, rolled over seven days, that must be known for a day to count.
+    known: tuple[str, ...] = ()
 
 
 def above(field: str, n: int, limit: float | Percentile) -> Rule:
@@ -90,12 +93,12 @@ ADVECTION_DETECTORS = (
     Detector("A1_on", (above("u_mean", 7, 0.65), below("u_std", 7, 0.35), above("frac_west", 7, 0.85), above("cl_night", 7, 90.0), above("cloud", 7, 90.0)), ADVECTION_ONSET, 10, 6, "score", (14, 10), 4.0),
     Detector("A2_on", (above("u_mean", 7, 0.70), above("frac_west", 7, 0.90)), ADVECTION_ONSET, 21, 14, "all", (21, 14), 0.75),
     Detector("A3_on", (above("cl_night", 7, 95.0), above("cloud", 7, 92.0), above("u_mean", 7, 0.30)), ADVECTION_ONSET, 14, 10, "all", (14, 10), 0.70),
-    Detector("A1_off", (below("u_mean", 7, 0.30), below("cl_night", 7, 85.0)), ADVECTION_OFFSET, 10, 6, "any", (14, 10), 0.55),
+    Detector("A1_off", (below("u_mean", 7, 0.30), below("cl_night", 7, 85.0)), ADVECTION_OFFSET, 10, 6, "any", (14, 10), 0.55, ("u_std",)),
 )
 #: Crossings of a 30-day mean: dryness, dew point, vertical shear, soil and the wind itself.
 CROSSING_DETECTORS = (
     Rule("vpd", 30, False, Percentile(50, DRY_WIND, 10, 0.65)), Rule("dew_pt", 30, True, Percentile(97, DRY_WIND, 10)), Rule("du", 30, True, 0.0),
-    Rule("sm_7_28", 30, True, Percentile(80, DRY_WIND, 10)), Rule("u_comp", 30, True, 0.0),
+    Rule("sm_7_28", 30, True, Percentile(80, DRY_WIND, 10)), Rule("u_comp", 30, True, 0.0, (15, 10)),
 )
 CROSSING_NAMES = ("M6_vpd", "M7_dew_point", "M8_shear", "M9_soil", "M10_wind")
 
@@ -105,6 +108,15 @@ def of_year(df: DataFrame) -> DataFrame:
     return df.where(c.season_day("date") < 365)
 
 
+#: Days that a year must have for the season, advection and reversal methods: 3,000 hours, 180 days and 5,000 hours. Fixed values.
+SEASON_DAYS, ADVECTION_DAYS, REVERSAL_DAYS = 125, 180, 209
+
+
+def complete(df: DataFrame, least_days: int) -> DataFrame:
+    """The rows of years that have at least `least_days` days; no others get an onset."""
+    return of_year(df).withColumn("_days", F.count(F.lit(1)).over(det.year())).where(F.col("_days") >= least_days).drop("_days")
+
+
 def rolled(field: str, n: int) -> Column:
     return c.rolling(F.avg, field, c.centered(det.in_year(), n), n // 2)
 
@@ -125,9 +137,10 @@ def signal(df: DataFrame, d: Detector) -> DataFrame:
     if d.trail is None:
         return x.withColumns({"_signal": F.col("_r0"), "_level": F.col("_l0")})
     holds = [(F.col(f"_r{i}") > F.col(f"_l{i}") if r.above else F.col(f"_r{i}") < F.col(f"_l{i}")) for i, r in enumerate(d.rules)]
+    x = x.withColumns({f"_k{i}": rolled(f, 7) for i, f in enumerate(d.known)})
     known = F.lit(True)
-    for i in range(len(d.rules)):
-        known = known & F.col(f"_r{i}").isNotNull()
+    for name in [f"_r{i}" for i in range(len(d.rules))] + [f"_k{i}" for i in range(len(d.known))]:
+        known = known & F.col(name).isNotNull()
     number = sum((h.cast("double") for h in holds), F.lit(0.0))
     joint = {"all": (number == len(holds)).cast("double"), "any": (number > 0).cast("double"), "score": number}[d.combine]
     n, least = d.trail
@@ -142,9 +155,9 @@ def detected(df: DataFrame, d: Detector, eps: float = 0.025) -> DataFrame:
 
 
 def crossed(df: DataFrame, rule: Rule, eps: float = 0.005) -> DataFrame:
-    """(py, onset): first crossing of the limit by the rolled field that holds for ten days, seven of them known."""
+    """(py, onset): first crossing of the limit by the rolled field that holds for the rule's rows."""
     x = of_year(df).withColumn("_r0", rolled(rule.field, rule.n))
-    return det.crossing(x.withColumn("_l0", limit_of("_r0", rule.limit, True)), "_r0", F.col("_l0"), *SEARCH, 10, 7, rule.above, eps)
+    return det.crossing(x.withColumn("_l0", limit_of("_r0", rule.limit, True)), "_r0", F.col("_l0"), *SEARCH, *rule.hold, rule.above, eps)
 
 
 def carried(field: str) -> Column:
@@ -250,17 +263,18 @@ def precursor_likelihood(index: DataFrame, share: float = 0.5, cap: float = 300.
     return det.first_day(x.withColumn("_hit", hit), F.col("_hit"))
 
 
-def season_table(daily: DataFrame, detectors=SEASON_DETECTORS) -> DataFrame:
-    """Runner: (py, method, onset) of all given detectors, one row for each year and method."""
-    out = None
+def season_table(daily: DataFrame, detectors=SEASON_DETECTORS, least_days: int = SEASON_DAYS) -> DataFrame:
+    """Runner: (py, method, onset) of all given detectors, one row for each year of enough days and method."""
+    out, daily = None, complete(daily, least_days)
     for d in detectors:
         one = detected(daily, d).select("py", F.lit(d.name).alias("method"), F.col("onset").cast("double").alias("onset"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def reversal_table(daily: DataFrame) -> DataFrame:
-    """Runner: (py, method, onset) of the precursor methods M2 and M4 to M10."""
+def reversal_table(daily: DataFrame, least_days: int = REVERSAL_DAYS) -> DataFrame:
+    """Runner: (py, method, onset) of the precursor methods M2 and M4 to M10, for years of enough days."""
+    daily = complete(daily, least_days)
     index = precursor_index(daily)
     every = [("M2_likelihood", precursor_likelihood(index)), ("M4_falling_dryness", falling_dryness(daily)), ("M5_cusum", precursor_cusum(index))]
     every += [(name, crossed(daily, rule)) for name, rule in zip(CROSSING_NAMES, CROSSING_DETECTORS, strict=True)]

@@ -13,6 +13,12 @@ from skyloom.plans.registry import query
 from skyloom.sources import surrogate as s
 
 SLICE = "y AS (SELECT * FROM climate WHERE date - make_date(CAST(py AS INT), 6, 22) < 365)"
+
+
+def slice_sql(least_days: int) -> str:
+    return SLICE[:-1] + f" QUALIFY count(*) OVER (PARTITION BY py) >= {least_days})"
+
+
 PERSIST = "sum(CASE WHEN {x} {op} {level} {eps} THEN 1 ELSE 0 END)"
 
 
@@ -45,31 +51,31 @@ def persistent_sql(table: str, x: str, level: str, days, sustain: int, least: in
 
 def detector_sql(d: m.Detector, n: int) -> tuple[str, str]:
     """Common table expressions of a detector, and its (py, onset)."""
-    first = ", ".join(f"{roll_sql(r.field, r.n)} AS r{i}" for i, r in enumerate(d.rules))
+    first = ", ".join([f"{roll_sql(r.field, r.n)} AS r{i}" for i, r in enumerate(d.rules)] + [f"{roll_sql(f, 7)} AS k{i}" for i, f in enumerate(d.known)])
     second = ", ".join(f"{limit_sql(f'r{i}', r.limit)} AS l{i}" for i, r in enumerate(d.rules))
     ctes = [f"a{n} AS (SELECT py, date, dopy, {first} FROM y)", f"b{n} AS (SELECT *, {second} FROM a{n})"]
     if d.trail is None:
         return ", ".join(ctes), persistent_sql(f"b{n}", "r0", "l0", d.days, d.sustain, d.least, d.rules[0].above, 0.025)
     number = " + ".join(f"(r{i} {'>' if r.above else '<'} l{i})::INT" for i, r in enumerate(d.rules))
     joint = {"all": f"CASE WHEN {number} = {len(d.rules)} THEN 1.0 ELSE 0.0 END", "any": f"CASE WHEN {number} > 0 THEN 1.0 ELSE 0.0 END", "score": f"({number})::DOUBLE"}[d.combine]
-    known = " AND ".join(f"r{i} IS NOT NULL" for i in range(len(d.rules)))
+    known = " AND ".join([f"r{i} IS NOT NULL" for i in range(len(d.rules))] + [f"k{i} IS NOT NULL" for i in range(len(d.known))])
     ctes += [f"c{n} AS (SELECT *, CASE WHEN {known} THEN ({joint})::DOUBLE END AS j FROM b{n})", f"d{n} AS (SELECT py, date, dopy, {trail_sql('j', *d.trail)} AS x FROM c{n})"]
     return ", ".join(ctes), persistent_sql(f"d{n}", "x", f"{d.level}::DOUBLE", d.days, d.sustain, d.least, True, 0.025)
 
 
-def table_sql(detectors) -> str:
+def table_sql(detectors, least_days: int) -> str:
     parts = [(d, *detector_sql(d, i)) for i, d in enumerate(detectors)]
-    return f"WITH {SLICE}, " + ", ".join(ctes for _, ctes, _ in parts) + " " + " UNION ALL ".join(f"SELECT py, '{d.name}' AS method, onset::DOUBLE AS onset FROM ({body})" for d, _, body in parts)
+    return f"WITH {slice_sql(least_days)}, " + ", ".join(ctes for _, ctes, _ in parts) + " " + " UNION ALL ".join(f"SELECT py, '{d.name}' AS method, onset::DOUBLE AS onset FROM ({body})" for d, _, body in parts)
 
 
-@query("season_detectors", table_sql(m.SEASON_DETECTORS), "climate")
+@query("season_detectors", table_sql(m.SEASON_DETECTORS, m.SEASON_DAYS), "climate")
 def season_detectors(spark, d):
     return m.season_table(s.climate(spark, d))
 
 
-@query("advection_detectors", table_sql(m.ADVECTION_DETECTORS), "climate")
+@query("advection_detectors", table_sql(m.ADVECTION_DETECTORS, m.ADVECTION_DAYS), "climate")
 def advection_detectors(spark, d):
-    return m.season_table(s.climate(spark, d), m.ADVECTION_DETECTORS)
+    return m.season_table(s.climate(spark, d), m.ADVECTION_DETECTORS, m.ADVECTION_DAYS)
 
 
 _TOTAL = sum(w for *_, w in m.INDEX_FIELDS)
@@ -125,14 +131,14 @@ vd AS (SELECT *, CASE WHEN count(CASE WHEN dopy BETWEEN 60 AND 120 THEN sl END)
 
 def crossing_sql(name: str, rule: m.Rule, n: int) -> tuple[str, str]:
     up = rule.above
-    frame = "(PARTITION BY py ORDER BY date ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)"
+    frame = f"(PARTITION BY py ORDER BY date ROWS BETWEEN CURRENT ROW AND {rule.hold[0] - 1} FOLLOWING)"
     ctes = f"x{n} AS (SELECT py, date, dopy, {roll_sql(rule.field, rule.n)} AS r FROM y), w{n} AS (SELECT *, {limit_sql('r', rule.limit, True)} AS l, lag(r) OVER (PARTITION BY py ORDER BY date) AS p, {'min' if up else 'max'}(r) OVER {frame} AS e, count(r) OVER {frame} AS k FROM x{n})"
     hit = "p < l AND r >= l AND e >= l - 0.005" if up else "p > l AND r <= l AND e <= l + 0.005"
-    return ctes, f"SELECT py, '{name}' AS method, (arg_min(dopy, date) FILTER ({hit} AND k >= 7 AND dopy BETWEEN 60 AND 200))::DOUBLE AS onset FROM w{n} GROUP BY py"
+    return ctes, f"SELECT py, '{name}' AS method, (arg_min(dopy, date) FILTER ({hit} AND k >= {rule.hold[1]} AND dopy BETWEEN 60 AND 200))::DOUBLE AS onset FROM w{n} GROUP BY py"
 
 
 _CROSSED = [crossing_sql(n, r, i) for i, (n, r) in enumerate(zip(m.CROSSING_NAMES, m.CROSSING_DETECTORS, strict=True))]
-REVERSAL = f"{SLICE}, {PRECURSOR}, {WIN}, {LIKELIHOOD}, {CUSUM}, {DRYNESS}, " + ", ".join(x for x, _ in _CROSSED)
+REVERSAL = f"{slice_sql(m.REVERSAL_DAYS)}, {PRECURSOR}, {WIN}, {LIKELIHOOD}, {CUSUM}, {DRYNESS}, " + ", ".join(x for x, _ in _CROSSED)
 LONG = f"""SELECT py, 'M2_likelihood' AS method, (arg_min(dopy, date) FILTER (k >= 10 AND n >= 30 AND lr >= ln(0.5 * n)))::DOUBLE AS onset FROM le GROUP BY py
 UNION ALL SELECT py, 'M4_falling_dryness', arg_min(dopy, date) FILTER (rn > 1 AND dopy BETWEEN 60 AND 200 AND sl < level AND k >= 5 AND ahead < level) FROM vd GROUP BY py
 UNION ALL SELECT py, 'M5_cusum', arg_min(dopy, date) FILTER (date > first AND k >= 10 AND n >= 30 AND up > 3 * sd AND low > 0.7 * 3 * sd) FROM cc GROUP BY py
