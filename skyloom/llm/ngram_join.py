@@ -5,6 +5,9 @@ hash of its own inside a class, so prefixes hold rare n-grams whatever the order
 n-gram of their prefixes under every order; a pair becomes a candidate only if it does so under all of them, and only
 such pairs are verified on the whole sets.
 
+Before that, a set is out of the join if as many of its n-grams as its prefix has are in no other set: what it can lack from
+a partner is one fewer. A sample of twice the prefix is counted for this, once over all sets and once more over those left.
+
 Groups of near copies would give all their pairs. So sets that share their least n-gram under some hash are first
 verified against a few representatives of these keys, and what is connected by then is one part. Under an
 order, an n-gram asks for nothing while its sets are all of one part; otherwise the sets outside the part
@@ -38,6 +41,8 @@ WORDS, PERCENT = 3, 90
 ORDERS, KEYS, REPRESENTATIVES = 3, 4, 4
 #: Counters of n-grams by hash, from which the rarity classes come: a fixed size, whatever the corpus.
 BUCKETS = 1 << 17
+#: N-grams of a set that are counted to rule it out, as a multiple of its prefix, and how often that is done.
+SAMPLE, EXCLUSIONS = 2, 2
 TOKEN_BITS, ORDER_BITS, CLASSES = 48, 44, 64
 
 
@@ -86,7 +91,7 @@ def prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(-(-percent * (size + 1) // 100) > size, 0, k)
 
 
-def wide_signatures(of: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+def wide_signatures(token: np.ndarray, size: np.ndarray) -> list[bytes | None]:
     """A parity signature of 64 * LARGE_WORDS bits for each large set."""
     out: list[bytes | None] = [None] * len(size)
     large = np.flatnonzero(size > LARGE)
@@ -106,12 +111,20 @@ def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def shingled(docs: DataFrame, rarity: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, class and n for each row, and once a task for each class that may have an unequal partner what finds it.
+def order_keys(of: np.ndarray, token: np.ndarray, rarity: np.ndarray, order: int) -> np.ndarray:
+    """The n-grams of the texts `of` as (text, rarity class, hash) in one number each, sorted: the order's sequence text by text."""
+    top = of.astype(np.uint64) << np.uint64(TOKEN_BITS + 2) | rarity[bucket_of(token)].astype(np.uint64) << np.uint64(ORDER_BITS)
+    key = top | mixed(token * np.uint64(2 * order + 3) + np.uint64(order)) >> np.uint64(64 - ORDER_BITS)
+    key.sort()
+    return key
 
-    These are a signature of 256 bits, a wide one of large sets, the least hashes `m`, and the prefixes `p0`, `p1`, ...
-    """
-    orders = [f"p{k}" for k in range(ORDERS)]
+
+def in_order(key: np.ndarray) -> np.ndarray:
+    return key & np.uint64((1 << TOKEN_BITS + 2) - 1)
+
+
+def sampled(docs: DataFrame, rarity: np.ndarray, words: int, percent: int) -> DataFrame:
+    """doc_id, class, n and prefix (its size) for each row, and once a task for each class the first n-grams under order 0, SAMPLE prefixes of them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, rolling, seen = Reader(), Rolling(), set()
@@ -123,47 +136,44 @@ def shingled(docs: DataFrame, rarity: np.ndarray, words: int, percent: int) -> D
                 full = np.flatnonzero(n)
                 size = n[full]
                 first = np.cumsum(size) - size
-                cls, asked = np.zeros(rows, np.int64), np.zeros(len(full), bool)
+                cls, prefix, taken = (np.zeros(rows, np.int64) for _ in range(3))
                 if len(full):
                     cls[full] = set_classes(token, first, size)
-                    for i in np.flatnonzero(prefix_sizes(size, percent)).tolist():
-                        own = int(cls[full[i]])
-                        asked[i] = own not in seen
-                        seen.add(own)
-                bits, wide = np.zeros((len(BITS), rows), np.int64), [None] * rows
-                least, prefixes = np.zeros((rows, KEYS), np.uint64), []
-                taken = np.zeros(rows, np.int64)
-                taken[full[asked]] = prefix_sizes(size[asked], percent)
-                held = np.repeat(asked, size)
-                of, token, size = of[held], token[held], size[asked]
-                if len(size):
-                    spot = full[asked]
-                    begin = np.cumsum(size) - size
-                    bits[:, spot] = signatures(token, begin)
-                    for k, data in zip(spot.tolist(), wide_signatures(of, token, size), strict=True):
-                        wide[k] = data
-                    for k in range(KEYS):
-                        least[spot, k] = np.minimum.reduceat(mixed(token + np.uint64((k + 1) << 52)), begin)
-                    place = np.arange(len(token)) - np.repeat(begin, size)
-                    top = of.astype(np.uint64) << np.uint64(TOKEN_BITS + 2) | rarity[bucket_of(token)].astype(np.uint64) << np.uint64(ORDER_BITS)
-                    for k in range(ORDERS):
-                        key = top | mixed(token * np.uint64(2 * k + 3) + np.uint64(k)) >> np.uint64(64 - ORDER_BITS)
-                        key.sort()
-                        prefixes.append(key[place < taken[of]] & np.uint64((1 << TOKEN_BITS + 2) - 1))
-                else:
-                    prefixes = [np.zeros(0, np.uint64)] * ORDERS
-                keys = np.where(taken > 0, KEYS, 0)
-                columns = [batch.column("doc_id")[slice(*slab.rows)], pa.array(cls), pa.array(n.astype(np.int32)), *[pa.array(b) for b in bits], pa.array(wide, pa.binary()), lists(least[taken > 0].ravel(), keys), *[lists(p, taken) for p in prefixes]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", *BITS, "wide", "m", *orders])
-
-    schema = "doc_id long, class long, n int" + "".join(f", {b} long" for b in BITS) + ", wide binary, m array<long>" + "".join(f", {p} array<long>" for p in orders)
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
-
-
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class and tokens (packed, sorted) of the wanted classes, read again from one document of each."""
-    asked = stored(classes.select("class", "doc_id").join(small(wanted, 2_000_000), "class", "left_semi"), "asked")
-    ids = small(asked.select(F.col("doc_id").alias("_id")).distinct(), 2_000_000)
+                    prefix[full] = prefix_sizes(size, percent)
+                    for i in full[prefix[full] > 0].tolist():
+                        if (own := int(cls[i])) not in seen:
+                            seen.add(own)
+                            taken[i] = min(n[i], SAMPLE * prefix[i])
+                held = taken[of] > 0
+                of, token = of[held], token[held]
+                size = np.where(taken > 0, n, 0)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                head = in_order(order_keys(of, token, rarity, 0)[place < taken[of]])
+                columns = [batch.column("doc_id")[slice(*slab.rows)], pa.array(cls), pa.array(n.astype(np.int32)), pa.array(prefix.astype(np.int32)), lists(head, taken)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "prefix", "head"])
+
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, class long, n int, prefix int, head array<long>")
+
+
+def linkable(cut: DataFrame) -> DataFrame:
+    """class and doc_id (one of its documents) of the sets that may have an unequal partner: too few of their n-grams are theirs alone."""
+    heads = cut.where(F.size("head") > 0)
+    left = None
+    for _ in range(EXCLUSIONS):
+        rows = (heads if left is None else heads.join(small(left.select("class"), 2_000_000), "class", "left_semi")).select("class", "prefix", F.explode("head").alias("token"))
+        # copies of a class in several tasks are one class: its n-grams are its own while the least and the largest class are the same
+        alone = rows.groupBy("token").agg(F.min("class").alias("class"), F.max("class").alias("other")).where("class = other").groupBy("class").agg(F.count("*").alias("own"))
+        every = heads.groupBy("class").agg(F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id")) if left is None else left
+        again = stored(every.join(alone, "class", "left").where(F.coalesce("own", F.lit(0)) < F.col("prefix")).select("class", "prefix", "doc_id"), "linkable")
+        discard(*([left] if left is not None else []))
+        left = again
+    return left
+
+
+def described(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, words: int, percent: int) -> DataFrame:
+    """One row for each wanted class, from one of its documents, which is read again: n, a signature of 256 bits, a wide one of large sets, the least hashes `m`, the prefixes `p0`, `p1`, ... and all tokens."""
+    orders = [f"p{k}" for k in range(ORDERS)]
+    ids = small(wanted.select(F.col("doc_id").alias("_id")).distinct(), 2_000_000)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +181,25 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
         for batch in batches:
             for slab in slabs(batch.column("text"), reader):
                 of, token = sets_of_slab(slab, rolling, words)
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
-                if len(first):
-                    size = np.diff(np.r_[first, len(of)])
-                    held = [token[f : f + s].tobytes() for f, s in zip(first.tolist(), size.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(set_classes(token, first, size)), pa.array(held, pa.binary())], ["class", "tokens"])
-
-    found = texts.mapInArrow(cut, "class long, tokens binary").join(small(asked.select("class"), 2_000_000), "class", "left_semi")
+                n = np.bincount(of, minlength=slab.rows[1] - slab.rows[0])
+                taken = np.where(n > 0, prefix_sizes(n, percent), 0)
+                held = taken[of] > 0
+                of, token = of[held], token[held]
+                if not len(of):
+                    continue
+                size, taken = n[taken > 0], taken[taken > 0]
+                of = np.repeat(np.arange(len(size)), size)
+                begin = np.cumsum(size) - size
+                place = np.arange(len(token)) - np.repeat(begin, size)
+                least = np.stack([np.minimum.reduceat(mixed(token + np.uint64((k + 1) << 52)), begin) for k in range(KEYS)], axis=1)
+                prefixes = [in_order(order_keys(of, token, rarity, k)[place < taken[of]]) for k in range(ORDERS)]
+                sets = [token[b : b + z].tobytes() for b, z in zip(begin.tolist(), size.tolist(), strict=True)]
+                columns = [pa.array(set_classes(token, begin, size)), pa.array(size.astype(np.int32)), *[pa.array(x) for x in signatures(token, begin)], pa.array(wide_signatures(token, size), pa.binary())]
+                columns += [lists(least.ravel(), np.full(len(size), KEYS)), *[lists(p, taken) for p in prefixes], pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "n", *BITS, "wide", "m", *orders, "tokens"])
+
+    schema = "class long, n int" + "".join(f", {b} long" for b in BITS) + ", wide binary, m array<long>" + "".join(f", {p} array<long>" for p in orders) + ", tokens binary"
+    found = texts.mapInArrow(cut, schema).join(small(wanted.select("class"), 2_000_000), "class", "left_semi")
     return found.dropDuplicates(["class"])
 
 
@@ -247,49 +269,48 @@ def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
-def linked_parts(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that some chain of links joins to another class."""
-    share = percent / 100
+def linked_parts(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the described classes that some chain of links joins to another class."""
+    sets = classes.select("class", "tokens")
 
-    def check(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        left = stored(likely(pairs, classes, share), "likely")
-        wanted = left.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        return left, stored(sets_of(docs, classes, wanted, words), "sets")
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        return stored(likely(pairs, classes.select("class", "n", "wide"), percent / 100), "likely")
 
-    near, sets = check(representative_pairs(classes, percent))
+    near = likely_pairs(representative_pairs(classes, percent))
     links = stored(verified(near, sets, percent), "links")
     parts = stored(connected_components(links), "parts")
-    discard(near, sets)
+    discard(near)
 
-    nodes = stored(classes.drop("wide", "m").join(parts, classes["class"] == parts["node"], "left").withColumn("part", F.coalesce("component", "class")).drop("node", "component"), "nodes")
+    nodes = stored(classes.drop("wide", "m", "tokens").join(parts, classes["class"] == parts["node"], "left").withColumn("part", F.coalesce("component", "class")).drop("node", "component"), "nodes")
     pairs = None
     for order in range(ORDERS):
-        among = nodes if pairs is None else nodes.join(small(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), 2_000_000), "class", "left_semi")
-        found = candidates(among, order, percent)
+        ends = None if pairs is None else pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        found = candidates(nodes if ends is None else nodes.join(small(ends, 2_000_000), "class", "left_semi"), order, percent)
         # a pair stays only while every order so far proposes it
         both = found if pairs is None else stored(pairs.join(found, ["a", "b"], "left_semi"), "both")
         discard(*([pairs, found] if pairs is not None else []))
         pairs = both
-    discard(nodes)
-    left, sets = check(pairs)
-    discard(pairs)
+    left = likely_pairs(pairs)
+    discard(nodes, pairs)
     # one candidate of each class first: what that connects needs no further look
     asked = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     more = stored(links.union(verified(asked, sets, percent)), "links")
     before = stored(connected_components(more), "parts")
     every = stored(more.union(verified(apart(left, before), sets, percent)), "links")
     final = stored(connected_components(every), "parts")
-    discard(links, parts, more, before, every, left, sets)
+    discard(links, parts, more, before, every, left)
     return final
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class (0: empty set) and component_id (smallest doc_id reachable over links) for each row of `docs`."""
-    cut = stored(shingled(docs, rarity_classes(docs, words), words, percent), "shingled")
+    rarity = rarity_classes(docs, words)
+    cut = stored(sampled(docs, rarity, words, percent), "sampled")
     members = stored(cut.select("doc_id", "class", "n"), "members")
-    classes = stored(cut.where(F.size("p0") > 0).dropDuplicates(["class"]), "classes")
-    discard(cut)
-    parts = linked_parts(docs, classes, words, percent)
+    wanted = linkable(cut)
+    classes = stored(described(docs, wanted, rarity, words, percent), "described")
+    discard(cut, wanted)
+    parts = linked_parts(classes, percent)
     discard(classes)
     least = members.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     parted = least.join(parts, least["class"] == parts["node"], "left").select("class", "least", F.coalesce("component", "class").alias("part"))
