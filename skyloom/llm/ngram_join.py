@@ -231,12 +231,11 @@ def representative_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def candidates(nodes: DataFrame, order: int, percent: int) -> DataFrame:
     """(a, b) of different parts that share a prefix n-gram under one order and pass size, place and signature filters."""
     rows = nodes.select("class", "part", F.posexplode(f"p{order}").alias("place", "token"))
-    split = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    asked = rows.join(small(split, 2_000_000), "token", "left_semi")
-    full = stored(asked.join(nodes.select("class", "n", *BITS), "class"), "asked")
-    main = full.groupBy("token", "part").count().groupBy("token").agg(F.max(F.struct("count", "part")).alias("most")).select("token", F.col("most.part").alias("main"))
-    known = stored(full.join(main, "token"), "known")
-    discard(full)
+    # for each n-gram whether its sets are of several parts, and of which most of them are
+    sizes = rows.groupBy("token", "part").count().groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part")).alias("most"))
+    split = stored(sizes.where("parts > 1").select("token", F.col("most.part").alias("main")), "split")
+    known = stored(rows.join(small(split, 2_000_000), "token").join(nodes.select("class", "n", *BITS), "class"), "known")
+    discard(split)
     a, b = known.where("part <> main").alias("x"), known.alias("y")
     once = (F.col("y.part") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
     after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
@@ -263,12 +262,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(linked("tokens_a", "tokens_b")).select("a", "b")
 
 
-def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are not of one part yet."""
-    of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
-    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-
-
 def linked_parts(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the described classes that some chain of links joins to another class."""
     sets = classes.select("class", "tokens")
@@ -284,21 +277,18 @@ def linked_parts(classes: DataFrame, percent: int) -> DataFrame:
     nodes = stored(classes.drop("wide", "m", "tokens").join(parts, classes["class"] == parts["node"], "left").withColumn("part", F.coalesce("component", "class")).drop("node", "component"), "nodes")
     pairs = None
     for order in range(ORDERS):
-        ends = None if pairs is None else pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        ends = None if pairs is None else stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "ends")
         found = candidates(nodes if ends is None else nodes.join(small(ends, 2_000_000), "class", "left_semi"), order, percent)
+        discard(*([ends] if ends is not None else []))
         # a pair stays only while every order so far proposes it
         both = found if pairs is None else stored(pairs.join(found, ["a", "b"], "left_semi"), "both")
         discard(*([pairs, found] if pairs is not None else []))
         pairs = both
     left = likely_pairs(pairs)
     discard(nodes, pairs)
-    # one candidate of each class first: what that connects needs no further look
-    asked = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    more = stored(links.union(verified(asked, sets, percent)), "links")
-    before = stored(connected_components(more), "parts")
-    every = stored(more.union(verified(apart(left, before), sets, percent)), "links")
+    every = stored(links.union(verified(left, sets, percent)), "links")
     final = stored(connected_components(every), "parts")
-    discard(links, parts, more, before, every, left)
+    discard(links, parts, every, left)
     return final
 
 
