@@ -163,16 +163,21 @@ def with_spelling(words: DataFrame, shared, model: DataFrame | None) -> DataFram
 
 
 def reseat_words(words: DataFrame, shared, model: DataFrame | None, total: int, tables: int, sweep: int) -> DataFrame:
-    """`words` (word, w, n, m, room, t) with `p`, the predictive probability of this state, and `t` seated anew."""
+    """`words` (word, w, n, m, room, t) with `p`, the predictive probability of this state, its logarithm `lp`, and `t` seated anew.
+
+    A word without customers has its spelling's share alone, which is smaller than any number for a long word: only `lp` tells it.
+    """
     discount, strength = WORD_DISCOUNT, WORD_STRENGTH
 
-    @F.pandas_udf("p double, t long")
+    @F.pandas_udf("p double, lp double, t long")
     def sweep_of(w: pd.Series, m: pd.Series, t: pd.Series, spell: pd.Series) -> pd.DataFrame:
-        base, m, t = np.exp(spell.to_numpy()), m.to_numpy(), t.to_numpy()
-        p = (m - discount * t + (strength + discount * tables) * base) / (strength + total)
-        return pd.DataFrame({"p": p, "t": seated(w.to_numpy(np.int64).view(np.uint64), m, np.maximum(tables - t, 0), base, discount, strength, sweep)})
+        spell, m, t = spell.to_numpy(), m.to_numpy(), t.to_numpy()
+        base, own = np.exp(spell), m - discount * t
+        p = (own + (strength + discount * tables) * base) / (strength + total)
+        lp = np.logaddexp(np.log(own, out=np.full(len(own), -np.inf), where=own > 0), np.log(strength + discount * tables) + spell) - np.log(strength + total)
+        return pd.DataFrame({"p": p, "lp": lp, "t": seated(w.to_numpy(np.int64).view(np.uint64), m, np.maximum(tables - t, 0), base, discount, strength, sweep)})
 
-    return with_spelling(words, shared, model).withColumn("x", sweep_of("w", "m", "t", "spell")).select("word", "w", "n", "m", "room", "x.p", "x.t")
+    return with_spelling(words, shared, model).withColumn("x", sweep_of("w", "m", "t", "spell")).select("word", "w", "n", "m", "room", "x.p", "x.lp", "x.t")
 
 
 def spelling_customers(words: DataFrame) -> DataFrame:
@@ -421,7 +426,7 @@ def by_id(words: DataFrame) -> DataFrame:
 
 
 def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPLES - 1) -> tuple[DataFrame, DataFrame | None]:
-    """Stored words (w, n, p, back) and pairs (u, w, p): averages over the states after BURN sweeps.
+    """Stored words (w, n, lp, back, p) and pairs (u, w, p), `lp` the logarithm of p: averages over the states after BURN sweeps.
 
     `words` has word, w and n (and m, its customers, where there are no pairs), `pairs` u, w and c. `back` is the share that the
     context of a word leaves to the corpus.
@@ -445,7 +450,7 @@ def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPL
         total, seats = (x or 0 for x in now.agg(F.sum("m"), F.sum("t")).first())
         done = stored(reseat_words(now, shared, model, total, seats, sweep), "words")
         if sweep >= BURN:
-            kept.append(done.select("w", "n", "p", "room"))
+            kept.append(done.select("w", "n", "lp", "room"))
             done_tables.append(done)
         if held is not None:
             ids = by_id(done).groupBy("id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("room").alias("room"))
@@ -465,14 +470,17 @@ def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPL
     for other in kept[1:]:
         every = every.union(other)
     back = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("room")) / (CONTEXT_STRENGTH + F.col("n"))
-    averaged = stored(every.groupBy("w", "n").agg(F.avg("p").alias("p"), F.avg(back).alias("back")), "averages")
+    # the mean of the states' probabilities around the largest; there are as many entries as states
+    states = every.groupBy("w", "n").agg(F.collect_list("lp").alias("l"), F.max("lp").alias("most"), F.avg(back).alias("back"))
+    mean = F.aggregate("l", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("most"))) / F.size("l")
+    averaged = stored(states.select("w", "n", (F.col("most") + F.log(mean)).alias("lp"), "back").withColumn("p", F.exp("lp")), "averages")
     discard(*done_tables, *(levels or []))
     release(words.sparkSession)
     return averaged, held
 
 
 def word_probabilities(words: DataFrame) -> DataFrame:
-    """(w, n, p, back) of the corpus restaurant alone, from words (word, w, n, m)."""
+    """(w, n, p, lp, back) of the corpus restaurant alone, from words (word, w, n, m)."""
     return fitted(words, None)[0]
 
 
@@ -504,7 +512,7 @@ def answers(rows: DataFrame, kind: int, columns: list[tuple[str, str]]) -> DataF
 
 
 #: What a piece is told of its words and of its pairs.
-WORD_FIELDS = [("w", "<i8"), ("n", "<i8"), ("p", "<f4"), ("back", "<f4")]
+WORD_FIELDS = [("w", "<i8"), ("n", "<i8"), ("lp", "<f4"), ("back", "<f4")]
 PAIR_FIELDS = [("u", "<i8"), ("w", "<i8"), ("p", "<f4")]
 
 
@@ -539,9 +547,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
         reader, kind, data = Reader(), answer["kind"].to_pylist(), answer["data"].to_pylist()
-        w, n, p, back = told([x for x, k in zip(data, kind, strict=True) if k == 0], WORD_FIELDS)
+        w, n, lp, back = told([x for x, k in zip(data, kind, strict=True) if k == 0], WORD_FIELDS)
         order = np.argsort(w.view(np.uint64))
-        w, n, p, back = w.view(np.uint64)[order], n[order], p[order].astype(np.float64), back[order].astype(np.float64)
+        w, n, lp, back = w.view(np.uint64)[order], n[order], lp[order].astype(np.float64), back[order].astype(np.float64)
         a, b, q = told([x for x, k in zip(data, kind, strict=True) if k == 1], PAIR_FIELDS)
         key = pair_key(a.view(np.uint64), b.view(np.uint64))
         order = np.argsort(key)
@@ -553,13 +561,14 @@ def scores(docs: DataFrame) -> DataFrame:
             of, prior = np.searchsorted(w, word), np.searchsorted(w, before)
             text = np.repeat(np.arange(len(slab.ends)), np.diff(slab.bounds) + 1)
             once = np.where(held[slab.rows[0] : slab.rows[1]][text], 0.0, 1.0 - CONTEXT_DISCOUNT)
-            probability = once / (CONTEXT_STRENGTH + n[prior]) + back[prior] * p[of]
+            seen = once / (CONTEXT_STRENGTH + n[prior])
+            logs = np.logaddexp(np.log(seen, out=np.full(len(seen), -np.inf), where=seen > 0), np.log(back[prior]) + lp[of])
             if len(key):
                 k = pair_key(short(before), short(word))
                 at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                probability = np.where(key[at] == k, q[at], probability)
+                logs = np.where(key[at] == k, np.log(q[at]), logs)
             rows = len(slab.ends)
-            out.append([np.bincount(text, minlength=rows), np.bincount(text, n[of] > 0, rows), np.bincount(text, np.log10(n[of] + 0.1) - low, rows), np.bincount(text, np.log10(probability), rows)])
+            out.append([np.bincount(text, minlength=rows), np.bincount(text, n[of] > 0, rows), np.bincount(text, np.log10(n[of] + 0.1) - low, rows), np.bincount(text, logs / np.log(10.0), rows)])
         made = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
         return pa.table([texts["doc_id"], texts["held_out"], pa.array(made[0].astype(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(made[2]), pa.array(made[3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

@@ -716,3 +716,16 @@ def test_words_of_slabs():
             _, of, start = slab.windows(rolling, 3)
             assert [(int(i), int(s - slab.bounds[i])) for i, s in zip(of, start, strict=True)] == [(i, s) for i, t in enumerate(own) if t.split() for s in range(max(1, len(t.split()) - 2))]
     assert len(set(known.values())) == len(known)
+
+
+def test_scores_of_very_long_unseen_words_are_finite(spark):
+    """A word's spelling may be less likely than any number that is not zero; its logarithm is still told."""
+    r = random.Random(5)
+    texts = [(i, sentence(i, 40), False) for i in range(30)]
+    texts += [(100 + k, f"{sentence(3, 10)} " + "".join(r.choice("qxzjkvw0123456789") for _ in range(k)), True) for k in (1, 10, 60, 200, 1_000, 10_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean")
+    got = {x["doc_id"]: x for x in pitman_yor.score_documents(docs).collect()}
+    scores = [got[100 + k]["score"] for k in (1, 10, 60, 200, 1_000, 10_000)]
+    assert all(np.isfinite(x["score"]) for x in got.values())
+    # the longer the unseen word, the less likely, about evenly a byte
+    assert all(b < a for a, b in zip(scores, scores[1:], strict=False)) and -4 < (scores[5] - scores[4]) / 9_000 < -0.5
