@@ -133,7 +133,7 @@ def posteriors(features: DataFrame, model: Model, key: str = "place") -> DataFra
         g = g.sort_values("_day")
         p = year_posteriors(g, model)
         kept = g[g["own"]] if p is not None else g[:0]
-        return pd.DataFrame({key: kept[key], "py": kept["py"], "date": kept["date"], "dopy": kept["_day"], "p": list(p) if p is not None else []})
+        return pd.DataFrame({key: kept[key], "py": kept["py"], "date": kept["date"], "dopy": kept["_day"], "p": pd.Series(list(p) if p is not None else [], index=kept.index, dtype=object)})
 
     return both.select(key, "py", "date", "_day", "own", *model.names).groupBy(key, "py").applyInPandas(one, f"{key} {kind}, py long, date date, dopy long, p array<double>")
 

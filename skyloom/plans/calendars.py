@@ -123,9 +123,11 @@ def javanese_inverse(spark, d):
     return cal.from_javanese(s.table(spark, d, "customer").select(k.alias("id"), (1900 + k % 80).alias("jyear"), (k % 13).alias("month_no"), (k % 31).alias("day")))
 
 
-@query("suwung_months", f"WITH {JY}, days AS (SELECT jyear, m, unnest(generate_series(CAST(a AS BIGINT), CAST(a + n - 1 AS BIGINT))) AS d FROM jm WHERE jyear BETWEEN 1920 AND 1960) SELECT jyear, {names(cal.MONTH_NAMES)}[m + 1] AS month FROM days GROUP BY jyear, m HAVING count(*) FILTER ((d + 5) % 7 = 2 AND d % 5 = 4) = 0")
+@query("suwung_months", f"""WITH {JY}, own AS (SELECT DISTINCT jyear FROM daily JOIN jm ON CAST(date - DATE '{cal.EPOCH}' AS BIGINT) >= a AND CAST(date - DATE '{cal.EPOCH}' AS BIGINT) < a + jm.n), days AS (SELECT jyear, m, unnest(generate_series(CAST(a AS BIGINT), CAST(a + n - 1 AS BIGINT))) AS d FROM jm JOIN own USING (jyear))
+SELECT jyear, {names(cal.MONTH_NAMES)}[m + 1] AS month FROM days GROUP BY jyear, m HAVING count(*) FILTER ((d + 5) % 7 = 2 AND d % 5 = 4) = 0""", "daily")
 def suwung_months(spark, d):
-    return cal.months_without(spark.range(1920, 1961).select(F.col("id").cast("int").alias("jyear")))
+    """Months without the pair of days, in the years that the table's dates fall in."""
+    return cal.months_without(cal.javanese(s.daily(spark, d).select("date")).select(F.col("jyear").cast("int").alias("jyear")).distinct())
 
 
 @query("hari_baik", f"""WITH w(dina, a) AS (VALUES {values(cal.WEEKDAY_NUMBERS)}), p(pasaran, b) AS (VALUES {values(cal.MARKET_NUMBERS)}), nv(dina, pasaran) AS (VALUES {values(cal.NEVER)}), x AS (SELECT c_custkey AS id, c_custkey % 29 + 14 AS total FROM customer)
@@ -183,14 +185,24 @@ def blend_classes(spark, d):
     return x.select("hour", c.rounded(blending.circular_sigma(r), 4).alias("sigma"), blending.winner("k1", "k2", w1, w2).cast("long").alias("category"))
 
 
-@query("good_months", f"SELECT month, rule FROM (VALUES {values(cal.MONTH_RULES)}) t(month, rule) WHERE rule IN ('baik', 'boleh')")
+_RULES = ", ".join(f"({i}, '{rule}')" for i, (_, rule) in enumerate(cal.MONTH_RULES) if rule in ("baik", "boleh"))
+
+
+@query("good_months", f"WITH {JY}, x AS (SELECT m, count(*) AS days FROM daily JOIN jm ON CAST(date - DATE '{cal.EPOCH}' AS BIGINT) >= a AND CAST(date - DATE '{cal.EPOCH}' AS BIGINT) < a + jm.n GROUP BY 1) SELECT {names([n for n, _ in cal.MONTH_RULES])}[m + 1] AS month, rule, days FROM x JOIN (VALUES {_RULES}) r(k, rule) ON k = m", "daily")
 def good_months(spark, d):
-    return cal.good_months(spark, only_good=False)
+    """Days of the table in each month that is good or allowed: months meet their rules by number."""
+    number = F.array_position(F.array(*[F.lit(n) for n in cal.MONTH_NAMES]), F.col("jmonth"))
+    days = cal.javanese(s.daily(spark, d).select("date")).withColumnRenamed("month", "jmonth").groupBy(F.element_at(F.array(*[F.lit(n) for n, _ in cal.MONTH_RULES]), number.cast("int")).alias("month")).agg(F.count("*").alias("days"))
+    return days.join(F.broadcast(cal.good_months(spark, only_good=False)), "month").select("month", "rule", "days")
 
 
-@query("excluded_days", f"WITH w(dina, a) AS (VALUES {values(cal.WEEKDAY_NUMBERS)}), p(pasaran, b) AS (VALUES {values(cal.MARKET_NUMBERS)}), x(dina, pasaran) AS (VALUES ('Senin', 'Legi'), ('Rabu', 'Pon')) SELECT dina, pasaran, CAST(a + b AS BIGINT) AS neptu FROM w, p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.dina = w.dina AND x.pasaran = p.pasaran)")
+@query("excluded_days", f"""WITH w(dina, a) AS (VALUES {values(cal.WEEKDAY_NUMBERS)}), p(pasaran, b) AS (VALUES {values(cal.MARKET_NUMBERS)}), x AS (SELECT {names([n for n, _ in cal.WEEKDAY_NUMBERS])}[c_custkey % 7 + 1] AS dina, {names([n for n, _ in cal.MARKET_NUMBERS])}[c_custkey % 5 + 1] AS pasaran FROM customer WHERE c_acctbal < -900)
+SELECT dina, pasaran, CAST(a + b AS BIGINT) AS neptu FROM w, p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.dina = w.dina AND x.pasaran = p.pasaran)""")
 def excluded_days(spark, d):
-    gone = spark.createDataFrame([("Senin", "Legi"), ("Rabu", "Pon")], "dina string, pasaran string")
+    """Pairs of days that no customer deep in debt was born on."""
+    k = F.col("c_custkey")
+    day = lambda table, n: F.element_at(F.array(*[F.lit(x) for x, _ in table]), (k % n + 1).cast("int"))
+    gone = s.table(spark, d, "customer").where("c_acctbal < -900").select(day(cal.WEEKDAY_NUMBERS, 7).alias("dina"), day(cal.MARKET_NUMBERS, 5).alias("pasaran"))
     return cal.without(cal.day_pairs(spark), gone).select("dina", "pasaran", F.col("neptu").cast("long").alias("neptu"))
 
 

@@ -30,6 +30,13 @@ f AS (SELECT 0::BIGINT AS rn, v AS level, 0.0::DOUBLE AS trend, 20.0::DOUBLE AS
     SELECT *, sqrt(greatest(b * b + c * c + 0.02 - side * side, 0)) AS corner, greatest(1.0, 5.0 + 0.3 * gap * gap) AS r FROM (
       SELECT *, ((a + b) * b + c * c) / top AS side FROM (
         SELECT t.rn, f.level AS l, f.trend AS tr, f.a, f.b, f.c, sqrt((f.a + f.b) * (f.a + f.b) + f.c * f.c + 0.8) AS top, t.v - (f.level + f.trend) AS gap FROM f JOIN t ON t.rn = f.rn + 1))))"""
+#: The same for each place.
+PLACE_TREND = """t AS (SELECT place, date, cloud AS v, row_number() OVER (PARTITION BY place ORDER BY date) AS rn FROM places),
+f AS (SELECT place, 0::BIGINT AS rn, v AS level, 0.0::DOUBLE AS trend, 20.0::DOUBLE AS a, 0.0::DOUBLE AS b, 20.0::DOUBLE AS c FROM t WHERE rn = 1 UNION ALL
+  SELECT place, rn, l + tr + top * gap * top / (top * top + r), tr + side * gap * top / (top * top + r), top * sqrt(r / (top * top + r)), side * sqrt(r / (top * top + r)), corner FROM (
+    SELECT *, sqrt(greatest(b * b + c * c + 0.02 - side * side, 0)) AS corner, greatest(1.0, 5.0 + 0.3 * gap * gap) AS r FROM (
+      SELECT *, ((a + b) * b + c * c) / top AS side FROM (
+        SELECT t.place, t.rn, f.level AS l, f.trend AS tr, f.a, f.b, f.c, sqrt((f.a + f.b) * (f.a + f.b) + f.c * f.c + 0.8) AS top, t.v - (f.level + f.trend) AS gap FROM f JOIN t ON t.place = f.place AND t.rn = f.rn + 1))))"""
 
 HIDDEN = """o AS (SELECT py, date, coalesce(idx, 0) AS x FROM rr), own AS (SELECT py AS slice, date, x, true AS own FROM o UNION ALL SELECT py + 1, date, x, false FROM o WHERE make_date(CAST(py + 1 AS INT), 6, 22) - date <= 180),
 c AS (SELECT *, count(*) FILTER (NOT own) OVER (PARTITION BY slice) AS warm, count(*) FILTER (own) OVER (PARTITION BY slice) AS mine FROM own), h AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY date) AS rn FROM c WHERE mine >= 30 AND (warm >= 90 OR own)),
@@ -68,16 +75,17 @@ def hmm_filter(spark, d):
     return k.hidden_states(index(spark, d), ["idx"]).withColumn("p", c.rounded("p"))
 
 
-@query("sr_kalman", f"WITH RECURSIVE {TREND} SELECT 0::BIGINT AS station, date, CASE WHEN f.rn > 60 THEN round(level, 6) + 0.0 END AS level, CASE WHEN f.rn > 60 THEN round(trend, 6) + 0.0 END AS trend FROM f JOIN t USING (rn)", "daily")
+@query("sr_kalman", f"WITH RECURSIVE {PLACE_TREND} SELECT t.place, date, CASE WHEN f.rn > 60 THEN round(level, 6) + 0.0 END AS level, CASE WHEN f.rn > 60 THEN round(trend, 6) + 0.0 END AS trend FROM f JOIN t ON t.place = f.place AND t.rn = f.rn", "places")
 def sr_kalman(spark, d):
-    x = k.smoothed(s.daily(spark, d).withColumn("station", F.lit(0)), "v")
-    return x.select("station", "date", c.rounded("level").alias("level"), c.rounded("trend").alias("trend"))
+    """Level and trend of each place: a group is one place's daily series."""
+    x = k.smoothed(s.places(spark, d), "cloud", key="place")
+    return x.select("place", "date", c.rounded("level").alias("level"), c.rounded("trend").alias("trend"))
 
 
 @query("arx_forecast")
 def arx_forecast(spark, d):
-    x = s.daily(spark, d).join(s.daily2(spark, d), "date").withColumn("station", F.lit(0))
-    return k.lagged_forecast(x, "v", "w")
+    """The value six rows on for each place, from the last five rows of two fields: fits are aggregates by place."""
+    return k.lagged_forecast(s.places(spark, d), "u_comp", "cloud", key="place")
 
 
 # Least squares on a, b and their product: centred moments and Cramer's rule.

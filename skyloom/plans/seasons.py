@@ -17,7 +17,9 @@ NAMES = tuple(f.name for f in hidden.FOUR)
 
 
 def place_features(spark, d):
-    return hidden.rolled(s.places(spark, d), hidden.FOUR)
+    """The rolled features of each region, and of all together as place -1."""
+    fields = ["place", "date", *[f.field for f in hidden.FOUR]]
+    return hidden.rolled(s.places(spark, d).select(*fields).unionByName(s.climate(spark, d).withColumn("place", F.lit(-1).cast("long")).select(*fields)), hidden.FOUR)
 
 
 def place_model(features) -> hidden.Model:

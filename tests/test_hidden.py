@@ -141,8 +141,16 @@ def test_rules_of_onset_and_offset(spark):
     assert got == {1: (145.0, None), 2: (100.0, None), 3: (None, 200.0), 4: (None, 250.0), 5: (None, None), 6: (110.0, None)}
 
 
+def test_years_of_too_few_rows_have_no_season(spark, table):
+    rows, _ = table
+    few = hidden.rolled(rows.where("place = 0 and date < date'2015-07-30'"), hidden.FOUR)
+    model = seasons.place_model(hidden.rolled(rows, hidden.FOUR))
+    assert {r["py"] for r in hidden.posteriors(few, model).collect()} == {2014, 2015} and hidden.posteriors(few.limit(20), model).count() == 0
+
+
 def test_query_runs(spark):
-    assert catalog.queries()["hidden_season"](spark, DIR).columns == ["place", "py", "onset", "offset", "duration"]
+    found = catalog.queries()["hidden_season"](spark, DIR)
+    assert found.columns == ["place", "py", "onset", "offset", "duration"] and found.count() > 0
 
 
 MODEL = hidden.Model(
