@@ -35,6 +35,12 @@ def where(condition: Column, c: str | Column) -> Column:
     return F.when(condition, col(c))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r as an aggregate; NaN if either column is constant, where `corr` fails by a division by zero."""
+    scale = F.stddev_pop(col(x)) * F.stddev_pop(col(y))
+    return F.when(scale == 0, float("nan")).otherwise(F.covar_pop(col(x), col(y)) / scale)
+
+
 # circular statistics
 
 

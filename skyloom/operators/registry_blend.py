@@ -162,7 +162,7 @@ def agreement(values: DataFrame) -> DataFrame:
     """pair, field and the statistics of the difference of the stations: bias, spread, errors, r, consistency, and the swing of its mean day and mean year."""
     x = values.where(F.col("v1").isNotNull() & F.col("v2").isNotNull()).withColumn("d", F.col("v1") - F.col("v2"))
     d = F.col("d")
-    whole = x.groupBy("pair", "field").agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.stddev_samp(d).alias("sd"), F.sqrt(F.avg(d * d)).alias("rmsd"), F.avg(F.abs(d)).alias("mae"), F.when(F.count("*") >= 10, F.corr("v1", "v2")).alias("r"), (0.5 * (F.var_samp("v1") + F.var_samp("v2"))).alias("_v"))
+    whole = x.groupBy("pair", "field").agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.stddev_samp(d).alias("sd"), F.sqrt(F.avg(d * d)).alias("rmsd"), F.avg(F.abs(d)).alias("mae"), F.when(F.count("*") >= 10, c.correlation("v1", "v2")).alias("r"), (0.5 * (F.var_samp("v1") + F.var_samp("v2"))).alias("_v"))
     whole = whole.withColumn("consistency", F.when(F.coalesce("_v", F.lit(0.0)) < 1e-30, 1.0).otherwise(F.exp(-F.col("rmsd") * F.col("rmsd") / F.col("_v")))).drop("_v")
 
     def swing(part: Column, name: str) -> DataFrame:

@@ -100,3 +100,12 @@ def test_blend_of_every_kind(spark):
     d = [corrected(1, t, "ws10") - corrected(2, t, "ws10") for t in times if None not in (corrected(1, t, "ws10"), corrected(2, t, "ws10"))]
     assert stats["ws10"]["n"] == len(d) and stats["ws10"]["rmsd"] == pytest.approx(math.sqrt(sum(x * x for x in d) / len(d))) and 0 < stats["ws10"]["consistency"] < 1
     assert stats["ws10"]["monthly_swing"] == 0.0 and stats["ws10"]["diurnal_swing"] > 0
+
+
+def test_agreement_of_a_constant_field_has_no_r(spark):
+    """A field that one station never changes: r is NaN, as DuckDB's corr gives it, and the query does not fail."""
+    rows = [(1, datetime.datetime(2024, 1, 1 + k // 24, k % 24), field, 2.0, v2) for k in range(48) for field, v2 in (("wcode", float(k % 3)), ("cloud", 2.0))]
+    rows += [(1, t, "ws10", v2, 3 - 2 * v2) for _, t, field, _, v2 in rows if field == "wcode"]
+    got = {x["field"]: x for x in rb.agreement(spark.createDataFrame(rows, "pair int, time timestamp_ntz, field string, v1 double, v2 double")).collect()}
+    assert math.isnan(got["wcode"]["r"]) and math.isnan(got["cloud"]["r"]) and got["ws10"]["r"] == pytest.approx(-1.0)
+    assert got["cloud"]["n"] == 48 and got["cloud"]["rmsd"] == 0.0 and got["cloud"]["consistency"] == 1.0
