@@ -240,10 +240,13 @@ def lagged_forecast(df: DataFrame, x: str, y: str, back: int = 4, ahead: int = 6
 
 
 def interaction_fit(df: DataFrame, a: str, b: str, y: str, least: int = 4) -> DataFrame:
-    """Least squares of y on a, b, a * b and a constant: coefficients and r squared from one aggregate row."""
-    rows = df.where(f"{a} is not null and {b} is not null and {y} is not null").select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) * F.col(b)).alias("ab"), F.lit(1.0).alias("one"), F.col(y).alias("y"))
-    t = ("a", "b", "ab", "one", "y")
-    sums = rows.agg(F.count("*").alias("n"), *[F.sum(F.col(p) * F.col(q)).alias(f"{p}_{q}") for i, p in enumerate(t) for q in t[i:]])
+    """Least squares of y on a, b, a * b and a constant: coefficients and r squared from one aggregate row.
+
+    Moments are centred: raw sums lose the coefficients where a and b vary little around large means.
+    """
+    rows = df.where(f"{a} is not null and {b} is not null and {y} is not null").select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(a) * F.col(b)).alias("ab"), F.col(y).alias("y"))
+    t = ("a", "b", "ab", "y")
+    sums = rows.agg(F.count("*").alias("n"), *[F.avg(p).alias(p) for p in t], *[F.covar_pop(p, q).alias(f"{p}_{q}") for i, p in enumerate(t) for q in t[i:]])
 
     def solve(batches):
         for g in batches:
@@ -251,11 +254,13 @@ def interaction_fit(df: DataFrame, a: str, b: str, y: str, least: int = 4) -> Da
             for r in g.to_dict("records"):
                 if r["n"] < least:
                     continue
-                m = np.array([[r.get(f"{p}_{q}", r.get(f"{q}_{p}")) for q in t[:4]] for p in t[:4]], float)
-                v = np.array([r[f"{p}_y"] for p in t[:4]], float)
-                beta = np.linalg.lstsq(m, v, rcond=None)[0]
-                total = r["y_y"] - r["one_y"] ** 2 / r["n"]
-                out.append((*map(float, beta), 1 - (r["y_y"] - float(beta @ v)) / total if total > 0 else None, int(r["n"])))
+                m = np.array([[r.get(f"{p}_{q}", r.get(f"{q}_{p}")) for q in t[:3]] for p in t[:3]], float)
+                v = np.array([r[f"{p}_y"] for p in t[:3]], float)
+                unit = np.sqrt(np.diag(m))
+                unit[unit == 0] = 1.0
+                beta = np.linalg.lstsq(m / np.outer(unit, unit), v / unit, rcond=None)[0] / unit
+                constant = r["y"] - float(beta @ [r[p] for p in t[:3]])
+                out.append((*map(float, beta), constant, float(beta @ v) / r["y_y"] if r["y_y"] > 0 else None, int(r["n"])))
             yield pd.DataFrame(out, columns=["beta_a", "beta_b", "beta_ab", "constant", "r2", "n"])
 
     return sums.mapInPandas(solve, "beta_a double, beta_b double, beta_ab double, constant double, r2 double, n long")

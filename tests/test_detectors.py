@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -347,3 +348,19 @@ def test_cusum_of_residuals_equals_the_loop(spark):
     got = {x["py"]: x["last_zero"] for x in det.cusum_prewhitened(spark.createDataFrame(rows, "py int, date date, dopy int, x double"), "x").collect()}
     assert got == expected
     assert sum(v is not None for v in expected.values()) >= 3 and expected[2003] is None and expected[2004] is None and expected[2005] is None
+
+
+def test_interaction_fit_keeps_its_digits_around_large_means(spark):
+    """Quarters of many orders: a and b vary by parts in a thousand around their means, and so does a * b. Against exact fractions."""
+    r = np.random.default_rng(5)
+    rows = [(151.0 + float(r.normal()) * 0.4, 38_000.0 + float(r.normal()) * 90, 180.0 + float(r.normal()) * 100) for _ in range(27)]
+    x = [(Fraction(a), Fraction(b), Fraction(a) * Fraction(b), Fraction(1)) for a, b, _ in rows]
+    system = [[sum(u[i] * u[j] for u in x) for j in range(4)] + [sum(u[i] * Fraction(y) for u, (_, _, y) in zip(x, rows, strict=True))] for i in range(4)]
+    for i in range(4):
+        for q in range(4):
+            if q != i:
+                f = system[q][i] / system[i][i]
+                system[q] = [u - f * v for u, v in zip(system[q], system[i], strict=True)]
+    want = [float(system[i][4] / system[i][i]) for i in range(4)]
+    fit = k.interaction_fit(spark.createDataFrame(rows, "a double, b double, y double"), "a", "b", "y").first()
+    assert [fit[n] for n in ("beta_a", "beta_b", "beta_ab", "constant")] == pytest.approx(want, rel=1e-6) and fit["n"] == 27 and 0 < fit["r2"] < 1
