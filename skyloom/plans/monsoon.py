@@ -63,12 +63,12 @@ def detector_sql(d: m.Detector, n: int) -> tuple[str, str]:
     return ", ".join(ctes), persistent_sql(f"d{n}", "x", f"{d.level}::DOUBLE", d.days, d.sustain, d.least, True, 0.025)
 
 
-def table_sql(detectors, least_days: int) -> str:
+def table_sql(detectors, least_days: int = 0) -> str:
     parts = [(d, *detector_sql(d, i)) for i, d in enumerate(detectors)]
-    return f"WITH {slice_sql(least_days)}, " + ", ".join(ctes for _, ctes, _ in parts) + " " + " UNION ALL ".join(f"SELECT py, '{d.name}' AS method, onset::DOUBLE AS onset FROM ({body})" for d, _, body in parts)
+    return f"WITH {slice_sql(least_days) if least_days else SLICE}, " + ", ".join(ctes for _, ctes, _ in parts) + " " + " UNION ALL ".join(f"SELECT py, '{d.name}' AS method, onset::DOUBLE AS onset FROM ({body})" for d, _, body in parts)
 
 
-@query("season_detectors", table_sql(m.SEASON_DETECTORS, m.SEASON_DAYS), "climate")
+@query("season_detectors", table_sql(m.SEASON_DETECTORS), "climate")
 def season_detectors(spark, d):
     return m.season_table(s.climate(spark, d))
 

@@ -272,6 +272,14 @@ def test_season_detectors_equal_plain_loops(spark):
         assert got["B3_on"][py] == brute_persistent(sun, days, float(np.percentile(dry, 15)), 100, 195, 14, 9, False, 0.025)
 
 
+def test_season_table_takes_every_year(spark):
+    """A year of few days gets its rows like any other."""
+    names = sorted({r.field for d in m.SEASON_DETECTORS for r in d.rules})
+    rows = [(py, datetime.date(py, 6, 22) + datetime.timedelta(days=i), i, *[float(i % 7)] * len(names)) for py, n in ((2000, 365), (2001, 40)) for i in range(n)]
+    got = m.season_table(spark.createDataFrame(rows, "py long, date date, dopy long, " + ", ".join(f"{n} double" for n in names))).groupBy("py").count().collect()
+    assert {r["py"]: r["count"] for r in got} == {2000: len(m.SEASON_DETECTORS), 2001: len(m.SEASON_DETECTORS)}
+
+
 def test_welch_finds_a_sine():
     t = np.arange(2000)
     freq, p = k.welch(np.sin(2 * np.pi * t / 24), 240)
