@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import ascii_words, by_runs, discard, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
-from skyloom.llm.similarity import BITS, WIDE, linked_classes, packed, prefix_rows, sets_among, signatures
+from skyloom.llm.similarity import BITS, WIDE, linked_classes, packed, prefix_rows, sets_among, signatures, verified
 from skyloom.llm.words import Reader, Rolling, mixed, slabs
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
@@ -66,6 +66,18 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprints_of(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of each of n texts from the hashes of its shingles, repeats included; `text` (ascending) tells whose they are."""
+    out = np.zeros(n, np.uint64)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
+    if len(first):
+        of, own = text[first], np.diff(np.r_[first, len(text)])
+        for b in range(64):
+            over = 2 * np.add.reduceat(((hashes >> np.uint64(b)) & np.uint64(1)).astype(np.int64), first) > own
+            out[of] |= over.astype(np.uint64) << np.uint64(b)
+    return out.view(np.int64)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -157,7 +169,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """doc_id, h (hash of the text), class of the set of shingles (48 bits each), and once a task for each class that may have a partner its set.
 
-    size, signature and tokens (packed, in the order of the hashes) are null otherwise. Texts without words have class 0.
+    `fp` is the text's SimHash. size, signature and tokens (packed, in the order of the hashes) are null otherwise. Texts without words have class 0.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +177,7 @@ def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
         for batch in batches:
             for slab in slabs(batch.column("text"), reader):
                 shingle, text, _ = slab.windows(rolling, words)
+                prints = fingerprints_of(shingle, text, slab.rows[1] - slab.rows[0])
                 key = text.astype(np.uint64) << np.uint64(48) | shingle >> np.uint64(16)
                 key.sort()
                 key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
@@ -183,24 +196,45 @@ def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                             sets[k] = packed(token[f : f + m])
                 mask = np.array([x is None for x in sets], bool)
                 at = slice(*slab.rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("h")[at], pa.array(cls), pa.array(size.astype(np.int32), mask=mask), *[pa.array(b, mask=mask) for b in bits], pa.array(sets, pa.binary())], ["doc_id", "h", "class", "size", *BITS, "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("h")[at], pa.array(cls), pa.array(prints), pa.array(size.astype(np.int32), mask=mask), *[pa.array(b, mask=mask) for b in bits], pa.array(sets, pa.binary())], ["doc_id", "h", "class", "fp", "size", *BITS, "tokens"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(cut, "doc_id long, h long, class long, fp long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(cut, "doc_id long, h long, class long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
+
+def near_by_fingerprint(shingled: DataFrame, threshold: float, radius: int = RADIUS) -> DataFrame:
+    """Stored links (a, b) of the classes of `shingle_table` by their fingerprints, each verified on the whole sets.
+
+    Classes of one fingerprint meet their smallest class, and the smallest classes of two fingerprints meet where the pivot
+    tables and the distance leave a link within `radius` bits.
+    """
+    own = stored(shingled.where("tokens is not null").groupBy("class").agg(F.min("fp").alias("fp")), "prints")
+    heads = stored(own.groupBy("fp").agg(F.min("class").alias("head")), "heads")
+    links = fingerprint_links(heads.select("fp"), radius)
+    of_a, of_b = (heads.select(F.col("fp").alias(f), F.col("head").alias(c)) for f, c in (("fa", "x"), ("fb", "y")))
+    between = links.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of_a, "fa").join(of_b, "fb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    within = own.join(heads, "fp").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+    pairs = stored(between.union(within).distinct(), "near")
+    sets = stored(sets_among(shingled, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "sets")
+    out = stored(verified(pairs.withColumn("at", F.lit(None).cast("int")), sets, threshold), "links")
+    discard(own, heads, pairs, sets)
+    return out
 
 
 def similar_texts(shingled: DataFrame, threshold: float = STAGE_THRESHOLD) -> DataFrame:
-    """(node, component) of the classes of `shingle_table` that verified pairs link to another one."""
+    """(node, component) of the classes of `shingle_table` that verified pairs link to another one: by SimHash first, then all that SimHash is too far from."""
 
     keyed = lambda turn, rounds: prefix_rows(shingled, threshold, turn, rounds)
-    return linked_classes(shingled.sparkSession, keyed, lambda wanted: sets_among(shingled, wanted), threshold)
+    near = near_by_fingerprint(shingled, threshold)
+    return linked_classes(shingled.sparkSession, keyed, lambda wanted: sets_among(shingled, wanted), threshold, known=near)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_WORDS, threshold: float = STAGE_THRESHOLD) -> DataFrame:
     """Pipeline stage: one document of each group stays, that with the smallest doc_id (then the smallest text hash).
 
-    Groups are linked by every pair whose shingle sets have a Jaccard similarity of `threshold`. A fingerprint distance
-    only estimates it (9.5 bits on average at 0.8, where unlike texts come near too, and no block key is selective), so the
-    pairs come from the exact join of `similarity`: prefixes of the sets, filters, and verification on the whole sets.
+    Groups are linked by every pair whose shingle sets have a Jaccard similarity of `threshold`. SimHash with pivot tables
+    links what is within RADIUS bits, verified on the sets. A fingerprint distance only estimates the similarity (9.5 bits on
+    average at 0.8, where unlike texts come near too, and no block key is selective), so an exact check follows: the join of
+    `similarity` (prefixes, filters, whole sets) over the pairs that SimHash has not connected.
     Documents without words (nothing to compare, null texts among them) all stay; a null doc_id comes last; repeated rows
     leave one; an empty table stays empty.
     """

@@ -235,35 +235,41 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(may("n_a", "n_b", "wide_a", "wide_b")).select("a", "b")
 
 
-def link_matrix(left: list[np.ndarray], right: list[np.ndarray], token: int, threshold: float, counted: bool) -> np.ndarray:
-    """Which sets of `left` and `right` are linked; if `counted`, only pairs whose first common token is `token`."""
-    sizes_l, sizes_r = (np.array([len(s) for s in z], np.float32) for z in (left, right))
-    flat = np.concatenate([*left, *right])
-    vocabulary, column, often = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(left) + len(right)), np.r_[sizes_l, sizes_r].astype(np.int64))
-    shared = often[column] > 1
-    number = np.cumsum(often > 1) - 1
-    row_s, column_s = row[shared], number[column[shared]]
-    before = None
+def link_matrix(left: list[bytes], right: list[bytes], token: int, threshold: float, counted: bool) -> np.ndarray:
+    """Which of the packed sets of `left` and `right` are linked; if `counted`, only pairs whose first common token is `token`.
+
+    Tokens are taken a slice of the hash values at a time, so what is held beside the sets does not grow with them.
+    """
+    sizes = np.array([len(x) // WIDTH for x in (*left, *right)], np.int64)
+    flat = unpacked(b"".join((*left, *right)))
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    total = np.zeros((len(left), len(right)), np.float32)
+    earlier = total.copy() if counted else None
     if counted:
         place = np.flatnonzero(flat == np.uint64(token))
-        limit = np.full(len(left) + len(right), -1)
+        limit = np.full(len(sizes), -1)
         limit[row[place]] = place
-        before = (np.arange(len(flat)) < limit[row])[shared]
-
-    def products(row: np.ndarray, column: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(left), len(right)), np.float32)
-        for at in range(0, int(column.max(initial=-1)) + 1, CHUNK):
-            part = (column >= at) & (column < at + CHUNK)
-            x = np.zeros((len(left) + len(right), CHUNK), np.float32)
-            x[row[part], column[part] - at] = 1
-            total += x[: len(left)] @ x[len(left) :].T
-        return total
-
-    linked = reached(products(row_s, column_s), sizes_l[:, None], sizes_r[None, :], threshold)
-    if before is not None:
-        linked &= products(row_s[before], column_s[before]) == 0
-    return linked
+    parts = -(-len(flat) // BLOCK)
+    for part in range(parts):
+        own = np.flatnonzero(flat % np.uint64(parts) == np.uint64(part))
+        own = own[np.argsort(flat[own], kind="stable")]
+        sorted_tokens = flat[own]
+        begin = np.flatnonzero(np.r_[True, sorted_tokens[1:] != sorted_tokens[:-1]]) if len(own) else np.zeros(0, np.int64)
+        often = np.diff(np.r_[begin, len(own)])
+        shared = np.repeat(often > 1, often)
+        own, column = own[shared], np.repeat(np.arange(np.count_nonzero(often > 1)), often[often > 1])
+        ends = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + CHUNK, CHUNK))
+        for at, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            for out, kept in ((total, own[i:j]), *([(earlier, own[i:j])] if counted else [])):
+                of, which = row[kept], column[i:j] - at * CHUNK
+                if out is earlier:
+                    before = kept < limit[of]
+                    of, which = of[before], which[before]
+                x = np.zeros((len(sizes), CHUNK), np.float32)
+                x[of, which] = 1
+                out += x[: len(left)] @ x[len(left) :].T
+    linked = reached(total, sizes[: len(left), None].astype(np.float32), sizes[None, len(left) :].astype(np.float32), threshold)
+    return linked & (earlier == 0) if counted else linked
 
 
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -298,7 +304,7 @@ def crowd_counts(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFr
 
     def counted(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("first")
-        tokens = [unpacked(x) for x in rows["tokens"]]
+        tokens = rows["tokens"].tolist()
         j, own, of = int(rows["j"].iloc[0]), rows["own"].to_numpy(), rows["class"].to_numpy()
         same = int(rows["i"].iloc[0]) == j
         left = np.flatnonzero(own != j) if not same else np.arange(len(rows))
@@ -322,7 +328,7 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     """(a, b): links that join two parts, among the classes of crowded groups."""
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, of = [unpacked(x) for x in rows["tokens"]], rows["class"].to_numpy()
+        tokens, of = rows["tokens"].tolist(), rows["class"].to_numpy()
         links = spanning(link_matrix(tokens, tokens, 0, threshold, False))
         ends = np.array(links, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": of[ends[:, 0]], "b": of[ends[:, 1]]})
@@ -363,37 +369,45 @@ def sets_among(table: DataFrame, wanted: DataFrame) -> DataFrame:
 FIRST_ROUNDS = 2
 
 
-def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, placed: bool = True) -> DataFrame:
+def apart(left: DataFrame, crowd: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that `parts` does not connect, and the crowds (class, token) whose classes are not all of one part."""
+    of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
+    pairs = left.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    whose = crowd.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("part", F.coalesce("component", "class"))
+    open_ = whose.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    return pairs, stored(crowd.join(open_, "token", "left_semi").select("class", "token"), "crowd")
+
+
+def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, placed: bool = True, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
     `sets_of` gives class and tokens for the column `class` of a table. Candidates are narrow, but verifying one moves two
     sets, so the first rounds verify one candidate of each class; what is connected by then needs no verification, and
-    all else gets it in the end.
+    all else gets it in the end. `known` are verified links (a, b) found before: what they connect is not verified again.
     """
     pairs, crowds, wanted = split_candidates(spark, keyed, threshold, placed)
     sets = stored(with_large_signatures(sets_of(wanted)), "sets")
     release(spark)
-    left, crowd = stored(likely(pairs.select("a", "b"), sets, threshold), "likely"), crowds
+    left, crowd, links, parts = pairs.select("a", "b"), crowds, known, None
+    if known is not None:
+        parts = stored(connected_components(known), "parts")
+        left, crowd = apart(left, crowd, parts)
+    left = stored(likely(left, sets, threshold), "likely")
     release(spark)
-    links = parts = None
     for turn in range(FIRST_ROUNDS + 1):
         last = turn == FIRST_ROUNDS
         asked = left if last else stored(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "asked")
         some = crowd if last else crowd.groupBy("class").agg(F.min("token").alias("token"))
-        new = verified(asked.withColumn("at", F.lit(None).cast("int")), sets, threshold).union(crowd_links(some, sets, threshold))
+        # one after the other: together they would hold the Python workers of both at once
+        new = stored(verified(asked.withColumn("at", F.lit(None).cast("int")), sets, threshold), "links").union(stored(crowd_links(some, sets, threshold), "links"))
         links = stored(new if links is None else links.union(new), "links")
         release(spark)
         before, parts = parts, stored(connected_components(links), "parts")
         discard(*([before] if before is not None else []))
         if last:
             break
-        of_a, of_b = (parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")) for c in "ab")
-        apart = left.join(asked, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
-        left = stored(apart.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b"), "left")
-        # a crowd is done when all its classes are of one part
-        whose = crowd.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("part", F.coalesce("component", "class"))
-        open_ = whose.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-        crowd = stored(crowd.join(open_, "token", "left_semi").select("class", "token"), "crowd")
+        fewer, crowd = apart(left.join(asked, ["a", "b"], "left_anti"), crowd, parts)
+        left = stored(fewer, "left")
         release(spark)
     discard(sets, wanted, links)
     return parts

@@ -595,6 +595,38 @@ def test_stage_links_exactly_the_pairs_of_similar_shingle_sets(spark):
     assert set(dict(rows)) - kept == near
 
 
+def test_stage_links_by_simhash_first(spark):
+    """The stage's fingerprints follow the definition, and what they link is near in bits and similar as a set."""
+    rows = [(i, sentence(300 + i, 120)) for i in range(20)]
+    rows += [(100 + i, t + " tail") for i, t in rows] + [(200, "a b"), (201, ""), (202, "é ñ")]
+    shingled = common.stored(simhash.shingle_table(spark.createDataFrame(rows, DOC).select("doc_id", "text"), 5, 0.8), "shingled")
+    prints = {r["class"]: r["fp"] for r in shingled.where("class <> 0").collect()}
+    found = [(r["a"], r["b"]) for r in simhash.near_by_fingerprint(shingled, 0.8).collect()]
+    assert len(found) >= 15 and all((prints[a] ^ prints[b]).bit_count() <= 4 if (prints[a] ^ prints[b]) >= 0 else (2**64 + (prints[a] ^ prints[b])).bit_count() <= 4 for a, b in found)
+    h = np.random.default_rng(3).integers(0, 2**63, 40, np.int64).view(np.uint64) * np.uint64(2)
+    text = np.sort(np.random.default_rng(4).integers(0, 6, 40))
+    want = [simhash.signed(sum(1 << b for b in range(64) if len(h[text == t]) and 2 * sum(int(x) >> b & 1 for x in h[text == t]) > len(h[text == t]))) for t in range(8)]
+    assert simhash.fingerprints_of(h, text, 8).tolist() == want
+
+
+def test_link_matrix_in_slices_equals_plain_sets(monkeypatch):
+    r = np.random.default_rng(12)
+    base = r.integers(0, 1 << 40, 400).astype(np.uint64)
+    sets = [np.sort(np.unique(np.r_[base[r.random(400) < 0.97], r.integers(0, 1 << 40, 5).astype(np.uint64)])) for _ in range(30)]
+    monkeypatch.setattr(similarity, "BLOCK", 700)
+    data, token = [similarity.packed(x) for x in sets], int(base[7])
+    plain = [set(x.tolist()) for x in sets]
+    for counted in (False, True):
+        got = similarity.link_matrix(data[:14], data[14:], token, 0.9, counted)
+        for i in range(14):
+            for j in range(14, 30):
+                both = plain[i] & plain[j]
+                first = not counted or not any(x < token for x in both if token in plain[i] or token in plain[j])
+                if counted and token not in both:
+                    continue
+                assert got[i, j - 14] == (len(both) >= 0.9 * len(plain[i] | plain[j]) - 1e-9 and first)
+
+
 def test_broadcast_is_bounded_by_what_rows_hold(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     df = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(20)).alias("held"))
