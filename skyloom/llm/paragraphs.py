@@ -159,24 +159,25 @@ def similar_lines(found: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, stop, cluster, later) of paragraphs that occur more than once, exactly or nearly."""
+    """(doc_id, row, start, stop, cluster) of paragraphs that occur more than once, exactly or nearly; the first place of each cluster comes once more, without stop."""
     found = stored(paragraph_table(docs), "paragraphs")
     parts = similar_lines(found)
     release(docs.sparkSession)
     often = found.groupBy("class").count().where("count > 1").select("class")
     clusters = stored(often.join(parts, F.col("class") == F.col("node"), "full").select(F.coalesce("class", "node").alias("class"), F.coalesce("component", "class").alias("cluster")), "clusters")
-    own = stored(found.select("doc_id", "row", "start", "stop", "class").join(small(clusters, 2_000_000), "class"), "repeated")
+    own = stored(found.select("doc_id", "row", "start", "stop", "class").join(small(clusters, 2_000_000), "class").drop("class"), "repeated")
     discard(found, parts, clusters)
     release(docs.sparkSession)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "start", "row")
-    first = stored(own.groupBy("cluster").agg(F.min(place).alias("first")), "first")
-    return own.join(small(first, 500_000), "cluster").select("doc_id", "row", "start", "stop", "cluster", (place != F.col("first")).alias("later"))
+    first = own.groupBy("cluster").agg(F.min(place).alias("first")).select("first.doc_id", "first.row", "first.start", F.lit(None).cast("int").alias("stop"), "cluster")
+    # the first places go to their documents; paragraphs never move to their cluster
+    return own.union(first)
 
 
-def runs(spans: list, later: bool, least: int) -> list[tuple[int, int]]:
+def runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Stretches of at least `least` words that the spans cover without a gap."""
     out: list[list[int]] = []
-    for s in sorted((x["start"], x["stop"]) for x in spans if x["later"] or not later):
+    for s in sorted(spans):
         if out and s[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s[1])
         else:
@@ -191,11 +192,14 @@ def substring_duplicates(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
     def summed(found: pd.Series) -> pd.DataFrame:
         rows = []
         for spans in found:
-            shared, gone = runs(spans, False, least), runs(spans, True, least)
+            first = {(x["start"], x["cluster"]) for x in spans if x["stop"] is None}
+            every = [x for x in spans if x["stop"] is not None]
+            shared = runs([(x["start"], x["stop"]) for x in every], least)
+            gone = runs([(x["start"], x["stop"]) for x in every if (x["start"], x["cluster"]) not in first], least)
             rows.append((sum(b - a for a, b in shared), sum(b - a for a, b in gone), [{"start": a, "stop": b} for a, b in gone]))
         return pd.DataFrame(rows, columns=["n_shared", "n_removed", "removed"])
 
-    per = repeated(docs.select("doc_id", "text")).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop", "later")).alias("s"), F.min("cluster").alias("cluster"))
+    per = repeated(docs.select("doc_id", "text")).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "stop", "cluster")).alias("s"), F.min("cluster").alias("cluster"))
     own = stored(per.withColumn("x", summed("s")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "x.*", "cluster").where("n_shared > 0"), "spans")
     keyed = docs.withColumn("_text_row", F.xxhash64("text"))
     none = F.array().cast("array<struct<start:long,stop:long>>")

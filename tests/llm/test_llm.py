@@ -627,6 +627,26 @@ def test_link_matrix_in_slices_equals_plain_sets(monkeypatch):
                 assert got[i, j - 14] == (len(both) >= 0.9 * len(plain[i] | plain[j]) - 1e-9 and first)
 
 
+def joins_of(df) -> list:
+    """Columns that each join of the optimised plan gives."""
+    found, nodes = [], [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            found.append({node.output().apply(k).name() for k in range(node.output().size())})
+    return found
+
+
+def test_repeats_never_move_to_their_cluster(spark):
+    """First places go to the documents; null ids and repeated rows are first places too."""
+    passage, other = sentence(31, 60), sentence(32, 60)
+    docs = spark.createDataFrame([(4, passage), (2, passage), (2, passage), (None, passage), (5, other + "\n" + passage), (None, other)], DOC)
+    assert joins_of(paragraphs.repeated(docs)) == []
+    got = sorted((str(r["doc_id"]), r["n_shared"], r["n_removed"]) for r in paragraphs.substring_duplicates(docs).collect())
+    assert got == [("2", 60, 0), ("2", 60, 0), ("4", 60, 60), ("5", 120, 60), ("None", 60, 60), ("None", 60, 60)]
+
+
 def test_broadcast_is_bounded_by_what_rows_hold(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     df = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(20)).alias("held"))
