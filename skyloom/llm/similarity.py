@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import discard, pieces_of_runs, release, small, stored
+from skyloom.llm.common import by_runs, discard, pieces_of_runs, release, small, stored
 from skyloom.llm.components import connected_components
 
 #: Rows of a group that may give pairs; surviving pairs a row from which a group counts as dense; classes of a chunk.
@@ -272,20 +272,50 @@ def link_matrix(left: list[bytes], right: list[bytes], token: int, threshold: fl
     return linked & (earlier == 0) if counted else linked
 
 
-def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of a square link matrix, breadth first."""
-    left, out = np.ones(len(linked), bool), []
-    for root in range(len(linked)):
-        if not left[root]:
-            continue
-        left[root] = False
-        front = [root]
-        while front:
+def wide_bits(sets: list[bytes]) -> np.ndarray:
+    """64 * LARGE_WORDS bits for each packed set, each the parity of the tokens that hash to it."""
+    places = 64 * LARGE_WORDS
+    rows = [np.packbits((np.bincount((unpacked(x) % np.uint64(places)).astype(np.int64), minlength=places) & 1).astype(bool)) for x in sets]
+    return np.stack(rows).view(np.uint64) if rows else np.zeros((0, LARGE_WORDS), np.uint64)
+
+
+def shared_with(one: bytes, others: list[bytes]) -> np.ndarray:
+    """How many tokens each of the packed sets `others` shares with `one`."""
+    own, ends = np.sort(unpacked(one)), np.cumsum([len(x) // WIDTH for x in others])
+    parts, at = [], 0
+    while at < len(others):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        flat = unpacked(b"".join(others[at:to]))
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        parts.append(np.diff(np.r_[0, np.cumsum(hit)[ends[at:to] - (ends[at - 1] if at else 0) - 1]]))
+        at = to
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def spanning(sets: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of packed sets (none empty), from each set reached to all that are not reached yet.
+
+    Every set that is not reached is compared with every one that is; whole sets only where sizes and wide signatures leave a link possible.
+    """
+    sizes, bits = np.array([len(x) // WIDTH for x in sets], np.int64), wide_bits(sets)
+    # a parity of parities differs in fewer places: a quarter of the words rules out most pairs
+    folded = np.bitwise_xor.reduce(bits.reshape(len(bits), 4, LARGE_WORDS // 4), axis=1)
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
             x = front.pop()
-            new = np.flatnonzero(linked[x] & left)
-            left[new] = False
-            out += [(x, y) for y in new.tolist()]
-            front += new.tolist()
+            want = shared_at_least(sizes[x], sizes[left], threshold)
+            may = np.flatnonzero(np.minimum(sizes[x], sizes[left]) >= want)
+            for signature in (folded, bits):
+                differing = np.bitwise_count(signature[left[may]] ^ signature[x]).sum(axis=1, dtype=np.uint16)
+                may = may[differing <= sizes[x] + sizes[left[may]] - 2 * want[may]]
+            others = left[may]
+            linked = reached(shared_with(sets[x], [sets[y] for y in others.tolist()]), sizes[x], sizes[others], threshold)
+            new = others[linked].tolist()
+            out += [(x, y) for y in new]
+            front += new
+            left = np.delete(left, may[linked])
     return out
 
 
@@ -328,12 +358,15 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     """(a, b): links that join two parts, among the classes of crowded groups."""
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, of = rows["tokens"].tolist(), rows["class"].to_numpy()
-        links = spanning(link_matrix(tokens, tokens, 0, threshold, False))
+        tokens, of, g = rows["tokens"].tolist(), rows["class"].to_numpy(), rows["g"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]).tolist()
+        links = [(lo + x, lo + y) for lo, hi in zip(edges[:-1], edges[1:], strict=True) for x, y in spanning(tokens[lo:hi], threshold)]
         ends = np.array(links, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": of[ends[:, 0]], "b": of[ends[:, 1]]})
 
-    return crowd_chunks(crowds, sets.select("class", "tokens")).groupBy("g").applyInPandas(found, "a long, b long")
+    # many groups are small: a batch takes all that it holds
+    dealt = crowd_chunks(crowds, sets.select("class", "tokens")).select("g", "class", "tokens")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(lambda batches: by_runs(batches, "g", found), "a long, b long")
 
 
 def split_candidates(spark: SparkSession, keyed: Callable[[int, int], DataFrame], threshold: float, placed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

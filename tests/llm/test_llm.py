@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -627,6 +628,31 @@ def test_link_matrix_in_slices_equals_plain_sets(monkeypatch):
                 assert got[i, j - 14] == (len(both) >= 0.9 * len(plain[i] | plain[j]) - 1e-9 and first)
 
 
+def test_spanning_links_of_sets_connect_what_all_pairs_connect():
+    """Parts against the matrix of all pairs; large sets that share half their tokens take no product of matrices."""
+    r, sets = np.random.default_rng(13), []
+    for k, size in enumerate((12, 60, 300, 300)):
+        base = r.integers(0, 1 << 40, size).astype(np.uint64)
+        sets += [np.unique(np.r_[base[r.random(size) < (0.95, 0.93, 0.92, 0.6)[k]], r.integers(0, 1 << 40, 2).astype(np.uint64)]) for _ in range(40)]
+    data = [similarity.packed(sets[k]) for k in r.permutation(len(sets))]
+
+    def parts(links):
+        root = list(range(len(data)))
+        for a, b in links:
+            old, new = root[b], root[a]
+            root = [new if x == old else x for x in root]
+        return {frozenset(k for k, x in enumerate(root) if x == y) for y in root}
+
+    linked = similarity.link_matrix(data, data, 0, 0.8, False)
+    got = similarity.spanning(data, 0.8)
+    assert all(linked[a, b] for a, b in got) and parts(got) == parts(np.argwhere(linked).tolist())
+    assert len(got) == len(data) - len(parts(got)) and 41 < len(parts(got)) < 150
+    began = time.time()
+    base = r.integers(0, 1 << 40, 2000).astype(np.uint64)
+    many = [similarity.packed(np.r_[base[r.random(2000) < 0.5], r.integers(0, 1 << 40, 1000).astype(np.uint64)]) for _ in range(700)]
+    assert similarity.spanning(many, 0.8) == [] and similarity.spanning([], 0.8) == [] and time.time() - began < 15
+
+
 def joins_of(df) -> list:
     """Columns that each join of the optimised plan gives."""
     found, nodes = [], [df._jdf.queryExecution().optimizedPlan()]
