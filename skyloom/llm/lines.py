@@ -182,13 +182,17 @@ def marked_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out
 
 
+def joined_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` with the other columns of `gone`, whose `_id` and `_row` tell the document."""
+    keyed = docs.withColumn("_text_row", F.xxhash64("text"))
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
+
+
 def with_removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with `removed` (numbers of the lines that go), `links` and `classes` of its lines."""
     found = marked_lines(docs.select("doc_id", "text"), threshold)
     gone = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"), F.col("links").alias("_links"), F.col("classes").alias("_classes"))
-    keyed = docs.withColumn("_text_row", F.xxhash64("text"))
-    joined = keyed.join(small(gone, items=F.size("_classes")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
-    return joined.select(
+    return joined_lines(docs, small(gone, items=F.size("_classes"))).select(
         *docs.columns, F.coalesce("_lines", F.array().cast("array<int>")).alias("removed"), F.coalesce("_links", F.lit(0)).alias("links"), F.coalesce("_classes", F.array().cast("array<string>")).alias("classes")
     )
 
@@ -196,8 +200,9 @@ def with_removed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return with_removed(docs).select(
-        "doc_id", n_lines.alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.col("links").alias("n_links"), F.array_join("classes", ",").alias("line_classes")
+    # lines are counted before the join, so that no text moves with it
+    return with_removed(docs.withColumn("n_lines", n_lines)).select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.col("links").alias("n_links"), F.array_join("classes", ",").alias("line_classes")
     )
 
 
@@ -206,9 +211,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without words stay as they are, null ids come last in the order, an empty table stays empty.
     """
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    kept = with_removed(docs).withColumn("_kept", text)
-    return kept.where((F.size("removed") == 0) | F.rlike("_kept", F.lit(r"[^\x20\x09-\x0D]"))).select(
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_lines", i))
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    # only documents with a line that goes, and only its number: this side is small enough to be sent where the texts are for longer than that of `with_removed`
+    found = marked_lines(docs.select("doc_id", "text")).where(F.size("lines") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
+    kept = joined_lines(docs, small(found, 500_000, F.size("_lines"))).withColumn("_kept", text)
+    return kept.where(F.col("_lines").isNull() | F.rlike("_kept", F.lit(r"[^\x20\x09-\x0D]"))).select(
         *[F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     )

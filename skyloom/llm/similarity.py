@@ -381,10 +381,11 @@ def split_candidates(spark: SparkSession, keyed: Callable[[int, int], DataFrame]
     parts = []
     for turn in range(ROUNDS):
         found = candidates(keyed(turn, ROUNDS), threshold, placed).withColumn("crowd", F.when(F.col("b").isNull(), F.col("token")))
-        parts.append(stored(summed(found), "candidates"))
+        # a pair of several tokens is summed once over all rounds, not in each round too
+        parts.append(stored(found.select("a", "b", "crowd", "at"), "candidates"))
         del found
         release(spark)
-    every = stored(summed(reduce(DataFrame.union, [p.select("a", "b", "crowd", "at") for p in parts])), "pairs")
+    every = stored(summed(reduce(DataFrame.union, parts)), "pairs")
     discard(*parts)
     release(spark)
     pairs = every.where("b is not null").select("a", "b", "at")

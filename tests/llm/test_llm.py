@@ -673,6 +673,16 @@ def test_repeats_never_move_to_their_cluster(spark):
     assert got == [("2", 60, 0), ("2", 60, 0), ("4", 60, 60), ("5", 120, 60), ("None", 60, 60), ("None", 60, 60)]
 
 
+def test_lines_are_counted_before_the_join(spark, tmp_path, monkeypatch):
+    """No text moves with a join that is too large to be sent."""
+    rows = [(i, sentence(70 + i % 3, 12) + "\n" + sentence(80 + i, 12)) for i in range(6)] + [(None, None)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(lines, "small", lambda df, *a, **b: df)
+    df = lines.query(spark, str(tmp_path))
+    assert all("text" not in columns for columns in joins_of(df)) and len(joins_of(df)) == 1
+    assert sorted((r["doc_id"], r["n_lines"], r["removed_lines"]) for r in df.collect() if r["doc_id"] is not None) == [(i, 2, "0" if i > 2 else "") for i in range(6)]
+
+
 def test_broadcast_is_bounded_by_what_rows_hold(spark):
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
     df = spark.range(3).select("id", F.sequence(F.lit(1), F.lit(20)).alias("held"))
