@@ -41,13 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import discard, pick, pieces_of_runs, release, remainder, stored, table
+from skyloom.llm.common import discard, lean, pick, pieces_of_runs, release, remainder, stored, table
 from skyloom.llm.similarity import packed, unpacked
 from skyloom.llm.words import BASE, Reader, Slab, mixed, slabs
 
 LONGEST, BURN, SAMPLES, MOST = 4, 1, 2, 4_000_000
 #: Rows of a piece, pairs of a part, customers drawn one by one, words of a flush of a part's answers.
 ROWS, PART, SINGLY, FLUSH = 4096, 1_500_000, 64, 1_000_000
+#: Turns in which the pairs of a piece, and those of a part, are sorted and summed.
+SHARES = 8
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 100.0
 CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.8, 5.0
 #: By length of the context, 0 to LONGEST.
@@ -152,7 +154,7 @@ def with_spelling(words: DataFrame, shared, model: DataFrame | None) -> DataFram
                 key, owner = spelling_keys([bytes(w) for w in batch["word"]])
                 yield pd.DataFrame({"word": batch["word"].to_numpy()[owner], "key": key})
 
-        per = words.select("word").mapInPandas(keys, "word binary, key long").join(model.select("key", "p"), "key").groupBy("word").agg(F.sum(F.log("p")).alias("spell"))
+        per = words.select("word").mapInPandas(lean(keys), "word binary, key long").join(model.select("key", "p"), "key").groupBy("word").agg(F.sum(F.log("p")).alias("spell"))
         return words.join(per, "word")
 
     @F.pandas_udf("double")
@@ -189,7 +191,7 @@ def spelling_customers(words: DataFrame) -> DataFrame:
             keys, at = np.unique(key, return_inverse=True)
             yield pd.DataFrame({"key": keys, "c": np.bincount(at, batch["t"].to_numpy()[owner], len(keys)).astype(np.int64)})
 
-    return words.select("word", "t").mapInPandas(counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return words.select("word", "t").mapInPandas(lean(counted), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def tables_of(level: int, sweep: int):
@@ -293,6 +295,15 @@ def summed_runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
+def shares(number: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the numbers with one remainder by SHARES after another: what is sorted and summed at once stays small."""
+    own = (number % np.uint64(SHARES)).astype(np.uint8)
+    for k in range(SHARES):
+        at = np.flatnonzero(own == k)
+        if len(at):
+            yield at
+
+
 def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column from one buffer and the places where its values begin and end."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -343,8 +354,8 @@ def word_table(docs: DataFrame, parts: int) -> DataFrame:
                 "pieces": binaries(piece[order].astype("<i4").view(np.uint8), np.r_[cut, len(order)] * 4).to_pylist(),
             })
 
-    blobs = docs.select("text", "held_out", "piece").mapInArrow(sent, "part int, piece int, w binary, n binary, size binary, letters binary")
-    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(merged, "w long, word binary, n long, pieces binary")
+    blobs = docs.select("text", "held_out", "piece").mapInArrow(lean(sent), "part int, piece int, w binary, n binary, size binary, letters binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(lean(merged), "w long, word binary, n long, pieces binary")
 
 
 def pair_table(docs: DataFrame, parts: int) -> DataFrame:
@@ -363,43 +374,47 @@ def pair_table(docs: DataFrame, parts: int) -> DataFrame:
                 ws.append(short(word))
                 train.append(np.repeat(~held[slab.rows[0] : slab.rows[1]].astype(bool), np.diff(slab.bounds) + 1))
             u, w, train = np.concatenate(us), np.concatenate(ws), np.concatenate(train)
+            del us, ws
             key = pair_key(u, w)
-            order = np.argsort(key)
-            cut = summed_runs(key[order])
-            c = np.add.reduceat(train[order].astype(np.int64), cut)
-            one = order[cut]
-            # a count is one byte; a greater one takes several entries
-            entries = np.maximum(1, -(-c // 255))
-            # held-out texts ask too: where training texts of the piece hold the pair as well, by an entry of its own that counts 0
-            entries += (c > 0) & (np.diff(np.r_[cut, len(order)]) > c)
-            step = np.arange(entries.sum()) - np.repeat(np.cumsum(entries) - entries, entries)
-            share = np.clip(np.repeat(c, entries) - 255 * step, 0, 255).astype(np.uint8)
-            one = np.repeat(one, entries)
-            part = (key[one] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = summed_runs(part[order])
-            rows = [(int(part[own[0]]), piece, packed(u[one[own]]), packed(w[one[own]]), share[own].tobytes()) for own in np.split(order, cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "piece", "u", "w", "c"])
+            for share in shares(key % np.uint64(parts)):
+                order = share[np.argsort(key[share])]
+                cut = summed_runs(key[order])
+                c = np.add.reduceat(train[order].astype(np.int64), cut)
+                one = order[cut]
+                # a count is one byte; a greater one takes several entries
+                entries = np.maximum(1, -(-c // 255))
+                # held-out texts ask too: where training texts of the piece hold the pair as well, by an entry of its own that counts 0
+                entries += (c > 0) & (np.diff(np.r_[cut, len(order)]) > c)
+                step = np.arange(entries.sum()) - np.repeat(np.cumsum(entries) - entries, entries)
+                count = np.clip(np.repeat(c, entries) - 255 * step, 0, 255).astype(np.uint8)
+                one = np.repeat(one, entries)
+                part = (key[one] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cut = summed_runs(part[order])
+                rows = [(int(part[own[0]]), piece, packed(u[one[own]]), packed(w[one[own]]), count[own].tobytes()) for own in np.split(order, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "piece", "u", "w", "c"])
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, _ in pieces_of_runs(batches, "part"):
             u, w, c = unpacked(b"".join(rows["u"])), unpacked(b"".join(rows["w"])), np.frombuffer(b"".join(rows["c"]), np.uint8)
             piece = np.repeat(rows["piece"].to_numpy(np.int32), [len(x) for x in rows["c"]])
+            del rows
             key = pair_key(u, w)
-            order = np.argsort(key)
-            cut = summed_runs(key[order])
-            total = np.add.reduceat(c[order].astype(np.int64), cut)
-            size = np.diff(np.r_[cut, len(order)])
-            kept = (total > 1) | (total == 1) & (size > 1)
-            often, row = np.flatnonzero(kept), order[np.repeat(kept, size)]
-            one = order[cut[often]]
-            yield pd.DataFrame({
-                "u": u[one].view(np.int64), "w": w[one].view(np.int64), "c": total[often],
-                "pieces": binaries(piece[row].astype("<i4").view(np.uint8), np.r_[0, np.cumsum(size[often])] * 4).to_pylist(),
-            })
-
-    blobs = docs.select("text", "held_out", "piece").mapInArrow(sent, "part int, piece int, u binary, w binary, c binary")
-    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(merged, "u long, w long, c long, pieces binary")
+            for share in shares(key >> np.uint64(32)):
+                order = share[np.argsort(key[share])]
+                cut = summed_runs(key[order])
+                total = np.add.reduceat(c[order].astype(np.int64), cut)
+                size = np.diff(np.r_[cut, len(order)])
+                kept = (total > 1) | (total == 1) & (size > 1)
+                often, row = np.flatnonzero(kept), order[np.repeat(kept, size)]
+                one = order[cut[often]]
+                yield pd.DataFrame({
+                    "u": u[one].view(np.int64), "w": w[one].view(np.int64), "c": total[often],
+                    "pieces": binaries(piece[row].astype("<i4").view(np.uint8), np.r_[0, np.cumsum(size[often])] * 4).to_pylist(),
+                })
+
+    blobs = docs.select("text", "held_out", "piece").mapInArrow(lean(sent), "part int, piece int, u binary, w binary, c binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(lean(merged), "u long, w long, c long, pieces binary")
 
 
 def seat_pairs(pairs: DataFrame, words: DataFrame, sweep: int, again: bool) -> DataFrame:
@@ -488,27 +503,32 @@ def answers(rows: DataFrame, kind: int, columns: list[tuple[str, str]]) -> DataF
     """(piece, kind, data): `columns` (name, numpy type) of `rows`, sent to each of the row's `pieces`, column after column."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def flush(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in tables]).astype(t) for c, t in columns}
-            lists = [x for b in tables for x in b.column("pieces").to_pylist()]
-            piece = np.frombuffer(b"".join(lists), "<i4")
-            row = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists])
-            order = np.lexsort((row, piece))
-            order = order[np.r_[True, (piece[order][1:] != piece[order][:-1]) | (row[order][1:] != row[order][:-1])]] if len(order) else order
-            out = [(int(piece[own[0]]), kind, b"".join(values[c][row[own]].tobytes() for c, _ in columns)) for own in np.split(order, summed_runs(piece[order])[1:]) if len(own)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["piece", "kind", "data"])
+            lists = pa.concat_arrays([b.column("pieces") for b in tables]).cast(pa.large_binary())
+            ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1] // 4
+            piece = np.frombuffer(lists.buffers()[2] or b"", "<i4")[ends[0] : ends[-1]]
+            row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(ends))
+            for share in shares(piece.view("<u4")):
+                order = share[np.lexsort((row[share], piece[share]))]
+                own, of = piece[order], row[order]
+                once = np.r_[True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])]
+                own, of = own[once], of[once]
+                cut = summed_runs(own)
+                out = [(int(own[a]), kind, b"".join(values[c][of[a:b]].tobytes() for c, _ in columns)) for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["piece", "kind", "data"])
 
         held, n = [], 0
         for batch in batches:
             held.append(batch)
             n += len(batch)
             if n >= FLUSH:
-                yield flush(held)
+                yield from flush(held)
                 held, n = [], 0
-        if held:
-            yield flush(held)
+        if n:
+            yield from flush(held)
 
-    return rows.select(*[c for c, _ in columns], "pieces").mapInArrow(sent, "piece int, kind int, data binary")
+    return rows.select(*[c for c, _ in columns], "pieces").mapInArrow(lean(sent), "piece int, kind int, data binary")
 
 
 #: What a piece is told of its words and of its pairs.

@@ -3,13 +3,18 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -817,3 +822,59 @@ def test_scores_of_very_long_unseen_words_are_finite(spark):
     assert all(np.isfinite(x["score"]) for x in got.values())
     # the longer the unseen word, the less likely, about evenly a byte
     assert all(b < a for a, b in zip(scores, scores[1:], strict=False)) and -4 < (scores[5] - scores[4]) / 9_000 < -0.5
+
+
+def test_workers_give_back_what_a_task_took():
+    """Spark keeps Python workers: in a process of its own, since the allocator's state is the process's."""
+    code = """
+import re
+import numpy as np
+from skyloom.llm.common import lean
+anon = lambda: int(re.search(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+pins = []
+def handle(batches):
+    np.ones(3_500_000)
+    for n in batches:
+        parts = [np.ones(60_000) for _ in range(n)]
+        pins.append(np.ones(5_000))
+        yield len(parts)
+before = anon()
+assert list(lean(handle)(iter([400]))) == [400]
+print(anon() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(common.__file__).parents[2], check=True)
+    assert int(out.stdout) < 60
+
+
+def test_pairs_of_a_piece_are_summed_in_shares():
+    """A million words a piece: what sorting them takes at once is bounded, and the counts are those of all pairs."""
+    rng, steps = np.random.default_rng(5), []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, handle, _):
+            steps.append(handle)
+            return self
+
+        mapInPandas, repartition, sortWithinPartitions = mapInArrow, select, select
+
+    words = np.array([f"w{k}" for k in range(20_000)])
+    texts = [" ".join(t) for t in words[rng.integers(0, len(words), (2_000, 500))]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(np.zeros(len(texts), bool)), pa.array(np.zeros(len(texts), np.int32))], ["text", "held_out", "piece"])
+    pitman_yor.pair_table(Docs(), 16)
+    peaks, blobs, pairs = [], [], []
+    tracemalloc.start()
+    for blob in steps[0](iter([batch])):
+        blobs.append(blob.to_pandas())
+    peaks.append(tracemalloc.get_traced_memory()[1])
+    parts = [rows for _, rows in pd.concat(blobs).sort_values("part").groupby("part")]
+    tracemalloc.reset_peak()
+    for rows in steps[1](iter([pd.concat(parts)])):
+        pairs.append(rows)
+    peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    seen = Counter(p for t in texts for p in zip(["", *t.split()], [*t.split(), ""], strict=True))
+    assert Counter(pd.concat(pairs)["c"].tolist()) == Counter(c for c in seen.values() if c > 1)
+    assert peaks[0] < 80e6, peaks
