@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import discard, pick, release, small, stored, table
+from skyloom.llm.common import discard, lean, pick, release, small, stored, table
 from skyloom.llm.similarity import BITS, WIDE, WIDTH, crowd_counts, packed, prefix_length, prefix_rows, sets_among, signatures, split_candidates, verified
 from skyloom.llm.words import Reader, mixed, slabs
 
@@ -62,7 +62,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         steps = [np.minimum(255, 6 * np.log2(np.maximum(t, 1))).astype(np.uint8).tobytes() for t in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(steps, pa.binary())], ["part", "steps"])
 
-    parts = docs.select("text").mapInArrow(counted, "part int, counts binary").repartition("part").mapInArrow(summed, "part int, steps binary")
+    parts = docs.select("text").mapInArrow(lean(counted, at_once=False), "part int, counts binary").repartition("part").mapInArrow(lean(summed, at_once=False), "part int, steps binary")
     out = np.zeros((PARTS, width), np.uint8)
     for row in parts.collect():  # PARTS rows of a fixed size
         out[row["part"]] = np.frombuffer(row["steps"], np.uint8)
@@ -123,7 +123,7 @@ def line_table(docs: DataFrame, ranks, threshold: float) -> DataFrame:
                     ["doc_id", "row", "line", "class", "size", *BITS, "tokens"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(cut, "doc_id long, row long, line int, class long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(lean(cut, at_once=False), "doc_id long, row long, line int, class long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
 
 
 def place_of_line() -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ascii_words, by_runs, discard, pick, spanning_links, stored, table
+from skyloom.llm.common import ascii_words, by_runs, discard, lean, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
 from skyloom.llm.similarity import BITS, WIDE, linked_classes, packed, prefix_rows, sets_among, signatures, verified
 from skyloom.llm.words import Reader, Rolling, mixed, slabs
@@ -146,7 +146,7 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, chunk: int
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return by_runs(batches, "g", found)
 
-    return dealt.repartition("g").sortWithinPartitions("g", "fp").mapInPandas(links, "a long, b long")
+    return dealt.repartition("g").sortWithinPartitions("g", "fp").mapInPandas(lean(links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -198,7 +198,7 @@ def shingle_table(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 at = slice(*slab.rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("h")[at], pa.array(cls), pa.array(prints), pa.array(size.astype(np.int32), mask=mask), *[pa.array(b, mask=mask) for b in bits], pa.array(sets, pa.binary())], ["doc_id", "h", "class", "fp", "size", *BITS, "tokens"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(cut, "doc_id long, h long, class long, fp long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lean(cut), "doc_id long, h long, class long, fp long, size int" + "".join(f", {b} long" for b in BITS) + ", tokens binary")
 
 
 def near_by_fingerprint(shingled: DataFrame, threshold: float, radius: int = RADIUS) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import by_runs, discard, pieces_of_runs, release, small, stored
+from skyloom.llm.common import by_runs, discard, lean, pieces_of_runs, release, small, stored
 from skyloom.llm.components import connected_components
 
 #: Rows of a group that may give pairs; surviving pairs a row from which a group counts as dense; classes of a chunk.
@@ -96,7 +96,7 @@ def prefix_rows(table: DataFrame, threshold: float, turn: int = 0, rounds: int =
             of, *bits = (pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("class", *BITS))
             yield pa.RecordBatch.from_arrays([pa.array(token[at]), of, pa.array(size[row] << 32 | place[at]), *bits], ["token", "class", "shape", *BITS])
 
-    return table.where("tokens is not null").select("class", "size", *BITS, "tokens").mapInArrow(prefixes, KEYED)
+    return table.where("tokens is not null").select("class", "size", *BITS, "tokens").mapInArrow(lean(prefixes, at_once=False), KEYED)
 
 
 def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataFrame:
@@ -157,7 +157,7 @@ def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataF
             yield found(rows) if whole else crowd(rows)
 
     ordered = keyed.repartition("token").sortWithinPartitions("token", "shape", "class")
-    return ordered.mapInPandas(handle, "a long, b long, token long, at int")
+    return ordered.mapInPandas(lean(handle, at_once=False), "a long, b long, token long, at int")
 
 
 def overlaps(flat_a: np.ndarray, sizes_a: np.ndarray, flat_b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def with_large_signatures(sets: DataFrame) -> DataFrame:
                 wide.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("tokens"), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary())], ["class", "tokens", "n", "wide"])
 
-    return sets.select("class", "tokens").mapInArrow(signed, "class long, tokens binary, n int, wide binary")
+    return sets.select("class", "tokens").mapInArrow(lean(signed), "class long, tokens binary, n int, wide binary")
 
 
 def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -366,7 +366,7 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     # many groups are small: a batch takes all that it holds
     dealt = crowd_chunks(crowds, sets.select("class", "tokens")).select("g", "class", "tokens")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(lambda batches: by_runs(batches, "g", found), "a long, b long")
+    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(lean(lambda batches: by_runs(batches, "g", found)), "a long, b long")
 
 
 def split_candidates(spark: SparkSession, keyed: Callable[[int, int], DataFrame], threshold: float, placed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

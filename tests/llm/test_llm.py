@@ -878,3 +878,23 @@ def test_pairs_of_a_piece_are_summed_in_shares():
     seen = Counter(p for t in texts for p in zip(["", *t.split()], [*t.split(), ""], strict=True))
     assert Counter(pd.concat(pairs)["c"].tolist()) == Counter(c for c in seen.values() if c > 1)
     assert peaks[0] < 80e6, peaks
+
+
+def test_steps_of_the_near_duplicate_stage_give_memory_back(spark):
+    steps = []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, handle, _):
+            steps.append(handle)
+            return self
+
+        mapInPandas, repartition, sortWithinPartitions, where = mapInArrow, select, select, select
+
+    simhash.shingle_table(Rows(), 5, 0.8)
+    similarity.prefix_rows(Rows(), 0.8)
+    similarity.candidates(Rows(), 0.8)
+    similarity.with_large_signatures(Rows())
+    assert [s.__qualname__.split(".")[0] for s in steps] == ["lean"] * 4
