@@ -10,8 +10,9 @@ a partner is one fewer. A sample of twice the prefix is counted for this, once o
 
 Groups of near copies would give all their pairs. So sets that share their least n-gram under some hash are first
 verified against a few representatives of these keys, and what is connected by then is one part. Under an
-order, an n-gram asks for nothing while its sets are all of one part; otherwise the sets outside the part
-that most of its sets have meet the others, in a plain equi-join that adaptive execution can split.
+order, an n-gram asks for nothing while its sets are all of one part; otherwise the sets outside the part that most of its
+sets have meet the others, in groups of bounded size. Groups in which few pairs survive the filters give these pairs; a
+crowd, in which most do, is verified where it meets and gives only links that join two parts.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts of
 fewer words than an n-gram are one n-gram; equal sets are one class and always linked; repeated rows keep their
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import discard, pick, small, stored, table
+from skyloom.llm.common import by_runs, discard, lean, pick, small, stored, table
 from skyloom.llm.components import connected_components
-from skyloom.llm.similarity import BITS, LARGE, LARGE_WORDS, likely, signatures
+from skyloom.llm.similarity import BITS, BLOCK, CHUNK, DENSE, LARGE, LARGE_WORDS, likely, packed, signatures, spanning
 from skyloom.llm.words import Reader, Rolling, Slab, mixed, slabs
 
 #: Words of an n-gram, and the least Jaccard similarity of a link in percent.
@@ -78,7 +79,7 @@ def rarity_classes(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select("text").mapInArrow(lean(count, at_once=False), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(BUCKETS, np.int64)
     total[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     mean = max(1.0, total.sum() / BUCKETS)
@@ -152,7 +153,7 @@ def sampled(docs: DataFrame, rarity: np.ndarray, words: int, percent: int) -> Da
                 columns = [batch.column("doc_id")[slice(*slab.rows)], pa.array(cls), pa.array(n.astype(np.int32)), pa.array(prefix.astype(np.int32)), lists(head, taken)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "prefix", "head"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, class long, n int, prefix int, head array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(cut, at_once=False), "doc_id long, class long, n int, prefix int, head array<long>")
 
 
 def linkable(cut: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def described(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, words: int
                 yield pa.RecordBatch.from_arrays(columns, ["class", "n", *BITS, "wide", "m", *orders, "tokens"])
 
     schema = "class long, n int" + "".join(f", {b} long" for b in BITS) + ", wide binary, m array<long>" + "".join(f", {p} array<long>" for p in orders) + ", tokens binary"
-    found = texts.mapInArrow(cut, schema).join(small(wanted.select("class"), 2_000_000), "class", "left_semi")
+    found = texts.mapInArrow(lean(cut, at_once=False), schema).join(small(wanted.select("class"), 2_000_000), "class", "left_semi")
     return found.dropDuplicates(["class"])
 
 
@@ -228,22 +229,99 @@ def representative_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return met.where((F.col("x.class") != F.col("y.class")) & may_link("x", "y", percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
-def candidates(nodes: DataFrame, order: int, percent: int) -> DataFrame:
-    """(a, b) of different parts that share a prefix n-gram under one order and pass size, place and signature filters."""
+def dealt_groups(nodes: DataFrame, order: int) -> DataFrame:
+    """g, own, same, class, part, shape (n << 32 | place) and signature: rows of prefix n-grams of several parts, dealt out as groups of bounded size.
+
+    An n-gram of at most CHUNK sets is one group. Of others the sets outside the part that most of them have are cut into
+    chunks, and meet each other and the chunks of that part chunk by chunk: there only rows of different `own` are a pair, unless `same`.
+    """
     rows = nodes.select("class", "part", F.posexplode(f"p{order}").alias("place", "token"))
-    # for each n-gram whether its sets are of several parts, and of which most of them are
-    sizes = rows.groupBy("token", "part").count().groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("count", "part")).alias("most"))
-    split = stored(sizes.where("parts > 1").select("token", F.col("most.part").alias("main")), "split")
-    known = stored(rows.join(small(split, 2_000_000), "token").join(nodes.select("class", "n", *BITS), "class"), "known")
-    discard(split)
-    a, b = known.where("part <> main").alias("x"), known.alias("y")
-    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
-    after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    near = F.least("x.place", "y.place") + after >= needed(F.col("x.n"), F.col("y.n"), percent)
-    met = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & once & near & may_link("x", "y", percent))
-    found = stored(met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct(), f"order{order}")
-    discard(known)
-    return found
+    sizes = rows.groupBy("token", "part").count().groupBy("token").agg(F.count("*").alias("parts"), F.sum("count").alias("sets"), F.max(F.struct("count", "part")).alias("most"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    few = F.col("sets") <= CHUNK
+    inner, outer = F.when(few, 0).otherwise(chunks(F.col("most.count"))), F.when(few, 1).otherwise(chunks(F.col("sets") - F.col("most.count")))
+    split = stored(sizes.where("parts > 1").select("token", F.col("most.part").alias("main"), inner.alias("inner"), outer.alias("outer")), "split")
+    known = rows.join(small(split, 2_000_000), "token").join(nodes.select("class", "n", *BITS), "class")
+    within = (F.col("part") == F.col("main")) & (F.col("inner") > 0)
+    number = F.xxhash64("class", "token")
+    own = F.when(within, F.col("outer") + F.pmod(number, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(number, F.col("outer"))).cast("int")
+    last = F.when(within, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    met = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
+    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    spread = known.withColumn("own", own).select("token", "own", "class", "part", shape.alias("shape"), *BITS, F.explode(met).alias("ij"))
+    return spread.select(F.xxhash64("token", "ij.i", "ij.j").alias("g"), "own", (F.col("ij.i") == F.col("ij.j")).alias("same"), "class", "part", "shape", *BITS)
+
+
+def surviving(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs (a, b) of whole groups, by g and shape, that pass size, place and signature filters; of groups in which too many do, those that have one: (a, null, g, part)."""
+    of, part, g, own, same, shape = (rows[c].to_numpy() for c in ("class", "part", "g", "own", "same", "shape"))
+    bits = [rows[b].to_numpy().view(np.uint64) for b in BITS]
+    run = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
+    held = np.bincount(run)
+    n, place = shape >> 32, shape & 0xFFFFFFFF
+    stop = np.searchsorted(run << 32 | n, run << 32 | 100 * n // percent, "right")
+    partners = stop - np.arange(len(of)) - 1
+    ends, hits, survivors, met, at = np.cumsum(partners), [], np.zeros(len(held), np.int64), np.zeros(len(of), bool), 0
+    while at < len(of):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        m = partners[at:to]
+        i = np.repeat(np.arange(at, to), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        ok = (part[i] != part[j]) & (same[i] | (own[i] != own[j]))
+        i, j = i[ok], j[ok]
+        want = -(-percent * (n[i] + n[j]) // (100 + percent))
+        # what both share stands before the n-gram in both, or is it, or stands after it in both
+        ok = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= want
+        i, j, room = i[ok], j[ok], (n[i] + n[j] - 2 * want)[ok]
+        ok = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int64) for b in bits) <= room
+        i, j = i[ok], j[ok]
+        survivors += np.bincount(run[i], minlength=len(survivors))
+        met[i] = met[j] = True
+        keep = survivors[run[i]] <= DENSE * held[run[i]]
+        hits.append((i[keep], j[keep]))
+        at = to
+    dense = survivors > DENSE * held
+    i, j = (np.concatenate(x) for x in zip(*hits, strict=True))
+    keep = ~dense[run[i]]
+    a, b = of[i[keep]], of[j[keep]]
+    crowd = np.flatnonzero(met & dense[run])
+    none = np.zeros(len(crowd), np.int64)
+    return pd.DataFrame({
+        "a": np.r_[np.minimum(a, b), of[crowd]], "b": pd.arrays.IntegerArray(np.r_[np.maximum(a, b), none], np.r_[np.zeros(len(a), bool), np.ones(len(crowd), bool)]),
+        "g": np.r_[np.zeros(len(a), np.int64), g[crowd]], "part": np.r_[np.zeros(len(a), np.int64), part[crowd]],
+    })
+
+
+def candidates(nodes: DataFrame, order: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (a, b) of different parts that share a prefix n-gram under one order and pass the filters, and stored crowds (class, part, g): groups in which too many pairs do."""
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return by_runs(batches, "g", lambda rows: surviving(rows, percent))
+
+    dealt = dealt_groups(nodes, order).repartition("g").sortWithinPartitions("g", "shape", "class")
+    found = stored(dealt.mapInPandas(lean(met, at_once=False), "a long, b long, g long, part long"), "met")
+    pairs = stored(found.where("b is not null").select("a", "b").distinct(), f"order{order}")
+    crowd = found.where("b is null").select(F.col("a").alias("class"), "part", "g")
+    # groups of the same sets are one
+    alike = crowd.groupBy("g").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum")).groupBy("sets", "sum").agg(F.min("g").alias("g"))
+    crowds = stored(crowd.join(alike.select("g"), "g", "left_semi"), "crowds")
+    discard(found)
+    return pairs, crowds
+
+
+def crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links that join the parts of each crowd (class, part, g) as far as its pairs do; sets are compared by 40 bits of their n-grams."""
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        of, g, part = (rows[c].to_numpy() for c in ("class", "g", "part"))
+        tokens = [packed(np.frombuffer(x, np.uint64)) for x in rows["tokens"]]
+        edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]).tolist()
+        links = [(lo + x, lo + y) for lo, hi in zip(edges[:-1], edges[1:], strict=True) for x, y in spanning(tokens[lo:hi], percent / 100, part[lo:hi])]
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": of[ends[:, 0]], "b": of[ends[:, 1]]})
+
+    rows = crowds.join(sets, "class").select("g", "class", "part", "tokens")
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(lean(lambda batches: by_runs(batches, "g", found), at_once=False), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,20 +353,21 @@ def linked_parts(classes: DataFrame, percent: int) -> DataFrame:
     discard(near)
 
     nodes = stored(classes.drop("wide", "m", "tokens").join(parts, classes["class"] == parts["node"], "left").withColumn("part", F.coalesce("component", "class")).drop("node", "component"), "nodes")
-    pairs = None
+    pairs, joined = None, []
     for order in range(ORDERS):
         ends = None if pairs is None else stored(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "ends")
-        found = candidates(nodes if ends is None else nodes.join(small(ends, 2_000_000), "class", "left_semi"), order, percent)
-        discard(*([ends] if ends is not None else []))
-        # a pair stays only while every order so far proposes it
+        found, crowds = candidates(nodes if ends is None else nodes.join(small(ends, 2_000_000), "class", "left_semi"), order, percent)
+        joined.append(stored(crowd_links(crowds, sets, percent), "links"))
+        discard(crowds, *([ends] if ends is not None else []))
+        # a pair stays only while every order so far proposes it: what meets in a crowd is settled there
         both = found if pairs is None else stored(pairs.join(found, ["a", "b"], "left_semi"), "both")
         discard(*([pairs, found] if pairs is not None else []))
         pairs = both
     left = likely_pairs(pairs)
     discard(nodes, pairs)
-    every = stored(links.union(verified(left, sets, percent)), "links")
+    every = stored(reduce(DataFrame.union, [links, *joined, verified(left, sets, percent)]), "links")
     final = stored(connected_components(every), "parts")
-    discard(links, parts, every, left)
+    discard(links, parts, every, left, *joined)
     return final
 
 

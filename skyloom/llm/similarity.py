@@ -292,10 +292,10 @@ def shared_with(one: bytes, others: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def spanning(sets: list[bytes], threshold: float) -> list[tuple[int, int]]:
+def spanning(sets: list[bytes], threshold: float, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest of packed sets (none empty), from each set reached to all that are not reached yet.
 
-    Every set that is not reached is compared with every one that is; whole sets only where sizes and wide signatures leave a link possible.
+    Sets of one `part` count as linked before: one that is reached reaches all of them. Every set that is not reached is compared with every one that is; whole sets only where sizes and wide signatures leave a link possible.
     """
     sizes, bits = np.array([len(x) // WIDTH for x in sets], np.int64), wide_bits(sets)
     # a parity of parities differs in fewer places: a quarter of the words rules out most pairs
@@ -305,6 +305,9 @@ def spanning(sets: list[bytes], threshold: float) -> list[tuple[int, int]]:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             x = front.pop()
+            if part is not None:
+                own = part[left] == part[x]
+                front, left = front + left[own].tolist(), left[~own]
             want = shared_at_least(sizes[x], sizes[left], threshold)
             may = np.flatnonzero(np.minimum(sizes[x], sizes[left]) >= want)
             for signature in (folded, bits):

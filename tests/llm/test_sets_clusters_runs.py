@@ -276,3 +276,33 @@ def test_runs_of_the_table(spark):
     got = {r[0]: tuple(r) for r in periods.query(spark, DIR).collect()}
     assert len(got) == len(docs)
     assert sorted((got[e[0]] for e in expected), key=str) == expected
+
+
+def test_near_copies_below_the_threshold_give_no_square_of_pairs(spark, monkeypatch):
+    """Sets that pass the filters without being linked, but for a few: pairs stay in proportion to the sets, and no link is lost."""
+    rng, rows = np.random.default_rng(3), []
+    base = [f"b{k}" for k in range(1000)]
+    for i in range(100):
+        words = list(base)
+        for k, at in enumerate(rng.choice(120, 5, replace=False) * 8):
+            words[at : at + 7] = [f"x{i}_{k}_{m}" for m in range(7)]
+        rows.append((i, " ".join(words)))
+        if i % 20 == 0:
+            words[500:510] = [f"y{i}_{m}" for m in range(10)]
+            rows.append((1000 + i, " ".join(words)))
+    sets = {i: {" ".join(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    link = {a: {b for b in sets if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])} for a in sets}
+    counts, real = [], ngram_join.candidates
+
+    def counted(*args):
+        got = real(*args)
+        counts.append((got[0] if isinstance(got, tuple) else got).count())
+        return got
+
+    monkeypatch.setattr(ngram_join, "candidates", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {a: a for a in sets}
+    while (new := {a: min(want[b] for b in link[a]) for a in sets}) != want:
+        want = new
+    assert got == want and len(set(got.values())) == 100
+    assert max(counts) <= ngram_join.DENSE * len(rows), counts
