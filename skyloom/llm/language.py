@@ -13,22 +13,24 @@ between languages go to the first by name; repeated rows get equal results; an e
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import pick, remainder, small, stored, table
+from skyloom.llm.common import discard, lean, pick, remainder, small, stored, table
 
 PER_LANGUAGE, LONGEST, LEAST_COUNT = 1500, 5, 2
 #: Letters and numerals that are no decimal digits, such as fractions; `words_of` takes these numerals out.
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose scores a worker keeps.
-REMEMBERED = 100_000
+#: Words whose scores a worker keeps; words and n-grams that it counts before it sends them.
+REMEMBERED, ENTRIES = 100_000, 200_000
 REJECT_BELOW = 0.5
+digest64 = xxhash.xxh64_intdigest
 
 
 def words_of(text: str | None) -> Counter:
@@ -55,49 +57,76 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
     return keyed.join(small(stored(cut, "cuts")), "lang").where((F.col("h") <= F.col("cut")) & (F.col("over").isNull() | (F.col("h") < F.col("over")))).select("lang", "text")
 
 
-#: Languages, and for words (0) and n-grams of each order the row of every key and its log frequencies by language.
-Model = tuple[list[str], list[tuple[dict[str, int], np.ndarray]]]
+#: Languages, and for words (0) and n-grams of each order the sorted hashes of the keys and their log frequencies by language.
+#: Arrays only: a worker holds few bytes a key, and no object.
+Model = tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def hashed(keys: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of strings, unsigned."""
+    return np.array([digest64(k.encode("utf-8", "surrogatepass"), 42) for k in keys], np.uint64)
+
+
+def places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where `keys` stand in the sorted `known`, and which of them do."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
 
 def model_tables(counts: pd.DataFrame) -> Model:
-    """The model from rows of (lang, kind, key, n): plain data that can be broadcast."""
+    """The model from rows of (lang, kind, key, n), `key` a hash: plain data that can be broadcast."""
     langs = sorted(counts["lang"].unique())
     tables = []
     for kind in range(LONGEST + 1):
         own = counts[counts["kind"] == kind]
-        row, keys = pd.factorize(own["key"])
+        keys, row = np.unique(own["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
         found = np.zeros((len(keys), len(langs)))
-        found[row, np.searchsorted(langs, own["lang"])] = own["n"]
+        np.add.at(found, (row, np.searchsorted(langs, own["lang"])), own["n"].to_numpy())
         logs = np.log(found + 0.5) - np.log(found.sum(axis=0) + 0.5 * (len(keys) + 1))
-        tables.append((dict(zip(keys, range(len(keys)), strict=True)), logs.astype(np.float32)))
+        tables.append((keys, logs.astype(np.float32)))
     return langs, tables
 
 
-def predictor(langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]]):
-    """A function from text to (language, score); it remembers the scores of unseen words."""
-    seen: dict[str, np.ndarray] = {}
-
-    def of_word(word: str) -> np.ndarray:
-        at = tables[0][0].get(word)
-        if at is not None:
-            return tables[0][1][at]
-        have = seen.get(word)
-        if have is None:
-            have = np.zeros(len(langs), np.float32)
-            for n in range(LONGEST, 0, -1):
-                known = [x for x in map(tables[n][0].get, grams(word, n)) if x is not None]
-                if known:
-                    have = tables[n][1][known].mean(axis=0)
-                    break
-            if len(seen) < REMEMBERED:
-                seen[word] = have
-        return have
+def predictor(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
+    """A function from text to (language, score); it remembers the scores of words."""
+    row_of: dict[str, int] = {}
+    kept = np.zeros((REMEMBERED, len(langs)), np.float32)
+
+    def of_words(words: list[str]) -> np.ndarray:
+        at, known = places(tables[0][0], hashed(words))
+        out = np.zeros((len(words), len(langs)), np.float32)
+        out[known] = tables[0][1][at[known]]
+        left = np.flatnonzero(~known)
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            parts = [grams(words[i], n) for i in left]
+            owner = np.repeat(np.arange(len(left)), [len(x) for x in parts])
+            at, found = places(tables[n][0], hashed([g for x in parts for g in x]))
+            at, owner = at[found], owner[found]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else owner
+            if len(first):
+                out[left[owner[first]]] = np.add.reduceat(tables[n][1][at], first) / np.diff(np.r_[first, len(owner)])[:, None].astype(np.float32)
+                left = np.delete(left, owner[first])
+        return out
+
+    def scores_of(words: list[str]) -> np.ndarray:
+        row = np.array([row_of.get(w, -1) for w in words], np.int64)
+        out, new = kept[row], np.flatnonzero(row < 0).tolist()
+        if new:
+            out[new] = made = of_words([words[i] for i in new])
+            for i, scores in zip(new[: REMEMBERED - len(row_of)], made, strict=False):
+                kept[len(row_of)] = scores
+                row_of[words[i]] = len(row_of)
+        return out
 
     def predict(text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not langs:
             return "und", 0.0
-        mean = np.array(list(words.values()), np.float64) @ np.array([of_word(w) for w in words], np.float64) / words.total()
+        mean = np.array(list(words.values()), np.float64) @ scores_of(list(words)).astype(np.float64) / words.total()
         odds = np.exp(2 * (mean - mean.max()))
         best = int(odds.argmax())
         return langs[best], float(odds[best] / odds.sum())
@@ -105,23 +134,41 @@ def predictor(langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]])
     return predict
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Count words and n-grams of the bounded sample in Spark; what occurs once in a language is left to shorter keys."""
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words and n-grams of (lang, text) with their counts, sent on whenever `ENTRIES` are held."""
+    found: defaultdict[tuple[str, int], Counter] = defaultdict(Counter)
+
+    def sent() -> pd.DataFrame:
+        sizes = [len(x) for x in found.values()]
+        rows = pd.DataFrame({
+            "lang": np.repeat(np.array([lang for lang, _ in found], object), sizes), "kind": np.repeat(np.array([kind for _, kind in found], np.int32), sizes),
+            "key": [k for x in found.values() for k in x], "n": np.array([n for x in found.values() for n in x.values()], np.int64),
+        })
+        found.clear()
+        return rows
+
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            for word, n in words_of(text).items():
+                found[lang, 0][word] += n
+                for order in range(1, LONGEST + 1):
+                    own = found[lang, order]
+                    for g in grams(word, order):
+                        own[g] += n
+            if sum(map(len, found.values())) >= ENTRIES:
+                yield sent()
+    if found:
+        yield sent()
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: Counter = Counter()
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                for word, n in words_of(text).items():
-                    found[lang, 0, word] += n
-                    for order in range(1, LONGEST + 1):
-                        for g in grams(word, order):
-                            found[lang, order, g] += n
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "key", "n"])
 
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Count words and n-grams of the bounded sample in Spark; what occurs once in a language is left to shorter keys."""
     sample = training_sample(docs, per_language)
-    counts = sample.mapInPandas(counted, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    return model_tables(counts.where(F.col("n") >= LEAST_COUNT).toArrow().to_pandas())
+    counts = sample.mapInPandas(lean(counted), "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    often = stored(counts.where(F.col("n") >= LEAST_COUNT).select("lang", "kind", F.xxhash64("key").alias("key"), "n"), "ngrams")
+    model = model_tables(often.toArrow().to_pandas())
+    discard(often)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -130,9 +177,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = predictor(*shared.value)
-        for texts in parts:
-            yield pd.DataFrame([predict(t) for t in texts], columns=["lang_pred", "score"])
+        def said(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            predict = predictor(*shared.value)
+            for texts in parts:
+                yield pd.DataFrame([predict(t) for t in texts], columns=["lang_pred", "score"])
+
+        yield from lean(said)(parts)
 
     return docs.withColumn("_said", of("text")).select(*docs.columns, "_said.lang_pred", "_said.score")
 
