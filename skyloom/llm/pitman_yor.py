@@ -17,8 +17,9 @@ How it runs. The documents are cut into pieces of `ROWS` rows by their place in
 Each piece sends its distinct words, and its distinct pairs of words with their counts, to parts by hash, packed in a few
 bytes each; parts sum them. A pair that stands once has one customer and one table, whatever is drawn, so what its
 context and its word get by it follows from their counts, and only pairs that stand twice or more, or once and in a held-out
-text too, are kept, with the pieces that hold them. They are seated as rows, joined with their words, so a context or word however frequent is split. In the end
-parts send words and pairs with their probabilities to the pieces that hold them, where texts are scored. What is kept and
+text too, are kept, with the pieces that hold them. They lie in blocks of bounded size, by hash, so a context or word however frequent is split, and stay
+there: in each sweep words send what a pair needs of them to the blocks that hold them, once a block, and blocks send back sums for their words. In the end
+words and blocks send probabilities to the pieces that hold them, where texts are scored. What is kept and
 moved grows with the documents, in proportion. The spelling model is broadcast while it has at most `MOST` entries, and
 joined by key beyond.
 
@@ -38,16 +39,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import discard, lean, pick, pieces_of_runs, release, remainder, stored, table
+from skyloom.llm.common import discard, give_back, lean, pick, pieces_of_runs, release, remainder, stored, table
 from skyloom.llm.similarity import packed, unpacked
 from skyloom.llm.words import BASE, Reader, Slab, mixed, slabs
 
 LONGEST, BURN, SAMPLES, MOST = 4, 1, 2, 4_000_000
-#: Rows of a piece, pairs of a part, customers drawn one by one, words of a flush of a part's answers.
+#: Rows of a piece, pairs of a part, customers drawn one by one, words of a flush of answers.
 ROWS, PART, SINGLY, FLUSH = 4096, 1_500_000, 64, 1_000_000
+#: Kept pairs from which a block is closed; rounds in which pieces are scored.
+BLOCK, ROUNDS = 400_000, 4
 #: Turns in which the pairs of a piece, and those of a part, are sorted and summed.
 SHARES = 8
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 100.0
@@ -358,11 +362,8 @@ def word_table(docs: DataFrame, parts: int) -> DataFrame:
     return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(lean(merged), "w long, word binary, n long, pieces binary")
 
 
-def pair_table(docs: DataFrame, parts: int) -> DataFrame:
-    """(u, w, c, pieces): pairs of words that stand `c` times in training documents, and the pieces that hold them.
-
-    Pairs that only one text holds, once, are left out: their text knows as much.
-    """
+def pair_blobs(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, piece, u, w, c): the distinct pairs of words of each piece with their counts in training documents, packed by part and in the order of parts."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -394,46 +395,162 @@ def pair_table(docs: DataFrame, parts: int) -> DataFrame:
                 rows = [(int(part[own[0]]), piece, packed(u[one[own]]), packed(w[one[own]]), count[own].tobytes()) for own in np.split(order, cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "piece", "u", "w", "c"])
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, _ in pieces_of_runs(batches, "part"):
-            u, w, c = unpacked(b"".join(rows["u"])), unpacked(b"".join(rows["w"])), np.frombuffer(b"".join(rows["c"]), np.uint8)
-            piece = np.repeat(rows["piece"].to_numpy(np.int32), [len(x) for x in rows["c"]])
-            del rows
-            key = pair_key(u, w)
-            for share in shares(key >> np.uint64(32)):
-                order = share[np.argsort(key[share])]
-                cut = summed_runs(key[order])
-                total = np.add.reduceat(c[order].astype(np.int64), cut)
-                size = np.diff(np.r_[cut, len(order)])
-                kept = (total > 1) | (total == 1) & (size > 1)
-                often, row = np.flatnonzero(kept), order[np.repeat(kept, size)]
-                one = order[cut[often]]
-                yield pd.DataFrame({
-                    "u": u[one].view(np.int64), "w": w[one].view(np.int64), "c": total[often],
-                    "pieces": binaries(piece[row].astype("<i4").view(np.uint8), np.r_[0, np.cumsum(size[often])] * 4).to_pylist(),
-                })
-
     blobs = docs.select("text", "held_out", "piece").mapInArrow(lean(sent), "part int, piece int, u binary, w binary, c binary")
-    return blobs.repartition("part").sortWithinPartitions("part").mapInPandas(lean(merged), "u long, w long, c long, pieces binary")
+    return blobs.repartition("part").sortWithinPartitions("part")
+
+
+def pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
+    """u, w, c, the number of pieces and the pieces of pairs to keep, from the blobs of one part after another."""
+    for rows, _ in pieces_of_runs(batches, "part"):
+        u, w, c = unpacked(b"".join(rows["u"])), unpacked(b"".join(rows["w"])), np.frombuffer(b"".join(rows["c"]), np.uint8)
+        piece = np.repeat(rows["piece"].to_numpy(np.int32), [len(x) for x in rows["c"]])
+        del rows
+        key = pair_key(u, w)
+        for share in shares(key >> np.uint64(32)):
+            order = share[np.argsort(key[share])]
+            cut = summed_runs(key[order])
+            total = np.add.reduceat(c[order].astype(np.int64), cut)
+            size = np.diff(np.r_[cut, len(order)])
+            kept = (total > 1) | (total == 1) & (size > 1)
+            often, row = np.flatnonzero(kept), order[np.repeat(kept, size)]
+            one = order[cut[often]]
+            yield u[one], w[one], total[often], size[often], piece[row]
 
 
-def seat_pairs(pairs: DataFrame, words: DataFrame, sweep: int, again: bool) -> DataFrame:
-    """`pairs` (u, w, c, t, p) with the probability of this state added to p after BURN, and t seated anew if `again`.
+def pair_table(docs: DataFrame, parts: int) -> DataFrame:
+    """(u, w, c, pieces): pairs of words that stand `c` times in training documents, and the pieces that hold them.
 
-    `words` has id, n, room (tables of the context) and p (of the corpus), one row for each id.
+    Pairs that only one text holds, once, are left out: their text knows as much.
     """
-    first = words.select(F.col("id").alias("w"), F.col("p").alias("parent"))
-    second = words.select(F.col("id").alias("u"), F.col("n").alias("served"), "room")
-    every = pairs.join(first, "w").join(second, "u")
-    own = (F.col("c") - CONTEXT_DISCOUNT * F.col("t") + (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * F.col("room")) * F.col("parent")) / (CONTEXT_STRENGTH + F.col("served"))
 
-    @F.pandas_udf("long")
-    def tables(u: pd.Series, w: pd.Series, c: pd.Series, others: pd.Series, parent: pd.Series) -> pd.Series:
-        key = pair_key(u.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64))
-        return pd.Series(seated(key, c.to_numpy(), others.to_numpy(), parent.to_numpy(), CONTEXT_DISCOUNT, CONTEXT_STRENGTH, sweep))
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for u, w, c, size, piece in pair_sums(batches):
+            yield pd.DataFrame({"u": u.view(np.int64), "w": w.view(np.int64), "c": c, "pieces": binaries(piece.astype("<i4").view(np.uint8), np.r_[0, np.cumsum(size)] * 4).to_pylist()})
+
+    return pair_blobs(docs, parts).mapInPandas(lean(merged), "u long, w long, c long, pieces binary")
+
+
+#: A block of pairs: their words, counts, numbers of pieces and pieces, each packed.
+BLOCKS = "piece int, u binary, w binary, c binary, size binary, held_by binary"
+
+
+def in_blocks(sums: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+    """Blocks of what `pair_sums` gives; the number of a block, `piece`, tells the task and its place there."""
+    task, made, rest, n = TaskContext.get(), 0, [], 0
+
+    def closed() -> pd.DataFrame:
+        u, w, c, size, piece = (np.concatenate(x) for x in zip(*rest, strict=True))
+        number = (task.partitionId() if task else 0) * 1024 + made
+        return pd.DataFrame({"piece": [number], "u": [packed(u)], "w": [packed(w)], "c": [c.astype("<i8").tobytes()], "size": [size.astype("<i4").tobytes()], "held_by": [piece.astype("<i4").tobytes()]})
+
+    for x in sums:
+        rest.append(x)
+        n += len(x[0])
+        if n >= BLOCK:
+            yield closed()
+            made, rest, n = made + 1, [], 0
+    if n:
+        yield closed()
+
+
+def pair_blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """The pairs of `pair_table` in blocks; to be stored, since the number of a block depends on its task."""
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return in_blocks(pair_sums(batches))
 
-    seat = tables("u", "w", "c", F.greatest(F.col("room") - F.col("t"), F.lit(0)), "parent") if again else F.col("t")
-    return every.select("u", "w", "c", seat.alias("t"), (F.col("p") + own if sweep >= BURN else F.col("p")).alias("p"))
+    return pair_blobs(docs, parts).mapInPandas(lean(merged), BLOCKS)
+
+
+def blocks_of(pairs: DataFrame) -> DataFrame:
+    """Blocks of rows (u, w, c), without pieces."""
+
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, np.int32)
+        return in_blocks((rows["u"].to_numpy(np.int64).view(np.uint64), rows["w"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), np.zeros(len(rows), np.int32), none) for rows in batches)
+
+    return pairs.select("u", "w", "c").mapInPandas(lean(gathered), BLOCKS)
+
+
+def words_of_block(u: np.ndarray, w: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The words of pairs, and the sums of `less` over the pairs in which each comes first and second."""
+    ids, at = np.unique(np.r_[u, w], return_inverse=True)
+    return ids.view(np.int64), *(np.bincount(x, less, len(ids)).astype(np.int64) for x in (at[: len(u)], at[len(u) :]))
+
+
+def members(blocks: DataFrame) -> DataFrame:
+    """(id, pieces, less_u, less_w): the blocks that hold a word, and its sums of customers less tables with one table for each dish."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, u, w, c in zip(batch["piece"], batch["u"], batch["w"], batch["c"], strict=True):
+                n = np.frombuffer(c, "<i8")
+                ids, less_u, less_w = words_of_block(unpacked(u), unpacked(w), n - np.minimum(n, 1))
+                yield pd.DataFrame({"id": ids, "piece": np.full(len(ids), number, np.int32), "less_u": less_u, "less_w": less_w})
+
+    rows = blocks.select("piece", "u", "w", "c").mapInPandas(lean(found), "id long, piece int, less_u long, less_w long")
+    return rows.groupBy("id").agg(F.collect_list("piece").alias("pieces"), F.sum("less_u").alias("less_u"), F.sum("less_w").alias("less_w"))
+
+
+#: What a block is told of its words; kinds of what it says: probabilities for pieces, its state, sums for its words, pairs with probabilities.
+ID_FIELDS = [("id", "<i8"), ("n", "<i8"), ("room", "<i8"), ("p", "<f8")]
+STATE_FIELDS, SUM_FIELDS, HELD_FIELDS = [("t", "<i8"), ("p", "<f8")], [("id", "<i8"), ("less_u", "<i8"), ("less_w", "<i8")], [("u", "<i8"), ("w", "<i8"), ("p", "<f8")]
+ASKED, ANSWER, STATE, SUMS, HELD = range(5)
+SAID = "piece int, kind int, data binary"
+
+
+def seat_blocks(blocks: DataFrame, words: DataFrame, state: DataFrame | None, sweep: int, states: int, end: int | None) -> DataFrame:
+    """(piece, kind, data): the pairs of each block seated anew, their probabilities of this state added to those before after BURN.
+
+    `words` has id, n, room (tables of the context), p (of the corpus) and pieces, one row for each id. The result holds the
+    STATE of blocks and SUMS for words, or, in the last sweep, what `end` names: the means of `states` probabilities as
+    ANSWER for the pieces that hold a pair, or HELD.
+    """
+    before = state is not None
+
+    def seat(block: pa.Table, told_of: pa.Table) -> pa.Table:
+        try:
+            return seated_block(block, told_of)
+        finally:
+            give_back()
+
+    def seated_block(block: pa.Table, told_of: pa.Table) -> pa.Table:
+        u, w = unpacked(block["u"][0].as_py()), unpacked(block["w"][0].as_py())
+        c = np.frombuffer(block["c"][0].as_py(), "<i8")
+        kind, data = told_of["kind"].to_pylist(), told_of["data"].to_pylist()
+        ids, n, room, parent = told([x for x, k in zip(data, kind, strict=True) if k == ASKED], ID_FIELDS)
+        t, p = told([x for x, k in zip(data, kind, strict=True) if k == STATE], STATE_FIELDS) if before else (np.minimum(c, 1), np.zeros(len(c)))
+        del data
+        order = np.argsort(ids.view(np.uint64))
+        first, second = (order[np.searchsorted(ids.view(np.uint64), x, sorter=order)] for x in (u, w))
+        room, parent = room[first], parent[second]
+        own = (c - CONTEXT_DISCOUNT * t + (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * room) * parent) / (CONTEXT_STRENGTH + n[first])
+        p, key, number = p + own if sweep >= BURN else p, pair_key(u, w), block["piece"][0].as_py()
+        if end == ANSWER:
+            size = np.frombuffer(block["size"][0].as_py(), "<i4")
+            made = list(dealt(np.frombuffer(block["held_by"][0].as_py(), "<i4"), np.repeat(np.arange(len(size), dtype=np.int32), size), ANSWER, [key.view(np.int64), (p / states).astype("<f4")]))
+            return pa.Table.from_batches(made) if made else said([])
+        if end == HELD:
+            return said([(number, HELD, u.tobytes() + w.tobytes() + (p / states).tobytes())])
+        t = seated(key, c, np.maximum(room - t, 0), parent, CONTEXT_DISCOUNT, CONTEXT_STRENGTH, sweep)
+        return said([(number, STATE, t.astype("<i8").tobytes() + p.astype("<f8").tobytes()), (number, SUMS, b"".join(x.tobytes() for x in words_of_block(u, w, c - t)))])
+
+    replies = answers(words, ASKED, ID_FIELDS)
+    if before:
+        replies = replies.union(state.where(F.col("kind") == STATE))
+    asked = blocks if end == ANSWER else blocks.select("piece", "u", "w", "c")
+    return asked.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(seat, SAID)
+
+
+def opened(rows: DataFrame, kind: int, fields: list[tuple[str, str]]) -> DataFrame:
+    """The rows that are packed in those of one kind."""
+
+    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for blob in batch["data"]:
+                yield pd.DataFrame(dict(zip([c for c, _ in fields], told([blob], fields), strict=True)))
+
+    return rows.where(F.col("kind") == kind).select("data").mapInPandas(lean(columns), ", ".join(f"{c} {'double' if 'f' in t else 'long'}" for c, t in fields))
 
 
 def by_id(words: DataFrame) -> DataFrame:
@@ -441,37 +558,45 @@ def by_id(words: DataFrame) -> DataFrame:
 
 
 def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPLES - 1) -> tuple[DataFrame, DataFrame | None]:
-    """Stored words (w, n, lp, back, p) and pairs (u, w, p), `lp` the logarithm of p: averages over the states after BURN sweeps.
+    """`fitted_blocks` for pairs as rows: (u, w, c) are given, (u, w, p) returned."""
+    if pairs is None:
+        return fitted_blocks(words, None, sweeps)
+    every, held = fitted_blocks(words, stored(blocks_of(pairs), "blocks"), sweeps, HELD)
+    return every, opened(held, HELD, HELD_FIELDS)
+
 
-    `words` has word, w and n (and m, its customers, where there are no pairs), `pairs` u, w and c. `back` is the share that the
+def fitted_blocks(words: DataFrame, blocks: DataFrame | None, sweeps: int = BURN + SAMPLES - 1, end: int = ANSWER) -> tuple[DataFrame, DataFrame | None]:
+    """Stored words (w, n, lp, back, p), `lp` the logarithm of p, and what `end` names of the pairs: averages over the states after BURN sweeps.
+
+    `words` has word, w and n (and m, its customers, where there are no pairs), `blocks` holds the pairs and is deleted. `back` is the share that the
     context of a word leaves to the corpus.
     """
     state = levels = shared = model = held = None
     kept: list[DataFrame] = []
     done_tables: list[DataFrame] = []
-    if pairs is not None:
-        held = pairs.select("u", "w", "c", F.least("c", F.lit(1)).cast("long").alias("t"), F.lit(0.0).alias("p"))
-    tables = words.select("word", "w", (F.col("n" if pairs is not None else "m") > 0).cast("long").alias("t"))
+    if blocks is not None:
+        known = stored(members(blocks), "members")
+        less = known.select("id", "less_u", "less_w")
+    tables = words.select("word", "w", (F.col("n" if blocks is not None else "m") > 0).cast("long").alias("t"))
     for sweep in range(sweeps + 1):
         again = sweep < sweeps
-        if held is None:
+        if blocks is None:
             now = words.select("word", "w", "n", "m", F.lit(0).alias("room")).join(tables.select("w", "t"), "w")
         else:
-            ends = [held.groupBy(F.col(c).alias("id")).agg(F.sum(F.col("c") - F.col("t")).alias(f"less_{c}")) for c in "uw"]
-            less = [F.coalesce(f"less_{c}", F.lit(0)) for c in "uw"]
-            joined = by_id(words).join(tables.select("w", "t"), "w").join(ends[0], "id", "left").join(ends[1], "id", "left")
-            now = joined.select("word", "w", "n", F.greatest(F.col("n") - less[1], F.lit(0)).alias("m"), F.greatest(F.col("n") - less[0], F.lit(0)).alias("room"), "t")
+            joined = by_id(words).join(tables.select("w", "t"), "w").join(less, "id", "left")
+            of_word = [F.greatest(F.col("n") - F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("less_w", "less_u")]
+            now = joined.select("word", "w", "n", of_word[0].alias("m"), of_word[1].alias("room"), "t")
         now = stored(now.select("word", "w", "n", "m", "room", F.least("t", "m").alias("t")), "state")
         total, seats = (x or 0 for x in now.agg(F.sum("m"), F.sum("t")).first())
         done = stored(reseat_words(now, shared, model, total, seats, sweep), "words")
         if sweep >= BURN:
             kept.append(done.select("w", "n", "lp", "room"))
             done_tables.append(done)
-        if held is not None:
-            ids = by_id(done).groupBy("id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("room").alias("room"))
-            seat = seat_pairs(held, ids, sweep, again)
-            last, held = held, stored(seat if again else seat.select("u", "w", (F.col("p") / len(kept)).alias("p")), "pairs")
-            discard(last)
+        if blocks is not None:
+            ids = by_id(done).groupBy("id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("room").alias("room")).join(known.select("id", "pieces"), "id")
+            last, held = held, stored(seat_blocks(blocks, ids, held, sweep, len(kept), None if again else end), "pairs")
+            less = opened(held, SUMS, SUM_FIELDS).groupBy("id").agg(F.sum("less_u").alias("less_u"), F.sum("less_w").alias("less_w"))
+            discard(*[x for x in (last, None if again else blocks) if x is not None])
         release(words.sparkSession)
         if again:
             tables = done.select("word", "w", "t")
@@ -489,7 +614,7 @@ def fitted(words: DataFrame, pairs: DataFrame | None, sweeps: int = BURN + SAMPL
     states = every.groupBy("w", "n").agg(F.collect_list("lp").alias("l"), F.max("lp").alias("most"), F.avg(back).alias("back"))
     mean = F.aggregate("l", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("most"))) / F.size("l")
     averaged = stored(states.select("w", "n", (F.col("most") + F.log(mean)).alias("lp"), "back").withColumn("p", F.exp("lp")), "averages")
-    discard(*done_tables, *(levels or []))
+    discard(*done_tables, *(levels or []), *([known] if blocks is not None else []))
     release(words.sparkSession)
     return averaged, held
 
@@ -499,24 +624,35 @@ def word_probabilities(words: DataFrame) -> DataFrame:
     return fitted(words, None)[0]
 
 
+def said(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["piece", "kind", "data"])
+
+
+def dealt(piece: np.ndarray, row: np.ndarray, kind: int, values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(piece, kind, data): for each piece the `values` of its rows, column after column; a row that a piece names twice is sent once."""
+    for share in shares(piece.view("<u4")):
+        order = share[np.lexsort((row[share], piece[share]))]
+        own, of = piece[order], row[order]
+        once = np.r_[True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])]
+        own, of = own[once], of[once]
+        cut = summed_runs(own)
+        yield from said([(int(own[a]), kind, b"".join(v[of[a:b]].tobytes() for v in values)) for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True)]).to_batches()
+
+
 def answers(rows: DataFrame, kind: int, columns: list[tuple[str, str]]) -> DataFrame:
-    """(piece, kind, data): `columns` (name, numpy type) of `rows`, sent to each of the row's `pieces`, column after column."""
+    """(piece, kind, data): `columns` (name, numpy type) of `rows`, sent to each of the row's `pieces` (an array, or packed), column after column."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in tables]).astype(t) for c, t in columns}
-            lists = pa.concat_arrays([b.column("pieces") for b in tables]).cast(pa.large_binary())
-            ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1] // 4
-            piece = np.frombuffer(lists.buffers()[2] or b"", "<i4")[ends[0] : ends[-1]]
-            row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(ends))
-            for share in shares(piece.view("<u4")):
-                order = share[np.lexsort((row[share], piece[share]))]
-                own, of = piece[order], row[order]
-                once = np.r_[True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])]
-                own, of = own[once], of[once]
-                cut = summed_runs(own)
-                out = [(int(own[a]), kind, b"".join(values[c][of[a:b]].tobytes() for c, _ in columns)) for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["piece", "kind", "data"])
+            values = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in tables]).astype(t) for c, t in columns]
+            lists = pa.concat_arrays([b.column("pieces") for b in tables])
+            if pa.types.is_list(lists.type):
+                size, piece = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().astype("<i4")
+            else:
+                lists = lists.cast(pa.large_binary())
+                ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1] // 4
+                size, piece = np.diff(ends), np.frombuffer(lists.buffers()[2] or b"", "<i4")[ends[0] : ends[-1]]
+            yield from dealt(piece, np.repeat(np.arange(len(lists), dtype=np.int32), size), kind, values)
 
         held, n = [], 0
         for batch in batches:
@@ -528,12 +664,12 @@ def answers(rows: DataFrame, kind: int, columns: list[tuple[str, str]]) -> DataF
         if n:
             yield from flush(held)
 
-    return rows.select(*[c for c, _ in columns], "pieces").mapInArrow(lean(sent), "piece int, kind int, data binary")
+    return rows.select(*[c for c, _ in columns], "pieces").mapInArrow(lean(sent), SAID)
 
 
 #: What a piece is told of its words and of its pairs.
 WORD_FIELDS = [("w", "<i8"), ("n", "<i8"), ("lp", "<f4"), ("back", "<f4")]
-PAIR_FIELDS = [("u", "<i8"), ("w", "<i8"), ("p", "<f4")]
+PAIR_FIELDS = [("k", "<i8"), ("p", "<f4")]
 
 
 def told(data: list[bytes], fields: list[tuple[str, str]]) -> list[np.ndarray]:
@@ -553,47 +689,57 @@ def scores(docs: DataFrame) -> DataFrame:
     words = stored(word_table(docs, max(1, docs.count() // ROWS)), "counts")
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
     release(spark)
-    pairs = stored(pair_table(docs, max(1, total // PART)), "pairs")
+    blocks = stored(pair_blocks(docs, max(1, total // PART)), "blocks")
     release(spark)
-    every, held = fitted(words, pairs)
+    every, of_pairs = fitted_blocks(words, blocks)
     low = np.log10(total + 0.1 * (distinct + 1))
-    of_words = stored(answers(every.join(words.select("w", "pieces"), "w"), 0, WORD_FIELDS), "answers")
+    of_words = stored(answers(every.join(words.select("w", "pieces"), "w"), ASKED, WORD_FIELDS), "answers")
     discard(words, every)
     release(spark)
-    of_pairs = stored(answers(held.join(pairs.select("u", "w", "pieces"), ["u", "w"]), 1, PAIR_FIELDS), "answers")
-    discard(pairs, held)
-    release(spark)
     replies = of_words.union(of_pairs)
 
     def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
         reader, kind, data = Reader(), answer["kind"].to_pylist(), answer["data"].to_pylist()
-        w, n, lp, back = told([x for x, k in zip(data, kind, strict=True) if k == 0], WORD_FIELDS)
+        w, n, lp, back = told([x for x, k in zip(data, kind, strict=True) if k == ASKED], WORD_FIELDS)
         order = np.argsort(w.view(np.uint64))
-        w, n, lp, back = w.view(np.uint64)[order], n[order], lp[order].astype(np.float64), back[order].astype(np.float64)
-        a, b, q = told([x for x, k in zip(data, kind, strict=True) if k == 1], PAIR_FIELDS)
-        key = pair_key(a.view(np.uint64), b.view(np.uint64))
-        order = np.argsort(key)
-        key, q = key[order], q[order].astype(np.float64)
+        w, n, lp, back = w.view(np.uint64)[order], n[order], lp[order].astype(np.float64), np.log(back[order].astype(np.float64))
+        base, alone, stop = np.log10(n + 0.1) - low, np.log((1.0 - CONTEXT_DISCOUNT) / (CONTEXT_STRENGTH + n)), np.searchsorted(w, np.uint64(STOP))
+        key, q = told([x for x, k in zip(data, kind, strict=True) if k == ANSWER], PAIR_FIELDS)
+        del data
+        order = np.argsort(key.view(np.uint64))
+        key, q = key.view(np.uint64)[order], np.log(q[order].astype(np.float64))
         held = texts["held_out"].to_numpy().astype(bool)
         out = []
         for slab in slabs(pa.concat_arrays(texts["text"].chunks) if len(texts) else pa.array([], pa.string()), reader):
             word, before = with_ends(slab)
-            of, prior = np.searchsorted(w, word), np.searchsorted(w, before)
+            of = np.searchsorted(w, word)
+            prior = np.r_[stop, of[:-1]]
             text = np.repeat(np.arange(len(slab.ends)), np.diff(slab.bounds) + 1)
-            once = np.where(held[slab.rows[0] : slab.rows[1]][text], 0.0, 1.0 - CONTEXT_DISCOUNT)
-            seen = once / (CONTEXT_STRENGTH + n[prior])
-            logs = np.logaddexp(np.log(seen, out=np.full(len(seen), -np.inf), where=seen > 0), np.log(back[prior]) + lp[of])
+            left, logs = np.arange(len(word)), np.zeros(len(word))
             if len(key):
                 k = pair_key(short(before), short(word))
                 at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                logs = np.where(key[at] == k, np.log(q[at]), logs)
+                kept = key[at] == k
+                logs[kept], left = q[at[kept]], np.flatnonzero(~kept)
+            own = np.where(held[slab.rows[0] : slab.rows[1]][text[left]], -np.inf, alone[prior[left]])
+            logs[left] = np.logaddexp(own, back[prior[left]] + lp[of[left]])
             rows = len(slab.ends)
-            out.append([np.bincount(text, minlength=rows), np.bincount(text, n[of] > 0, rows), np.bincount(text, np.log10(n[of] + 0.1) - low, rows), np.bincount(text, logs / np.log(10.0), rows)])
+            out.append([np.bincount(text, minlength=rows), np.bincount(text, n[of] > 0, rows), np.bincount(text, base[of], rows), np.bincount(text, logs / np.log(10.0), rows)])
         made = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+        give_back()
         return pa.table([texts["doc_id"], texts["held_out"], pa.array(made[0].astype(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(made[2]), pa.array(made[3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     texts = docs.select("doc_id", "text", "held_out", "piece")
-    made = texts.groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    rounds = []
+    for k in range(ROUNDS):
+        # texts and answers are shuffled a share of the pieces at a time
+        own, of_own = (x.where(F.col("piece") % ROUNDS == k).groupBy("piece") for x in (texts, replies))
+        rounds.append(stored(own.cogroup(of_own).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores"))
+        release(spark)
+    discard(of_words, of_pairs)
+    made = rounds[0]
+    for other in rounds[1:]:
+        made = made.union(other)
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -457,6 +457,20 @@ def test_contexts_are_distributions(spark):
     assert low == pytest.approx(1.0) and high == pytest.approx(1.0)
 
 
+def test_blocks_of_pairs_seat_alike_however_cut(spark, monkeypatch):
+    """Pairs stay in bounded blocks; what words and blocks tell each other adds up to the same seating. An answer for a pair takes twelve bytes."""
+    texts = [(i, sentence(i % 7, 30), False) for i in range(20)]
+    docs = pitman_yor.with_piece(common.stored(spark.createDataFrame(texts, "doc_id long, text string, held_out boolean"), "t"), "text", "held_out")
+    words, pairs = common.stored(pitman_yor.word_table(docs, 2), "w"), common.stored(pitman_yor.pair_table(docs, 2), "p")
+    rows = lambda: sorted(map(tuple, pitman_yor.fitted(words, pairs)[1].collect()))
+    whole = rows()
+    monkeypatch.setattr(pitman_yor, "BLOCK", 1)
+    sums = [(np.arange(k, dtype=np.uint64), np.arange(k, dtype=np.uint64), np.full(k, 2), np.ones(k, np.int32), np.zeros(k, np.int32)) for k in (3, 1)]
+    assert [len(b["c"][0]) // 8 for b in pitman_yor.in_blocks(iter(sums))] == [3, 1]
+    assert rows() == whole and len(whole) == pairs.count() > 100
+    assert sum(np.dtype(t).itemsize for _, t in pitman_yor.PAIR_FIELDS) == 12
+
+
 # 7
 
 
