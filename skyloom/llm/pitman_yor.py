@@ -594,6 +594,10 @@ def fitted_blocks(words: DataFrame, blocks: DataFrame | None, sweeps: int = BURN
             done_tables.append(done)
         if blocks is not None:
             ids = by_id(done).groupBy("id").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.max("room").alias("room")).join(known.select("id", "pieces"), "id")
+            if not again:
+                # nothing reads these any more, and the answers to come take room
+                discard(now, *(levels or []))
+            release(words.sparkSession)
             last, held = held, stored(seat_blocks(blocks, ids, held, sweep, len(kept), None if again else end), "pairs")
             less = opened(held, SUMS, SUM_FIELDS).groupBy("id").agg(F.sum("less_u").alias("less_u"), F.sum("less_w").alias("less_w"))
             discard(*[x for x in (last, None if again else blocks) if x is not None])
