@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import discard, lean, pick, release, small, stored, table
-from skyloom.llm.similarity import BITS, WIDE, WIDTH, crowd_counts, packed, prefix_length, prefix_rows, sets_among, signatures, split_candidates, verified
+from skyloom.llm.similarity import BITS, ROUNDS, WIDE, WIDTH, crowd_counts, packed, prefix_candidates, prefix_length, sets_among, signatures, split_candidates, verified
 from skyloom.llm.words import Reader, mixed, slabs
 
 THRESHOLD = 0.8
@@ -142,7 +142,7 @@ def class_links(lines: DataFrame, classes: DataFrame, threshold: float = THRESHO
     `lines` is deleted when the sets that are asked for have been taken from it.
     """
     spark = lines.sparkSession
-    pairs, crowds, wanted = split_candidates(spark, lambda turn, rounds: prefix_rows(lines, threshold, turn, rounds), threshold)
+    pairs, crowds, wanted = split_candidates(spark, prefix_candidates(lines, threshold, ROUNDS))
     sets = stored(sets_among(lines, wanted), "sets")
     discard(lines)
     release(spark)

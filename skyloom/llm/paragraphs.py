@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import discard, pick, release, small, stored, table
-from skyloom.llm.similarity import BITS, WIDE, WIDTH, linked_classes, packed, sets_among, signatures
+from skyloom.llm.similarity import BITS, ROUNDS, WIDE, WIDTH, candidates, linked_classes, packed, sets_among, signatures
 from skyloom.llm.words import BASE, Reader, Rolling, Slab, mixed, slabs
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 4
@@ -152,10 +152,10 @@ def similar_lines(found: DataFrame) -> DataFrame:
     """(node, component) of the lines that verified pairs link to another one; they meet under their bands."""
     banded = found.where("bands is not null").select("class", (F.col("size").cast("long") * F.lit(1 << 32)).alias("shape"), *BITS, F.explode("bands").alias("token")).select("token", "class", "shape", *BITS)
 
-    def keyed(turn: int, rounds: int) -> DataFrame:
-        return banded.where(F.pmod("token", F.lit(rounds)) == turn)
+    def of_bands(turn: int) -> DataFrame:
+        return candidates(banded.where(F.pmod("token", F.lit(ROUNDS)) == turn), THRESHOLD, False)
 
-    return linked_classes(found.sparkSession, keyed, lambda wanted: sets_among(found, wanted), THRESHOLD, False)
+    return linked_classes(found.sparkSession, of_bands, lambda wanted: sets_among(found, wanted), THRESHOLD)
 
 
 def repeated(docs: DataFrame) -> DataFrame:

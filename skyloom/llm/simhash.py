@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import ascii_words, by_runs, discard, lean, pick, spanning_links, stored, table
 from skyloom.llm.components import connected_components
-from skyloom.llm.similarity import BITS, WIDE, linked_classes, packed, prefix_rows, sets_among, signatures, verified
+from skyloom.llm.similarity import BITS, ROUNDS, WIDE, linked_classes, packed, prefix_candidates, sets_among, signatures, verified
 from skyloom.llm.words import Reader, Rolling, mixed, slabs
 
 RADIUS, PIVOTS, BLOCKS, CHUNK = 4, 16, 6, 2048
@@ -223,9 +223,8 @@ def near_by_fingerprint(shingled: DataFrame, threshold: float, radius: int = RAD
 def similar_texts(shingled: DataFrame, threshold: float = STAGE_THRESHOLD) -> DataFrame:
     """(node, component) of the classes of `shingle_table` that verified pairs link to another one: by SimHash first, then all that SimHash is too far from."""
 
-    keyed = lambda turn, rounds: prefix_rows(shingled, threshold, turn, rounds)
     near = near_by_fingerprint(shingled, threshold)
-    return linked_classes(shingled.sparkSession, keyed, lambda wanted: sets_among(shingled, wanted), threshold, known=near)
+    return linked_classes(shingled.sparkSession, prefix_candidates(shingled, threshold, ROUNDS), lambda wanted: sets_among(shingled, wanted), threshold, known=near)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = STAGE_WORDS, threshold: float = STAGE_THRESHOLD) -> DataFrame:

@@ -2,7 +2,11 @@
 
 A class is a set of tokens in one fixed order, rarest first. Two classes meet if they share a key (a token of both
 prefixes, or a band). Inside a key the rows are ordered by size, so each looks only at partners within the length filter;
-place and signature filters follow. Groups in which few pairs survive give these pairs, and each is verified by a join with
+place and signature filters follow. Where keys are tokens of prefixes, a pair is asked for only at the first token that both
+share, so a partner is no longer than what stands from there on allows: most of the pairs of a group are never looked at.
+Rows of prefixes travel in blocks, many tokens to one, since they are as many as the words of the prefixes.
+
+Groups in which few pairs survive give these pairs, and each is verified by a join with
 the whole sets. A group in which most pairs survive (near copies of one text), or with more than `MOST` rows, never
 gives pairs: its classes are dealt out as pairs of chunks of bounded size, verified inside these by products of their
 token matrices, and only counts of links or links that join two parts leave them.
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import by_runs, discard, lean, pieces_of_runs, release, small, stored
 from skyloom.llm.components import connected_components
 
-#: Rows of a group that may give pairs; surviving pairs a row from which a group counts as dense; classes of a chunk.
-MOST, DENSE, CHUNK = 2048, 16, 1024
+#: Rows of a group that may give pairs (places known, and not); surviving pairs a row from which a group counts as dense; classes of a chunk.
+MOST, MOST_UNPLACED, DENSE, CHUNK = 1 << 16, 2048, 16, 1024
 #: Pairs looked at together.
 BLOCK = 1 << 20
 #: Bytes of a token in a packed set: two words of a pair of sets meet in one less than once in 10**8 pairs.
@@ -78,6 +82,29 @@ ROUNDS = 4
 KEYED = "token long, class long, shape long" + "".join(f", {b} long" for b in BITS)
 
 
+def prefix_arrays(batches: Iterator[pa.RecordBatch], threshold: float, turn: int, rounds: int) -> Iterator[np.ndarray]:
+    """The columns of KEYED, a line each, for the prefixes of batches of class, size, signature and tokens; only tokens whose remainder by `rounds` is `turn`."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        size = batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        k = prefix_length(size, threshold)
+        begin = np.cumsum(size) - size
+        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        data = batch.column("tokens").cast(pa.large_binary())
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        packed_tokens = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, WIDTH)
+        token = unpacked(packed_tokens[np.repeat(begin, k) + place].tobytes()).view(np.int64)
+        at = np.flatnonzero(token % rounds == turn)
+        row = np.repeat(np.arange(len(k)), k)[at]
+        of, *bits = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("class", *BITS))
+        yield np.stack([token[at], of, size[row] << 32 | place[at], *bits])
+
+
+def asked(table: DataFrame) -> DataFrame:
+    return table.where("tokens is not null").select("class", "size", *BITS, "tokens")
+
+
 def prefix_rows(table: DataFrame, threshold: float, turn: int = 0, rounds: int = 1) -> DataFrame:
     """token, class, shape (size and place) and signature for the prefix of each set of a table of class, size, signature and tokens (null: not asked).
 
@@ -85,18 +112,82 @@ def prefix_rows(table: DataFrame, threshold: float, turn: int = 0, rounds: int =
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
-            k = prefix_length(size, threshold)
-            begin = np.cumsum(size) - size
-            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            token = unpacked(b"".join(batch.column("tokens").to_pylist()))[np.repeat(begin, k) + place].view(np.int64)
-            at = np.flatnonzero(token % rounds == turn)
-            row = np.repeat(np.arange(len(k)), k)[at]
-            of, *bits = (pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("class", *BITS))
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), of, pa.array(size[row] << 32 | place[at]), *bits], ["token", "class", "shape", *BITS])
-
-    return table.where("tokens is not null").select("class", "size", *BITS, "tokens").mapInArrow(lean(prefixes, at_once=False), KEYED)
+        for rows in prefix_arrays(batches, threshold, turn, rounds):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["token", "class", "shape", *BITS])
+
+    return asked(table).mapInArrow(lean(prefixes, at_once=False), KEYED)
+
+
+#: Rows of prefixes in a block as planned, those that a task holds before it sends them on, and those of a block from which too frequent tokens are let go.
+BLOCK_ROWS, SENT_ROWS, HELD_ROWS = 1 << 15, 1 << 17, 1 << 19
+
+
+def block_count(table: DataFrame, threshold: float, rounds: int) -> int:
+    """Into how many blocks of tokens the prefixes of one round are dealt."""
+    words = table.where("size is not null").agg(F.sum("size")).first()[0] or 0
+    return max(4 * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((1 - threshold) * words / rounds / BLOCK_ROWS))
+
+
+def prefix_blocks(table: DataFrame, threshold: float, blocks: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """The rows of `prefix_rows`, packed: block (of a token's hash) and rows (their columns one after the other, 64-bit numbers)."""
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        block = rows[0] // rounds % blocks
+        order = np.argsort(block, kind="stable")
+        rows, block = rows[:, order], block[order]
+        edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]].astype(np.int32)), pa.array([rows[:, a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())], ["block", "rows"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for rows in prefix_arrays(batches, threshold, turn, rounds):
+            if rows.shape[1]:
+                held.append(rows)
+                n += rows.shape[1]
+            if n >= SENT_ROWS:
+                yield sent(held)
+                held, n = [], 0
+        if n:
+            yield sent(held)
+
+    return asked(table).mapInArrow(lean(dealt, at_once=False), "block int, rows binary")
+
+
+def surviving(of: np.ndarray, g: np.ndarray, shape: np.ndarray, bits: list[np.ndarray], threshold: float, placed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by group and shape: the pairs (i, j) that survive the filters, and whether each row's group is crowded and so gives none."""
+    run = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
+    rows_of_run = np.bincount(run)
+    most = MOST if placed else MOST_UNPLACED
+    size = shape >> 32
+    # of what a pair shares, its first token is this one and all else stands after it in both
+    rest = size - (shape & 0xFFFFFFFF) if placed else size
+    longest = np.maximum(np.floor(rest * ((1 + threshold) / threshold) - size + 1e-6).astype(np.int64), 0)
+    stop = np.searchsorted(run << 32 | size, run << 32 | longest, "right")
+    partners = np.where(rows_of_run[run] > most, 0, np.maximum(stop - np.arange(len(of)) - 1, 0))
+    ends, hits, survivors, at = np.cumsum(partners), [], np.zeros(len(rows_of_run), np.int64), 0
+    while at < len(of):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        # a group that is known to be dense is looked at no further
+        n = np.where(survivors[run[at:to]] > DENSE * rows_of_run[run[at:to]], 0, partners[at:to])
+        i = np.repeat(np.arange(at, to), n)
+        j = np.repeat(np.arange(at, to) + 1 - (np.cumsum(n) - n), n) + np.arange(len(i))
+        want = shared_at_least(size[i], size[j], threshold)
+        ok = np.minimum(rest[i], rest[j]) >= want
+        i, j, want = i[ok], j[ok], want[ok]
+        room = (size[i] + size[j] - 2 * want).astype(np.int64)
+        for word in bits:
+            room = room - np.bitwise_count(word[i] ^ word[j])
+            ok = room >= 0
+            i, j, room = i[ok], j[ok], room[ok]
+        survivors += np.bincount(run[i], minlength=len(survivors))
+        keep = survivors[run[i]] <= DENSE * rows_of_run[run[i]]
+        hits.append((i[keep], j[keep]))
+        at = to
+    i, j = (np.concatenate(x) if hits else np.zeros(0, np.int64) for x in (list(zip(*hits, strict=True)) or [[], []]))
+    crowded = ((survivors > DENSE * rows_of_run) | (rows_of_run > most))[run]
+    keep = ~crowded[i]
+    return i[keep], j[keep], crowded
 
 
 def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataFrame:
@@ -113,46 +204,15 @@ def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataF
         of, g, shape = (rows[c].to_numpy() for c in ("class", "token", "shape"))
         fresh = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]) | (shape[1:] != shape[:-1])]
         of, g, shape, bits = of[fresh], g[fresh], shape[fresh], [rows[b].to_numpy()[fresh].view(np.uint64) for b in BITS]
-        begin = np.r_[True, g[1:] != g[:-1]]
-        run = np.cumsum(begin) - 1
-        rows_of_run = np.bincount(run)
-        size, place = shape >> 32, shape & 0xFFFFFFFF
-        order = run << 32 | size
-        stop = np.searchsorted(order, run << 32 | np.floor(size / threshold + 1e-9).astype(np.int64), "right")
-        partners = np.where(rows_of_run[run] > MOST, 0, stop - np.arange(len(of)) - 1)
-        ends, hits, survivors, at = np.cumsum(partners), [], np.zeros(len(rows_of_run), np.int64), 0
-        while at < len(of):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
-            n = partners[at:to]
-            i = np.repeat(np.arange(at, to), n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            both = size[i] + size[j]
-            want = shared_at_least(size[i], size[j], threshold)
-            room = (both - 2 * want).astype(np.int64)
-            for word in bits:
-                room = room - np.bitwise_count(word[i] ^ word[j])
-                ok = room >= 0
-                i, j, want, room = i[ok], j[ok], want[ok], room[ok]
-            if placed:
-                # what both share stands before the token in both, or is it, or stands after it in both
-                ok = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j]) >= want
-                i, j = i[ok], j[ok]
-            survivors += np.bincount(run[i], minlength=len(survivors))
-            keep = survivors[run[i]] <= DENSE * rows_of_run[run[i]]
-            hits.append((i[keep], j[keep]))
-            at = to
-        i, j = (np.concatenate(x) if hits else np.zeros(0, np.int64) for x in (list(zip(*hits, strict=True)) or [[], []]))
-        crowded = (survivors > DENSE * rows_of_run) | (rows_of_run > MOST)
-        keep = ~crowded[run[i]]
-        i, j = i[keep], j[keep]
+        i, j, crowded = surviving(of, g, shape, bits, threshold, placed)
         i, j = np.where(of[i] < of[j], i, j), np.where(of[i] < of[j], j, i)
-        pairs = pd.DataFrame({"a": of[i], "b": pd.array(of[j], "Int64"), "token": g[i], "at": pd.array(place[i].astype(np.int32), "Int32")})
+        pairs = pd.DataFrame({"a": of[i], "b": pd.array(of[j], "Int64"), "token": g[i], "at": pd.array((shape[i] & 0xFFFFFFFF).astype(np.int32), "Int32")})
         if not crowded.any():
             return pairs
-        return pd.concat([pairs, crowd(pd.DataFrame({"class": of, "token": g})[crowded[run]])])
+        return pd.concat([pairs, crowd(pd.DataFrame({"class": of, "token": g})[crowded])])
 
     def handle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, whole in pieces_of_runs(batches, "token", MOST):
+        for rows, whole in pieces_of_runs(batches, "token", MOST if placed else MOST_UNPLACED):
             # a piece of a run that is too long to be held: its classes are dealt out whatever their partners
             yield found(rows) if whole else crowd(rows)
 
@@ -160,6 +220,67 @@ def candidates(keyed: DataFrame, threshold: float, placed: bool = True) -> DataF
     return ordered.mapInPandas(lean(handle, at_once=False), "a long, b long, token long, at int")
 
 
+def block_candidates(blocks: DataFrame, threshold: float) -> DataFrame:
+    """What `candidates` gives, from the packed rows of `prefix_blocks`."""
+
+    def batch_of(a: np.ndarray, b: np.ndarray, token: np.ndarray, at: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=~pair), pa.array(token), pa.array(at.astype(np.int32), mask=~pair)], ["a", "b", "token", "at"])
+
+    def crowd(rows: np.ndarray) -> pa.RecordBatch:
+        return batch_of(rows[1], rows[1], rows[0], rows[0], np.zeros(rows.shape[1], bool))
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((rows[1], rows[2], rows[0]))
+        key = rows[:3, order]
+        order = order[np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]]
+        # a token of one set alone has no pair
+        same = rows[0, order[1:]] == rows[0, order[:-1]]
+        rows = rows[:, order[np.r_[False, same] | np.r_[same, False]]]
+        g, of, shape, *bits = rows
+        if not len(g):
+            return crowd(rows)
+        i, j, crowded = surviving(of, g, shape, [b.view(np.uint64) for b in bits], threshold, True)
+        i, j = np.where(of[i] < of[j], i, j), np.where(of[i] < of[j], j, i)
+        rest = np.flatnonzero(crowded)
+        return batch_of(np.r_[of[i], of[rest]], np.r_[of[j], of[rest]], np.r_[g[i], g[rest]], np.r_[shape[i] & 0xFFFFFFFF, rest], np.arange(len(i) + len(rest)) < len(i))
+
+    def handle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, n, limit, over = None, [], 0, HELD_ROWS, np.zeros(0, np.int64)
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != block:
+                    if n:
+                        yield found(np.concatenate(parts, axis=1))
+                    block, parts, n, limit, over = number, [], 0, HELD_ROWS, over[:0]
+                rows = np.frombuffer(data.as_buffer(), np.int64).reshape(3 + WIDE, -1)
+                if len(over):
+                    often = np.isin(rows[0], over)
+                    yield crowd(rows[:, often])
+                    rows = rows[:, ~often]
+                parts.append(rows.copy())
+                n += rows.shape[1]
+                if n > limit:
+                    # classes of a token that is too frequent to be held are dealt out whatever their partners
+                    rows = np.concatenate(parts, axis=1)
+                    tokens, counts = np.unique(rows[0], return_counts=True)
+                    over = np.union1d(over, tokens[counts > MOST])
+                    often = np.isin(rows[0], over)
+                    yield crowd(rows[:, often])
+                    parts = [rows[:, ~often]]
+                    n = parts[0].shape[1]
+                    limit = max(HELD_ROWS, 2 * n)
+        if n:
+            yield found(np.concatenate(parts, axis=1))
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(lean(handle, at_once=False), "a long, b long, token long, at int")
+
+
+def prefix_candidates(table: DataFrame, threshold: float, rounds: int) -> Callable[[int], DataFrame]:
+    """`block_candidates` of the prefixes of a table of sets, for each of `rounds` turns."""
+    blocks = block_count(table, threshold, rounds)
+    return lambda turn: block_candidates(prefix_blocks(table, threshold, blocks, turn, rounds), threshold)
+
+
 def overlaps(flat_a: np.ndarray, sizes_a: np.ndarray, flat_b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of sets one after another: how many tokens they share, and the place in a of the first (or the size of a)."""
     pair_a, pair_b = (np.repeat(np.arange(len(z), dtype=np.uint64), z) << np.uint64(8 * WIDTH) for z in (sizes_a, sizes_b))
@@ -372,10 +493,10 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(lean(lambda batches: by_runs(batches, "g", found)), "a long, b long")
 
 
-def split_candidates(spark: SparkSession, keyed: Callable[[int, int], DataFrame], threshold: float, placed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_candidates(spark: SparkSession, candidates_of: Callable[[int], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored pairs (a, b, at), each once with its earliest place; crowds (class, token); and all classes of both.
 
-    `keyed(turn, rounds)` gives the rows of `candidates` for one round's share of the keys; rounds keep the shuffles small.
+    `candidates_of(turn)` gives the candidates of one round's share of the keys; rounds keep the shuffles small.
     """
 
     def summed(found: DataFrame) -> DataFrame:
@@ -383,7 +504,7 @@ def split_candidates(spark: SparkSession, keyed: Callable[[int, int], DataFrame]
 
     parts = []
     for turn in range(ROUNDS):
-        found = candidates(keyed(turn, ROUNDS), threshold, placed).withColumn("crowd", F.when(F.col("b").isNull(), F.col("token")))
+        found = candidates_of(turn).withColumn("crowd", F.when(F.col("b").isNull(), F.col("token")))
         # a pair of several tokens is summed once over all rounds, not in each round too
         parts.append(stored(found.select("a", "b", "crowd", "at"), "candidates"))
         del found
@@ -415,14 +536,14 @@ def apart(left: DataFrame, crowd: DataFrame, parts: DataFrame) -> tuple[DataFram
     return pairs, stored(crowd.join(open_, "token", "left_semi").select("class", "token"), "crowd")
 
 
-def linked_classes(spark: SparkSession, keyed: Callable[[int, int], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, placed: bool = True, known: DataFrame | None = None) -> DataFrame:
+def linked_classes(spark: SparkSession, candidates_of: Callable[[int], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of the classes that some chain of similar pairs links to another class.
 
     `sets_of` gives class and tokens for the column `class` of a table. Candidates are narrow, but verifying one moves two
     sets, so the first rounds verify one candidate of each class; what is connected by then needs no verification, and
     all else gets it in the end. `known` are verified links (a, b) found before: what they connect is not verified again.
     """
-    pairs, crowds, wanted = split_candidates(spark, keyed, threshold, placed)
+    pairs, crowds, wanted = split_candidates(spark, candidates_of)
     sets = stored(with_large_signatures(sets_of(wanted)), "sets")
     release(spark)
     left, crowd, links, parts = pairs.select("a", "b"), crowds, known, None

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes read at once, and bytes of texts that make a slab.
-READ, SLAB = 1 << 18, 1 << 20
+READ, SLAB = 1 << 17, 1 << 20
 #: Most texts of a slab.
 TEXTS = 1 << 14
 
@@ -61,17 +61,19 @@ class Reader:
         self.symbols = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
-        self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
 
     def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, stop and hash of each word of a buffer that ends with white space."""
         starts, stops, hashes, at = [], [], [], 0
+        folded = self.lower[65] == 97
         while at < len(raw):
             to = min(len(raw), at + READ)
             while True:
-                part = self.lower[raw[at:to]]
-                space = self.space[part]
+                part = raw[at:to]
+                # bytes wrap around, so one comparison tells a range; tables would be looked up byte by byte
+                if folded:
+                    part = part + ((part - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
+                space = (part == 32) | ((part - np.uint8(9)) < 5)
                 if to == len(raw):
                     break
                 last = np.flatnonzero(space[-4096:])
@@ -82,7 +84,7 @@ class Reader:
                 to = min(len(raw), to + max(READ, to - at))
             edge = np.diff(np.r_[True, space, True].view(np.int8))
             start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-            sums = self.rolling.sums(self.symbols[part])
+            sums = self.rolling.sums(self.symbols.take(part))
             hashes.append(self.rolling.of(sums, start, stop))
             starts.append(start + at)
             stops.append(stop + at)

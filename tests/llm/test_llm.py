@@ -543,6 +543,37 @@ def test_a_crowd_of_near_copies_keeps_all_links(spark):
         check_lines(spark, texts)
 
 
+def test_a_frequent_word_of_unlike_lines_makes_no_crowd(spark, monkeypatch):
+    """Over 2,048 unlike lines under one word are compared where they meet, each with partners of fitting length and place only, not dealt out as pairs of chunks."""
+    r = np.random.default_rng(5)
+    sets = np.zeros((8000, 30), np.float32)
+    for row in sets:
+        row[r.choice(30, 10, replace=False)] = 1
+    sets = np.unique(sets, axis=0)
+    crowded, counts = [], similarity.crowd_counts
+    monkeypatch.setattr(lines, "crowd_counts", lambda crowds, *rest: (crowded.append(crowds.count()), counts(crowds, *rest))[1])
+    texts = ["\n".join(" ".join(f"w{k}" for k in np.flatnonzero(x)) for x in sets[at : at + 100]) for at in range(0, len(sets), 100)]
+    got = {x["doc_id"]: (x["removed"], x["links"]) for x in lines.with_removed(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    linked = sets @ sets.T >= 9
+    np.fill_diagonal(linked, False)
+    assert linked.any() and crowded == [0]
+    for i in got:
+        own = np.arange(100 * i, min(100 * i + 100, len(sets)))
+        assert got[i] == ([k for k, x in enumerate(own) if linked[x, :x].any()], int(linked[own].sum()))
+
+
+def test_blocks_of_prefixes_keep_their_bound_and_all_links(spark, monkeypatch):
+    """Words whose rows come in many pieces and are too many to be held are dealt out; the links stay the same."""
+    r = random.Random(23)
+    near = [" ".join(f"n{k}" if at == k % 12 else f"w{at}" for at in range(12)) for k in range(60)]
+    apart = [" ".join(["rareandlong", *sentence(7000 + k, 14).split()]) for k in range(60)]
+    every = near + apart
+    r.shuffle(every)
+    for name, value in (("MOST", 15), ("CHUNK", 16), ("SENT_ROWS", 30), ("HELD_ROWS", 40)):
+        monkeypatch.setattr(similarity, name, value)
+    check_lines(spark, {i: "\n".join(every[4 * i : 4 * i + 4]) for i in range(len(every) // 4)})
+
+
 def test_lines_of_the_query(spark, tmp_path):
     rows = [(1, "a b c\nx y z w v\n"), (2, "v w z y x\nnew one here"), (3, None), (None, "a b c"), (4, "a b c"), (4, "a b c"), (5, "")]
     d = with_tables(spark, tmp_path, documents=spark.createDataFrame(rows, DOC))
