@@ -562,6 +562,24 @@ def test_a_frequent_word_of_unlike_lines_makes_no_crowd(spark, monkeypatch):
         assert got[i] == ([k for k, x in enumerate(own) if linked[x, :x].any()], int(linked[own].sum()))
 
 
+def test_the_line_stage_makes_no_crowd_of_a_frequent_word(spark, monkeypatch):
+    """In the pipeline too: unlike lines under one word, more than 2,048, are compared where they meet; later similar lines leave the texts."""
+    r = np.random.default_rng(6)
+    sets = np.zeros((7000, 30), np.float32)
+    for row in sets:
+        row[r.choice(30, 10, replace=False)] = 1
+    sets = np.unique(sets, axis=0)
+    crowded, counts = [], similarity.crowd_counts
+    monkeypatch.setattr(lines, "crowd_counts", lambda crowds, *rest: (crowded.append(crowds.count()), counts(crowds, *rest))[1])
+    each = [" ".join(f"w{k}" for k in np.flatnonzero(x)) for x in sets]
+    texts = [each[at : at + 100] for at in range(0, len(each), 100)]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], DOC)
+    got = {x["doc_id"]: x["text"].split("\n") for x in lines.stage(spark, docs, "").collect()}
+    linked = np.tril(sets @ sets.T >= 9, -1).any(axis=1)
+    assert linked.any() and crowded == [0]
+    assert got == {i: [x for k, x in enumerate(t) if not linked[100 * i + k]] for i, t in enumerate(texts)}
+
+
 def test_blocks_of_prefixes_keep_their_bound_and_all_links(spark, monkeypatch):
     """Words whose rows come in many pieces and are too many to be held are dealt out; the links stay the same."""
     r = random.Random(23)
